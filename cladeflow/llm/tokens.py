@@ -7,12 +7,13 @@ a bounded number.
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 
 #: Words kept by a worker; beyond it the store starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -35,10 +36,21 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         mark = self.encode(self.MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        self.letters = self.byte_letters()
         self.tails = {t.encode(): np.array(self.encode(t), dtype="<u4").tobytes() for t in ".,;:!?"}
         self.known: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
+    def byte_letters(self) -> dict[int, str]:
+        """The letter that stands for each byte, if this vocabulary folds case and writes words byte by byte; else none."""
+        spec = json.loads(self.tokenizer.to_str())
+        folds = {"type": "Lowercase"} in (spec.get("normalizer") or {}).get("normalizers", [])
+        if not folds or '"ByteLevel"' not in json.dumps(spec["pre_tokenizer"]) or spec["model"]["type"] != "BPE":
+            return {}
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -61,7 +73,19 @@ class WordTokenizer:
         self.known.update((word, stems[stem] + tail) for word, (stem, tail) in zip(words, parts))
 
     def encode_all(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
-        plain = [w for w in words if b"\x01" not in w] if self.mark is not None else []
+        rest = words
+        if self.letters:
+            rest, tokenize, letters = [], self.tokenizer.model.tokenize, self.letters
+            for word in words:
+                text = word.decode()
+                if text.isalpha() and max(text) < "\u0180":
+                    # Letters that no normal form changes: one word to the merges, its case folded already.
+                    if not text.isascii():
+                        text = text.lower().encode().decode("latin-1").translate(letters)
+                    into[word] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(text)])
+                else:
+                    rest.append(word)
+        plain = [w for w in rest if b"\x01" not in w] if self.mark is not None else []
         for start in range(0, len(plain), 8192):
             part = plain[start : start + 8192]
             ids = np.array(self.encode(f" {self.MARK} ".join(map(bytes.decode, part))), dtype="<u4")
@@ -71,7 +95,7 @@ class WordTokenizer:
                 raise ValueError("the mark occurs in the ids of a word")
             data = ids.tobytes()
             into.update(zip(part, [data[i:j] for i, j in zip(starts.tolist(), ends.tolist())]))
-        for word in words if len(plain) < len(words) else ():
+        for word in rest if len(plain) < len(rest) else ():
             if word not in into:
                 into[word] = np.array(self.encode(word.decode()), dtype="<u4").tobytes()
 
