@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from cladeflow.llm import bpe as _bpe
+from cladeflow.llm import class_lm as _class_lm
 from cladeflow.llm import exact_dedup as _exact
+from cladeflow.llm import near_dedup as _near
 from cladeflow.llm import packed_output as _packed
 from cladeflow.llm import packing as _packing
 from cladeflow.llm.common import table
@@ -12,10 +15,22 @@ def op1_packed_ids(spark, sf_dir):
     return _packed.packed_sequences(table(spark, sf_dir, "documents"))
 
 
+def op2_class_lm(spark, sf_dir):
+    return _class_lm.class_lm(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return _packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark, sf_dir):
+    return _near.near_dedup(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+def op6_bpe(spark, sf_dir):
+    return _bpe.bpe_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return _exact.exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -78,7 +78,7 @@ class WordTokenizer:
             rest, tokenize, letters = [], self.tokenizer.model.tokenize, self.letters
             for word in words:
                 text = word.decode()
-                if text.isalpha() and max(text) < "\u0180":
+                if text.isalpha() and max(text) < "\u0100":
                     # Letters that no normal form changes: one word to the merges, its case folded already.
                     if not text.isascii():
                         text = text.lower().encode().decode("latin-1").translate(letters)
