@@ -5,9 +5,13 @@ from __future__ import annotations
 from cladeflow.llm import bpe as _bpe
 from cladeflow.llm import class_lm as _class_lm
 from cladeflow.llm import exact_dedup as _exact
+from cladeflow.llm import language_id as _language
 from cladeflow.llm import near_dedup as _near
 from cladeflow.llm import packed_output as _packed
 from cladeflow.llm import packing as _packing
+from cladeflow.llm import quality as _quality
+from cladeflow.llm import secrets as _secrets
+from cladeflow.llm import url_filter as _urls
 from cladeflow.llm.common import table
 
 
@@ -23,6 +27,10 @@ def op3_best_fit_packing(spark, sf_dir):
     return _packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark, sf_dir):
+    return _secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark, sf_dir):
     return _near.near_dedup(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -31,10 +39,22 @@ def op6_bpe(spark, sf_dir):
     return _bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark, sf_dir):
+    return _quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return _exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark, sf_dir):
+    return _urls.url_filter(table(spark, sf_dir, "pages"))
+
+
+def op10_language_id(spark, sf_dir):
+    return _language.language_id(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -1,31 +1,52 @@
-"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+All but the last return the columns of docs. Rows that repeat a doc_id with one text become
+one row; rows that repeat it with different texts are different documents to the exact stage,
+and share the near-duplicate stage's decision.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.llm import exact_dedup as exact
-from cladeflow.llm import packing
+from cladeflow.llm import near_dedup as near
+from cladeflow.llm import packing, quality, secrets
+from cladeflow.llm.common import SPACE
+
+
+def _id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long").cast("string"), F.lit("none"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that the rules or the perplexity bands reject go."""
+    return quality.keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays; rows that repeat its doc_id become one."""
-    kept = exact.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    once = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return once
+    """Of equal texts one document stays."""
+    bare = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"{SPACE}+", "").cast("binary"), 256)
+    kept = exact.exact_dedup(docs).filter("kept").select(F.concat_ws(":", _id(F.col("doc_id")), F.col("text_sha256")).alias("key"))
+    rows = docs.select(F.struct("*").alias("row"), F.concat_ws(":", _id(F.col("doc_id")), bare).alias("key"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Of each group of near duplicates, by five-word shingles and a similarity of 0.8, one document stays."""
+    kept = near.near_dedup(docs).filter("kept").select(_id(F.col("doc_id")).alias("key"))
+    rows = docs.select(F.struct("*").alias("row"), _id(F.col("doc_id")).alias("key"))
+    return rows.join(kept, "key", "left_semi").select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Secrets are masked in the text; n_chars, where there is one, follows it."""
+    masked = docs.withColumn("text", secrets.redacted(secrets.train(docs), F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        masked = masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+    return masked
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
