@@ -60,15 +60,20 @@ def cumulative_copies(means: DataFrame, branches: DataFrame) -> DataFrame:
     return means.join(F.broadcast(branches.select("branch", "rank")), "branch").withColumn("cumulative", F.sum("copies").over(w))
 
 
-def rate_estimates(means: DataFrame, n_branches: int, by_branch: bool = True) -> DataFrame:
-    """Event probabilities from mean counts: duplications and transfers a copy, and the losses that go with them.
+def rate_estimates(means: DataFrame, by_branch: bool = True) -> DataFrame:
+    """Event probabilities from mean counts (branch, duplications, transfers, losses, copies).
 
-    Floors keep each at least 1e-6; transfers are per pair of branches, times their number.
+    A branch's duplications and losses are per copy on it; its transfers per copy anywhere,
+    times the number of branches. None is below 1e-6; not by_branch gives their mean.
     """
-    keys = ["branch"] if by_branch else []
-    g = means.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("duplications", "transfers", "losses", "copies")))
-    per = lambda c: F.greatest(F.lit(1e-6), F.col(c) / F.greatest(F.col("copies"), F.lit(1e-6)))
-    return g.select(*keys, per("duplications").alias("delta"), (per("transfers") * n_branches / n_branches).alias("tau"), per("losses").alias("lambda"))
+    g = means.groupBy("branch").agg(*(F.sum(c).alias(c) for c in ("duplications", "transfers", "losses", "copies")))
+    every = g.agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_n"))
+    low = lambda c: F.greatest(F.lit(1e-6), F.coalesce(c, F.lit(0.0)))
+    own = F.nullif(F.col("copies"), F.lit(0.0))
+    out = g.join(F.broadcast(every)).select(
+        "branch", low(F.col("duplications") / own).alias("delta"), low(F.col("transfers") / F.nullif(F.col("_all"), F.lit(0.0)) * F.col("_n")).alias("tau"), low(F.col("losses") / own).alias("lambda")
+    )
+    return out if by_branch else out.agg(*(F.avg(c).alias(c) for c in ("delta", "tau", "lambda")))
 
 
 def leaf_labels(sampled: DataFrame) -> DataFrame:

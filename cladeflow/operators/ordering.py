@@ -119,12 +119,10 @@ def supported(constraints: DataFrame, n_samples: int, least: float = 0.05, branc
     out = constraints.withColumn("support", F.col("weight") / F.lit(float(n_samples))).filter(F.col("support") > least)
     if branches is None:
         return out
-    far = {r["name"]: r["depth"] for r in branches.collect()}  # one row per branch
     c = closure(branches)
     shared = c.alias("a").join(c.alias("b"), F.col("a.above") == F.col("b.above")).join(branches.alias("t"), F.col("t.name") == F.col("a.above"))
     top = shared.groupBy(F.col("a.below").alias("older"), F.col("b.below").alias("younger")).agg(F.max("t.depth").alias("_top"))
     d = branches.select(F.col("name").alias("older"), F.col("depth").alias("_d1")), branches.select(F.col("name").alias("younger"), F.col("depth").alias("_d2"))
-    _ = far
     return out.join(top, ["older", "younger"], "left").join(d[0], "older", "left").join(d[1], "younger", "left").withColumn("distance", F.col("_d1") + F.col("_d2") - 2 * F.col("_top")).drop("_top", "_d1", "_d2")
 
 

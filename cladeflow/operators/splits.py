@@ -91,11 +91,9 @@ def clade_ids(facts: DataFrame) -> DataFrame:
 def clade_names(facts: DataFrame, fams: DataFrame, separator: str = " ") -> DataFrame:
     """Each clade with its leaf names, each followed by the separator."""
     rows = bips(facts).select("family", "clade", "size").join(fams.select("family", "leaves"), "family")
-    bits = F.reverse(F.regexp_replace(F.hex("clade"), "", ""))  # hex digits, the lowest leaves first
-    digit = F.conv(F.substring(bits, F.col("k") / 4 + 1, F.lit(1)), 16, 10).cast("int")
+    bits = F.reverse(F.hex("clade"))  # hex digits, those of the lowest leaves first
     one = rows.select("family", "clade", "size", "leaves", bits.alias("_bits"), F.explode(F.sequence(F.lit(0), F.size("leaves") - 1)).alias("k"))
-    one = one.withColumn("_d", F.conv(F.expr("substring(_bits, cast(floor(k / 4) as int) + 1, 1)"), 16, 10).cast("int"))
-    _ = digit
+    one = one.withColumn("_d", F.expr("cast(conv(substring(_bits, cast(floor(k / 4) as int) + 1, 1), 16, 10) as int)"))
     hit = one.filter(F.expr("(shiftright(_d, k % 4) & 1) = 1")).withColumn("name", F.element_at("leaves", F.col("k") + 1))
     g = hit.groupBy("family", "clade", "size").agg(F.array_sort(F.collect_list("name")).alias("names"))
     return g.withColumn("name", F.concat(F.array_join("names", separator), F.lit(separator)))
