@@ -7,10 +7,11 @@ bands of 4 minima give buckets. At the similarity 0.8 a pair shares no bucket on
 Pairs come from the buckets without emitting all pairs of a bucket: first every class is
 paired with one member of each of its buckets, chosen by another order in each band;
 links that hold join components. What is left in a bucket, classes outside its largest
-component, is then compared in blocks with the bucket's members of other components, until
-nothing is left, so that no link that could join two components is passed over. A pair whose
-minima agree in fewer than 77 of 128 places is left (below 0.8 by over 5 standard
-deviations); all others are decided on their full sets.
+component, is then held against the bucket's members of other components: both sides are
+dealt to tiles of bounded size by hash, each tile compares its minima as matrices, and only
+pairs that are near enough leave it. So no link that could join two components is passed
+over. A pair whose minima agree in fewer than 84 of 128 places is left (at the similarity
+0.8, once in 3e4); all others are decided on their full sets.
 
 Defined cases: a null text is empty; an empty set is linked with nothing; a null doc_id
 takes part but never is a component's id, unless it has no other (then null); rows that
@@ -25,7 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.llm.common import bounded_batches, mix, scratch_table, texts
@@ -34,9 +35,11 @@ from cladeflow.llm.components import components
 BANDS, ROWS = 32, 4
 N_MINIMA = BANDS * ROWS
 #: Of N_MINIMA, those that must agree for a pair to be checked on full sets.
-MIN_AGREE = 77
-#: Classes of a bucket that are compared with the bucket's others in one round.
-BLOCK = 64
+MIN_AGREE = 84
+#: Classes of a bucket on each side of a tile, in the mean.
+TILE = 256
+#: Classes whose sets are fetched by broadcasting their ids; more of them are fetched by a shuffle join.
+BROADCAST_ROWS = 1_000_000
 #: Words whose hashes a worker keeps; beyond it the store starts anew.
 CACHE_WORDS = 400_000
 SEED = 7
@@ -84,12 +87,12 @@ def hash_family(n: int = N_MINIMA, seed: int = SEED) -> tuple[np.ndarray, np.nda
 
 
 def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The upper 32 bits of the least value of each hash a * x + b."""
+    """16 bits of the least value of each hash a * x + b."""
     best = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(shingles), 512):
             np.minimum(best, (shingles[None, at : at + 512] * a + b).min(axis=1), out=best)
-    return (best >> np.uint64(32)).astype("<u4")
+    return (mix(best) >> np.uint64(48)).astype("<u2")
 
 
 def _features(width: int):
@@ -130,20 +133,115 @@ def _sets(width: int):
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u4").reshape(-1, N_MINIMA) for i in (2, 3))
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(-1, N_MINIMA) for i in (2, 3))
         agree = (x == y).sum(axis=1)
         keep = pa.array(agree >= MIN_AGREE)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(agree[agree >= MIN_AGREE].astype(np.int32))], ["u", "v", "agree"])
 
 
+def _near_in_tile(rows: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left-over class of a tile, the rows of other components that are near it by size and minima.
+
+    A pair that shares several buckets is seen in the one of its first band alone.
+    """
+    band = rows["band"][0].as_py()
+    side = rows["side"].to_numpy()
+    sign = np.frombuffer(b"".join(rows["minima"].to_pylist()), dtype="<u2").reshape(-1, N_MINIMA)
+    comp, n = rows["comp"].to_numpy(), rows["n_shingles"].to_numpy()
+    all_ = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0).tolist():
+        able = all_[(comp[all_] != comp[i]) & (100 * np.minimum(n[all_], n[i]) >= percent * np.maximum(n[all_], n[i]))]
+        if not len(able):
+            continue
+        same = sign[able] == sign[i]
+        near = same.sum(axis=1) >= MIN_AGREE
+        near[near] = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        if near.any():
+            yield i, able[near]
+
+
+def _tile_near(percent: int):
+    """The rows of a tile that have a near one of another component on the other side."""
+
+    def run(rows: pa.Table) -> pa.RecordBatch:
+        hit = np.zeros(rows.num_rows, dtype=bool)
+        for i, able in _near_in_tile(rows, percent):
+            hit[i] = True
+            hit[able] = True
+        kept = rows.filter(pa.array(hit)).select([*TILE_KEY, "band", "side", "cid", "comp"]).combine_chunks()
+        return kept.to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], schema=kept.schema)
+
+    return by_tile(run)
+
+
+TILE_KEY = ("bucket", "ti", "tj")
+
+
+def by_tile(f):
+    """Apply f to the rows of each tile in turn; rows arrive sorted by tile, and only one tile is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.Table] = []  # rows of the tile that the last batch ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            key = np.stack([table[c].to_numpy() for c in TILE_KEY])
+            turns = (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()
+            if open_ and any(open_[-1][c][-1].as_py() != table[c][0].as_py() for c in TILE_KEY):
+                turns = [0, *turns]
+            at = 0
+            for t in turns:
+                whole = pa.concat_tables([*open_, table.slice(at, t - at)])
+                open_, at = [], t
+                yield f(whole)
+            open_.append(table.slice(at))
+        if open_:
+            yield f(pa.concat_tables(open_))
+
+    return run
+
+
+def similar_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _tile_links(percent: int):
+    """Links between components found in a tile on full sets, one for each two components that they join."""
+
+    def check(rows: pa.Table) -> pa.RecordBatch:
+        cid, comp = rows["cid"].to_numpy(), rows["comp"].to_pylist()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["shingles"].to_pylist()]
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        u, v = [], []
+        for i, able in _near_in_tile(rows, percent):
+            for j in able.tolist():
+                a, b = root(comp[i]), root(comp[j])
+                if a != b and similar_enough(sets[i], sets[j], percent):
+                    joined[max(a, b)] = min(a, b)
+                    u.append(int(cid[i]))
+                    v.append(int(cid[j]))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return by_tile(check)
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(similar_enough(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
@@ -156,7 +254,6 @@ class _Linker:
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
         self.sets: list[DataFrame] = []
-        self.links: list[DataFrame] = []
         self.stars: DataFrame | None = None
 
     def labelled(self, rows: DataFrame, key: str, label: str) -> DataFrame:
@@ -170,47 +267,80 @@ class _Linker:
         return self.labelled(self.labelled(pairs, "u", "_cu"), "v", "_cv").filter("_cu != _cv").drop("_cu", "_cv")
 
     def similar(self, pairs: DataFrame) -> DataFrame:
-        sign = self.classes.select("cid", "minima")
-        met = pairs.select("u", "v").join(sign.select(F.col("cid").alias("u"), F.col("minima").alias("_x")), "u").join(sign.select(F.col("cid").alias("v"), F.col("minima").alias("_y")), "v")
+        x, y = (self.classes.select(F.col("cid").alias(end), F.col("minima").alias(f"_{k}"), F.col("n_shingles").alias(f"_n{k}")) for end, k in (("u", "x"), ("v", "y")))
+        met = pairs.select("u", "v").join(x, "u").join(y, "v")
+        met = met.filter(100 * F.least("_nx", "_ny") >= self.percent * F.greatest("_nx", "_ny"))
         return met.select("u", "v", "_x", "_y").mapInArrow(_agreeing, "u long, v long, agree int")
 
-    def prepare(self, pairs: DataFrame) -> None:
-        """Store the sets of the classes in pairs that have none yet."""
-        wanted = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).distinct()
+    def prepare(self, wanted: DataFrame) -> None:
+        """Store the sets of the classes (cid) that have none yet."""
+        wanted = wanted.select("cid").distinct()
         for have in self.sets:
             wanted = wanted.join(have.select("cid"), "cid", "left_anti")
         wanted = scratch_table(wanted, "wanted")
-        if wanted.isEmpty():
+        n = wanted.count()
+        if not n:
             return
         first = self.classes.join(wanted, "cid", "left_semi").select("cid", "k1", "k2", F.col("first_id").alias("doc_id"))
+        if n <= BROADCAST_ROWS:
+            first = F.broadcast(first)
         rows = texts(self.docs).join(first, "doc_id").select("cid", "k1", "k2", F.col("text").cast("binary").alias("text"))
         # A doc_id may occur twice with one text; the sets are equal then.
         self.sets.append(scratch_table(rows.mapInArrow(_sets(self.width), "cid long, shingles binary"), "sets"))
 
     def check(self, pairs: DataFrame) -> None:
         """Decide stored pairs on full sets and join components by the links found."""
-        self.prepare(pairs)
+        self.prepare(pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))))
         if not self.sets:
             return
         sets = reduce(DataFrame.unionByName, self.sets)
         x, y = (sets.select(F.col("cid").alias(end), F.col("shingles").alias(name)) for end, name in (("v", "_y"), ("u", "_x")))
         met = pairs.select("u", "v").join(x, "v").join(y, "u").select("u", "v", "_x", "_y")
-        found = scratch_table(met.mapInArrow(_linked(self.percent), "u long, v long"), "near-links")
+        self.found(met.mapInArrow(_linked(self.percent), "u long, v long"))
+
+    def found(self, links: DataFrame) -> None:
+        found = scratch_table(links, "near-links")
         if found.isEmpty():
             return
-        self.links.append(found)
         known = [found] if self.stars is None else [found, self.stars]
         self.stars = components(reduce(DataFrame.unionByName, known))
 
 
-def _left_over(members: DataFrame, linker: _Linker, tested: DataFrame) -> tuple[DataFrame, int]:
-    """Rows (bucket, cid, comp, rank) of classes outside the largest component of their bucket, and the highest rank."""
-    rows = linker.labelled(members, "cid", "comp")
+def _tiles(members: DataFrame, linker: _Linker) -> DataFrame:
+    """Rows of tiles: side 0 has the classes outside the largest component of their bucket, side 1 all of the bucket.
+
+    A bucket of n classes, m of them left over, makes n / TILE times m / TILE tiles, rounded
+    up; a row takes its place on its own side by hash and goes to all tiles of the other.
+    """
+    rows = scratch_table(linker.labelled(members, "cid", "comp"), "labelled")
     parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    most = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("n_comps")).filter("n_comps > 1")
-    small = rows.join(most.select("bucket", F.col("most.comp").alias("_main")), "bucket").filter("comp != _main").drop("_main")
-    ranked = scratch_table(small.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("cid")) - 1), "left-over")
-    return ranked, ranked.agg(F.max("rank")).first()[0]
+    most = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("n_comps")).filter("n_comps > 1")
+    tiles = lambda n: F.ceil(n / TILE).cast("long")
+    per = most.select("bucket", F.col("most.comp").alias("main"), tiles(F.col("n_all") - F.col("most.n")).alias("nti"), tiles(F.col("n_all")).alias("ntj"))
+    own = F.xxhash64("cid", F.lit(SEED))
+    met = rows.join(per, "bucket").select("bucket", "band", "cid", "comp", "main", "nti", "ntj")
+    few = met.filter("comp != main").select("bucket", "band", "cid", "comp", F.lit(0).alias("side"), F.pmod(own, F.col("nti")).alias("ti"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ntj") - 1)).alias("tj"))
+    every = met.select("bucket", "band", "cid", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nti") - 1)).alias("ti"), F.pmod(own, F.col("ntj")).alias("tj"))
+    return few.unionByName(every)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY, "side")
+
+
+def _left_over(members: DataFrame, linker: _Linker) -> None:
+    """Compare what is left over in each bucket with its other components, and join those that a link connects.
+
+    Minima decide which classes of a tile are near another at all; only their sets travel to
+    the tile, once each, and only links leave it.
+    """
+    sign = linker.classes.select("cid", "minima", "n_shingles")
+    near = _dealt(_tiles(members, linker).join(sign, "cid")).mapInArrow(_tile_near(linker.percent), "bucket long, ti long, tj long, band int, side int, cid long, comp long")
+    near = scratch_table(near, "tile-near")
+    linker.prepare(near)
+    if linker.sets:
+        sets = reduce(DataFrame.unionByName, linker.sets)
+        linker.found(_dealt(near.join(sign, "cid").join(sets, "cid")).mapInArrow(_tile_links(linker.percent), "u long, v long"))
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -223,15 +353,15 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rows = scratch_table(t.mapInArrow(_features(width), "doc_id long, n_shingles long, k1 long, k2 long, minima binary"), "minhash")
     firsts = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     own = rows.join(firsts, ["k1", "k2", "doc_id"]).dropDuplicates(["k1", "k2", "doc_id"])
-    classes = scratch_table(own.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", F.col("doc_id").alias("first_id"), "minima"), "classes")
+    classes = scratch_table(own.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", F.col("doc_id").alias("first_id"), "n_shingles", "minima"), "classes")
 
     masks = F.array(*(F.lit(int(m)) for m in np.random.default_rng(SEED + 1).integers(0, 2**62, size=BANDS)))
-    cut = F.substring("minima", F.col("band") * (4 * ROWS) + 1, F.lit(4 * ROWS))
+    cut = F.substring("minima", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))
     banded = classes.select("cid", "minima", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select("cid", "band", F.xxhash64("band", cut).alias("bucket"))
     mask = F.element_at(masks, F.col("band") + 1)
     chosen = banded.groupBy("bucket").agg(F.min(F.col("cid").bitwiseXOR(mask)).alias("least"), F.min("band").alias("_band"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     chosen = chosen.select("bucket", F.col("least").bitwiseXOR(F.element_at(masks, F.col("_band") + 1)).alias("rep"))
-    members = scratch_table(banded.join(chosen, "bucket").select("bucket", "cid", "rep"), "buckets")
+    members = scratch_table(banded.join(chosen, "bucket").select("bucket", "band", "cid", "rep"), "buckets")
 
     linker = _Linker(docs, classes, width, percent)
     pair = members.filter("cid != rep").select(F.least("cid", "rep").alias("u"), F.greatest("cid", "rep").alias("v")).distinct()
@@ -242,15 +372,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     linker.check(scratch_table(best, "best-pairs"))
     linker.check(scratch_table(linker.apart(alike.join(best, ["u", "v"], "left_anti")), "other-pairs"))
 
-    tested = stars
-    left, last = _left_over(members.select("bucket", "cid"), linker, tested)
-    for start in range(0, (last if last is not None else -1) + 1, BLOCK):
-        block = left.filter((F.col("rank") >= start) & (F.col("rank") < start + BLOCK)).select("bucket", F.col("cid").alias("x"), F.col("comp").alias("cx"))
-        # comp is that of before the sweep; apart() below goes by what holds now.
-        others = linker.labelled(members.select("bucket", "cid"), "cid", "comp")
-        met = block.join(others, "bucket").filter("comp != cx").select(F.least("x", "cid").alias("u"), F.greatest("x", "cid").alias("v")).distinct()
-        new = scratch_table(linker.similar(linker.apart(met.join(tested, ["u", "v"], "left_anti"))), "block-alike")
-        linker.check(new)
+    _left_over(members.select("bucket", "band", "cid"), linker)
 
     named = linker.labelled(classes.select("cid", "k1", "k2", "first_id"), "cid", "comp")
     least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
