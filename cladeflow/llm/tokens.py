@@ -13,7 +13,9 @@ import os
 import numpy as np
 
 #: Words kept by a worker; beyond it the store starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
+#: Signs that may follow a word as one piece of their own; an apostrophe is none of them, as it begins contractions.
+SIGNS = b".,;:!?%#$&*|<>\"()-"
 
 
 def vocabulary_path(name: str) -> str:
@@ -37,7 +39,8 @@ class WordTokenizer:
         mark = self.encode(self.MARK)
         self.mark = mark[0] if len(mark) == 1 else None
         self.letters = self.byte_letters()
-        self.tails = {t.encode(): np.array(self.encode(t), dtype="<u4").tobytes() for t in ".,;:!?"}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.tails: dict[bytes, bytes] = {}
         self.known: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
@@ -55,13 +58,19 @@ class WordTokenizer:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def learn(self, words: list[bytes]) -> None:
-        """Words that differ in case or in one sign after the last letter share a stem, which is encoded once."""
+        """Words that differ in case or in the signs after the last letter share a stem, which is encoded once."""
         parts = []
+        tails = self.tails
         for word in words:
             low = word if b"<|" in word else word.lower()  # a special token is matched before case is folded
-            tail = low[-1:]
-            if tail in self.tails and (stem := low[:-1]).decode().isalpha():
-                parts.append((stem, self.tails[tail]))
+            stem = low.rstrip(SIGNS)
+            if len(stem) < len(low) and (stem.isalpha() or stem.decode().isalpha()):
+                tail = low[len(stem) :]
+                if tail not in tails:
+                    if len(tails) > CACHE_WORDS:
+                        tails.clear()
+                    tails[tail] = np.array(self.encode(tail.decode()), dtype="<u4").tobytes()
+                parts.append((stem, tails[tail]))
             else:
                 parts.append((low, b""))
         stems = self.stems
@@ -75,16 +84,16 @@ class WordTokenizer:
     def encode_all(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         rest = words
         if self.letters:
-            rest, tokenize, letters = [], self.tokenizer.model.tokenize, self.letters
+            rest, tokenize, letters, packed = [], self.tokenizer.model.tokenize, self.letters, self.packed
             for word in words:
                 text = word.decode()
-                if text.isalpha() and max(text) < "\u0100":
-                    # Letters that no normal form changes: one word to the merges, its case folded already.
-                    if not text.isascii():
-                        text = text.lower().encode().decode("latin-1").translate(letters)
-                    into[word] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(text)])
-                else:
-                    rest.append(word)
+                # Letters that no normal form changes are one word to the merges, its case folded already.
+                if not word.isalpha():
+                    if not text.isalpha() or max(text) >= "\u0100":
+                        rest.append(word)
+                        continue
+                    text = text.lower().encode().decode("latin-1").translate(letters)
+                into[word] = b"".join([packed[t.id] for t in tokenize(text)])
         plain = [w for w in rest if b"\x01" not in w] if self.mark is not None else []
         for start in range(0, len(plain), 8192):
             part = plain[start : start + 8192]
