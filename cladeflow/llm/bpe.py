@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import bounded_batches, texts
+from cladeflow.llm.common import bounded_batches, texts, worker_store
 from cladeflow.llm.tokens import vocabulary_path
 
 #: Words, and cells of the transition table, that a worker keeps; beyond it a store starts anew.
@@ -242,13 +242,12 @@ def load(path: str) -> Automaton:
     return Automaton({k: v for k, v in labels.items()}, [m for m in merges if m[2] not in made], special)
 
 
-_loaded: dict[str, Automaton] = {}
-
-
 def automaton(path: str) -> Automaton:
-    if path not in _loaded:
-        _loaded[path] = load(path)
-    return _loaded[path]
+    """One automaton for each worker process and path."""
+    loaded = worker_store("automaton")
+    if path not in loaded:
+        loaded[path] = load(path)
+    return loaded[path]
 
 
 def _code(path: str):

@@ -70,6 +70,17 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+_stores: dict[str, dict] = {}
+
+
+def worker_store(name: str) -> dict:
+    """What a worker keeps between tasks under a name. Asking for one store empties all others, so only one operator's words stay in memory."""
+    for other, store in _stores.items():
+        if other != name:
+            store.clear()
+    return _stores.setdefault(name, {})
+
+
 _M = np.uint64(0xBF58476D1CE4E5B9)
 _N = np.uint64(0x94D049BB133111EB)
 _G = np.uint64(0x9E3779B97F4A7C15)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import bounded_batches, remainder, scratch_table
+from cladeflow.llm.common import bounded_batches, remainder, scratch_table, worker_store
 from cladeflow.llm.quality import BITS, alphabet
 
 #: Penalty, in natural logarithm, of a switch; smoothing count of a trigram; share of letters below which a script is foreign.
@@ -70,6 +70,7 @@ def trigrams(data: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_store("language_id")
     grams: dict[str, np.ndarray] = {}
     letters: dict[str, np.ndarray] = {}
     for batch in batches:

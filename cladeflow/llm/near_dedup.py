@@ -26,10 +26,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import bounded_batches, mix, scratch_table, texts
+from cladeflow.llm.common import bounded_batches, mix, scratch_table, texts, worker_store
 from cladeflow.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -50,13 +51,16 @@ class WordHashes(dict):
     """64-bit hashes of words, computed when first asked for."""
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         got = self[word] = xxhash.xxh64_intdigest(word)
         return got
 
 
-_hashes = WordHashes()
+def word_hashes() -> WordHashes:
+    """The worker's own, a bounded number."""
+    hashes = worker_store("word_hashes").setdefault("hashes", WordHashes())
+    if len(hashes) > CACHE_WORDS:
+        hashes.clear()
+    return hashes
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -65,9 +69,7 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, dtype=np.uint64)
-    if len(_hashes) > CACHE_WORDS:
-        _hashes.clear()
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=n)
+    h = np.fromiter(map(word_hashes().__getitem__, words), dtype=np.uint64, count=n)
     with np.errstate(over="ignore"):
         if n < width:
             x = np.array([n], dtype=np.uint64)
@@ -97,8 +99,6 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _features(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         a, b = hash_family()
         for batch in batches:
             sizes, highs, lows, signs = [], [], [], []
@@ -116,8 +116,6 @@ def _features(width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             cids, sets = [], []
             for cid, k1, k2, text in zip(*(batch.column(i).to_pylist() for i in range(4))):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import bounded_batches, scratch_table
+from cladeflow.llm.common import bounded_batches, scratch_table, worker_store
 
 ORDER, BITS = 4, 6
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -105,18 +105,24 @@ def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g[np.cumsum(keep[: len(g)]) > 0], sizes
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by key."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << (BITS * ORDER), dtype=np.int64)
+    empty = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
+    parts = [empty]
     for batch in batches:
         texts = [t for t in batch.column(0).to_pylist() if t]
         for at in range(0, len(texts), 200):
-            g, _ = codes(texts[at : at + 200])
-            keys, n = np.unique(g, return_counts=True)
-            total[keys] += n
-    keys = np.flatnonzero(total)
+            parts.append(np.unique(codes(texts[at : at + 200])[0], return_counts=True))
+            if len(parts) > 16:
+                parts = [_merged(parts)]
+    keys, n = _merged(parts)
     for at in range(0, len(keys), 50_000):
-        part = keys[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000].astype(np.int64)), pa.array(n[at : at + 50_000])], ["gram", "n"])
 
 
 @dataclass
@@ -284,6 +290,7 @@ JUDGED = "gram long, n long"
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-gram counts of the documents that are language-like."""
+    worker_store("quality")
 
     def plain() -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,6 +308,7 @@ def _both(model: KneserNey):
     score = _scored(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("quality")
         for batch in batches:
             ruled = next(_rules(iter([batch])))
             scored = next(score(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["row", "text"])])))

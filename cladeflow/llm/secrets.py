@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import bounded_batches, scratch_table
+from cladeflow.llm.common import bounded_batches, scratch_table, worker_store
 from cladeflow.llm.quality import alphabet
 
 MIN_RUN, MIN_VALUE = 16, 6
@@ -85,6 +85,7 @@ class Corpus:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_store("secrets")
     pairs, words, numbers = np.zeros(4096, dtype=np.int64), np.zeros(1 << BUCKET_BITS, dtype=np.int64), {}
     for batch in batches:
         texts = batch.column(0).to_pylist()
@@ -312,6 +313,7 @@ def train(docs: DataFrame, findings: list[tuple[bytes, int, int, int]] | None =
 
 def _found(scanner: Scanner):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("secrets")
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -336,6 +338,7 @@ def redacted(scanner: Scanner, text: Column) -> Column:
 
     @F.arrow_udf("string")
     def mask(texts: pa.Array) -> pa.Array:
+        worker_store("secrets")
         data = [t.encode() for t in texts.fill_null("").to_pylist()]
         out = [scanner.redact(t, s).decode() for t, s in zip(data, scanner.scan(data))]
         return pa.array([None if gone else t for gone, t in zip(texts.is_null().to_pylist(), out)], pa.string())

@@ -12,8 +12,10 @@ import os
 
 import numpy as np
 
+from cladeflow.llm.common import worker_store
+
 #: Words kept by a worker; beyond it the store starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 #: Signs that may follow a word as one piece of their own; an apostrophe is none of them, as it begins contractions.
 SIGNS = b".,;:!?%#$&*|<>\"()-"
 
@@ -121,11 +123,9 @@ class WordTokenizer:
         return [b"".join([known[w] for w in words]) for words in split]
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
     """One tokenizer for each worker process and path."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+    loaded = worker_store("word_tokenizer")
+    if path not in loaded:
+        loaded[path] = WordTokenizer(path)
+    return loaded[path]
