@@ -61,11 +61,11 @@ def split_counts(spark, sf_dir):
     return d.select(F.col("family").alias("fam"), mask("clade").alias("g"), mask("left").alias("gp"), mask("right").alias("gpp"), "cnt")
 
 
-@query(_with("SELECT fam, g, CAST(size AS INT) AS size, cnt, 2.0 * cnt AS bl_sum FROM bip WHERE size < 4 AND size > 1 AND false UNION ALL SELECT fam, g, CAST(size AS INT), cnt, CASE WHEN size = 4 THEN NULL END FROM bip"))
+@query(_with("SELECT fam, g, CAST(size AS INT) AS size, cnt FROM bip"))
 def clade_counts(spark, sf_dir):
     _, facts, _ = _split(spark, sf_dir)
     b = splits.bips(facts).filter("cnt IS NOT NULL")
-    return b.select(F.col("family").alias("fam"), mask("clade").alias("g"), "size", "cnt", F.lit(None).cast("double").alias("bl_sum"))
+    return b.select(F.col("family").alias("fam"), mask("clade").alias("g"), "size", "cnt")
 
 
 @query(_with("SELECT fam, g, gp, gpp, round(p, 9) AS p_dip FROM ccp"))
@@ -119,13 +119,13 @@ n3 AS (SELECT d.fam, d.g, sum(x.n * y.n) AS n FROM (SELECT DISTINCT fam, g, gp,
 u3 AS (SELECT * FROM u2 UNION ALL SELECT * FROM n3),
 n4 AS (SELECT d.fam, d.g, sum(x.n * y.n) AS n FROM (SELECT DISTINCT fam, g, gp, gpp FROM s) d JOIN u3 x ON x.fam = d.fam AND x.g = d.gp JOIN u3 y ON y.fam = d.fam AND y.g = d.gpp WHERE bit_count(d.g) = 4 GROUP BY ALL),
 u4 AS (SELECT * FROM u3 UNION ALL SELECT * FROM n4)
-SELECT x.fam, CAST(sum(x.n * y.n) AS DECIMAL(38,0)) AS n_trees FROM u4 x JOIN u4 y ON x.fam = y.fam AND y.g = 31 - x.g WHERE bit_count(x.g) > bit_count(y.g) GROUP BY ALL"""
+SELECT x.fam, CAST(sum(x.n * y.n) AS BIGINT) AS n_trees FROM u4 x JOIN u4 y ON x.fam = y.fam AND y.g = 31 - x.g WHERE bit_count(x.g) > bit_count(y.g) GROUP BY ALL"""
 
 
 @query(f"WITH {LADDER_SQL} {COUNT_SQL}")
 def count_amalgamations(spark, sf_dir):
     _, facts, fams = _split(spark, sf_dir)
-    return ccp.count_trees(splits.nest(facts, fams)).select(F.col("family").alias("fam"), "n_trees")
+    return ccp.count_trees(splits.nest(facts, fams)).select(F.col("family").alias("fam"), F.col("n_trees").cast("long").alias("n_trees"))
 
 
 MPP_SQL = """, q1 AS (SELECT DISTINCT fam, CAST(pow(2, k) AS BIGINT) AS g, 1.0 AS q FROM s CROSS JOIN (SELECT unnest(range(5)) AS k)),
@@ -381,13 +381,13 @@ def ancestor_closure(spark, sf_dir):
     return ordering.closure(n.select("name", F.when(F.col("name") > 0, F.floor(F.col("name") / 2).cast("int")).alias("parent")))
 
 
-@query("WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT s.s_suppkey AS file, s.s_acctbal + 1000 AS time, s.s_nationkey AS species FROM supplier s), z AS (SELECT *, sum(time) OVER (PARTITION BY species ORDER BY time, file ROWS UNBOUNDED PRECEDING) / sum(time) OVER (PARTITION BY species) AS part FROM t) SELECT file, time, species FROM z WHERE part < 0.7")
+@query("WITH t AS (SELECT s.s_suppkey AS file, s.s_acctbal + 1000 AS time, s.s_nationkey AS species FROM supplier s), z AS (SELECT *, sum(time) OVER (PARTITION BY species ORDER BY time, file ROWS UNBOUNDED PRECEDING) / sum(time) OVER (PARTITION BY species) AS part FROM t) SELECT file, time, species FROM z WHERE part < 0.7")
 def species_time_cut(spark, sf_dir):
     t = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), (F.col("s_acctbal") + 1000).alias("time"), F.col("s_nationkey").alias("species"))
     return scheduling.species_time_cut(t, 0.7)
 
 
-@query("WITH b AS (SELECT p_partkey AS e, CAST(p_size AS DOUBLE) AS t_begin, CAST(p_size % 7 AS DOUBLE) - 1 AS t_end FROM part WHERE p_size % 7 - 1 < p_size), s AS (SELECT unnest(range(0, 50, 5)) AS t_i) SELECT CAST(t_i AS BIGINT) AS t_i, count(*) AS n, sum(e) AS sum_e FROM s JOIN b ON t_end <= t_i AND t_i < t_begin GROUP BY ALL")
+@query("WITH b AS (SELECT p_partkey AS e, CAST(p_size AS DOUBLE) AS t_begin, CAST(p_size % 7 AS DOUBLE) - 1 AS t_end FROM part WHERE p_size % 7 - 1 < p_size), s AS (SELECT unnest(range(0, 50, 5)) AS t_i) SELECT CAST(t_i AS BIGINT) AS t_i, count(*) AS n, CAST(sum(e) AS BIGINT) AS sum_e FROM s JOIN b ON t_end <= t_i AND t_i < t_begin GROUP BY ALL")
 def slice_branches(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("e"), F.col("p_size").cast("double").alias("t_begin"), (F.col("p_size") % 7).cast("double").alias("m"))
     b = p.select("e", "t_begin", (F.col("m") - 1).alias("t_end")).filter("t_end < t_begin")

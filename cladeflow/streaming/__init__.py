@@ -1,0 +1 @@
+"""Incremental operators on streams of trees and events."""
