@@ -218,7 +218,7 @@ def full_table(alphabet: list[bytes], merges: list[tuple[int, int, int]]) -> tup
             entered = before[s].get(x)
             if entered in split:
                 states[s][x] = split[entered]
-                states[s][xy] = states[entered][y] if entered != s or x != y else before[entered][y]
+                states[s][xy] = before[entered][y]
         if x == y:
             # In a run of x the merges take pairs from the left, so after x comes no arc xy either.
             for new in split.values():

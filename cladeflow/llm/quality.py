@@ -6,8 +6,8 @@ and have few symbols, and number 64 ** 4 at most, whatever the corpus. Counts, d
 continuation counts give one array of sorted n-gram codes, with their probabilities, and one
 of back-off weights for each order; a text's n-grams are found in them by binary search.
 
-For each language, the mean and spread of the log perplexity of those same documents give
-an upper and a lower band; a document outside is rejected.
+For each language, the median and the quartiles of the log perplexity of those same documents,
+in steps of 0.001, give an upper and a lower band; a document outside is rejected.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ ORDER, BITS = 4, 6
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Documents with more symbols than this percentage of their words don't count as language.
 MAX_SYMBOL_PERCENT = 10
-#: Widths of the bands, in standard deviations; and the least spread that is assumed, in log10 per character.
+#: Widths of the bands, in standard deviations as the quartiles give them; and the least that is assumed, in log10 per byte.
 UPPER, LOWER, LEAST_SPREAD = 8.0, 8.0, 0.02
 SYMBOLS = b"#*$%&|<>"
 RULES = "doc_id long, language string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, language_like boolean"
@@ -245,9 +245,11 @@ def language() -> Column:
 
 def bands_of(scored: DataFrame, upper: float = UPPER, lower: float = LOWER) -> DataFrame:
     """upper_band and lower_band of each language."""
-    spread = F.greatest(F.coalesce(F.stddev("log_perplexity"), F.lit(0.0)), F.lit(LEAST_SPREAD))
-    bands = scored.filter("language_like").groupBy("language").agg(F.avg("log_perplexity").alias("_mean"), spread.alias("_spread"))
-    return bands.select("language", (F.col("_mean") + upper * F.col("_spread")).alias("upper_band"), (F.col("_mean") - lower * F.col("_spread")).alias("lower_band"))
+    # Rounded values are few, so exact quartiles need little memory and don't depend on the order of rows.
+    quartiles = F.expr("percentile(round(log_perplexity, 3), array(0.25, 0.5, 0.75))")
+    bands = scored.filter("language_like").groupBy("language").agg(quartiles.alias("_q"))
+    middle, spread = F.col("_q")[1], F.greatest((F.col("_q")[2] - F.col("_q")[0]) / 1.349, F.lit(LEAST_SPREAD))
+    return bands.select("language", (middle + upper * spread).alias("upper_band"), (middle - lower * spread).alias("lower_band"))
 
 
 def inside_bands() -> Column:

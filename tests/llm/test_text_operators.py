@@ -1,0 +1,502 @@
+"""Operators on documents against brute force, with every odd case of the corpus."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from cladeflow.llm import bpe, class_lm, exact_dedup, language_id, near_dedup, packed_output, packing, quality, secrets
+from cladeflow.llm.components import components
+from cladeflow.llm.perfect_hash import PerfectHash
+from cladeflow.llm.tokens import WordTokenizer, vocabulary_path
+from tests.llm.conftest import corpus
+
+ROWS = corpus()
+SPACE = re.compile(r"[\x20\x09-\x0d]+")
+
+
+def as_text(doc_id):
+    return b"" if doc_id is None else str(doc_id).encode()
+
+
+def key(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, x) if not isinstance(x, (list, dict)) else (False, str(x)) for x in r))
+
+
+def run(df, columns):
+    return key([tuple(r[c] for c in columns) for r in df.select(*columns).collect()])
+
+
+# --- exact dedup ---------------------------------------------------------------------------
+
+
+def brute_exact(rows):
+    groups = defaultdict(list)
+    for doc_id, text, *_ in rows:
+        groups[SPACE.sub("", text or "")].append((-len(text or ""), doc_id is None, doc_id or 0, doc_id))
+    out = []
+    for doc_id, text, *_ in rows:
+        bare = SPACE.sub("", text or "")
+        keep = min(groups[bare])[3]
+        out.append((doc_id, keep, len(groups[bare]), doc_id == keep, hashlib.sha256(bare.encode()).hexdigest()))
+    return key(out)
+
+
+@pytest.mark.parametrize("n_history", [1, 2, 10**9])
+def test_exact_dedup(docs, n_history):
+    assert run(exact_dedup.exact_dedup(docs, n_history), ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]) == brute_exact(ROWS)
+
+
+def test_exact_dedup_of_a_hot_group(spark, monkeypatch):
+    rows = [(k, "same  text" if k % 3 == 0 else f"text {k % 400}", None, None) for k in range(3000)]
+    monkeypatch.setattr(exact_dedup, "SHARD_ROWS", 50)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert run(exact_dedup.exact_dedup(df), ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]) == brute_exact(rows)
+
+
+def test_perfect_hash_is_minimal_and_survives_storage():
+    rng = np.random.default_rng(0)
+    keys = rng.integers(0, 2**63, size=(5000, 4), dtype=np.uint64)
+    h = PerfectHash.load(PerfectHash.build(keys).dump())
+    assert sorted(h.index(keys).tolist()) == list(range(5000))
+    assert len(PerfectHash.build(keys[:0]).index(keys[:3])) == 3
+
+
+# --- packing -------------------------------------------------------------------------------
+
+
+def reference_ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
+    t.no_padding()
+    t.no_truncation()
+    return [(r[0], [*t.encode(r[1] or "", add_special_tokens=False).ids, 0]) for r in ROWS]
+
+
+def test_word_tokenizer_equals_the_library():
+    t = WordTokenizer(vocabulary_path("word_bpe_49k.json"))
+    odd = ["İX ΑΣ Σ İ Ŀ ŉ ſ", "x<|endoftext|>y <|ENDoftext|> a<|>", "a b\x85c\x1cd", "a\x01b c", "x%%% A.!! (b) it's. don't!! é*** ́.. ́c"]
+    for texts in ([r[1] or "" for r in ROWS], odd):
+        got = [np.frombuffer(x, "<u4").tolist() for x in t.ids([x.encode() for x in texts])]
+        assert got == [t.encode(x) for x in texts]
+
+
+def check_packing(rows, ids, size):
+    want = key([(d, k, at, len(x[at : at + size]), zlib.crc32(np.array(x[at : at + size], "<u4").tobytes())) for d, x in ids for k, at in enumerate(range(0, len(x), size))])
+    assert key([tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in rows]) == want
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= size
+    return len(bins)
+
+
+def test_best_fit_packing(docs):
+    rows = packing.best_fit_packing(docs, size=256).collect()
+    ids = reference_ids()
+    n = check_packing(rows, ids, 256)
+    total = sum(len(x) for _, x in ids)
+    assert n <= math.ceil(total / 256) + 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_best_fit_decreasing(seed):
+    rng = np.random.default_rng(seed)
+    size = 40
+    lengths = rng.integers(1, size + 1, 300).tolist()
+    plan = packing.pack_lengths(Counter(lengths), size)
+    fill = Counter()
+    for length, lo, hi, first, offset in plan:
+        for b in range(first, first + hi - lo):
+            assert fill[b] == offset
+            fill[b] += length
+    assert sum(hi - lo for _, lo, hi, _, _ in plan) == 300 and max(fill.values()) <= size
+    bins = []
+    for x in sorted(lengths, reverse=True):
+        fit = [k for k, r in enumerate(bins) if r >= x]
+        if fit:
+            k = min(fit, key=lambda k: bins[k])
+            bins[k] -= x
+        else:
+            bins.append(size - x)
+    assert len(fill) == len(bins)
+
+
+def test_capacity_tree_finds_the_tightest():
+    t = packing.CapacityTree(37)
+    for c in (5, 9, 30):
+        t.set(c, True)
+    assert [t.tightest(c) for c in (0, 5, 6, 9, 10, 30, 31)] == [5, 5, 9, 9, 30, 30, -1]
+    t.set(9, False)
+    assert t.tightest(6) == 30
+
+
+def test_packed_matrices_unpack(docs):
+    s = packed_output.packed_sequences(docs, size=256, pad_id=7)
+    rows = s.collect()
+    for r in rows:
+        ids = np.frombuffer(r["input_ids"], "<u2")
+        assert len(ids) == 256 and (ids[r["n_tokens"] :] == 7).all()
+        assert r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"] and r["position_resets"] == r["cu_seqlens"][:-1] and len(r["doc_ids"]) == r["n_segments"]
+    got = Counter((r["doc_id"], r["piece"], tuple(np.frombuffer(r["ids"], "<u2").tolist())) for r in packed_output.unpack(s).collect())
+    assert got == Counter((d, k, tuple(x[at : at + 256])) for d, x in reference_ids() for k, at in enumerate(range(0, len(x), 256)))
+
+
+def test_packed_files(docs, tmp_path, spark):
+    packed_output.write_packed(docs, str(tmp_path / "packed"), size=512)
+    assert spark.read.parquet(str(tmp_path / "packed")).filter("octet_length(input_ids) <> 1024").isEmpty()
+
+
+# --- near dedup ----------------------------------------------------------------------------
+
+
+def brute_near(rows, width, percent):
+    sets = []
+    for doc_id, text, *_ in rows:
+        w = (text or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else []))
+    up = list(range(len(rows)))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    comp = [least.get(find(i)) if sets[i] else r[0] for i, r in enumerate(rows)]
+    return key([(r[0], len(sets[i]), comp[i], r[0] == comp[i]) for i, r in enumerate(rows)])
+
+
+NEAR = ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_dedup(docs, width):
+    assert run(near_dedup.near_dedup(docs, width), NEAR) == brute_near(ROWS, width, 80)
+
+
+def test_near_dedup_of_chains_and_crowds(spark, monkeypatch):
+    """A crowd of near copies, chains whose ends are apart, and a crowd that is alike but not enough; small tiles."""
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    base = [word() for _ in range(100)]
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        w[int(rng.integers(100))] = word()
+        texts.append(" ".join(w))
+    chain = [word() for _ in range(160)]
+    texts += [" ".join(chain[k : k + 100]) for k in range(0, 60, 9)]
+    common = [word() for _ in range(70)]
+    texts += [" ".join([*common, *(word() for _ in range(30))]) for _ in range(40)]
+    texts += [texts[0]] * 5
+    rows = [(k, t, None, None) for k, t in enumerate(texts)]
+    monkeypatch.setattr(near_dedup, "TILE", 8)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = run(near_dedup.near_dedup(df, 4), NEAR)
+    assert got == brute_near(rows, 4, 80)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(k, k + 1) for k in range(300, 340)] + [(400, k) for k in range(401, 450)]
+    up = {}
+
+    def find(a):
+        while up.get(a, a) != a:
+            a = up[a]
+        return a
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    want = {x: find(x) for e in edges for x in e if find(x) != x}
+    got = {r["u"]: r["v"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == want
+
+
+# --- BPE -----------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    t.no_padding()
+    t.no_truncation()
+    want = []
+    for doc_id, text, *_ in ROWS:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        back = t.decode(ids, skip_special_tokens=False)
+        want.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    assert run(bpe.bpe_digests(docs), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]) == key(want)
+    for r in bpe.bpe_ids(docs).collect():
+        assert r["decoded"] in {x[1] or "" for x in ROWS if x[0] == r["doc_id"]}
+
+
+def test_bpe_odd_strings():
+    from tokenizers import Tokenizer
+
+    a = bpe.load(vocabulary_path("byte_bpe_50k.json"))
+    t = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(0)
+    odd = ["a" * k for k in range(40)] + ["  \n\n x\n y\t\tz  ", "\x1c\x1d a", " " * 9 + "\n" * 5, "﻿x​z", "<|endoftext|><|endoftext|>"]
+    odd += ["".join(rng.choice(list("abct he \n'.é日ss"), int(rng.integers(1, 60)))) for _ in range(800)]
+    for x in odd:
+        assert memoryview(a.encode(x)).cast("I").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def merged(word, merges):
+    """Byte-pair merging as defined: the pair of least rank, leftmost first, until none is left."""
+    rank = {(x, y): (k, t) for k, (x, y, t) in enumerate(merges)}
+    word = list(word)
+    while True:
+        best = min(((rank[p][0], i) for i, p in enumerate(zip(word, word[1:])) if p in rank), default=None)
+        if best is None:
+            return word
+        i = best[1]
+        word[i : i + 2] = [rank[word[i], word[i + 1]][1]]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_gadgets_lazy_and_full(seed):
+    """Tokens by the lazily filled table, by the fully built one and by merging are the same for all short words."""
+    from itertools import product
+
+    rng = np.random.default_rng(seed)
+    labels, merges = {0: b"a", 1: b"b", 2: b"c"}, []
+    while len(merges) < 7:
+        x, y = (int(v) for v in rng.choice(list(labels), 2))
+        t = len(labels)
+        if len(labels[x] + labels[y]) <= 5 and labels[x] + labels[y] not in labels.values():
+            labels[t] = labels[x] + labels[y]
+            merges.append((x, y, t))
+    # Training only makes merges whose parts can meet: leave out those that never apply.
+    used = [m for m in merges if merged([{97: 0, 98: 1, 99: 2}[c] for c in labels[m[2]]], merges) == [m[2]]]
+    if len(used) < len(merges):
+        pytest.skip("a merge that never applies")
+    a = bpe.Automaton(labels, merges)
+    for n in range(1, 7):
+        for w in product("abc", repeat=n):
+            assert a.path("".join(w).encode()) == merged(["abc".index(c) for c in w], merges)
+
+
+def test_full_table_spells_each_word_once():
+    labels = [b"a", b"b"]
+    merges = [(0, 1, 2), (2, 0, 3), (1, 1, 4)]
+    names = {0: "a", 1: "b", 2: "ab", 3: "aba", 4: "bb"}
+    states, start = bpe.full_table(labels, merges)
+
+    def paths(word, state):
+        if not word:
+            return [[]]
+        return [[t, *p] for t, to in states[state].items() if word.startswith(names[t]) for p in paths(word[len(names[t]) :], to)]
+
+    from itertools import product
+
+    for n in range(1, 8):
+        for w in map("".join, product("ab", repeat=n)):
+            assert paths(w, start) == [merged(["ab".index(c) for c in w], merges)], w
+
+
+# --- class-based language model ------------------------------------------------------------
+
+
+def test_class_lm_counts_and_base(docs, monkeypatch):
+    monkeypatch.setattr(class_lm, "BLOCK_BYTES", 4000)
+    count, tokens = Counter(), []
+    for doc_id, text, *_ in ROWS:
+        w = [*(text or "").encode().lower().split(), None]
+        tokens.append((doc_id, w))
+        if zlib.crc32(as_text(doc_id)) % 5 != 1:
+            count.update(w)
+    n, v = sum(count.values()), len(count)
+    want = key([(d, zlib.crc32(as_text(d)) % 5 == 1, len(w), sum(x in count for x in w), n, round(sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 6)) for d, w in tokens])
+    got = class_lm.class_lm(docs).collect()
+    assert key([(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got]) == want
+    assert all(r["score"] < 0 for r in got)
+
+
+def test_class_lm_gains_from_word_order(spark):
+    rng = np.random.default_rng(0)
+    nouns, verbs, ends = ([f"{p}{k}" for k in range(30)] for p in ("noun", "verb", "end"))
+    rows = [(k, " ".join(str(rng.choice(x)) for _ in range(40) for x in (nouns, verbs, ends)), "en", None) for k in range(120)]
+    got = [r for r in class_lm.class_lm(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect() if r["held_out"]]
+    n = sum(r["n_tokens"] for r in got)
+    # Each word is one of thirty once its kind is known, and one of ninety if not.
+    assert sum(r["base_score"] for r in got) / n == pytest.approx(-np.log10(90), abs=0.05)
+    assert -np.log10(90) + 0.25 < sum(r["score"] for r in got) / n <= -np.log10(30)
+
+
+def test_class_model_is_a_distribution(docs):
+    blocks = class_lm.cut(docs)
+    words = blocks.select("block", "words", "counts").mapInArrow(class_lm._word_rows, "block long, place int, word binary, n long")
+    vocabulary = words.groupBy("word").sum("n").withColumnRenamed("sum(n)", "n")
+    m = class_lm.fit(blocks, vocabulary)
+    assert np.power(10, m.transition).sum(axis=1) == pytest.approx(np.ones(class_lm.CLASSES))
+    for c in np.unique(m.of):
+        assert np.power(10, m.emission[m.of == c]).sum() == pytest.approx(1.0)
+    seen = {bytes(r["word"]): r["n"] for r in vocabulary.filter("n > 0").collect()}
+    u = class_lm.units(list(seen), m.core)
+    for s in range(class_lm.SPELLINGS):
+        mine = [seen[w] + 0.5 for w, k in zip(seen, u) if k == len(m.core) + s]
+        assert sum(mine) + 0.5 == pytest.approx(10 ** m.spelling_total[s])
+
+
+def test_exchange_never_lowers_the_likelihood():
+    rng = np.random.default_rng(0)
+    side = np.array([0] * 10 + [1] * 10)
+    left = rng.integers(0, 20, 4000)
+    right = np.array([int(rng.choice(np.flatnonzero(side != side[x]))) if rng.random() < 0.95 else int(rng.integers(20)) for x in left])
+    pairs, n = np.unique(left * 20 + right, return_counts=True)
+    left, right, n = pairs // 20, pairs % 20, n.astype(float)
+
+    def value(of):
+        cc = np.zeros((2, 2))
+        np.add.at(cc, (of[left], of[right]), n)
+        c = np.bincount(of, weights=np.bincount(right, weights=n, minlength=20), minlength=2)
+        return class_lm._f(cc).sum() - 2 * class_lm._f(c).sum()
+
+    values = [value(class_lm.exchange(left, right, n, 20, 2, k)) for k in range(4)]
+    assert values == sorted(values)
+    found = class_lm.exchange(left, right, n, 20, 2)
+    assert len({tuple(found[:10]), tuple(1 - found[10:])}) == 1
+
+
+# --- quality -------------------------------------------------------------------------------
+
+
+def test_quality_measures(docs):
+    want = []
+    for doc_id, text, *_ in ROWS:
+        text = text or ""
+        w = SPACE.split(text.strip(" \t\n\x0b\x0c\r"))
+        w = [x for x in w if x]
+        windows = defaultdict(list)
+        for i in range(len(w) - 2):
+            windows[tuple(w[i : i + 3])].append(i)
+        covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(3)}
+        lines = [x for x in text.split("\n") if SPACE.sub("", x)]
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        want.append((doc_id, len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed))
+    got = quality.quality(docs)
+    assert run(got, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]) == key(want)
+    assert got.filter("base_failed AND kept").isEmpty()
+
+
+def test_kneser_ney_sums_to_one_and_backs_off():
+    rng = np.random.default_rng(0)
+    text = bytes(rng.choice(list(b"abcd ef"), 5000).tolist())
+    g, _ = quality.codes([text])
+    keys, n = np.unique(g, return_counts=True)
+    m = quality.kneser_ney(keys, n)
+    for context in (keys[0] >> 6, keys[-1] >> 6, 0o111111 & 0x3FFFF):
+        every = (np.uint32(context) << np.uint32(6)) | np.arange(64, dtype=np.uint32)
+        assert np.power(10, m.score(every)).sum() == pytest.approx(1.0, abs=1e-6)
+    plain, sizes = quality.codes([b"", b"ab", b" "])
+    assert sizes.tolist() == [0, 2, 1] and len(plain) == 3
+
+
+def test_quality_bands_reject_what_is_not_language(spark):
+    rng = np.random.default_rng(3)
+    words = "water stone river cloud light house table paper garden winter summer letter window forest mountain valley".split()
+    rows = [(k, " ".join(rng.choice(words, 200).tolist()), "en", None) for k in range(60)]
+    rows += [(100, " ".join(x + "%%%" for x in rng.choice(words, 200)), "en", None), (101, " ".join("".join(rng.choice(list("qxzjkvw"), 6)) for _ in range(200)), "en", None), (102, " ".join(rng.choice(words, 200).tolist()), "xx", None)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[k] for k in range(60)) and not got[100] and not got[101] and got[102]
+
+
+# --- secrets -------------------------------------------------------------------------------
+
+
+def test_forest_on_unseen_findings(docs):
+    s = secrets.train(docs)
+    test = secrets.labelled_findings(800, seed=77)
+    x = np.array([secrets.describe(t, a, b, s.corpus) for t, a, b, _ in test])
+    y = np.array([k for *_, k in test])
+    assert ((s.forest.predict(x) >= 0.5) == y).mean() > 0.97
+
+
+def test_secret_scan(docs):
+    got = {r["doc_id"]: r for r in secrets.secret_scan(docs).collect() if r["doc_id"] is not None}
+    text = next(r[1] for r in ROWS if r[0] == 116).encode()
+    hit = got[116]["findings"]
+    assert [text[h["start"] : h["end"]] for h in hit] == [b"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"]
+    assert got[116]["redacted_sha256"] == hashlib.sha256(text.replace(b"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", b"[SECRET]")).hexdigest()
+    assert sum(r["n_secrets"] for r in got.values()) == 1
+    assert secrets.candidates(b"") == [] and secrets.candidates(b"key = short") == []
+
+
+# --- language ------------------------------------------------------------------------------
+
+
+def test_language_learns_and_marks_spans(spark):
+    rng = np.random.default_rng(0)
+    own = {"en": "the water of this house and that garden with winter".split(), "fr": "une maison avec jardin et hiver des étoiles où".split(), "ru": "дом зима сад река вода и это".split()}
+    rows = [(k, " ".join(rng.choice(own[x], 60).tolist()), x, None) for k, x in enumerate(rng.choice(list(own), 90).tolist())]
+    mixed = " ".join([*rng.choice(own["en"], 50).tolist(), *rng.choice(own["fr"], 30).tolist(), *rng.choice(own["ru"], 20).tolist()])
+    rows += [(200, mixed, None, None), (201, "123 ...", "en", None), (202, None, "en", None), (203, "", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in language_id.language_spans(df).collect()}
+    held = [r for r in rows[:90] if zlib.crc32(as_text(r[0])) % 4 == 2]
+    assert held and all(got[r[0]]["lang_pred"] == r[2] and got[r[0]]["held_out"] for r in held)
+    assert [(s["lang"], s["n_words"]) for s in got[200]["spans"]] == [("en", 50), ("fr", 30), ("ru", 20)]
+    assert [got[k]["lang_pred"] for k in (201, 202, 203)] == ["und"] * 3
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_viterbi_shortcut_is_exact():
+    from itertools import product
+
+    rng = np.random.default_rng(0)
+    value = lambda s, p: s[np.arange(len(s)), list(p)].sum() - 5.0 * np.count_nonzero(np.diff(list(p)))
+    for _ in range(60):
+        s = rng.normal(0, 4, (int(rng.integers(1, 6)), 3))
+        best = max(value(s, p) for p in product(range(3), repeat=len(s)))
+        assert value(s, language_id.labels(s, 5.0)) == pytest.approx(best)
+        assert value(s, language_id.viterbi(s, 5.0)) == pytest.approx(best)
+
+
+# --- all -----------------------------------------------------------------------------------
+
+OPERATORS = {
+    "op1": packed_output.packed_sequences, "op2": class_lm.class_lm, "op3": packing.best_fit_packing, "op4": secrets.secret_scan, "op5": near_dedup.near_dedup, "op6": bpe.bpe_digests,
+    "op7": quality.quality, "op8": exact_dedup.exact_dedup, "op10": language_id.language_id,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(empty, name):
+    assert OPERATORS[name](empty).count() == 0
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_clashing_columns_change_nothing(docs, clashing, name):
+    skip = {"sequence_id", "offset"} if name in ("op1", "op3") else set()
+    a, b = OPERATORS[name](docs), OPERATORS[name](clashing)
+    assert a.schema == b.schema
+    if not skip:
+        show = lambda d: sorted(map(str, d.collect()))
+        assert show(a) == show(b)
+    else:
+        assert a.count() == b.count()
