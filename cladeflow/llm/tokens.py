@@ -15,7 +15,7 @@ import numpy as np
 from cladeflow.llm.common import worker_store
 
 #: Words kept by a worker; beyond it the store starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 #: Signs that may follow a word as one piece of their own; an apostrophe is none of them, as it begins contractions.
 SIGNS = b".,;:!?%#$&*|<>\"()-"
 
@@ -26,11 +26,44 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordTokenizer:
-    """Unknown words go to the library in one text, with a mark between them."""
+class _Stems(dict):
+    """Ids of words without the signs after them, case folded, worked out when first asked for."""
+
+    def __init__(self, tokenizer: WordTokenizer):
+        self.tokenize, self.letters, self.packed, self.encode = tokenizer.tokenizer.model.tokenize, tokenizer.letters, tokenizer.packed, tokenizer.encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        # Letters that no normal form changes are one word to the merges, its case folded already.
+        if self.letters and (word.isalpha() or (text.isalpha() and max(text) < "\u0100")):
+            if not word.isalpha():
+                text = text.lower().encode().decode("latin-1").translate(self.letters)
+            packed = self.packed
+            got = b"".join([packed[t.id] for t in self.tokenize(text)])
+        else:
+            got = np.array(self.encode(text), dtype="<u4").tobytes()
+        self[word] = got
+        return got
+
+
+class _Words(dict):
+    """Ids of words; those that differ in case or in the signs after the last letter share a stem."""
 
-    MARK = "\x01"
+    def __init__(self, stems: _Stems):
+        self.stems = stems
 
+    def __missing__(self, word: bytes) -> bytes:
+        low = word if b"<|" in word else word.lower()  # a special token is matched before case is folded
+        stem = low.rstrip(SIGNS)
+        if len(stem) < len(low) and (stem.isalpha() or stem.decode().isalpha()):
+            got = self.stems[stem] + self.stems[low[len(stem) :]]
+        else:
+            got = self.stems[low]
+        self[word] = got
+        return got
+
+
+class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -38,13 +71,9 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        mark = self.encode(self.MARK)
-        self.mark = mark[0] if len(mark) == 1 else None
         self.letters = self.byte_letters()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.tails: dict[bytes, bytes] = {}
-        self.known: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.words = _Words(_Stems(self))
 
     def byte_letters(self) -> dict[int, str]:
         """The letter that stands for each byte, if this vocabulary folds case and writes words byte by byte; else none."""
@@ -59,68 +88,17 @@ class WordTokenizer:
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, words: list[bytes]) -> None:
-        """Words that differ in case or in the signs after the last letter share a stem, which is encoded once."""
-        parts = []
-        tails = self.tails
-        for word in words:
-            low = word if b"<|" in word else word.lower()  # a special token is matched before case is folded
-            stem = low.rstrip(SIGNS)
-            if len(stem) < len(low) and (stem.isalpha() or stem.decode().isalpha()):
-                tail = low[len(stem) :]
-                if tail not in tails:
-                    if len(tails) > CACHE_WORDS:
-                        tails.clear()
-                    tails[tail] = np.array(self.encode(tail.decode()), dtype="<u4").tobytes()
-                parts.append((stem, tails[tail]))
-            else:
-                parts.append((low, b""))
-        stems = self.stems
-        missing = list({stem for stem, _ in parts}.difference(stems))
-        if len(stems) + len(missing) > CACHE_WORDS:
-            stems = self.stems = {}
-            missing = list({stem for stem, _ in parts})
-        self.encode_all(missing, stems)
-        self.known.update((word, stems[stem] + tail) for word, (stem, tail) in zip(words, parts))
-
-    def encode_all(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
-        rest = words
-        if self.letters:
-            rest, tokenize, letters, packed = [], self.tokenizer.model.tokenize, self.letters, self.packed
-            for word in words:
-                text = word.decode()
-                # Letters that no normal form changes are one word to the merges, its case folded already.
-                if not word.isalpha():
-                    if not text.isalpha() or max(text) >= "\u0100":
-                        rest.append(word)
-                        continue
-                    text = text.lower().encode().decode("latin-1").translate(letters)
-                into[word] = b"".join([packed[t.id] for t in tokenize(text)])
-        plain = [w for w in rest if b"\x01" not in w] if self.mark is not None else []
-        for start in range(0, len(plain), 8192):
-            part = plain[start : start + 8192]
-            ids = np.array(self.encode(f" {self.MARK} ".join(map(bytes.decode, part))), dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
-            starts = np.append(0, ends[:-1] + 4)
-            if len(ends) != len(part):
-                raise ValueError("the mark occurs in the ids of a word")
-            data = ids.tobytes()
-            into.update(zip(part, [data[i:j] for i, j in zip(starts.tolist(), ends.tolist())]))
-        for word in rest if len(plain) < len(rest) else ():
-            if word not in into:
-                into[word] = np.array(self.encode(word.decode()), dtype="<u4").tobytes()
-
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        split = [text.split() for text in texts]
-        distinct = set().union(*split)
-        missing = distinct.difference(self.known)
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known = {}
-            missing = distinct
-        self.learn(list(missing))
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        out = []
+        words = self.words
+        for text in texts:
+            out.append(b"".join(map(words.__getitem__, text.split())))
+            if len(words) > CACHE_WORDS:
+                words.clear()
+            if len(words.stems) > CACHE_WORDS:
+                words.stems.clear()
+        return out
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
