@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -70,6 +71,20 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def in_chunks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Texts in a row, cut into lists of so many bytes, but for one longer text: what numpy holds at once stays small."""
+    part: list[bytes] = []
+    size = 0
+    for text in texts:
+        if part and size + len(text) > limit:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
 _stores: dict[str, dict] = {}
 
 

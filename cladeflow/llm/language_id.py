@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import bounded_batches, remainder, scratch_table, worker_store
+from cladeflow.llm.common import bounded_batches, in_chunks, remainder, scratch_table, worker_store
 from cladeflow.llm.quality import BITS, alphabet
 
 #: Penalty, in natural logarithm, of a switch; smoothing count of a trigram; share of letters below which a script is foreign.
@@ -78,8 +78,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             by.setdefault(lang, []).append(text)
         for lang, texts in by.items():
-            for at in range(0, len(texts), 200):
-                data, _ = joined(texts[at : at + 200])
+            for part in in_chunks(texts):
+                data, _ = joined(part)
                 g = trigrams(data)
                 n = np.bincount(g[(g & np.uint32(4095)) != 0], minlength=N_GRAMS)  # not within white space
                 grams[lang] = grams[lang] + n if lang in grams else n
@@ -172,8 +172,7 @@ def _predict(model: LanguageModel):
             texts = batch.column(2).to_pylist()
             found: list[str] = []
             scores, spans = [], []
-            for at in range(0, len(texts), 100):
-                part = texts[at : at + 100]
+            for part in in_chunks(texts, 1 << 19):
                 score, size, bounds = word_scores(model, part) if model.langs else (None, None, None)
                 for k, text in enumerate(part):
                     if not model.langs or not has_letter(text):

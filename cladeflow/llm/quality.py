@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import bounded_batches, scratch_table, worker_store
+from cladeflow.llm.common import bounded_batches, in_chunks, scratch_table, worker_store
 
 ORDER, BITS = 4, 6
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -115,9 +115,8 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     empty = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
     parts = [empty]
     for batch in batches:
-        texts = [t for t in batch.column(0).to_pylist() if t]
-        for at in range(0, len(texts), 200):
-            parts.append(np.unique(codes(texts[at : at + 200])[0], return_counts=True))
+        for texts in in_chunks([t for t in batch.column(0).to_pylist() if t]):
+            parts.append(np.unique(codes(texts)[0], return_counts=True))
             if len(parts) > 16:
                 parts = [_merged(parts)]
     keys, n = _merged(parts)
@@ -200,11 +199,11 @@ def kneser_ney(grams: np.ndarray, n: np.ndarray) -> KneserNey:
 def _scored(model: KneserNey):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             out = []
-            for at in range(0, len(texts), 200):
-                g, sizes = codes(texts[at : at + 200])
-                sums = np.concatenate([[0.0], np.cumsum(model.score(g))])
+            for texts in in_chunks(batch.column(1).to_pylist()):
+                g, sizes = codes(texts)
+                steps = [model.score(g[at : at + (1 << 20)]) for at in range(0, len(g), 1 << 20)]
+                sums = np.concatenate([[0.0], np.cumsum(np.concatenate(steps))] if steps else [[0.0]])
                 ends = np.cumsum(sizes)
                 out.append((sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(-np.concatenate(out) if out else np.empty(0))], ["row", "log_perplexity"])
@@ -275,8 +274,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """docs without the documents that ``quality`` rejects, all columns as they were."""
     _, model = fit_model(docs)
     # The row travels as one struct, so that no column of docs can clash with those added here.
-    judged = docs.select(F.struct("*").alias("row"), language(), judge(model, F.col("text")).alias("judged")).select("row", "language", "judged.*")
-    rated = join_bands(judged, bands_of(judged.drop("row")))
+    judged = docs.select(F.struct("*").alias("row"), language(), judge(model, F.col("text")).alias("judged"))
+    judged = scratch_table(judged, "judged").select("row", "language", "judged.*")
+    rated = join_bands(judged, bands_of(judged))
     return rated.filter(inside_bands()).select("row.*")
 
 
