@@ -284,3 +284,15 @@ def random_species_tree(names: list[str], seed: int = 0) -> str:
         b, a = parts.pop(j), parts.pop(i)
         parts.append(f"({a},{b}):1")
     return parts[0].rsplit(":", 1)[0] + ";"
+
+
+def em_rates(tables: DataFrame, species: str, start: Rates | None = None, rounds: int = 5, n_samples: int = 20, seed: int = 0) -> tuple[Rates, DataFrame]:
+    """Shared rates by turns: sample at the rates, estimate them anew from the mean counts. Returns them and the last likelihoods."""
+    from cladeflow.operators.event_tables import branch_means, rate_estimates
+
+    rates = start or Rates()
+    for k in range(rounds):
+        means = branch_means(events(samples(tables, species, rates, n_samples, seed + k)), n_samples, by=())
+        got = rate_estimates(means, by_branch=False).first()
+        rates = rates.of(delta=got["delta"], tau=got["tau"], lambda_=got["lambda"])
+    return rates, loglik(tables, species, rates)
