@@ -48,10 +48,9 @@ def packed_sequences(docs: DataFrame, size: int = 2048, end_id: int = 0, pad_id:
     those of ``best_fit_packing``.
     """
     cut = scratch_table(pieces(docs, size, end_id, path or vocabulary_path("word_bpe_49k.json"), keep_ids=True), "id-pieces")
-    placed = place(cut.drop("ids"), size).select("row_id", "piece", "sequence_id", "offset")
     part = F.struct("offset", "length", "doc_id", "piece", "ids")
     # A sequence holds at most size pieces, so its list is bounded.
-    met = cut.join(placed, ["row_id", "piece"]).groupBy("sequence_id").agg(F.collect_list(part).alias("parts"))
+    met = place(cut, size).groupBy("sequence_id").agg(F.collect_list(part).alias("parts"))
     return met.mapInArrow(_assemble(size, pad_id), ROWS)
 
 

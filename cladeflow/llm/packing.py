@@ -15,15 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import bounded_batches, scratch_table, shares, texts
+from cladeflow.llm.common import bounded_batches, scratch_table, texts
 from cladeflow.llm.tokens import vocabulary_path, word_tokenizer
 
-#: Pieces of a block that are ranked in one task.
-BLOCK_ROWS = 20_000
-PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Rows of ranks by length and block that are broadcast; more of them meet the pieces in a shuffle.
+BROADCAST_ROWS = 1_000_000
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, own long"
 
 
 class CapacityTree:
@@ -95,23 +96,23 @@ def pack_lengths(counts: dict[int, int], size: int) -> list[tuple[int, int, int,
 
 def _pieces(size: int, end_id: int, path: str, keep_ids: bool):
     end = int(end_id).to_bytes(4, "little")
-    narrow = keep_ids
+    names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * keep_ids
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
+        block, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for row, doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tokenizer.ids(batch.column(2).to_pylist())):
+            rows = []
+            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.ids(batch.column(1).to_pylist())):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
-                    for column, value in zip(out, (row, doc, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype("<u2").tobytes() if narrow else None)):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ("row_id", "doc_id", "piece", "start", "length", "ids_crc32", "ids")
-            arrays = [pa.array(x, t) for x, t in zip(out, kinds)]
-            n = 7 if keep_ids else 6
-            yield pa.RecordBatch.from_arrays(arrays[:n], list(names[:n]))
+                    n = len(part) // 4
+                    rows.append((doc, k, at // 4, n, zlib.crc32(part), block, seen[n], *([np.frombuffer(part, "<u4").astype("<u2").tobytes()] * keep_ids)))
+                    seen[n] += 1
+            columns = list(zip(*rows)) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names)
 
     return run
 
@@ -119,30 +120,32 @@ def _pieces(size: int, end_id: int, path: str, keep_ids: bool):
 def pieces(docs: DataFrame, size: int, end_id: int, path: str, keep_ids: bool = False) -> DataFrame:
     """The pieces of every document: its ids, then the end id, cut only where they exceed a sequence.
 
-    row_id tells rows that repeat a doc_id apart. With keep_ids, ids holds a piece's ids as
-    little-endian unsigned 16-bit integers.
+    block is the task that made a piece, own its rank there among those of its length; both
+    hold once the pieces are stored. With keep_ids, ids holds a piece's ids as little-endian
+    unsigned 16-bit integers.
     """
     bounded_batches(docs.sparkSession)
-    t = texts(docs).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.col("text").cast("binary").alias("text"))
+    t = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     return t.mapInArrow(_pieces(size, end_id, path, keep_ids), PIECES + (", ids binary" if keep_ids else ""))
 
 
 def place(cut: DataFrame, size: int) -> DataFrame:
-    """cut with sequence_id and offset; cut must be a stored table, as its rows are read twice."""
+    """cut with sequence_id and offset in place of block and own; cut must be a stored table, as it is read twice.
+
+    Pieces don't move: what they need is one row for each length and block.
+    """
     spark = cut.sparkSession
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per length: at most size
-    total = sum(counts.values())
+    sizes = scratch_table(cut.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row per length: at most size
     plan = pack_lengths(counts, size)
-    blocks = shares(total, BLOCK_ROWS)
-    rows = cut.withColumn("_block", F.pmod(F.xxhash64("row_id", "piece"), F.lit(blocks)).cast("int"))
-    own = Window.partitionBy("length", "_block").orderBy("row_id", "piece")
-    sizes = rows.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("length", "_block", (F.sum("n").over(Window.partitionBy("length").orderBy("_block")) - F.col("n")).alias("_before"))
-    ranked = rows.withColumn("_own", F.row_number().over(own).cast("long") - 1).join(starts, ["length", "_block"])
-    steps = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], "length long, lo long, hi long, bin long, offset long")
-    rank = F.col("_before") + F.col("_own")
-    placed = ranked.withColumn("_rank", rank).join(F.broadcast(steps), "length")
-    return placed.filter((F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))).select(*cut.columns, (F.col("bin") + F.col("_rank") - F.col("lo")).alias("sequence_id"), "offset")
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")
+    starts = sizes.select("length", "block", before.alias("_before"))
+    if sizes.count() <= BROADCAST_ROWS:
+        starts = F.broadcast(starts)
+    steps = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], "length long, lo long, hi long, bin long, offset long")  # a few rows per length
+    ranked = cut.join(starts, ["length", "block"]).withColumn("_rank", F.col("_before") + F.col("own")).join(F.broadcast(steps), "length")
+    kept = [c for c in cut.columns if c not in ("block", "own")]
+    return ranked.filter((F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))).select(*kept, (F.col("bin") + F.col("_rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
 def best_fit_packing(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None = None) -> DataFrame:
@@ -153,4 +156,4 @@ def best_fit_packing(docs: DataFrame, size: int = 2048, end_id: int = 0, path: s
     are ignored.
     """
     cut = scratch_table(pieces(docs, size, end_id, path or vocabulary_path("word_bpe_49k.json")), "pieces")
-    return place(cut, size).drop("row_id")
+    return place(cut, size)
