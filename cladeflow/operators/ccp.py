@@ -148,6 +148,16 @@ def prune(facts: DataFrame, fams: DataFrame, keep: list[str], separator: str = "
     return cut.groupBy(*keys).agg(F.sum("cnt").alias("cnt"), F.sum("bl").alias("bl")), new
 
 
+def scored_topologies(trees: DataFrame) -> DataFrame:
+    """family, newick, n_trees, share, log_p: each topology of a sample, how often it was seen and its probability under the sample's table."""
+    top = splits.topologies(trees)
+    fams = splits.families(trees)
+    first = top.select("family", "newick", "n_trees", F.xxhash64("topology").alias("tree_no"))
+    scores = score_trees(first, splits.split_facts(trees), fams)
+    share = F.col("n_trees") / F.col("all_trees")
+    return first.join(scores, ["family", "tree_no"]).join(fams.select("family", F.col("n_trees").alias("all_trees")), "family").select("family", "newick", "n_trees", share.alias("share"), "log_p")
+
+
 def majority(facts: DataFrame, fams: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Clades, without the first leaf, in more than a share of the trees: family, clade, size, freq."""
     b = splits.bips(facts).filter("cnt > 0").join(fams.select("family", "observations"), "family")

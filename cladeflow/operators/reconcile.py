@@ -286,6 +286,24 @@ def random_species_tree(names: list[str], seed: int = 0) -> str:
     return parts[0].rsplit(":", 1)[0] + ";"
 
 
+def timings(tables: DataFrame, species: str, rates: Rates | None = None, repeats: int = 10) -> DataFrame:
+    """time, clades, genes, species, file of each family: mean seconds of a likelihood, in the form that scheduling takes."""
+    import time
+
+    rates = rates or Rates()
+    b = prepare(read_species_tree(species), rates)
+
+    def run(row):
+        fam = layout(of_row(row), rates)
+        began = time.perf_counter()
+        for _ in range(repeats):
+            likelihood(fam, b)
+        took = (time.perf_counter() - began) / repeats
+        return [(took, len(fam.clades), fam.table.n, len(set(fam.leaf_species)), row["family"])]
+
+    return map_families(tables, run, "time double, clades long, genes long, species long, file string")
+
+
 def em_rates(tables: DataFrame, species: str, start: Rates | None = None, rounds: int = 5, n_samples: int = 20, seed: int = 0) -> tuple[Rates, DataFrame]:
     """Shared rates by turns: sample at the rates, estimate them anew from the mean counts. Returns them and the last likelihoods."""
     from cladeflow.operators.event_tables import branch_means, rate_estimates

@@ -49,6 +49,8 @@ def test_scores_counts_and_best(spark, trees, tables):
     facts, fams = splits.split_facts(t3), splits.families(t3)
     got = {r["tree_no"]: math.exp(r["log_p"]) for r in ccp.score_trees(t3, facts, fams).collect()}
     assert got == pytest.approx({1: 2 / 3, 2: 1 / 3, 3: 2 / 3})
+    tops = {r["n_trees"]: (r["share"], math.exp(r["log_p"])) for r in ccp.scored_topologies(t3).collect()}
+    assert tops == {2: (pytest.approx(2 / 3), pytest.approx(2 / 3)), 1: (pytest.approx(1 / 3), pytest.approx(1 / 3))}
     best = {r["family"]: r for r in ccp.best_trees(tables).collect()}
     assert best["f1"]["p"] == pytest.approx(2 / 3) and best["f3"]["newick"] == "b_9;"
     assert {r["family"]: r["n_trees"] for r in ccp.count_trees(tables).collect()}["f1"] == 10
@@ -79,6 +81,8 @@ def test_likelihoods_match_the_kernel_and_ignore_partitions(spark, trees, tables
     assert got == again and set(got) == {"f1", "f2", "f3"} and all(map(math.isfinite, got.values()))
     o = reconcile.origination_loglik(tables, SPECIES).filter("family = 'f3'")
     assert o.count() == 7
+    times = reconcile.timings(tables, SPECIES, repeats=2)
+    assert {(r["file"], r["genes"], r["species"]) for r in times.collect()} == {("f1", 4, 4), ("f2", 2, 2), ("f3", 1, 1)}
 
 
 def test_fit_beats_the_start(tables):
