@@ -13,10 +13,10 @@ pairs that are near enough leave it. So no link that could join two components i
 over. A pair whose minima agree in fewer than 84 of 128 places is left (at the similarity
 0.8, once in 3e4); all others are decided on their full sets.
 
-Defined cases: a null text is empty; an empty set is linked with nothing; a null doc_id
-takes part but never is a component's id, unless it has no other (then null); rows that
-repeat a doc_id are judged each; an empty table gives an empty result; other columns are
-ignored.
+Defined cases: a null text is empty; an empty set is linked with nothing; a row with a null
+doc_id shares the component of equal sets, is in none (null, and kept) where no row with an
+id has its set, and never links others; rows that repeat a doc_id are judged each; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import bounded_batches, mix, scratch_table, texts, worker_store
+from cladeflow.llm.common import HOT_SHARE, bounded_batches, mix, scratch_table, texts, worker_store
 from cladeflow.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -377,14 +377,12 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     ids = named.join(least, "comp").select("k1", "k2", "component_id")
     sizes = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()
-    groups = scratch_table(ids.join(sizes, ["k1", "k2"]).withColumn("key", F.struct("k1", "k2")), "near-groups")
+    groups = scratch_table(ids.join(sizes, ["k1", "k2"]), "near-groups")
     return _joined(rows.select("doc_id", "n_shingles", "k1", "k2"), groups, total)
 
 
 def _joined(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
     """Each row with its class's component: large classes, a bounded number, are broadcast."""
-    from cladeflow.llm.common import HOT_SHARE
-
     limit = total * HOT_SHARE
     groups = groups.select("k1", "k2", "component_id", "_n")
     hot = F.broadcast(groups.filter(F.col("_n") > limit).select("k1", "k2", F.col("component_id").alias("_hot"), F.lit(True).alias("_is_hot")))
