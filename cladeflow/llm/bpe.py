@@ -39,6 +39,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """Ids of pieces of text, worked out when first asked for."""
+
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self[piece] = self.automaton.piece(piece)
+        return got
+
+
 class Automaton:
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], special: dict[bytes, int] | None = None):
         """labels: bytes of each token; merges: (left, right, token) by rank; special: tokens found before all else."""
@@ -49,7 +60,7 @@ class Automaton:
         self.arcs = self._trie()
         self.cells: dict[int, bool] = {}
         self.edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces(self)
         self.words: dict[bytes, bytes] = {}
         self._last = max(labels) + 1
 
@@ -174,19 +185,11 @@ class Automaton:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        pieces = PIECES.findall(text)
         known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        missing = set(pieces).difference(known)
-        if len(known) + len(missing) > CACHE_WORDS:
+        got = b"".join(map(known.__getitem__, PIECES.findall(text)))
+        if len(known) > CACHE_WORDS:
             known.clear()
-            missing = set(pieces)
-        for p in missing:
-            known[p] = self.piece(p)
-        return b"".join([known[p] for p in pieces])
+        return got
 
     def decode(self, ids: list[int]) -> bytes:
         """The labels of the arcs, in a row."""
