@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,19 +21,23 @@ ROWS = "sequence_id long, n_tokens int, n_segments int, doc_ids array<long>, pie
 
 
 def _assemble(size: int, pad_id: int):
+    pad = int(pad_id).to_bytes(2, "little")
+    lists = pa.list_(pa.int32())
+    kinds = {"sequence_id": pa.int64(), "n_tokens": pa.int32(), "n_segments": pa.int32(), "doc_ids": pa.list_(pa.int64()), "pieces": lists, "cu_seqlens": lists, "position_resets": lists, "input_ids": pa.binary()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("sequence_id", "n_tokens", "n_segments", "doc_ids", "pieces", "cu_seqlens", "position_resets", "input_ids")}
-            for sequence, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts.sort(key=lambda p: p["offset"])
-                ids = b"".join(p["ids"] for p in parts)
-                n = len(ids) // 2
-                bounds = np.cumsum([0] + [p["length"] for p in parts]).tolist()
-                row = (sequence, n, len(parts), [p["doc_id"] for p in parts], [p["piece"] for p in parts], bounds, bounds[:-1], ids + int(pad_id).to_bytes(2, "little") * (size - n))
-                for column, value in zip(out.values(), row):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), kinds)], list(out))
+            parts = batch.column(1)
+            bounds, flat = parts.offsets.to_pylist(), parts.values
+            offset, length, doc, piece, ids = (flat.field(k).to_pylist() for k in range(5))
+            rows = []
+            for k, sequence in enumerate(batch.column(0).to_pylist()):
+                own = sorted(range(bounds[k], bounds[k + 1]), key=offset.__getitem__)
+                starts = [offset[i] for i in own]
+                n = starts[-1] + length[own[-1]]
+                rows.append((sequence, n, len(own), [doc[i] for i in own], [piece[i] for i in own], [*starts, n], starts, b"".join([ids[i] for i in own]) + pad * (size - n)))
+            columns = zip(*rows) if rows else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds))
 
     return run
 
