@@ -143,10 +143,11 @@ def cut_light(constraints: DataFrame, share: float) -> DataFrame:
 def classify(constraints: DataFrame, branches: DataFrame) -> DataFrame:
     """Each constraint with its class: self, to_descendant, to_leaf, from_leaf, to_ancestor or informative."""
     c = closure(branches)
-    down = F.broadcast(c.select(F.col("above").alias("older"), F.col("below").alias("younger"), F.lit(True).alias("_down")))
-    up = F.broadcast(c.select(F.col("below").alias("older"), F.col("above").alias("younger"), F.lit(True).alias("_up")))
+    # Both directions come from one pass over the closure.
+    ways = F.array(F.struct(F.col("above").alias("older"), F.col("below").alias("younger"), F.lit(True).alias("down"), F.lit(False).alias("up")), F.struct(F.col("below"), F.col("above"), F.lit(False), F.lit(True)))
+    related = c.select(F.explode(ways).alias("w")).select("w.*").groupBy("older", "younger").agg(F.max("down").alias("_down"), F.max("up").alias("_up"))
     leaf = branches.filter("is_leaf")
-    met = constraints.join(down, ["older", "younger"], "left").join(up, ["older", "younger"], "left")
+    met = constraints.join(F.broadcast(related), ["older", "younger"], "left")
     met = met.join(F.broadcast(leaf.select(F.col("name").alias("younger"), F.lit(True).alias("_to_leaf"))), "younger", "left")
     met = met.join(F.broadcast(leaf.select(F.col("name").alias("older"), F.lit(True).alias("_from_leaf"))), "older", "left")
     kind = (
