@@ -144,7 +144,7 @@ def classify(constraints: DataFrame, branches: DataFrame) -> DataFrame:
     """Each constraint with its class: self, to_descendant, to_leaf, from_leaf, to_ancestor or informative."""
     c = closure(branches)
     # Both directions come from one pass over the closure.
-    ways = F.array(F.struct(F.col("above").alias("older"), F.col("below").alias("younger"), F.lit(True).alias("down"), F.lit(False).alias("up")), F.struct(F.col("below"), F.col("above"), F.lit(False), F.lit(True)))
+    ways = F.array(F.struct(F.col("above").alias("older"), F.col("below").alias("younger"), F.lit(True).alias("down"), F.lit(False).alias("up")), F.struct(F.col("below").alias("older"), F.col("above").alias("younger"), F.lit(False).alias("down"), F.lit(True).alias("up")))
     related = c.select(F.explode(ways).alias("w")).select("w.*").groupBy("older", "younger").agg(F.max("down").alias("_down"), F.max("up").alias("_up"))
     leaf = branches.filter("is_leaf")
     met = constraints.join(F.broadcast(related), ["older", "younger"], "left")
