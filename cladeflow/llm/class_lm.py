@@ -1,20 +1,26 @@
 """A Brown class-based bigram model: exchange clustering, class transitions, word emissions.
 
 The corpus is cut into blocks, each a row with its own word list and its texts as numbers
-in that list. The words of all blocks are counted in one aggregation, and the counts come
-back to the blocks by a join, so no worker or driver ever holds the vocabulary.
-
-A word with at least N / FREQUENT of the N training tokens (FREQUENT such words exist at
-most) is a unit of its own; all other words, known or not, fall into SPELLINGS units by
-their last letters. Exchange clustering moves units between classes, one at a time, to the
-class that gains most likelihood, over the counts of all adjacent units of the training
-texts. Then, for a word w of unit u and class c after class b,
-
-    P(w | b) = P(c | b) P(u | c) P(w | u),
+in that list. The words of all blocks are counted in one aggregation, and what is known of
+a word comes back to the blocks by a shuffle, so no worker or driver ever holds the
+vocabulary.
+
+Clustering has two steps. The FREQUENT most frequent words are the core; exchange clustering
+moves them between classes, one at a time, to the class that gains most likelihood, over the
+counts of all adjacent units of the training texts. All other words fall for this step into
+SPELLINGS units by their last letters. Then each other training word, however rare, is placed
+by its own neighbours: Spark gathers how often each class of core words stands before and
+after it, and it goes to the class k with the greatest sum of log P(b before | k) and
+log P(c after | k), which is the exchange gain to first order. Only words without any core
+neighbour, and words not seen in training, have the class of their spelling. For a word w of
+class c after class b,
+
+    P(w | b) = P(c | b) P(w | c),
 
 with P(c | b) = (N(b, c) + w p(c)) / (N(b) + w), w being PRIOR and the number of classes seen
-after b, for which new ones come in so much the likelier; emission counts plus a half, and
-half a count for all unknown words of a unit together as well as each known one.
+after b, for which new ones come in so much the likelier, from counts of the placed classes of
+all training tokens; emission counts plus a half, and half a count for all unknown words of a
+spelling together as well as each known one.
 """
 
 from __future__ import annotations
@@ -36,6 +42,10 @@ FREQUENT, SPELLINGS, CLASSES, SWEEPS, PRIOR = 2048, 256, 96, 6, 10.0
 BLOCK_BYTES = 12_000_000
 END = b" "  # no word holds a blank
 BLOCK = "block long, doc_ids binary, no_id binary, held binary, sizes binary, low binary, high binary, words array<binary>, counts binary"
+SLOTS = 2 * CLASSES  # classes before a word, then classes after it
+AROUND = np.dtype([("slot", "u1"), ("n", "<u4")])
+WORD_ROWS = "block long, place int, word binary, n long"
+MARKED = "doc_id long, held_out boolean, n_known long, logs double, classes binary, types binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -112,6 +122,92 @@ def _codes(low: bytes, high: bytes) -> np.ndarray:
     return np.frombuffer(low, dtype="<u2").astype(np.uint32) | (np.frombuffer(high, dtype="<u2").astype(np.uint32) << 16)
 
 
+def _around(model: ClassModel):
+    """The rows of ``_word_rows`` with a list of AROUND: how often core words of each class stand beside a word that is not one, in training texts."""
+    first, end = len(model.core), model.of[model.core[END]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, held, sizes, low, high, counts = (batch.column(k)[i].as_py() for k in (0, 1, 2, 3, 4, 6))
+                words = batch.column(5)[i].values
+                u = units(words.to_pylist(), model.core)
+                own = np.where(u < first, model.of[u], -1)
+                codes = _codes(low, high)
+                k = own[codes]
+                # An end closes each text and is in the core, so a word's neighbours are of its own text.
+                learn = ~np.repeat(np.frombuffer(held, dtype=bool), np.frombuffer(sizes, dtype="<i8")) & (k < 0)
+                before, after = np.concatenate([[end], k[:-1]]), np.concatenate([k[1:], [-1]])
+                left, right = learn & (before >= 0), learn & (after >= 0)
+                at = codes.astype(np.int64) * SLOTS
+                keys, n = np.unique(np.concatenate([at[left] + before[left], at[right] + CLASSES + after[right]]), return_counts=True)
+                entries = np.empty(len(keys), dtype=AROUND)
+                entries["slot"], entries["n"] = keys % SLOTS, n
+                counts = np.frombuffer(counts, dtype="<i8")
+                bounds = np.searchsorted(keys // SLOTS, np.arange(len(counts) + 1))
+                for at in range(0, len(counts), 20_000):
+                    to = min(len(counts), at + 20_000)
+                    own_bounds = ((bounds[at : to + 1] - bounds[at]) * AROUND.itemsize).astype("<i4")
+                    own_entries = entries[bounds[at] : bounds[to]].tobytes()
+                    around = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(own_bounds.tobytes()), pa.py_buffer(own_entries)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(to - at, block)), pa.array(np.arange(at, to, dtype=np.int32)), words[at:to], pa.array(counts[at:to]), around], ["block", "place", "word", "n", "around"]
+                    )
+
+    return run
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column in a row, and the bounds of its values."""
+    bounds = np.frombuffer(column.buffers()[1], dtype="<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, dtype=np.uint8)
+    return data, bounds - bounds[0]
+
+
+def place(word: np.ndarray, slot: np.ndarray, n: np.ndarray, default: np.ndarray, log_beside: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """The class of each word from entries (word, slot, n), of any order; default where a word has none.
+
+    log_beside has a row for each slot: the log probability of such a neighbour by the word's class.
+    """
+    keys, at = np.unique(word * SLOTS + slot, return_inverse=True)
+    n = np.bincount(at, weights=n, minlength=len(keys))
+    word, slot = keys // SLOTS, keys % SLOTS
+    out = default.copy()
+    owners, starts = np.unique(word, return_index=True)
+    starts, a = np.append(starts, len(word)), 0
+    while a < len(owners):
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + step, side="right")) - 1)
+        part = slice(starts[a], starts[b])
+        out[owners[a:b]] = np.add.reduceat(log_beside[slot[part]] * n[part, None], starts[a:b] - starts[a], axis=0).argmax(1)
+        a = b
+    return out
+
+
+def _placed(model: ClassModel):
+    """block, place, n and mark of all rows of a word: its count, and twice its class, plus one in the first row of a training word."""
+    first, log_beside = len(model.core), model.beside()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if rows is None or not rows.num_rows:
+            return
+        coded = rows["word"].combine_chunks().dictionary_encode()
+        word, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        n = np.bincount(word, weights=rows["n"].to_numpy(), minlength=len(words)).astype(np.int64)
+        data, bounds = _bytes_of(rows["around"].combine_chunks())
+        entries = data.view(AROUND)
+        u = units(words, model.core)
+        owner = np.repeat(word.astype(np.int64), np.diff(bounds) // AROUND.itemsize)
+        k = np.where(u < first, model.of[u], place(owner, entries["slot"].astype(np.int64), entries["n"], model.of[u], log_beside))
+        mark = 2 * k[word]
+        mark[np.unique(word, return_index=True)[1]] += n > 0
+        out = pa.table({"block": rows["block"], "place": rows["place"], "n": pa.array(n[word]), "mark": pa.array(mark.astype(np.int32))})
+        yield from out.combine_chunks().to_batches(50_000)
+
+    return run
+
+
 def _pairs(core: dict[bytes, int]):
     """Counts of adjacent units in the training texts; a text follows an end."""
     n_units = len(core) + SPELLINGS
@@ -190,10 +286,12 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, n_units: int, n
 
 @dataclass
 class ClassModel:
-    """core: units of frequent words; of: class of each unit; transition: log10 P(c | b); emission: log10 P(u | class of u).
+    """What exchange clustering of the core gives.
+
+    core: units of frequent words; of: class of each unit; transition: log10 P(c | b); emission: log10 P(u | class of u).
 
-    spelling_total holds log10 of what a spelling unit's word counts are divided by; tokens
-    and types are those of training.
+    spelling_total holds log10 of what a spelling unit's word counts are divided by; beside_n
+    has the counts of pairs of core words by class.
     """
 
     core: dict[bytes, int]
@@ -201,22 +299,43 @@ class ClassModel:
     transition: np.ndarray
     emission: np.ndarray
     spelling_total: np.ndarray
-    tokens: int
-    types: int
+    beside_n: np.ndarray
+
+    def beside(self) -> np.ndarray:
+        """log P(b before | k) for each class b, then log P(c after | k) for each c, by k; a class with no core word but the end's is never chosen."""
+        out = []
+        for n in (self.beside_n, self.beside_n.T):  # [neighbour, k]
+            prior = (n.sum(1, keepdims=True) + 0.5) / (n.sum() + 0.5 * CLASSES)
+            out.append(np.log((n + PRIOR * prior) / (n.sum(0, keepdims=True) + PRIOR)))
+        got = np.concatenate(out)
+        closed = np.ones(CLASSES, dtype=bool)
+        closed[np.delete(self.of[: len(self.core)], self.core[END])] = False
+        if not closed.all():
+            got[:, closed] = -np.inf
+        return got
+
+
+def transitions(cc: np.ndarray) -> np.ndarray:
+    """log10 P(c | b) from the counts of class pairs."""
+    class_n = cc.sum(0)
+    prior = (class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES)
+    weight = PRIOR + (cc > 0).sum(1, keepdims=True)
+    return np.log10((cc + weight * prior[None, :]) / (cc.sum(1, keepdims=True) + weight))
 
 
 def fit(blocks: DataFrame, vocabulary: DataFrame) -> ClassModel:
     """blocks as stored by ``cut``; vocabulary has word and n, its training count, zero if there is none."""
     seen = vocabulary.filter("n > 0")
     spelled = F.crc32(F.substring("word", -2, 2)) % SPELLINGS
-    tokens, types = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    often = [(bytes(r["word"]), r["n"]) for r in seen.filter(F.col("n") >= max(1.0, tokens / FREQUENT)).collect()] if tokens else []  # FREQUENT rows at most
+    often = [(bytes(r["word"]), r["n"]) for r in seen.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     core = {w: i for i, w in enumerate([END, *sorted(w for w, _ in often if w != END)])}
     n_units = len(core) + SPELLINGS
-    rest = seen.filter(F.col("n") < max(1.0, tokens / FREQUENT)).filter(F.col("word") != F.lit(END)).groupBy(spelled.alias("s")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    spelled_n = seen.filter(F.col("word") != F.lit(END)).groupBy(spelled.alias("s")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     total = np.full(SPELLINGS, 0.5)
-    for r in rest:
+    for r in spelled_n:
         total[r["s"]] = r["n"] + 0.5 * (r["v"] + 1)
+    for w, k in often:
+        total[zlib.crc32(w[-2:]) % SPELLINGS] -= (k + 0.5) * (w != END)
     counted = blocks.select("held", "sizes", "low", "high", "words").mapInArrow(_pairs(core), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     got = counted.toArrow()  # at most (FREQUENT + SPELLINGS + 1) squared rows
     pair, n = got["pair"].to_numpy(), got["n"].to_numpy().astype(float)
@@ -229,47 +348,94 @@ def fit(blocks: DataFrame, vocabulary: DataFrame) -> ClassModel:
     unit_n = np.bincount(right, weights=n, minlength=n_units)
     class_n = np.bincount(of, weights=unit_n, minlength=CLASSES)
     members = np.bincount(of, minlength=CLASSES)
-    prior = (class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES)
-    weight = PRIOR + (cc > 0).sum(1, keepdims=True)
-    transition = np.log10((cc + weight * prior[None, :]) / (cc.sum(1, keepdims=True) + weight))
     emission = np.log10((unit_n + 0.5) / (class_n + 0.5 * members)[of])
-    return ClassModel(core, of, transition, emission, np.log10(total), tokens, types)
+    beside_n, both = np.zeros((CLASSES, CLASSES)), (left < len(core)) & (right < len(core))
+    np.add.at(beside_n, (of[left[both]], of[right[both]]), n[both])
+    return ClassModel(core, of, transitions(cc), emission, np.log10(total), beside_n)
+
+
+def _marked(block: pa.Table, counts: pa.Table) -> pa.Table:
+    """The texts of a block as classes, with the sum of log10 of their counts plus a half; types, the training words of each class first met here, in the first row."""
+    if not block.num_rows:
+        return _MARKED.empty_table()
+    row = block.to_pylist()[0]
+    n, mark = np.zeros(counts.num_rows, dtype=np.int64), np.zeros(counts.num_rows, dtype=np.int64)
+    at = counts["place"].to_numpy()
+    n[at], mark[at] = counts["n"].to_numpy(), counts["mark"].to_numpy()
+    codes = _codes(row["low"], row["high"])
+    sizes = np.frombuffer(row["sizes"], dtype="<i8")
+    starts = np.cumsum(sizes) - sizes
+    classes = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.append(starts, len(codes)).astype("<i4").tobytes()), pa.py_buffer((mark >> 1).astype(np.uint8)[codes].tobytes())])
+    types = np.bincount((mark >> 1)[mark % 2 == 1], minlength=CLASSES).astype("<i8").tobytes()
+    return pa.table(
+        [
+            pa.array(np.frombuffer(row["doc_ids"], dtype="<i8"), mask=np.frombuffer(row["no_id"], dtype=bool)), pa.array(np.frombuffer(row["held"], dtype=bool)),
+            pa.array(np.add.reduceat((n > 0).astype(np.int64)[codes], starts)), pa.array(np.add.reduceat(np.log10(n + 0.5)[codes], starts)), classes, pa.array([types] + [None] * (len(sizes) - 1), pa.binary()),
+        ],
+        schema=_MARKED,
+    )
+
+
+_MARKED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_known", pa.int64()), ("logs", pa.float64()), ("classes", pa.binary()), ("types", pa.binary())])
+
+
+def _steps(classes: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The classes of texts in a row, the class before each, and the bounds of the texts; a text follows an end."""
+    now, bounds = _bytes_of(classes)
+    now = now.astype(np.int64)
+    before = np.concatenate([[end], now[:-1]])
+    before[bounds[:-1]] = end
+    return now, before, bounds
+
+
+def _class_counts(end: int):
+    """Counts of class pairs of training texts, in cells from 0, and of training words by class, in cells after those."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, types = np.zeros(CLASSES * CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
+        for batch in batches:
+            now, before, bounds = _steps(batch.column(1), end)
+            learn = np.repeat(~batch.column(0).to_numpy(zero_copy_only=False), np.diff(bounds))
+            pairs += np.bincount((before * CLASSES + now)[learn], minlength=CLASSES * CLASSES)
+            for t in batch.column(2).drop_null().to_pylist():
+                types += np.frombuffer(t, dtype="<i8")
+        n = np.concatenate([pairs, types])
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
 
-def _score(model: ClassModel):
-    base_total = np.log10(model.tokens + 0.5 * (model.types + 1))
-    first = len(model.core)
+    return run
 
-    def run(block: pa.Table, counts: pa.Table) -> pa.Table:
-        if not block.num_rows:
-            return pa.table({k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}).cast(_SCORED)
-        row = block.to_pylist()[0]
-        words = row["words"]
-        c = np.zeros(len(words))
-        c[counts["place"].to_numpy()] = counts["n"].to_numpy()
-        u = units(words, model.core)
-        base = np.log10(c + 0.5) - base_total
-        emit = model.emission[u]
-        rare = u >= first
-        emit[rare] += np.log10(c[rare] + 0.5) - model.spelling_total[u[rare] - first]
-        k = model.of[u]
-        codes = _codes(row["low"], row["high"])
-        sizes = np.frombuffer(row["sizes"], dtype="<i8")
-        starts = np.cumsum(sizes) - sizes
-        now = k[codes]
-        before = np.concatenate([[model.of[model.core[END]]], now[:-1]])
-        ids = pa.array(np.frombuffer(row["doc_ids"], dtype="<i8"), mask=np.frombuffer(row["no_id"], dtype=bool))
-        return pa.table(
-            {
-                "doc_id": ids, "held_out": pa.array(np.frombuffer(row["held"], dtype=bool)), "n_tokens": pa.array(sizes), "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64)[codes], starts)),
-                "base_score": pa.array(np.add.reduceat(base[codes], starts)), "score": pa.array(np.add.reduceat(model.transition[before, now] + emit[codes], starts)),
-            }
-        )
 
-    return run
+@dataclass
+class Scorer:
+    """The whole model: transition, log10 P(c | b); total, log10 of what the word counts of each class are divided by; tokens and types of training."""
 
+    end: int
+    transition: np.ndarray
+    total: np.ndarray
+    tokens: int
+    types: int
 
-_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    @classmethod
+    def fit(cls, marked: DataFrame, model: ClassModel) -> Scorer:
+        end = int(model.of[model.core[END]])
+        n = np.zeros(CLASSES * (CLASSES + 1), dtype=np.int64)
+        for r in marked.select("held_out", "classes", "types").mapInArrow(_class_counts(end), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            n[r["cell"]] = r["n"]
+        cc, types = n[: CLASSES * CLASSES].reshape(CLASSES, CLASSES).astype(float), n[CLASSES * CLASSES :]
+        spellings = np.bincount(model.of[len(model.core) :], minlength=CLASSES)
+        total = np.log10(np.maximum(cc.sum(0) + 0.5 * (types + spellings), 0.5))
+        return cls(end, transitions(cc), total, int(cc.sum()), int(types.sum()))
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base_total = np.log10(self.tokens + 0.5 * (self.types + 1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now, before, bounds = _steps(batch.column(4), self.end)
+            sizes, logs = np.diff(bounds), batch.column(3).to_numpy()
+            score = logs + np.add.reduceat(self.transition[before, now] - self.total[now], bounds[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), batch.column(2), pa.array(logs - sizes * base_total), pa.array(score)], [f.split()[0] for f in SCORES.split(", ")])
 
 
 def cut(docs: DataFrame) -> DataFrame:
@@ -287,10 +453,12 @@ def class_lm(docs: DataFrame) -> DataFrame:
     a doc_id are scored each; an empty table gives an empty result; other columns are ignored.
     """
     blocks = cut(docs)
-    rows = blocks.select("block", "words", "counts").mapInArrow(_word_rows, "block long, place int, word binary, n long")
-    vocabulary = scratch_table(rows.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
-    model = fit(blocks, vocabulary)
-    counts = rows.select("block", "place", "word").join(vocabulary.filter("n > 0"), "word").select("block", "place", "n")
-    whole = blocks.select("block", "doc_ids", "no_id", "held", "sizes", "low", "high", "words")
-    scored = whole.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_score(model), SCORES)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = blocks.select("block", "words", "counts").mapInArrow(_word_rows, WORD_ROWS)
+    model = fit(blocks, scratch_table(rows.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary"))
+    whole = blocks.select("block", "doc_ids", "no_id", "held", "sizes", "low", "high")
+    near = blocks.select("block", "held", "sizes", "low", "high", "words", "counts").mapInArrow(_around(model), WORD_ROWS + ", around binary")
+    placed = near.repartition("word").mapInArrow(_placed(model), "block long, place int, n long, mark int")
+    marked = scratch_table(whole.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(_marked, MARKED), "classes")
+    scorer = Scorer.fit(marked, model)
+    scored = marked.select("doc_id", "held_out", "n_known", "logs", "classes").mapInArrow(scorer.run, SCORES)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(scorer.tokens).cast("long").alias("train_tokens"), "base_score", "score")

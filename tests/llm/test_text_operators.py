@@ -383,6 +383,41 @@ def test_exchange_never_lowers_the_likelihood():
     assert len({tuple(found[:10]), tuple(1 - found[10:])}) == 1
 
 
+def test_class_lm_places_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "FREQUENT", 13)
+    rng = np.random.default_rng(0)
+
+    def pick(kind: str) -> str:  # five words make half of the uses, two hundred that are spelled alike the rest
+        return f"{kind}{rng.integers(5)}often" if rng.random() < 0.5 else f"{kind}{rng.integers(200)}xx"
+
+    rows = [(k, " ".join(w for _ in range(30) for w in ("the", pick("n"), "will", pick("v"))), "en", None) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = [r for r in class_lm.class_lm(docs).collect() if r["held_out"]]
+    # With its kind known a word has 1 + 0.5 log2 5 + 0.5 log2 200 bits, every other one 0; rare words of both kinds in one unit cost half a bit more.
+    least = (1 + 0.5 * np.log2(5) + 0.5 * np.log2(200)) * np.log10(2) * 60
+    mean = -sum(r["score"] for r in got) / len(got)
+    assert least < mean < least + 60 * 0.5 * np.log10(2) * 0.7
+    # The model is a distribution: over classes, and over the words of all of them with half a count for each spelling.
+    blocks = class_lm.cut(docs)
+    vocabulary = blocks.select("block", "words", "counts").mapInArrow(class_lm._word_rows, class_lm.WORD_ROWS).groupBy("word").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    m = class_lm.fit(blocks, vocabulary)
+    near = blocks.select("block", "held", "sizes", "low", "high", "words", "counts").mapInArrow(class_lm._around(m), class_lm.WORD_ROWS + ", around binary").toArrow()
+    (placed,) = class_lm._placed(m)(iter(near.to_batches()))
+    kinds = {}
+    for w, mark in zip(near["word"].to_pylist(), placed.column("mark").to_pylist()):
+        kinds.setdefault(mark >> 1, set()).add(w[:1])
+    assert all(len(k) == 1 for k in kinds.values()), kinds
+
+
+def test_place_takes_all_entries_of_a_word():
+    rng = np.random.default_rng(0)
+    beside = np.log(rng.dirichlet(np.ones(class_lm.SLOTS), class_lm.CLASSES).T)
+    word, slot, n = rng.integers(0, 50, 400), rng.integers(0, class_lm.SLOTS, 400), rng.integers(1, 9, 400)
+    default = np.full(60, 7)
+    want = [int(sum(beside[s] * k for x, s, k in zip(word, slot, n) if x == w).argmax()) if w in word else 7 for w in range(60)]
+    assert class_lm.place(word, slot, n, default, beside, step=20).tolist() == want
+
+
 # --- quality -------------------------------------------------------------------------------
 
 
