@@ -1,7 +1,8 @@
 """Secret scanning: candidate strings, judged by a random forest trained on labelled findings.
 
-Candidates are long runs of token characters with a digit, and values assigned to words like
-password or token. The forest sees a candidate's length, how its characters follow one
+Candidates are long runs of token characters with a digit, with a known prefix, of mixed case
+or after a word like bearer or credential, and values assigned to words like password or
+token. The forest sees a candidate's length, how its characters follow one
 another, how far dictionary words cover it, whether it is or lies in a path, and the words
 beside it. Character transitions and the dictionary are counted by Spark over all documents:
 transitions of 64 symbols, and words by hashed number, of which those with at least
@@ -43,7 +44,11 @@ DIGESTS = ("sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "hash
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "sk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "npm_", "SG.")
 _RUN = re.compile(rb"[A-Za-z0-9+/_=\-.~]{%d,}" % MIN_RUN)
 _VALUE = re.compile(rb"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)\"?'?[ \t]*[:=][ \t]*[\"']?([^\s\"',;<>|]{%d,})" % MIN_VALUE)
+_AFTER = re.compile(rb"(?i)\b(?:auth|authorization|bearer|basic|credentials?)[\"']?[ \t]*[:=]?[ \t]*[\"']?([A-Za-z0-9+/_=\-.~]{%d,})" % MIN_RUN)
+_MIXED = re.compile(rb"[a-z][A-Z]|[A-Z]{2}[a-z]")
 _HINT = re.compile(rb"(?i)passw|pwd|secret|token|key")
+_AFTER_HINT = re.compile(rb"(?i)auth|bearer|basic|credential")
+_PREFIXES = re.compile(rb"(?<![A-Za-z0-9])(?:%s)" % b"|".join(re.escape(x.encode()) for x in PREFIXES))
 _WORD = re.compile(rb"[A-Za-z]+")
 _OF = alphabet()
 
@@ -53,9 +58,11 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
     found = []
     at = 0
     if len(text) >= MIN_RUN:
-        for word in set(w for w in text.split() if len(w) >= MIN_RUN and not w.isalpha()):
-            if any(c.isdigit() for c in map(chr, word)):
-                found += [(at + m.start(), at + m.end()) for at in _places(text, word) for m in _RUN.finditer(word) if any(48 <= c <= 57 for c in m[0])]
+        for word in set(w for w in text.split() if len(w) >= MIN_RUN):
+            runs = [m.span() for m in _RUN.finditer(word) if likely(m[0])]
+            found += [(at + a, at + b) for at in _places(text, word) for a, b in runs] if runs else []
+        if _AFTER_HINT.search(text):
+            found += [m.span(1) for m in _AFTER.finditer(text)]
     if _HINT.search(text):
         found += [m.span(1) for m in _VALUE.finditer(text)]
     found.sort(key=lambda s: (s[0], -s[1]))
@@ -66,6 +73,11 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def likely(run: bytes) -> bool:
+    """Whether a run may be a key: it has a digit, a case that changes within a word other than at its start, or a known prefix."""
+    return any(48 <= c <= 57 for c in run) or _MIXED.search(run) is not None or _PREFIXES.search(run) is not None
+
+
 def _places(text: bytes, word: bytes) -> Iterator[int]:
     at = text.find(word)
     while at >= 0:
@@ -183,9 +195,13 @@ def labelled_findings(n: int = TRAIN_FINDINGS, seed: int = SEED) -> list[tuple[b
                 lambda: rng.choice(("AKIA", "ghp_", "sk-", "sk_live_", "xoxb-", "AIza", "npm_", "glpat-")) + some(alnum, rng.randint(16, 40)),
                 lambda: f"{some(hexs, 8)}-{some(hexs, 4)}-{some(hexs, 4)}-{some(hexs, 4)}-{some(hexs, 12)}",
                 lambda: some(alnum + "!@#$%^&*", rng.randint(8, 20)),
+                lambda: some(rng.choice((alnum[:52], alnum[:52], alnum[:26])), rng.randint(16, 40)),
             )
         )()
 
+    def prefixed() -> str:
+        return rng.choice((lambda: rng.choice(("AKIA", "ASIA")) + some(alnum[26:52] + "234567", 16), lambda: rng.choice(("AKIA", "ASIA")) + some(alnum[26:52], 16), lambda: rng.choice(("ghp_", "sk-", "AIza", "npm_")) + some(alnum[:52], rng.randint(16, 36))))()
+
     def given() -> str:
         return rng.choice(("password", "passwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "auth_token", "client_secret", "PASSWORD", "TOKEN", "API_KEY", "secret_key"))
 
@@ -203,12 +219,16 @@ def labelled_findings(n: int = TRAIN_FINDINGS, seed: int = SEED) -> list[tuple[b
                 lambda: ("on ", f"{rng.randint(1990, 2030)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T1{rng.randint(0, 9)}:30:00.000"),
                 lambda: ("mail ", f"{word(3)}.{word(2)}{rng.randint(1, 99)}"),
                 lambda: (" ", "-".join(word(2) for _ in range(4)) + f"-{rng.randint(1, 99)}"),
+                lambda: (rng.choice((" ", "the ", "class ")), "".join(word(2).title() for _ in range(rng.randint(3, 5)))),
+                lambda: (rng.choice(("basic ", "authorization ", "credential ", "auth: ")), rng.choice(("-", "", "_", ".")).join(word(3) for _ in range(rng.randint(2, 4)))),
             )
         )()
 
     out = []
     for k in range(n):
-        if k % 2:
+        if k % 10 == 1:
+            lead, value = rng.choice(("", "id ", "the key ", "https://" + word() + ".org/get?k=")), prefixed()
+        elif k % 2:
             lead = given() + rng.choice((" = \"", "=", ": ", " = '", "=\"", " : ")) if rng.random() < 0.8 else rng.choice(("Authorization: Bearer ", "export AWS_SECRET_ACCESS_KEY=", "credential ", "//user:"))
             value = key()
         else:
