@@ -156,12 +156,16 @@ def viterbi(score: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
 
 
 def labels(score: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
-    """The labels that ``viterbi`` gives, by the shortcut where it holds."""
+    """The labels that ``viterbi`` gives, by the shortcut where it holds.
+
+    A path of s > 0 switches has s + 1 stretches, 2 s at most, so where no stretch of another
+    label gains half a penalty, no path gains what its switches cost.
+    """
     top = int(score.sum(0).argmax())
     lead = np.cumsum(score - score[:, top : top + 1], axis=0)
     low = np.minimum(np.minimum.accumulate(lead, axis=0), 0)
     low = np.vstack([np.zeros((1, score.shape[1])), low[:-1]])
-    if (lead - low).max() < penalty:
+    if (lead - low).max() < penalty / 2:
         return np.full(len(score), top, dtype=np.int32)
     return viterbi(score, penalty)
 

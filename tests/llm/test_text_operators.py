@@ -498,6 +498,11 @@ def test_keys_without_a_digit_are_found(docs):
 # --- language ------------------------------------------------------------------------------
 
 
+def test_labels_are_those_of_viterbi_where_two_stretches_share_a_switch():
+    score = np.array([[-20, -23.5, -30]] * 5 + [[-30, -23.5, -20]] * 5)
+    assert language_id.labels(score).tolist() == language_id.viterbi(score).tolist() == [0] * 5 + [2] * 5
+
+
 def test_language_learns_and_marks_spans(spark):
     rng = np.random.default_rng(0)
     own = {"en": "the water of this house and that garden with winter".split(), "fr": "une maison avec jardin et hiver des étoiles où".split(), "ru": "дом зима сад река вода и это".split()}
