@@ -36,7 +36,7 @@ from cladeflow.llm.components import components
 BANDS, ROWS = 32, 4
 N_MINIMA = BANDS * ROWS
 #: Of N_MINIMA, those that must agree for a pair to be checked on full sets.
-MIN_AGREE = 84
+MIN_AGREE = 77
 #: Classes of a bucket on each side of a tile, in the mean.
 TILE = 256
 #: Classes whose sets are fetched by broadcasting their ids; more of them are fetched by a shuffle join.

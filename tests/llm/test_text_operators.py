@@ -495,6 +495,11 @@ def test_keys_without_a_digit_are_found(docs):
     assert s.redact(texts[0], found) == b"the id [SECRET] was left here"
 
 
+def test_check_of_minima_rarely_loses_a_pair_at_the_threshold():
+    n = near_dedup.N_MINIMA
+    assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(near_dedup.MIN_AGREE)) < 1e-7
+
+
 # --- language ------------------------------------------------------------------------------
 
 
