@@ -8,10 +8,11 @@ Pairs come from the buckets without emitting all pairs of a bucket: first every
 paired with one member of each of its buckets, chosen by another order in each band;
 links that hold join components. What is left in a bucket, classes outside its largest
 component, is then held against the bucket's members of other components: both sides are
-dealt to tiles of bounded size by hash, each tile compares its minima as matrices, and only
-pairs that are near enough leave it. So no link that could join two components is passed
-over. A pair whose minima agree in fewer than 84 of 128 places is left (at the similarity
-0.8, once in 3e4); all others are decided on their full sets.
+packed into parts of bounded size, each part of one side meets each of the other as one row,
+which compares minima as matrices, and classes with a near one go on to a second such pass
+with their full sets. So no link that could join two components is passed over. A pair whose
+minima agree in fewer than 77 of 128 places is left (at the similarity 0.8, once in 1.3e7);
+all others are decided on their full sets.
 
 Defined cases: a null text is empty; an empty set is linked with nothing; a row with a null
 doc_id shares the component of equal sets, is in none (null, and kept) where no row with an
@@ -30,15 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import HOT_SHARE, bounded_batches, mix, scratch_table, texts, worker_store
+from cladeflow.llm.common import HOT_SHARE, bounded_batches, join_by_group, mix, scratch_table, texts, worker_store
 from cladeflow.llm.components import components
 
 BANDS, ROWS = 32, 4
 N_MINIMA = BANDS * ROWS
 #: Of N_MINIMA, those that must agree for a pair to be checked on full sets.
 MIN_AGREE = 77
-#: Classes of a bucket on each side of a tile, in the mean.
-TILE = 256
+#: Classes, and bytes of them, on each side of a tile, in the mean.
+TILE, TILE_BYTES = 2048, 8 << 20
 #: Classes whose sets are fetched by broadcasting their ids; more of them are fetched by a shuffle join.
 BROADCAST_ROWS = 1_000_000
 #: Words whose hashes a worker keeps; beyond it the store starts anew.
@@ -116,12 +117,16 @@ def _features(width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             cids, sets = [], []
             for cid, k1, k2, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if cid in done:
+                    continue
                 data = shingle_set(text, width).tobytes()
                 key = xxhash.xxh3_128_intdigest(data)
                 if (key >> 64) - (1 << 63) == k1 and (key & ((1 << 64) - 1)) - (1 << 63) == k2:
+                    done.add(cid)
                     cids.append(cid)
                     sets.append(data)
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "shingles"])
@@ -137,65 +142,60 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(agree[agree >= MIN_AGREE].astype(np.int32))], ["u", "v", "agree"])
 
 
-def _near_in_tile(rows: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each left-over class of a tile, the rows of other components that are near it by size and minima.
+def _near_in_tile(few: dict[str, np.ndarray], every: dict[str, np.ndarray], band: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left-over class of a tile, the places of other components' classes that are near it by size and minima.
 
     A pair that shares several buckets is seen in the one of its first band alone.
     """
-    band = rows["band"][0].as_py()
-    side = rows["side"].to_numpy()
-    sign = np.frombuffer(b"".join(rows["minima"].to_pylist()), dtype="<u2").reshape(-1, N_MINIMA)
-    comp, n = rows["comp"].to_numpy(), rows["n_shingles"].to_numpy()
-    all_ = np.flatnonzero(side == 1)
-    for i in np.flatnonzero(side == 0).tolist():
-        able = all_[(comp[all_] != comp[i]) & (100 * np.minimum(n[all_], n[i]) >= percent * np.maximum(n[all_], n[i]))]
+    comp, n, sign = every["comp"], every["n_shingles"], every["minima"]
+    for i in range(len(few["cid"])):
+        own = few["n_shingles"][i]
+        able = np.flatnonzero((comp != few["comp"][i]) & (100 * np.minimum(n, own) >= percent * np.maximum(n, own)))
         if not len(able):
             continue
-        same = sign[able] == sign[i]
+        same = sign[able] == few["minima"][i]
         near = same.sum(axis=1) >= MIN_AGREE
         near[near] = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
         if near.any():
             yield i, able[near]
 
 
-def _tile_near(percent: int):
-    """The rows of a tile that have a near one of another component on the other side."""
+#: What a tile holds of a class; a second pass adds its set.
+CLASS = ("cid", "comp", "n_shingles", "minima")
+NEAR = "bucket long, band int, side int, cid long, comp long, n_shingles long, minima binary"
 
-    def run(rows: pa.Table) -> pa.RecordBatch:
-        hit = np.zeros(rows.num_rows, dtype=bool)
-        for i, able in _near_in_tile(rows, percent):
-            hit[i] = True
-            hit[able] = True
-        kept = rows.filter(pa.array(hit)).select([*TILE_KEY, "band", "side", "cid", "comp"]).combine_chunks()
-        return kept.to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], schema=kept.schema)
 
-    return by_tile(run)
+def _side(part: pa.StructArray) -> dict:
+    """The classes of one side of a tile as arrays; sets, if there are any, as a list."""
+    own = {c: part.field(c) for c in CLASS}
+    out = {c: own[c].to_numpy() for c in CLASS[:3]} | {"minima": np.frombuffer(b"".join(own["minima"].to_pylist()), dtype="<u2").reshape(-1, N_MINIMA)}
+    if part.type.get_field_index("shingles") >= 0:
+        out["sets"] = [np.frombuffer(x, dtype=np.uint64) for x in part.field("shingles").to_pylist()]
+    return out
 
 
-TILE_KEY = ("bucket", "ti", "tj")
+def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.StructArray, pa.StructArray]]:
+    """bucket, band and both sides of each tile, which is one row."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values, batch.column(3)[k].values
 
 
-def by_tile(f):
-    """Apply f to the rows of each tile in turn; rows arrive sorted by tile, and only one tile is held."""
+def _tile_near(percent: int):
+    """The classes of a tile that have a near one of another component on the other side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[pa.Table] = []  # rows of the tile that the last batch ended in
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            key = np.stack([table[c].to_numpy() for c in TILE_KEY])
-            turns = (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()
-            if open_ and any(open_[-1][c][-1].as_py() != table[c][0].as_py() for c in TILE_KEY):
-                turns = [0, *turns]
-            at = 0
-            for t in turns:
-                whole = pa.concat_tables([*open_, table.slice(at, t - at)])
-                open_, at = [], t
-                yield f(whole)
-            open_.append(table.slice(at))
-        if open_:
-            yield f(pa.concat_tables(open_))
+        for bucket, band, few, every in _tile_rows(batches):
+            hit = [np.zeros(len(few), dtype=bool), np.zeros(len(every), dtype=bool)]
+            for i, able in _near_in_tile(_side(few), _side(every), band, percent):
+                hit[0][i] = True
+                hit[1][able] = True
+            for side, part in enumerate((few, every)):
+                if n := int(hit[side].sum()):
+                    kept = part.filter(pa.array(hit[side]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([bucket] * n, pa.int64()), pa.array([band] * n, pa.int32()), pa.array([side] * n, pa.int32()), *(kept.field(c) for c in CLASS)], [f.split()[0] for f in NEAR.split(", ")]
+                    )
 
     return run
 
@@ -211,27 +211,27 @@ def similar_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _tile_links(percent: int):
     """Links between components found in a tile on full sets, one for each two components that they join."""
 
-    def check(rows: pa.Table) -> pa.RecordBatch:
-        cid, comp = rows["cid"].to_numpy(), rows["comp"].to_pylist()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["shingles"].to_pylist()]
-        joined: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while c in joined:
-                c = joined[c]
-            return c
-
-        u, v = [], []
-        for i, able in _near_in_tile(rows, percent):
-            for j in able.tolist():
-                a, b = root(comp[i]), root(comp[j])
-                if a != b and similar_enough(sets[i], sets[j], percent):
-                    joined[max(a, b)] = min(a, b)
-                    u.append(int(cid[i]))
-                    v.append(int(cid[j]))
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, band, few, every in _tile_rows(batches):
+            few, every = _side(few), _side(every)
+            joined: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while c in joined:
+                    c = joined[c]
+                return c
+
+            u, v = [], []
+            for i, able in _near_in_tile(few, every, band, percent):
+                for j in able.tolist():
+                    a, b = root(int(few["comp"][i])), root(int(every["comp"][j]))
+                    if a != b and similar_enough(few["sets"][i], every["sets"][j], percent):
+                        joined[max(a, b)] = min(a, b)
+                        u.append(int(few["cid"][i]))
+                        v.append(int(every["cid"][j]))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return by_tile(check)
+    return run
 
 
 def _linked(percent: int):
@@ -283,8 +283,8 @@ class _Linker:
         if n <= BROADCAST_ROWS:
             first = F.broadcast(first)
         rows = texts(self.docs).join(first, "doc_id").select("cid", "k1", "k2", F.col("text").cast("binary").alias("text"))
-        # A doc_id may occur twice with one text; the sets are equal then.
-        self.sets.append(scratch_table(rows.mapInArrow(_sets(self.width), "cid long, shingles binary"), "sets"))
+        # A doc_id may come many times with one text; its set is then needed once.
+        self.sets.append(scratch_table(rows.mapInArrow(_sets(self.width), "cid long, shingles binary").dropDuplicates(["cid"]), "sets"))
 
     def check(self, pairs: DataFrame) -> None:
         """Decide stored pairs on full sets and join components by the links found."""
@@ -304,41 +304,53 @@ class _Linker:
         self.stars = components(reduce(DataFrame.unionByName, known))
 
 
-def _tiles(members: DataFrame, linker: _Linker) -> DataFrame:
-    """Rows of tiles: side 0 has the classes outside the largest component of their bucket, side 1 all of the bucket.
+def _tiles(rows: DataFrame, *more: str) -> DataFrame:
+    """bucket, band, few and every: tiles that hold each class of side 0 against each of side 1 of its bucket.
 
-    A bucket of n classes, m of them left over, makes n / TILE times m / TILE tiles, rounded
-    up; a row takes its place on its own side by hash and goes to all tiles of the other.
+    A side is first packed into parts of about TILE classes and TILE_BYTES bytes, dealt by
+    hash, a part being one row; only parts, never classes, are then repeated for the parts of
+    the other side. So rows grow with the classes, and a bucket of up to TILE of them is one tile.
     """
+    own = F.struct(*CLASS, *more)
+    size = reduce(lambda x, y: x + y, (F.length(c) for c in more), F.lit(2 * N_MINIMA))
+    n_parts = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum(size) / TILE_BYTES)).cast("long")
+    parts = rows.groupBy("bucket").pivot("side", [0, 1]).agg(n_parts.alias("parts"), F.count(F.lit(1)).alias("n")).withColumnsRenamed({"0_parts": "n_few", "1_parts": "n_every", "1_n": "n"})
+    parts = parts.filter("n_few > 0 AND n_every > 0").select("bucket", "n_few", "n_every", "n")
+    dealt = join_by_group(rows, parts, "bucket", "n", rows.count()).withColumn("part", F.pmod(F.xxhash64("cid", F.lit(SEED)), F.when(F.col("side") == 0, F.col("n_few")).otherwise(F.col("n_every"))))
+    # The exchange is by part, so no task holds a whole large bucket.
+    dealt = dealt.repartition("bucket", "side", "part")
+    packed = dealt.groupBy("bucket", "band", "side", "part", "n_few", "n_every").agg(F.collect_list(own).alias("classes"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    few = packed.filter("side = 0").select("bucket", "band", F.col("part").alias("i"), upto("n_every").alias("j"), F.col("classes").alias("few"))
+    every = packed.filter("side = 1").select("bucket", "band", upto("n_few").alias("i"), F.col("part").alias("j"), F.col("classes").alias("every"))
+    return few.join(every.hint("merge"), ["bucket", "band", "i", "j"]).select("bucket", "band", "few", "every")
+
+
+def _sides(members: DataFrame, linker: _Linker) -> DataFrame:
+    """Classes of buckets with several components: on side 0 those outside the bucket's largest component, on side 1 all."""
     rows = scratch_table(linker.labelled(members, "cid", "comp"), "labelled")
     parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    most = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("n_comps")).filter("n_comps > 1")
-    tiles = lambda n: F.ceil(n / TILE).cast("long")
-    per = most.select("bucket", F.col("most.comp").alias("main"), tiles(F.col("n_all") - F.col("most.n")).alias("nti"), tiles(F.col("n_all")).alias("ntj"))
-    own = F.xxhash64("cid", F.lit(SEED))
-    met = rows.join(per, "bucket").select("bucket", "band", "cid", "comp", "main", "nti", "ntj")
-    few = met.filter("comp != main").select("bucket", "band", "cid", "comp", F.lit(0).alias("side"), F.pmod(own, F.col("nti")).alias("ti"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ntj") - 1)).alias("tj"))
-    every = met.select("bucket", "band", "cid", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nti") - 1)).alias("ti"), F.pmod(own, F.col("ntj")).alias("tj"))
-    return few.unionByName(every)
-
-
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY, "side")
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("n_comps"), F.sum("n").alias("n")).filter("n_comps > 1")
+    sign = linker.classes.select("cid", "minima", "n_shingles")
+    met = join_by_group(rows, scratch_table(mixed.select("bucket", F.col("most.comp").alias("main"), "n"), "mixed"), "bucket", "n", rows.count()).join(sign, "cid")
+    both = F.when(F.col("comp") != F.col("main"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    return met.select("bucket", "band", F.explode(both).alias("side"), *CLASS)
 
 
 def _left_over(members: DataFrame, linker: _Linker) -> None:
     """Compare what is left over in each bucket with its other components, and join those that a link connects.
 
-    Minima decide which classes of a tile are near another at all; only their sets travel to
-    the tile, once each, and only links leave it.
+    Minima decide which classes are near another at all; only their sets are fetched, once
+    for each bucket, and only links leave the second pass.
     """
-    sign = linker.classes.select("cid", "minima", "n_shingles")
-    near = _dealt(_tiles(members, linker).join(sign, "cid")).mapInArrow(_tile_near(linker.percent), "bucket long, ti long, tj long, band int, side int, cid long, comp long")
+    rows = scratch_table(_sides(members, linker), "sides")
+    near = _tiles(rows).mapInArrow(_tile_near(linker.percent), NEAR).dropDuplicates(["bucket", "side", "cid"])
     near = scratch_table(near, "tile-near")
     linker.prepare(near)
     if linker.sets:
         sets = reduce(DataFrame.unionByName, linker.sets)
-        linker.found(_dealt(near.join(sign, "cid").join(sets, "cid")).mapInArrow(_tile_links(linker.percent), "u long, v long"))
+        whole = scratch_table(near.join(sets, "cid"), "tile-sets")
+        linker.found(_tiles(whole, "shingles").mapInArrow(_tile_links(linker.percent), "u long, v long"))
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
