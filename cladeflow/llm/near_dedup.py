@@ -28,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.llm.common import HOT_SHARE, bounded_batches, join_by_group, mix, scratch_table, texts, worker_store
@@ -110,7 +110,7 @@ def _features(width: int):
                 highs.append((key >> 64) - (1 << 63))
                 lows.append((key & ((1 << 64) - 1)) - (1 << 63))
                 signs.append(minima(s, a, b).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, highs, lows)), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "minima"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (sizes, highs, lows)), pa.array(signs, pa.binary())], ["doc_id", "key", "n_shingles", "k1", "k2", "minima"])
 
     return run
 
@@ -358,9 +358,14 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     width: words of a shingle; percent: the least similarity of a link.
     """
+    return near_rows(docs, F.lit(None).cast("string"), width, percent).drop("key")
+
+
+def near_rows(docs: DataFrame, key: Column, width: int = 5, percent: int = 80) -> DataFrame:
+    """The columns of ``near_dedup`` and key, a string column of docs by which rows can be told apart."""
     bounded_batches(docs.sparkSession)
-    t = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = scratch_table(t.mapInArrow(_features(width), "doc_id long, n_shingles long, k1 long, k2 long, minima binary"), "minhash")
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), key.alias("key"))
+    rows = scratch_table(t.mapInArrow(_features(width), "doc_id long, key string, n_shingles long, k1 long, k2 long, minima binary"), "minhash")
     firsts = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     own = rows.join(firsts, ["k1", "k2", "doc_id"]).dropDuplicates(["k1", "k2", "doc_id"])
     classes = scratch_table(own.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", F.col("doc_id").alias("first_id"), "n_shingles", "minima"), "classes")
@@ -390,7 +395,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     sizes = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()
     groups = scratch_table(ids.join(sizes, ["k1", "k2"]), "near-groups")
-    return _joined(rows.select("doc_id", "n_shingles", "k1", "k2"), groups, total)
+    return _joined(rows.select("doc_id", "key", "n_shingles", "k1", "k2"), groups, total)
 
 
 def _joined(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
@@ -402,6 +407,6 @@ def _joined(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
     some = first.filter("_is_hot").withColumn("component_id", F.col("_hot"))
     cold = groups.filter(F.col("_n") <= limit).select("k1", "k2", "component_id")
     rest = first.filter("_is_hot IS NULL").join(cold, ["k1", "k2"], "left")
-    every = some.select("doc_id", "n_shingles", "component_id").unionByName(rest.select("doc_id", "n_shingles", "component_id"))
+    every = some.select("doc_id", "key", "n_shingles", "component_id").unionByName(rest.select("doc_id", "key", "n_shingles", "component_id"))
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return every.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return every.select("doc_id", "key", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

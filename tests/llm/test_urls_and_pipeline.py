@@ -96,11 +96,31 @@ def test_secret_stage_masks(spark, docs):
 
 
 def test_stages_survive_odd_columns_and_empty_tables(spark, clashing, empty):
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        if name != "secret_scan":
-            assert stage(spark, clashing, "").columns == clashing.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, clashing, "")
+        assert got.columns == clashing.columns and got.count() > 0
         assert stage(spark, empty, "").count() == 0
-    assert stages.secret_scan(spark, clashing.drop("n_chars"), "").count() == len(ROWS)
+    odd = clashing.withColumn("n_chars", F.lit("none of your numbers"))
+    assert stages.secret_scan(spark, odd, "").filter("n_chars = 'none of your numbers'").count() == len(ROWS)
+
+
+def test_rows_without_id_and_rows_that_repeat(spark, docs):
+    words = " ".join(f"word{k}" for k in range(40))
+    rows = [(None, words, None, None)] * 4 + [(None, "", None, None)] * 2
+    df = spark.createDataFrame(rows, docs.schema)
+    assert sorted(r["text"] for r in stages.near_dedup(spark, df, "").collect()) == ["", words]
+    assert sorted(r["text"] for r in stages.exact_dedup(spark, df, "").collect()) == ["", words]
+    other = " ".join(f"other{k}" for k in range(40))
+    rows = [(9, words, "en", "a"), (9, words, "en", "a"), (9, other, "en", "a"), (3, other + " more", None, "b"), (None, words, None, None)]
+    got = stages.near_dedup(spark, spark.createDataFrame(rows, docs.schema), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(3, other + " more"), (9, words)]
+
+
+def test_exact_stage_keeps_the_longest_row_of_an_id(spark, docs):
+    rows = [(1, f"a b{' ' * k}c", "en", f"s{k}") for k in range(1, 9)] * 2 + [(2, "a b c", "en", "s")]
+    for parts in (1, 5):
+        got = stages.exact_dedup(spark, spark.createDataFrame(rows, docs.schema).repartition(parts), "").collect()
+        assert [(r["doc_id"], r["text"], r["source"]) for r in got] == [(1, f"a b{' ' * 8}c", "s8")]
 
 
 def test_pipeline_end_to_end(spark, docs, tmp_path):
