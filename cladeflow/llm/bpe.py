@@ -1,14 +1,19 @@
 """Byte-pair encoding as a deterministic automaton over token arcs, and decoding by arc labels.
 
-The automaton is the one that successive merge gadgets build. It starts with one state and
-an arc for each byte; the gadget of a merge (x, y) -> xy, taken in order of rank, splits
-the state that an x arc enters: the copy has no y arc any more, and an xy arc runs to where
-y led. After all gadgets exactly one path spells any word, and its arcs are the word's
-tokens. Which arcs a state has depends on the arc by which it was entered alone, so the
-states are the tokens. Built in full the table has a cell for each pair of tokens;
-``Automaton`` fills a cell when a word first asks for it, by replaying the gadgets that can
-touch that pair: those along the right edge of the one token and the left edge of the
-other. ``full_table`` applies the gadgets one after another, as tests of small vocabularies do.
+The automaton is compiled by successive merge gadgets. It starts with one state and an arc
+for each byte; the gadget of a merge (x, y) -> xy, taken in order of rank, gives the state
+that an x arc enters no y arc any more, and an xy arc runs to a copy of the state where y
+led. A merge whose y arc is already gone from the state of x never applies: its gadget does
+nothing. After all gadgets exactly one path spells any word, and its arcs are the word's tokens.
+
+Which arcs a state has depends on the arc that enters it alone, so the states are the tokens,
+and the table of a vocabulary of 50 000 has 2.5e9 cells. ``compiled`` stores what the gadgets
+take away instead. An arc whose token begins with a later merge of y is never added where y
+is gone already; so with tokens ordered such that those which begin with y, the latest merged
+first, follow y, a gadget takes away a range of arcs, and a copied state has the ranges of
+its original up to that gadget. The table is the sorted list of all states' ranges, a million
+numbers, and a transition is one search in it. ``full_table`` builds every state with all its
+arcs one gadget after another, as tests of small vocabularies do.
 """
 
 from __future__ import annotations
@@ -16,8 +21,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +33,8 @@ from pyspark.sql import functions as F
 from cladeflow.llm.common import bounded_batches, texts, worker_store
 from cladeflow.llm.tokens import vocabulary_path
 
-#: Words, and cells of the transition table, that a worker keeps; beyond it a store starts anew.
-CACHE_WORDS, CACHE_CELLS = 300_000, 1_000_000
+#: Words that a worker keeps; beyond it the store starts anew.
+CACHE_WORDS = 300_000
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Unicode's White_Space characters.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -54,69 +62,30 @@ class Automaton:
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]], special: dict[bytes, int] | None = None):
         """labels: bytes of each token; merges: (left, right, token) by rank; special: tokens found before all else."""
         self.labels, self.special = labels, special or {}
-        self.made = {t: (rank, x, y) for rank, (x, y, t) in reversed(list(enumerate(merges)))}
-        self.rank = {(x, y): rank for rank, (x, y, _) in enumerate(merges)}
-        self.reachable = {*(t for t in labels if len(labels[t]) == 1), *self.made}
+        made = {t for *_, t in merges}
+        self.table = compiled([t for t in labels if len(labels[t]) == 1 and t not in made], merges)
         self.arcs = self._trie()
-        self.cells: dict[int, bool] = {}
-        self.edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
         self.known = _Pieces(self)
         self.words: dict[bytes, bytes] = {}
-        self._last = max(labels) + 1
 
     def _trie(self) -> dict:
         """Nested tables from a byte to (token or -1, table)."""
         root: dict = {}
-        for token in self.reachable:
+        for token in self.table.place:
             node, label = root, self.labels[token]
             for b in label[:-1]:
                 node = node.setdefault(b, [-1, {}])[1]
             node.setdefault(label[-1], [-1, {}])[0] = token
         return root
 
-    def _edge(self, token: int, right: bool) -> list[tuple[int, int]]:
-        """The parts of a token on one edge, each with the rank at which it goes up in a larger part."""
-        got = self.edges.get((token, right))
-        if got is None:
-            got, part, until = [], token, 1 << 40
-            while True:
-                got.append((part, until))
-                if part not in self.made:
-                    break
-                until, x, y = self.made[part]
-                part = y if right else x
-            self.edges[token, right] = got
-        return got
-
-    def allowed(self, before: int, token: int) -> bool:
-        """Whether the state entered by one token has an arc for the other."""
-        key = before * self._last + token
-        got = self.cells.get(key)
-        if got is None:
-            got, rank = True, self.rank
-            left = self._edge(token, False)
-            for x, x_until in self._edge(before, True):
-                for y, y_until in left:
-                    r = rank.get((x, y))
-                    # Merges run from the left: at equal ranks the left token's own merge comes first.
-                    if r is not None and r < x_until and r <= y_until:
-                        got = False
-                        break
-                if not got:
-                    break
-            if len(self.cells) >= CACHE_CELLS:
-                self.cells.clear()
-            self.cells[key] = got
-        return got
-
     def path(self, word: bytes) -> list[int]:
         """The tokens of the one path that spells the word.
 
         Longer arcs are tried first. Each start of the word has one path only, so a place
         from which no arc leads on is never entered again.
         """
-        n = len(word)
-        cells, width, root = self.cells, self._last, self.arcs
+        n, root = len(word), self.arcs
+        place, width, first, last = self.table.place, self.table.width, self.table.first, self.table.last
         i, before, out, dead, stack = 0, -1, [], set(), []
         while i < n:
             node, j, arcs = root, i, []
@@ -128,6 +97,7 @@ class Automaton:
                 j += 1
                 if token >= 0:
                     arcs.append((token, j))
+            base = width * place[before] if before >= 0 else 0
             while True:
                 while arcs:
                     token, j = arcs.pop()
@@ -135,15 +105,15 @@ class Automaton:
                         continue
                     if before < 0:
                         break
-                    ok = cells.get(before * width + token)
-                    if ok is None:
-                        ok = self.allowed(before, token)
-                    if ok:
+                    cell = base + place[token]
+                    k = bisect_right(first, cell) - 1
+                    if k < 0 or cell >= last[k]:
                         break
                 else:
                     dead.add(i)
                     out.pop()
                     i, before, arcs = stack.pop()
+                    base = width * place[before] if before >= 0 else 0
                     continue
                 break
             stack.append((i, before, arcs))
@@ -197,6 +167,82 @@ class Automaton:
         return b"".join([labels[i] for i in ids])
 
 
+@dataclass
+class Table:
+    """The compiled automaton: the arcs that each state lacks.
+
+    place: a number for each token that a path can have; the arc of token t in the state that
+    token b enters is cell place[b] * width + place[t]; it is missing if the cell lies in
+    first[k] to last[k] - 1 for some k. The start has all arcs.
+    """
+
+    place: dict[int, int]
+    width: int
+    first: list[int]
+    last: list[int]
+
+    def has(self, before: int, token: int) -> bool:
+        cell = self.place[before] * self.width + self.place[token]
+        k = bisect_right(self.first, cell) - 1
+        return k < 0 or cell >= self.last[k]
+
+
+def compiled(letters: list[int], merges: list[tuple[int, int, int]]) -> Table:
+    """Apply the gadget of each merge (left, right, token) in order of rank to the automaton of the letters."""
+    never = len(merges)
+    right: dict[int, list[tuple[int, int]]] = {t: [(t, never)] for t in letters}  # the parts on a token's right edge, each with the gadget at which it went up
+    left: dict[int, list[tuple[int, int]]] = {t: [(t, never)] for t in letters}
+    begins: dict[int, list[tuple[int, int]]] = {}  # of a token, the merges that it begins, by rank
+    taken: dict[int, list[tuple[int, int]]] = {}  # of a state, (rank, token whose arc a gadget takes away)
+    gone: set[tuple[int, int]] = set()
+    rank_of: dict[tuple[int, int], int] = {}
+    for rank, (x, y, xy) in enumerate(merges):
+        if x not in right or y not in right or xy in right:
+            continue
+        # A state has the ranges of the right edge's parts up to when each was copied.
+        if any((a, b) in gone and rank_of[a, b] < a_until and rank_of[a, b] <= b_until for a, a_until in right[x] for b, b_until in left[y]):
+            continue
+        gone.add((x, y))
+        rank_of[x, y] = rank
+        taken.setdefault(x, []).append((rank, y))
+        begins.setdefault(x, []).append((rank, xy))
+        right[xy] = [(xy, never), (y, rank), *((part, min(until, rank)) for part, until in right[y][1:])]
+        left[xy] = [(xy, never), (x, rank), *left[x][1:]]
+    # Number the tokens so that those which begin with y follow it, the latest merged first.
+    place, end, stack = {}, {}, [(t, False) for t in reversed(letters)]
+    while stack:
+        t, done = stack.pop()
+        if done:
+            end[t] = len(place)
+            continue
+        place[t] = len(place)
+        stack.append((t, True))
+        stack.extend((z, False) for _, z in begins.get(t, ()))  # by rank, so the latest comes off first
+    ranges = {}
+    for x, lost in taken.items():
+        los, his = [], []
+        for rank, y in lost:
+            later = begins.get(y, ())
+            at = bisect_left(later, (rank, -1))
+            los.append(place[y])
+            his.append(end[later[at][1]] if at < len(later) else place[y] + 1)
+        ranges[x] = [r for r, _ in lost], np.array(los, dtype=np.int64), np.array(his, dtype=np.int64)
+    width, firsts, lasts = len(place), [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for t, k in place.items():
+        for part, until in right[t]:
+            if part in ranges:
+                ranks, los, his = ranges[part]
+                n = bisect_left(ranks, until)
+                firsts.append(los[:n] + k * width)
+                lasts.append(his[:n] + k * width)
+    first, last = np.concatenate(firsts), np.concatenate(lasts)
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], np.maximum.accumulate(last[order]) if len(order) else last
+    new = np.append(True, first[1:] > last[:-1]) if len(first) else np.empty(0, dtype=bool)
+    starts = np.flatnonzero(new)
+    return Table(place, width, first[starts].tolist(), np.maximum.reduceat(last, starts).tolist() if len(starts) else [])
+
+
 #: How byte-level vocabularies split text into words before any merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Larger pieces that are split alike: white space, or what is between, with the blank before it.
