@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -28,9 +28,11 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="cladeflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -41,9 +43,28 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for scope in _scopes:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+def stored_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make returns as a scratch table; all other scratch tables written on the way are removed, as nothing reads them any more."""
+    _scopes.append([])
+    try:
+        out = scratch_table(make(), name)
+    finally:
+        written = _scopes.pop()
+    spark = out.sparkSession
+    for path in written[:-1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return out
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text of documents, a null text as the empty one; other columns are left behind."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

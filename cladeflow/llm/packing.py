@@ -3,8 +3,8 @@
 Lengths are at most the sequence length, so the plan for any number of pieces follows
 from how many pieces have each length: equal lengths, and equally filled bins, are
 handled as one group. A segment tree over remaining capacities finds the tightest open
-bins in logarithmic time. The plan has a few rows per length, a number that does not
-grow with the corpus; pieces take their places by their rank among those of their length.
+bins in logarithmic time. The plan has at most some thousands of rows per length, for any
+corpus; pieces take their places by their rank among those of their length.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def pack_lengths(counts: dict[int, int], size: int) -> list[tuple[int, int, int,
     return plan
 
 
-def _pieces(size: int, end_id: int, path: str, keep_ids: bool):
+def _pieces(size: int, end_id: int, path: str, keep_ids: bool, id_bytes: int):
     end = int(end_id).to_bytes(4, "little")
     names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * keep_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
@@ -109,7 +109,7 @@ def _pieces(size: int, end_id: int, path: str, keep_ids: bool):
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     n = len(part) // 4
-                    rows.append((doc, k, at // 4, n, zlib.crc32(part), block, seen[n], *([np.frombuffer(part, "<u4").astype("<u2").tobytes()] * keep_ids)))
+                    rows.append((doc, k, at // 4, n, zlib.crc32(part), block, seen[n], *([np.frombuffer(part, "<u4").astype(f"<u{id_bytes}").tobytes()] * keep_ids)))
                     seen[n] += 1
             columns = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names)
@@ -117,33 +117,58 @@ def _pieces(size: int, end_id: int, path: str, keep_ids: bool):
     return run
 
 
+def id_bytes(path: str, *others: int) -> int:
+    """Bytes that hold each id of the vocabulary and the other ids: 2 or 4."""
+    return 2 if max(word_tokenizer(path).tokenizer.get_vocab_size() - 1, *others) < 1 << 16 else 4
+
+
 def pieces(docs: DataFrame, size: int, end_id: int, path: str, keep_ids: bool = False) -> DataFrame:
     """The pieces of every document: its ids, then the end id, cut only where they exceed a sequence.
 
     block is the task that made a piece, own its rank there among those of its length; both
     hold once the pieces are stored. With keep_ids, ids holds a piece's ids as little-endian
-    unsigned 16-bit integers.
+    unsigned integers of ``id_bytes`` bytes.
     """
     bounded_batches(docs.sparkSession)
+    wide = id_bytes(path, end_id) if keep_ids else 4
     t = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return t.mapInArrow(_pieces(size, end_id, path, keep_ids), PIECES + (", ids binary" if keep_ids else ""))
+    return t.mapInArrow(_pieces(size, end_id, path, keep_ids, wide), PIECES + (", ids binary" if keep_ids else ""))
+
+
+def by_slot(plan: list[tuple[int, int, int, int, int]]) -> tuple[dict[int, int], list[tuple[int, int, int, int, int, int]]]:
+    """Ranks of a slot for each length, and the plan's rows (length, slot, first rank, last rank + 1, first bin, offset), once for each slot that they touch.
+
+    A length has as many slots as plan rows, so a plan row touches two slots, and a piece meets
+    two plan rows, in the mean.
+    """
+    of: dict[int, list] = {}
+    for row in plan:
+        of.setdefault(row[0], []).append(row)
+    each = {length: max(1, rows[-1][2] // len(rows)) for length, rows in of.items()}
+    return each, [(length, slot, lo, hi, first, at) for length, lo, hi, first, at in plan for slot in range(lo // each[length], (hi - 1) // each[length] + 1)]
 
 
 def place(cut: DataFrame, size: int) -> DataFrame:
     """cut with sequence_id and offset in place of block and own; cut must be a stored table, as it is read twice.
 
-    Pieces don't move: what they need is one row for each length and block.
+    Pieces don't move: what they need is one row for each length and block, and the few plan
+    rows of their length and slot.
     """
     spark = cut.sparkSession
     sizes = scratch_table(cut.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row per length: at most size
     plan = pack_lengths(counts, size)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")
-    starts = sizes.select("length", "block", before.alias("_before"))
+    each, steps = by_slot(plan)
+    widths = spark.createDataFrame(list(each.items()) or [(0, 1)], "length long, _each long")  # one row per length
+    starts = sizes.select("length", "block", before.alias("_before")).join(F.broadcast(widths), "length")
     if sizes.count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
-    steps = spark.createDataFrame(plan or [(0, 0, 0, 0, 0)], "length long, lo long, hi long, bin long, offset long")  # a few rows per length
-    ranked = cut.join(starts, ["length", "block"]).withColumn("_rank", F.col("_before") + F.col("own")).join(F.broadcast(steps), "length")
+    slots = spark.createDataFrame(steps or [(0, 0, 0, 0, 0, 0)], "length long, _slot long, lo long, hi long, bin long, offset long")
+    if len(steps) <= BROADCAST_ROWS:
+        slots = F.broadcast(slots)
+    rank = F.col("_before") + F.col("own")
+    ranked = cut.join(starts, ["length", "block"]).withColumns({"_rank": rank, "_slot": F.floor(rank / F.col("_each"))}).join(slots, ["length", "_slot"])
     kept = [c for c in cut.columns if c not in ("block", "own")]
     return ranked.filter((F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))).select(*kept, (F.col("bin") + F.col("_rank") - F.col("lo")).alias("sequence_id"), "offset")
 

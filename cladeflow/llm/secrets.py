@@ -56,11 +56,8 @@ _OF = alphabet()
 def candidates(text: bytes) -> list[tuple[int, int]]:
     """Byte spans of candidates, in order and apart."""
     found = []
-    at = 0
     if len(text) >= MIN_RUN:
-        for word in set(w for w in text.split() if len(w) >= MIN_RUN):
-            runs = [m.span() for m in _RUN.finditer(word) if likely(m[0])]
-            found += [(at + a, at + b) for at in _places(text, word) for a, b in runs] if runs else []
+        found += [m.span() for m in _RUN.finditer(text) if likely(m[0])]
         if _AFTER_HINT.search(text):
             found += [m.span(1) for m in _AFTER.finditer(text)]
     if _HINT.search(text):
@@ -78,13 +75,6 @@ def likely(run: bytes) -> bool:
     return any(48 <= c <= 57 for c in run) or _MIXED.search(run) is not None or _PREFIXES.search(run) is not None
 
 
-def _places(text: bytes, word: bytes) -> Iterator[int]:
-    at = text.find(word)
-    while at >= 0:
-        yield at
-        at = text.find(word, at + len(word))
-
-
 @dataclass
 class Corpus:
     """log probability of each symbol after each, and the hashed numbers of the dictionary's words."""
@@ -273,7 +263,8 @@ class Forest:
                     gain = np.where(ok, parent - (n_low * a * (1 - a) + (len(rows) - n_low) * b * (1 - b)) / len(rows), -1)
                     k = int(gain.argmax())
                     if gain[k] > best[0]:
-                        best = (float(gain[k]), f, float((v[k] + v[k + 1]) / 2))
+                        middle = float((v[k] + v[k + 1]) / 2)
+                        best = (float(gain[k]), f, middle if middle < v[k + 1] else float(v[k]))  # of two floats side by side, the lower
                 if best[1] < 0:
                     return at
                 low = x[rows, best[1]] <= best[2]

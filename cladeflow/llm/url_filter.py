@@ -46,7 +46,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits, as host and path in a row, and its verdict; null where none fits."""
     rule = verdict = F.lit(None).cast("string")
-    for say, name, start in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
+    for say, name, start in sorted(reversed(rules), key=lambda r: len(r[1]) + len(r[2])):
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(start)
         rule, verdict = F.when(fits, F.lit(name + start)).otherwise(rule), F.when(fits, F.lit(say)).otherwise(verdict)
     return rule, verdict
@@ -176,9 +176,11 @@ class UrlModel:
 def fit(labelled: DataFrame) -> UrlModel:
     """labelled: url, host, path and label (1 unwanted, 0 wanted)."""
     known = labelled.filter(F.col("label").isNotNull() & F.col("url").isNotNull())
+    # A URL counts once, with the mean of its labels, however many rows have it.
+    known = scratch_table(known.groupBy("url", "host", "path").agg(F.avg("label").alias("label")), "labelled-urls")
     total = known.count()
     part = min(1.0, TRAIN_ROWS / max(total, 1))
-    chosen = known.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(part * (1 << 20)) if part < 1 else F.lit(True))
+    chosen = known.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 62)) < int(part * (1 << 62)) if part < 1 else F.lit(True))
     wide = scratch_table(features(chosen), "url-features")
     n, positive = wide.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     overall = (positive + 1) / (n + 2)

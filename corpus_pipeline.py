@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cladeflow.llm import stages
-from cladeflow.llm.common import scratch_table
+from cladeflow.llm.common import stored_alone
 
 STAGES = [
     ("quality_rules", stages.quality_rules),
@@ -24,8 +24,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply every stage to ``documents``; each result is written as Parquet and read again."""
+    """Apply every stage to ``documents``; each result is written as Parquet and read again, and then what the stage stored on the way is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch_table(stage(spark, docs, sf_dir), name)
+        docs = stored_alone(lambda: stage(spark, docs, sf_dir), name)  # noqa: B023, called at once
     return STAGES[-1][1](spark, docs, sf_dir)
