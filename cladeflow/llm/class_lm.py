@@ -3,7 +3,8 @@
 The corpus is cut into blocks, each a row with its own word list and its texts as numbers
 in that list. The words of all blocks are counted in one aggregation, and what is known of
 a word comes back to the blocks by a shuffle, so no worker or driver ever holds the
-vocabulary.
+vocabulary; only what is known of the core is sent to all, so no word of that shuffle is in
+more than one of FREQUENT tokens.
 
 Clustering has two steps. The FREQUENT most frequent words are the core; exchange clustering
 moves them between classes, one at a time, to the class that gains most likelihood, over the
@@ -45,6 +46,7 @@ BLOCK = "block long, doc_ids binary, no_id binary, held binary, sizes binary, lo
 SLOTS = 2 * CLASSES  # classes before a word, then classes after it
 AROUND = np.dtype([("slot", "u1"), ("n", "<u4")])
 WORD_ROWS = "block long, place int, word binary, n long"
+PLACED = "block long, place int, n long, mark int"
 MARKED = "doc_id long, held_out boolean, n_known long, logs double, classes binary, types binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -123,7 +125,7 @@ def _codes(low: bytes, high: bytes) -> np.ndarray:
 
 
 def _around(model: ClassModel):
-    """The rows of ``_word_rows`` with a list of AROUND: how often core words of each class stand beside a word that is not one, in training texts."""
+    """The rows of ``_word_rows`` that are not of core words, with a list of AROUND: how often core words of each class stand beside the word in training texts."""
     first, end = len(model.core), model.of[model.core[END]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +134,9 @@ def _around(model: ClassModel):
                 block, held, sizes, low, high, counts = (batch.column(k)[i].as_py() for k in (0, 1, 2, 3, 4, 6))
                 words = batch.column(5)[i].values
                 u = units(words.to_pylist(), model.core)
-                own = np.where(u < first, model.of[u], -1)
+                k_of = np.where(u < first, model.of[u], -1)
                 codes = _codes(low, high)
-                k = own[codes]
+                k = k_of[codes]
                 # An end closes each text and is in the core, so a word's neighbours are of its own text.
                 learn = ~np.repeat(np.frombuffer(held, dtype=bool), np.frombuffer(sizes, dtype="<i8")) & (k < 0)
                 before, after = np.concatenate([[end], k[:-1]]), np.concatenate([k[1:], [-1]])
@@ -143,20 +145,38 @@ def _around(model: ClassModel):
                 keys, n = np.unique(np.concatenate([at[left] + before[left], at[right] + CLASSES + after[right]]), return_counts=True)
                 entries = np.empty(len(keys), dtype=AROUND)
                 entries["slot"], entries["n"] = keys % SLOTS, n
-                counts = np.frombuffer(counts, dtype="<i8")
-                bounds = np.searchsorted(keys // SLOTS, np.arange(len(counts) + 1))
-                for at in range(0, len(counts), 20_000):
-                    to = min(len(counts), at + 20_000)
+                counts, rest = np.frombuffer(counts, dtype="<i8"), np.flatnonzero(k_of < 0).astype(np.int32)
+                # Core words have no entries, so those of the rest lie side by side.
+                bounds = np.append(np.searchsorted(keys // SLOTS, rest), len(keys))
+                for at in range(0, len(rest), 20_000):
+                    to = min(len(rest), at + 20_000)
                     own_bounds = ((bounds[at : to + 1] - bounds[at]) * AROUND.itemsize).astype("<i4")
                     own_entries = entries[bounds[at] : bounds[to]].tobytes()
                     around = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(own_bounds.tobytes()), pa.py_buffer(own_entries)])
+                    part = rest[at:to]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(to - at, block)), pa.array(np.arange(at, to, dtype=np.int32)), words[at:to], pa.array(counts[at:to]), around], ["block", "place", "word", "n", "around"]
+                        [pa.array(np.full(to - at, block)), pa.array(part), words.take(pa.array(part)), pa.array(counts[part]), around], ["block", "place", "word", "n", "around"]
                     )
 
     return run
 
 
+def _core_rows(model: ClassModel):
+    """block, place, n and mark of the core words of each block; their counts and classes are known to all, so their rows need not meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                u = np.fromiter((model.core.get(w, -1) for w in words.values.to_pylist()), dtype=np.int64, count=len(words.values))
+                at = np.flatnonzero(u >= 0)
+                u = u[at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), block)), pa.array(at.astype(np.int32)), pa.array(model.core_n[u]), pa.array((2 * model.of[u]).astype(np.int32))], ["block", "place", "n", "mark"]
+                )
+
+    return run
+
+
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column in a row, and the bounds of its values."""
     bounds = np.frombuffer(column.buffers()[1], dtype="<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -185,8 +205,8 @@ def place(word: np.ndarray, slot: np.ndarray, n: np.ndarray, default: np.ndarray
 
 
 def _placed(model: ClassModel):
-    """block, place, n and mark of all rows of a word: its count, and twice its class, plus one in the first row of a training word."""
-    first, log_beside = len(model.core), model.beside()
+    """block, place, n and mark of all rows of a word that is not of the core: its count, and twice its class, plus one in the first row of a training word."""
+    log_beside = model.beside()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
@@ -199,7 +219,7 @@ def _placed(model: ClassModel):
         entries = data.view(AROUND)
         u = units(words, model.core)
         owner = np.repeat(word.astype(np.int64), np.diff(bounds) // AROUND.itemsize)
-        k = np.where(u < first, model.of[u], place(owner, entries["slot"].astype(np.int64), entries["n"], model.of[u], log_beside))
+        k = place(owner, entries["slot"].astype(np.int64), entries["n"], model.of[u], log_beside)
         mark = 2 * k[word]
         mark[np.unique(word, return_index=True)[1]] += n > 0
         out = pa.table({"block": rows["block"], "place": rows["place"], "n": pa.array(n[word]), "mark": pa.array(mark.astype(np.int32))})
@@ -288,13 +308,14 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, n_units: int, n
 class ClassModel:
     """What exchange clustering of the core gives.
 
-    core: units of frequent words; of: class of each unit; transition: log10 P(c | b); emission: log10 P(u | class of u).
+    core: units of frequent words; core_n: their training counts; of: class of each unit; transition: log10 P(c | b); emission: log10 P(u | class of u).
 
     spelling_total holds log10 of what a spelling unit's word counts are divided by; beside_n
     has the counts of pairs of core words by class.
     """
 
     core: dict[bytes, int]
+    core_n: np.ndarray
     of: np.ndarray
     transition: np.ndarray
     emission: np.ndarray
@@ -327,7 +348,8 @@ def fit(blocks: DataFrame, vocabulary: DataFrame) -> ClassModel:
     """blocks as stored by ``cut``; vocabulary has word and n, its training count, zero if there is none."""
     seen = vocabulary.filter("n > 0")
     spelled = F.crc32(F.substring("word", -2, 2)) % SPELLINGS
-    often = [(bytes(r["word"]), r["n"]) for r in seen.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    ends = seen.filter(F.col("word") == F.lit(END))
+    often = [(bytes(r["word"]), r["n"]) for r in seen.orderBy(F.desc("n"), "word").limit(FREQUENT).unionByName(ends).distinct().collect()]
     core = {w: i for i, w in enumerate([END, *sorted(w for w, _ in often if w != END)])}
     n_units = len(core) + SPELLINGS
     spelled_n = seen.filter(F.col("word") != F.lit(END)).groupBy(spelled.alias("s")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
@@ -351,11 +373,14 @@ def fit(blocks: DataFrame, vocabulary: DataFrame) -> ClassModel:
     emission = np.log10((unit_n + 0.5) / (class_n + 0.5 * members)[of])
     beside_n, both = np.zeros((CLASSES, CLASSES)), (left < len(core)) & (right < len(core))
     np.add.at(beside_n, (of[left[both]], of[right[both]]), n[both])
-    return ClassModel(core, of, transitions(cc), emission, np.log10(total), beside_n)
+    core_n = np.zeros(len(core), dtype=np.int64)
+    for w, k in often:
+        core_n[core[w]] = k
+    return ClassModel(core, core_n, of, transitions(cc), emission, np.log10(total), beside_n)
 
 
 def _marked(block: pa.Table, counts: pa.Table) -> pa.Table:
-    """The texts of a block as classes, with the sum of log10 of their counts plus a half; types, the training words of each class first met here, in the first row."""
+    """The texts of a block as classes, with the sum of log10 of their counts plus a half; types, the training words of each class first met here, the core aside, in the first row."""
     if not block.num_rows:
         return _MARKED.empty_table()
     row = block.to_pylist()[0]
@@ -423,6 +448,7 @@ class Scorer:
         for r in marked.select("held_out", "classes", "types").mapInArrow(_class_counts(end), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
             n[r["cell"]] = r["n"]
         cc, types = n[: CLASSES * CLASSES].reshape(CLASSES, CLASSES).astype(float), n[CLASSES * CLASSES :]
+        types = types + np.bincount(model.of[: len(model.core)][model.core_n > 0], minlength=CLASSES)
         spellings = np.bincount(model.of[len(model.core) :], minlength=CLASSES)
         total = np.log10(np.maximum(cc.sum(0) + 0.5 * (types + spellings), 0.5))
         return cls(end, transitions(cc), total, int(cc.sum()), int(types.sum()))
@@ -455,10 +481,12 @@ def class_lm(docs: DataFrame) -> DataFrame:
     blocks = cut(docs)
     rows = blocks.select("block", "words", "counts").mapInArrow(_word_rows, WORD_ROWS)
     model = fit(blocks, scratch_table(rows.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary"))
-    whole = blocks.select("block", "doc_ids", "no_id", "held", "sizes", "low", "high")
+    n_blocks = max(1, blocks.count())  # tasks that grow with the corpus: about one block each
+    whole = blocks.select("block", "doc_ids", "no_id", "held", "sizes", "low", "high").repartition(n_blocks, "block")
     near = blocks.select("block", "held", "sizes", "low", "high", "words", "counts").mapInArrow(_around(model), WORD_ROWS + ", around binary")
-    placed = near.repartition("word").mapInArrow(_placed(model), "block long, place int, n long, mark int")
-    marked = scratch_table(whole.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(_marked, MARKED), "classes")
+    placed = near.repartition(n_blocks, "word").mapInArrow(_placed(model), PLACED)
+    every = placed.unionByName(blocks.select("block", "words").mapInArrow(_core_rows(model), PLACED)).repartition(n_blocks, "block")
+    marked = scratch_table(whole.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_marked, MARKED), "classes")
     scorer = Scorer.fit(marked, model)
     scored = marked.select("doc_id", "held_out", "n_known", "logs", "classes").mapInArrow(scorer.run, SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(scorer.tokens).cast("long").alias("train_tokens"), "base_score", "score")
