@@ -69,13 +69,13 @@ class Automaton:
         self.words: dict[bytes, bytes] = {}
 
     def _trie(self) -> dict:
-        """Nested tables from a byte to (token or -1, table)."""
+        """Nested tables from a byte to (place of a token or -1, table)."""
         root: dict = {}
-        for token in self.table.place:
+        for token, place in self.table.place.items():
             node, label = root, self.labels[token]
             for b in label[:-1]:
                 node = node.setdefault(b, [-1, {}])[1]
-            node.setdefault(label[-1], [-1, {}])[0] = token
+            node.setdefault(label[-1], [-1, {}])[0] = place
         return root
 
     def path(self, word: bytes) -> list[int]:
@@ -85,8 +85,8 @@ class Automaton:
         from which no arc leads on is never entered again.
         """
         n, root = len(word), self.arcs
-        place, width, first, last = self.table.place, self.table.width, self.table.first, self.table.last
-        i, before, out, dead, stack = 0, -1, [], set(), []
+        bounds, first, last = self.table.bounds, self.table.first, self.table.last
+        i, out, dead, stack, lo, hi = 0, [], set(), [], 0, 0
         while i < n:
             node, j, arcs = root, i, []
             while j < n:
@@ -97,29 +97,25 @@ class Automaton:
                 j += 1
                 if token >= 0:
                     arcs.append((token, j))
-            base = width * place[before] if before >= 0 else 0
             while True:
                 while arcs:
                     token, j = arcs.pop()
                     if j in dead:
                         continue
-                    if before < 0:
-                        break
-                    cell = base + place[token]
-                    k = bisect_right(first, cell) - 1
-                    if k < 0 or cell >= last[k]:
+                    k = bisect_right(first, token, lo, hi) - 1
+                    if k < lo or token >= last[k]:
                         break
                 else:
                     dead.add(i)
                     out.pop()
-                    i, before, arcs = stack.pop()
-                    base = width * place[before] if before >= 0 else 0
+                    i, arcs, lo, hi = stack.pop()
                     continue
                 break
-            stack.append((i, before, arcs))
+            stack.append((i, arcs, lo, hi))
             out.append(token)
-            i, before = j, token
-        return out
+            i, lo, hi = j, bounds[token], bounds[token + 1]
+        tokens = self.table.tokens
+        return [tokens[p] for p in out]
 
     def piece(self, piece: str) -> bytes:
         """The ids of the pre-split words of a piece that holds white space at its start alone."""
@@ -171,20 +167,22 @@ class Automaton:
 class Table:
     """The compiled automaton: the arcs that each state lacks.
 
-    place: a number for each token that a path can have; the arc of token t in the state that
-    token b enters is cell place[b] * width + place[t]; it is missing if the cell lies in
-    first[k] to last[k] - 1 for some k. The start has all arcs.
+    place: a number for each token that a path can have, and tokens the reverse. The state that
+    token b enters has the ranges k from bounds[place[b]] to bounds[place[b] + 1] - 1, in order
+    and apart; it lacks the arc of token t if place[t] is from first[k] to last[k] - 1 for one
+    of them. The start has all arcs.
     """
 
     place: dict[int, int]
-    width: int
+    tokens: list[int]
+    bounds: list[int]
     first: list[int]
     last: list[int]
 
     def has(self, before: int, token: int) -> bool:
-        cell = self.place[before] * self.width + self.place[token]
-        k = bisect_right(self.first, cell) - 1
-        return k < 0 or cell >= self.last[k]
+        b, t = self.place[before], self.place[token]
+        k = bisect_right(self.first, t, self.bounds[b], self.bounds[b + 1]) - 1
+        return k < self.bounds[b] or t >= self.last[k]
 
 
 def compiled(letters: list[int], merges: list[tuple[int, int, int]]) -> Table:
@@ -238,9 +236,12 @@ def compiled(letters: list[int], merges: list[tuple[int, int, int]]) -> Table:
     first, last = np.concatenate(firsts), np.concatenate(lasts)
     order = np.argsort(first, kind="stable")
     first, last = first[order], np.maximum.accumulate(last[order]) if len(order) else last
-    new = np.append(True, first[1:] > last[:-1]) if len(first) else np.empty(0, dtype=bool)
+    state = first // max(width, 1)
+    new = np.append(True, (first[1:] > last[:-1]) | (state[1:] > state[:-1])) if len(first) else np.empty(0, dtype=bool)
     starts = np.flatnonzero(new)
-    return Table(place, width, first[starts].tolist(), np.maximum.reduceat(last, starts).tolist() if len(starts) else [])
+    state, first, last = state[starts], first[starts], np.maximum.reduceat(last, starts) if len(starts) else last
+    bounds = np.searchsorted(state, np.arange(width + 1))
+    return Table(place, list(place), bounds.tolist(), (first - state * width).tolist(), (last - state * width).tolist())
 
 
 #: How byte-level vocabularies split text into words before any merge.
