@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.llm.common import bounded_batches, in_chunks, remainder, scratch_table, worker_store
-from cladeflow.llm.quality import BITS, alphabet
+from cladeflow.llm.quality import BITS, alphabet, merged
 
 #: Penalty, in natural logarithm, of a switch; smoothing count of a trigram; share of letters below which a script is foreign.
 SWITCH, SMOOTH, FOREIGN = 18.0, 0.5, 0.005
 #: What a word of a foreign script costs a language.
 BARRED = 60.0
+#: Counts that a task holds at once, of all languages together; beyond it they go to the shuffle.
+HELD_CELLS = 4_000_000
 N_GRAMS = 1 << (3 * BITS)
 SPANS = "array<struct<first_word:int,n_words:int,lang:string>>"
 _OF = alphabet()
@@ -71,8 +73,8 @@ def trigrams(data: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker_store("language_id")
-    grams: dict[str, np.ndarray] = {}
-    letters: dict[str, np.ndarray] = {}
+    parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    held = 0
     for batch in batches:
         by: dict[str, list[bytes]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -81,42 +83,64 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in in_chunks(texts):
                 data, _ = joined(part)
                 g = trigrams(data)
-                n = np.bincount(g[(g & np.uint32(4095)) != 0], minlength=N_GRAMS)  # not within white space
-                grams[lang] = grams[lang] + n if lang in grams else n
-                n = np.bincount(_SCRIPT[data], minlength=N_SCRIPTS)
-                letters[lang] = letters[lang] + n if lang in letters else n
-    for lang in grams:
-        for first, n in ((0, grams[lang]), (N_GRAMS, letters[lang])):
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at + first), pa.array(n[at])], ["lang", "gram", "n"])
+                keys, n = np.unique(g[(g & np.uint32(4095)) != 0], return_counts=True)  # not within white space
+                script = np.bincount(_SCRIPT[data], minlength=N_SCRIPTS)
+                used = np.flatnonzero(script)
+                own = parts.setdefault(lang, [])
+                own.append((np.append(keys.astype(np.int64), used + N_GRAMS), np.append(n, script[used])))
+                held += len(keys)
+                if len(own) > 16:
+                    parts[lang] = [merged(own)]
+                if held > HELD_CELLS:
+                    yield from _flush(parts)
+                    parts, held = {}, 0
+    yield from _flush(parts)
+
+
+def _flush(parts: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    for lang, own in parts.items():
+        at, n = merged(own)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n)], ["lang", "gram", "n"])
 
 
 @dataclass
 class LanguageModel:
-    """langs in order; logs[gram, lang]; barred[script, lang]: what a word of that script costs."""
+    """langs in order; row[gram]: the row of logs that a trigram has, 0 if it was not seen; logs[row, lang]; barred[script, lang]: what a word of that script costs."""
 
     langs: list[str]
+    row: np.ndarray
     logs: np.ndarray
     barred: np.ndarray
 
 
 def learn(rows: DataFrame) -> LanguageModel:
-    """rows: lang and text (binary) of the documents to learn from. The model has N_GRAMS numbers for each language."""
+    """rows: lang and text (binary) of the documents to learn from.
+
+    The model has, for each language, one number for each trigram that any language uses: of
+    the N_GRAMS possible ones, some thousands.
+    """
     counts = scratch_table(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams").toArrow()
     names = counts["lang"].to_pylist()
     langs = sorted(set(names))
     of = {x: k for k, x in enumerate(langs)}
     at = np.fromiter((of[x] for x in names), dtype=np.int64, count=len(names))
-    full = np.zeros((N_GRAMS + N_SCRIPTS, len(langs)))
-    full[counts["gram"].to_numpy(), at] = counts["n"].to_numpy()
-    grams, letters = full[:N_GRAMS], full[N_GRAMS:].copy()
-    logs = np.log(grams + SMOOTH) - np.log(grams.sum(0) + SMOOTH * N_GRAMS)
+    gram, n = counts["gram"].to_numpy(), counts["n"].to_numpy()
+    used = np.unique(gram[gram < N_GRAMS])
+    row = np.zeros(N_GRAMS, dtype=np.int32)
+    row[used] = 1 + np.arange(len(used))
+    logs, letters = np.full((len(used) + 1, len(langs)), SMOOTH, dtype=np.float32), np.zeros((N_SCRIPTS, len(langs)))
+    of_gram = gram < N_GRAMS
+    total = np.bincount(at[of_gram], weights=n[of_gram], minlength=len(langs))
+    logs[row[gram[of_gram]], at[of_gram]] += n[of_gram]
+    np.log(logs, out=logs)
+    logs -= np.log(total + SMOOTH * N_GRAMS).astype(np.float32)
+    letters[gram[~of_gram] - N_GRAMS, at[~of_gram]] = n[~of_gram]
     letters[0] = 0
     share = letters / np.maximum(letters.sum(0), 1)
     barred = np.where(share < FOREIGN, BARRED, 0.0)
     barred[barred.min(1, initial=0) > 0] = 0  # a script that no language uses leaves all of them
     barred[0] = 0
-    return LanguageModel(langs, logs.astype(np.float32), barred)
+    return LanguageModel(langs, row, logs, barred)
 
 
 def word_scores(model: LanguageModel, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +150,7 @@ def word_scores(model: LanguageModel, texts: list[bytes]) -> tuple[np.ndarray, n
     first = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
     last = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1  # the blank after a word
     sums = np.zeros((len(data) - 1, len(model.langs)))
-    np.cumsum(model.logs[trigrams(data)], axis=0, dtype=np.float64, out=sums[1:])
+    np.cumsum(model.logs[model.row[trigrams(data)]], axis=0, dtype=np.float64, out=sums[1:])
     score = sums[last - 1] - sums[first - 2]
     if data.max(initial=0) >= 0xCA:
         by = np.zeros((len(first), N_SCRIPTS))

@@ -26,8 +26,8 @@ ORDER, BITS = 4, 6
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Documents with more symbols than this percentage of their words don't count as language.
 MAX_SYMBOL_PERCENT = 10
-#: Widths of the bands, in standard deviations as the quartiles give them; and the least that is assumed, in log10 per byte.
-UPPER, LOWER, LEAST_SPREAD = 8.0, 8.0, 0.02
+#: Widths of the bands, in standard deviations as the quartiles give them; and the least deviation that is assumed, in log10 per byte, which short texts of a very uniform language need.
+UPPER, LOWER, LEAST_SPREAD = 8.0, 8.0, 0.012
 SYMBOLS = b"#*$%&|<>"
 RULES = "doc_id long, language string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, language_like boolean"
 
@@ -105,7 +105,7 @@ def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g[np.cumsum(keep[: len(g)]) > 0], sizes
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sums of counts by key."""
     keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
@@ -118,8 +118,8 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in in_chunks([t for t in batch.column(0).to_pylist() if t]):
             parts.append(np.unique(codes(texts)[0], return_counts=True))
             if len(parts) > 16:
-                parts = [_merged(parts)]
-    keys, n = _merged(parts)
+                parts = [merged(parts)]
+    keys, n = merged(parts)
     for at in range(0, len(keys), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000].astype(np.int64)), pa.array(n[at : at + 50_000])], ["gram", "n"])
 
