@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,19 +96,22 @@ def reconcile_all(tables: DataFrame, species: str, rates: Rates | DataFrame, n_s
     sampled = reconcile.samples(tables, species, rates, n_samples, seed)
     ev = reconcile.events(sampled)
     fits = rates if isinstance(rates, DataFrame) else reconcile.loglik(tables, species, rates).select("family", "logl", *(F.lit(x).alias(n) for n, x in (("delta", rates.delta), ("tau", rates.tau), ("lambda", rates.lambda_))))
-    means, totals = event_tables.branch_means(ev, n_samples), event_tables.totals(ev, n_samples)
+    means, totals, seen = event_tables.branch_means(ev, n_samples), event_tables.totals(ev, n_samples), event_tables.presence(ev, n_samples)
+    terms = reconcile.branch_terms(tables, species, rates)
     tree = read_species_tree(species)
     return {
-        "fits": fits, "samples": sampled, "events": ev, "branches": means, "totals": totals, "presence": event_tables.presence(ev, n_samples),
-        "transfers": writers.transfer_list(event_tables.transfer_matrix(ev, n_samples), tree), "report": writers.report(fits, totals, means, sampled, tree),
+        "fits": fits, "samples": sampled, "events": ev, "branches": means, "totals": totals, "presence": seen, "terms": terms,
+        "transfers": writers.transfer_list(event_tables.transfer_matrix(ev, n_samples), tree), "report": writers.report(fits, totals, means, sampled, tree, seen, terms),
     }
 
 
 def resample(spark: SparkSession, reports: str, tables: DataFrame, n_samples: int = 100) -> DataFrame:
     """Samples at the rates stored in report files, matched to tables by family."""
     rates = readers.reconciliation_files(spark, reports).select("family", "species_tree", "delta", "tau", "lambda", F.lit(1.0).alias("origin_root"))
-    tree = rates.select("species_tree").limit(1).first()[0]
-    return reconcile.samples(tables, tree, rates, n_samples)
+    found = [r[0] for r in rates.select("species_tree").distinct().orderBy("species_tree").collect()]  # a study has a few species trees
+    if not found:
+        raise ValueError("no reports")
+    return reduce(DataFrame.unionByName, (reconcile.samples(tables, t, rates.filter(F.col("species_tree") == t), n_samples) for t in found))
 
 
 def constraints(sampled: DataFrame, spark: SparkSession, species: str, n_samples: int, least: float = 0.05) -> DataFrame:

@@ -241,7 +241,8 @@ def sample(fit: Fit, rng: np.random.Generator) -> tuple[str, list[tuple[str, int
     """One reconciled tree and its events (kind, branch, other branch or -1), drawn from the terms of the likelihood.
 
     Kinds: O origination, S speciation, C copy at a leaf, D duplication, T transfer (other:
-    recipient), L loss. Labels list what befell a gene: .e for a speciation of e, .D@e, .T@e->f.
+    recipient), L loss. A label lists what befell a gene on its way from the node above, the
+    youngest first: .e for a speciation of e, .D@e, .T@e->f.
     """
     b, fam, q = fit.branches, fit.family, fit.q
     tree, table = b.tree, fam.table
@@ -297,13 +298,13 @@ def sample(fit: Fit, rng: np.random.Generator) -> tuple[str, list[tuple[str, int
             got = pick(options)
             kind = got[1]
             if kind == "SL":
-                label += f".{tree.branch_name(e)}"
+                label = f".{tree.branch_name(e)}" + label
                 events += [("S", e, -1), ("L", got[3], -1)]
                 e = got[2]
                 continue
             if kind == "TL":
                 to = recipient(q[i], e)
-                label += f".T@{tree.branch_name(e)}->{tree.branch_name(to)}"
+                label = f".T@{tree.branch_name(e)}->{tree.branch_name(to)}" + label
                 events += [("T", e, to), ("L", e, -1)]
                 e = to
                 continue

@@ -45,7 +45,7 @@ def split_probabilities(facts: DataFrame, fams: DataFrame, alpha: float = 0.0, b
     return d.withColumn("p_dip", F.when(F.col("n_leaves") < 4, 1.0).otherwise(p))
 
 
-TREE_SPLITS = "family string, tree_no long, n_leaves int, clade binary, left binary, right binary, first boolean"
+TREE_SPLITS = "family string, tree_no long, n_leaves int, clade binary, left binary, right binary, size int, left_size int, right_size int, first boolean"
 
 
 def tree_splits(trees: DataFrame) -> DataFrame:
@@ -59,24 +59,42 @@ def tree_splits(trees: DataFrame) -> DataFrame:
                 names = sorted(root.leaf_names())
                 n = len(names)
                 found, _ = newick.directed_splits(root, {x: i for i, x in enumerate(names)}) if n > 2 else ([], {})
-                rows += [(family, k, n, pack_mask(g, n), pack_mask(a, n), pack_mask(b, n), not g & 1) for g, a, b in found]
+                rows += [(family, k, n, pack_mask(g, n), pack_mask(a, n), pack_mask(b, n), g.bit_count(), a.bit_count(), b.bit_count(), not g & 1) for g, a, b in found]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TREE_SPLITS.split(", ")])
 
     return trees.select(F.col("family").cast("string").alias("family"), F.col("tree_no").cast("long").alias("tree_no"), "newick").mapInPandas(run, TREE_SPLITS)
 
 
-def score_trees(trees: DataFrame, facts: DataFrame, fams: DataFrame) -> DataFrame:
-    """family, tree_no, log_p: probability of trees under a table; -inf if a split was never seen.
+def score_trees(trees: DataFrame, facts: DataFrame, fams: DataFrame, alpha: float = 0.0, beta: float = 0.0) -> DataFrame:
+    """family, tree_no, log_p: probability of trees under a table; without priors -inf if a split was never seen.
 
     A tree's probability is the product over its clades that lack the first leaf; pendant
     branches are certain, so this is the same from whichever branch it is read.
     """
+    if alpha > 0 or beta > 0:
+        return _score_with_priors(trees, facts, fams, alpha, beta)
     p = split_probabilities(facts, fams).select("family", "clade", "left", "right", "p_dip")
     met = tree_splits(trees).filter("first").join(p, ["family", "clade", "left", "right"], "left")
     each = F.when(F.col("p_dip") > 0, F.log("p_dip")).otherwise(F.lit(float("-inf")))
     return met.groupBy("family", "tree_no").agg(F.sum(each).alias("log_p"))
 
 
+def _score_with_priors(trees: DataFrame, facts: DataFrame, fams: DataFrame, alpha: float, beta: float) -> DataFrame:
+    """As ``score_trees``; unseen splits have what the priors give them, beta only within clades that were seen."""
+    d = splits.dips(facts).select("family", "clade", "left", "right", F.col("cnt").alias("d"))
+    b = splits.bips(facts).select("family", "clade", F.col("cnt").alias("b"))
+    met = tree_splits(trees).filter("first").join(d, ["family", "clade", "left", "right"], "left").join(b, ["family", "clade"], "left").join(fams.select("family", "observations"), "family")
+    n, size = F.col("n_leaves"), F.col("size")
+    edge = (size == 1) | (size == n - 1)
+    every = log_unrooted(n)
+    count = F.when(edge, F.col("observations")).otherwise(F.coalesce("b", F.lit(0.0)))
+    seen = F.when(edge | F.col("b").isNotNull(), F.lit(beta)).otherwise(0.0)
+    top = F.coalesce("d", F.lit(0.0)) + alpha * F.exp(log_trees_with_split(n, F.col("left_size"), F.col("right_size")) - every) + seen / (F.pow(F.lit(2.0), size - 1) - 1)
+    p = top / (count + alpha * F.exp(log_trees_with_clade(n, size) - every) + seen)
+    each = F.when(n < 4, 0.0).when(p > 0, F.log(p)).otherwise(F.lit(float("-inf")))
+    return met.groupBy("family", "tree_no").agg(F.sum(each).alias("log_p"))
+
+
 def clade_share(trees: DataFrame, facts: DataFrame) -> DataFrame:
     """family, tree_no, share: of a tree's inner clades, how many the table has."""
     b = splits.bips(facts).filter("cnt > 0").select("family", "clade", F.lit(1.0).alias("_seen"))

@@ -39,7 +39,7 @@ def totals(events: DataFrame, n_samples: int) -> DataFrame:
 
 
 def transfer_matrix(events: DataFrame, n_samples: int, by_family: bool = False) -> DataFrame:
-    """Mean number of transfers from branch to branch, the most frequent first."""
+    """Mean number of transfers from branch to branch."""
     keys = (["family"] if by_family else []) + ["branch", "other"]
     g = events.filter("kind = 'T'").groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(float(n_samples))).alias("freq"))
     return g.withColumnsRenamed({"branch": "donor", "other": "recipient"})

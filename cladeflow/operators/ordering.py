@@ -17,24 +17,44 @@ from cladeflow.functions import newick, ranking
 
 
 def branch_table(spark: SparkSession, species: str) -> DataFrame:
-    """name, parent, is_leaf, depth of every node of a labelled species tree."""
+    """name, parent, is_leaf, depth and path (the names from the node up to the root) of every node of a labelled species tree."""
     root = newick.parse(species)
-    far = {id(root): 0.0}
+    far, path = {id(root): 0.0}, {}
     rows = []
     for n in root.preorder():
         for c in n.children:
             far[id(c)] = far[id(n)] + (c.length or 0.0)
         name = n.name if n.is_leaf else n.label
         up = (n.parent.label or None) if n.parent is not None else None
-        rows.append((name, up, n.is_leaf, far[id(n)]))
-    return spark.createDataFrame(rows, "name string, parent string, is_leaf boolean, depth double")
+        path[id(n)] = [name, *(path[id(n.parent)] if n.parent is not None else [])]
+        rows.append((name, up, n.is_leaf, far[id(n)], path[id(n)]))
+    return spark.createDataFrame(rows, "name string, parent string, is_leaf boolean, depth double, path array<string>")
 
 
 def closure(branches: DataFrame) -> DataFrame:
-    """(above, below) for every node and each of its descendants, itself included, by a recursive query."""
-    spark = branches.sparkSession
-    branches.select("name", "parent").createOrReplaceTempView("_branches")
-    return spark.sql("WITH RECURSIVE c(above, below) AS (SELECT name, name FROM _branches UNION ALL SELECT b.parent, c.below FROM c JOIN _branches b ON b.name = c.above WHERE b.parent IS NOT NULL) SELECT above, below FROM c")
+    """(above, below) for every node and each of its descendants, itself included, of a tree of any depth.
+
+    Where the branches carry their paths to the root these are exploded; otherwise one task
+    walks up from each node, as the branches are those of one tree.
+    """
+    if "path" in branches.columns:
+        return branches.select(F.explode("path").alias("above"), F.col("name").alias("below"))
+    kind = branches.schema["name"].dataType.simpleString()
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        up = {n: p for n, p in zip(pdf["name"].tolist(), pdf["parent"].tolist()) if p is not None and p == p}
+        rows = []
+        for below in pdf["name"].tolist():
+            at, steps = below, 0
+            while at is not None:
+                rows.append((at, below))
+                at, steps = up.get(at), steps + 1
+                if steps > len(pdf):
+                    raise ValueError(f"{below} is among its own ancestors")
+        return pd.DataFrame(rows, columns=["above", "below"])
+
+    one = branches.select("name", F.col("parent").cast(kind).alias("parent"))
+    return one.groupBy(F.lit(0)).applyInPandas(walk, f"above {kind}, below {kind}")
 
 
 def transfers(reconciled: DataFrame, least_leaves: int = 5) -> DataFrame:
@@ -56,7 +76,7 @@ def transfer_constraints(moves: DataFrame, branches: DataFrame) -> DataFrame:
 
 
 def reconciliation_constraints(reconciled: DataFrame, branches: DataFrame, least_leaves: int = 5) -> DataFrame:
-    """Constraints between speciations on either side of transfers in reconciled trees.
+    """Constraints between speciations on either side of transfers in trees sampled by the undated model.
 
     Above a transfer the nearest speciation on the donor's lineage, below it the nearest on
     the recipient's: the former is older, if the latter is an inner node.
@@ -68,7 +88,8 @@ def reconciliation_constraints(reconciled: DataFrame, branches: DataFrame, least
         if len(root.leaves()) <= least_leaves:
             return []
         out = []
-        marks = {id(n): [e for e in (n.label if not n.is_leaf else n.name[n.name.find(".") :] if "." in n.name else "").split(".") if e] for n in root.preorder()}
+        # A label lists what befell a lineage from the youngest to the oldest; here the oldest comes first.
+        marks = {id(n): [e for e in (n.label if not n.is_leaf else n.name[n.name.find(".") :] if "." in n.name else "").split(".") if e][::-1] for n in root.preorder()}
         plain = lambda e: not e.startswith(("T@", "D@"))
         for n in root.preorder():
             own = marks[id(n)]
@@ -76,7 +97,6 @@ def reconciliation_constraints(reconciled: DataFrame, branches: DataFrame, least
                 if not e.startswith("T@"):
                     continue
                 donor, recipient = e[2:].split("->")
-                # Labels list what befell a lineage from the oldest to the youngest.
                 above = next((x for x in reversed(own[:k]) if plain(x)), None)
                 up = n.parent
                 while above is None and up is not None:
@@ -108,7 +128,7 @@ def total(constraints: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def cancel(constraints: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Of two opposite constraints the heavier keeps the difference and the lighter goes; of equal ones the first by name is kept with nothing."""
+    """Of two opposite constraints the heavier keeps the difference and the lighter goes; equal ones go both."""
     swapped = constraints.select(*by, F.col("older").alias("younger"), F.col("younger").alias("older"), F.col("weight").alias("_opposite"))
     met = constraints.join(swapped, [*by, "older", "younger"], "left").withColumn("weight", F.col("weight") - F.coalesce("_opposite", F.lit(0.0))).drop("_opposite")
     return met.filter("weight > 0")
@@ -188,11 +208,18 @@ def partial_order(constraints: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def kendall(one: DataFrame, two: DataFrame) -> DataFrame:
-    """One row: inversions between two orders (place, name)."""
-    both = one.select("name", F.col("place").alias("p")).join(two.select("name", F.col("place").alias("q")), "name")
-    other = both.select(F.col("p").alias("p2"), F.col("q").alias("q2"))
-    # Orders hold a tree's inner nodes; each node meets those after it.
-    return both.join(F.broadcast(other), (F.col("p") < F.col("p2")) & (F.col("q") > F.col("q2"))).agg(F.count(F.lit(1)).alias("inversions"))
+    """One row: inversions between two orders (place from 0 or more, name), in n log n rows.
+
+    Two places in the second order differ first at some binary digit; among the nodes that share
+    all higher digits, a node with a 1 there before one with a 0 is an inversion.
+    """
+    both = one.select("name", F.col("place").cast("long").alias("p")).join(two.select("name", F.col("place").cast("long").alias("q")), "name")
+    bits = max(1, int(both.agg(F.max("q")).first()[0] or 0).bit_length())
+    digits = both.select("p", "q", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("k"))
+    at = digits.select("p", "k", F.expr("shiftright(q, k + 1)").alias("high"), F.expr("shiftright(q, k) & 1").alias("one"))
+    ones = F.sum("one").over(Window.partitionBy("k", "high").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    before = at.withColumn("before", F.coalesce(ones, F.lit(0)))
+    return before.agg(F.coalesce(F.sum(F.when(F.col("one") == 0, F.col("before"))), F.lit(0)).cast("long").alias("inversions"))
 
 
 def weights_of(constraints: DataFrame) -> ranking.Weights:

@@ -26,10 +26,9 @@ RATE_LOW, RATE_HIGH, ORIGIN_HIGH = 1e-10, 100.0, 1000.0
 
 
 def balanced(tables: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Families dealt to tasks by cost: large ones spread first, each task getting one of every size rank.
+    """Families dealt to tasks by hash, apart for each class of size.
 
-    The cost of a family is its number of facts. Rank modulo tasks keeps the large ones apart, as
-    bytes alone don't tell how long a family takes.
+    The cost of a family is its number of facts; families within a factor of two share a class.
     """
     n = tasks or tables.sparkSession.sparkContext.defaultParallelism * 4
     cost = F.size("facts")
@@ -82,6 +81,25 @@ def loglik_grid(tables: DataFrame, species: str, points: list[Rates]) -> DataFra
     return map_families(tables, run, "family string, point int, logl double")
 
 
+def branch_terms(tables: DataFrame, species: str, rates: Rates | DataFrame | None = None) -> DataFrame:
+    """family, branch, extinction, origin_logl: the probability that a gene on a branch dies out, and the log likelihood of an origination there."""
+    tree = read_species_tree(species)
+    own = isinstance(rates, DataFrame)
+    base = Rates() if own or rates is None else rates
+
+    def run(batches):
+        for row in _rows(batches):
+            r = base.of(delta=row["delta"], tau=row["tau"], lambda_=row["lambda"], origin_root=row["origin_root"]) if own else base
+            b = prepare(tree, r)
+            done = likelihood(layout(of_row(row), r), b)
+            yield pd.DataFrame([(row["family"], e, float(b.extinct[e]), float(x)) for e, x in enumerate(done.origin_log)], columns=["family", "branch", "extinction", "origin_logl"])
+
+    rows = _flat(tables)
+    if own:
+        rows = rows.join(rates.select("family", "delta", "tau", "lambda", "origin_root"), "family")
+    return rows.mapInPandas(run, "family string, branch int, extinction double, origin_logl double")
+
+
 def origination_loglik(tables: DataFrame, species: str, rates: Rates | None = None) -> DataFrame:
     """family, branch, branch_name, logl: the log likelihood of an origination on each branch."""
     rates = rates or Rates()
@@ -267,7 +285,7 @@ def search_species_tree(tables: DataFrame, species: str, rates: Rates | None = N
         options = [newick.graft(labelled(species), tree.branch_name(m["other"]), tree.branch_name(m["branch"])) for m in moves]
         for e in range(tree.n_leaves, tree.n):
             options += newick.interchanges(labelled(species), tree.branch_name(e))
-        for option in options[: 4 * tries]:
+        for option in options:
             text = newick.write(option)
             if (v := value(text)) > best + 1e-6:
                 species, best, improved = text, v, True

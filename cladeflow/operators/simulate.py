@@ -10,6 +10,9 @@ from cladeflow.functions import simulator
 
 SIMULATED = "seed long, species_tree string, random_tree string, family string, gene_tree string, n_genes int, duplications int, transfers int, losses int"
 
+#: Runs along one species history before giving up.
+TRIES = 10_000
+
 
 def simulate(spark: SparkSession, n_seeds: int, population: int = 20, sampled: int = 6, delta: float = 0.1, tau: float = 0.1, lambda_: float = 0.2, omega: float = 0.0, least_trees: int = 1, seed: int = 0, start: float = 2.0) -> DataFrame:
     """For each seed a species tree, a random tree on its leaves, and at least so many gene trees of surviving families."""
@@ -21,12 +24,12 @@ def simulate(spark: SparkSession, n_seeds: int, population: int = 20, sampled: i
         tree = simulator.species_tree(history, chosen)
         other = simulator.random_tree([f"S{x}" for x in chosen], rng)
         out: list[tuple] = []
-        for _ in range(100):
+        for _ in range(TRIES):
             for g in simulator.gene_trees(history, chosen, rng, delta, tau, lambda_, omega):
                 out.append((k, tree, other, f"{k}-{len(out)}", g.newick, g.n_genes, g.duplications, g.transfers, g.losses))
             if len(out) >= least_trees:
-                break
-        return out
+                return out
+        raise ValueError(f"{TRIES} runs along the history of seed {k} gave {len(out)} gene trees of {least_trees}")
 
     def run(batches):
         for pdf in batches:

@@ -42,8 +42,19 @@ def dated_ancestors(branch_rows: DataFrame) -> DataFrame:
 
 
 def alive_at(branch_rows: DataFrame, times: DataFrame) -> DataFrame:
-    """Branches (e, t_begin, t_end) alive at each time t_i: t_end <= t_i < t_begin."""
-    return branch_rows.join(F.broadcast(times), (F.col("t_end") <= F.col("t_i")) & (F.col("t_i") < F.col("t_begin")))
+    """Branches (e, t_begin, t_end) alive at each time t_i: t_end <= t_i < t_begin.
+
+    The range of the times is cut in 256 parts, and branches meet the times of the parts that
+    they touch, so it is a join on equal parts whatever the number of times.
+    """
+    low, high = times.agg(F.min("t_i").cast("double"), F.max("t_i").cast("double")).first()
+    if low is None:
+        low = high = 0.0
+    width = (high - low) / 256 or 1.0
+    part = lambda c: F.least(F.greatest(F.floor((F.col(c).cast("double") - low) / width), F.lit(-1)), F.lit(257)).cast("int")
+    touched = branch_rows.filter("t_end < t_begin").withColumn("_part", F.explode(F.sequence(part("t_end"), part("t_begin"))))
+    met = touched.join(times.withColumn("_part", part("t_i")), "_part")
+    return met.filter((F.col("t_end") <= F.col("t_i")) & (F.col("t_i") < F.col("t_begin"))).drop("_part")
 
 
 def slice_table(spark: SparkSession, tree: SpeciesTree, step: float = 0.005, least: int = 3) -> DataFrame:

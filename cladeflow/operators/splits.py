@@ -71,14 +71,18 @@ def bips(facts: DataFrame) -> DataFrame:
 
 
 def families(trees: DataFrame) -> DataFrame:
-    """One row per family: leaves, observations (sum of weights), number of trees and the first tree."""
+    """One row per family: leaves, observations (sum of weights), number of trees and the first tree; trees with other leaves are an error."""
     weight = F.col("weight").cast("double") if "weight" in trees.columns else F.lit(1.0)
     number = F.col("tree_no") if "tree_no" in trees.columns else F.lit(0)
     one = trees.select(F.col("family").cast("string").alias("family"), "newick", weight.alias("w"), number.alias("k"))
-    g = one.groupBy("family").agg(F.sum("w").alias("observations"), F.count(F.lit(1)).alias("n_trees"), F.min_by("newick", F.struct("k", "newick")).alias("constructor"))
-    names = F.array_sort(F.transform(F.regexp_extract_all("constructor", F.lit(r"[(,]\s*([^\s(),:;\[\]]+)"), 1), lambda x: F.regexp_replace(x, "^'|'$", "")))
-    single = F.array(F.trim(F.regexp_replace("constructor", "[:;].*", "")))
-    leaves = F.when(F.col("constructor").contains("("), names).otherwise(single)
+    names = lambda t: F.array_sort(F.transform(F.regexp_extract_all(t, F.lit(r"[(,]\s*([^\s(),:;\[\]]+)"), 1), lambda x: F.regexp_replace(x, "^'|'$", "")))
+    single = lambda t: F.array(F.trim(F.regexp_replace(t, "[:;].*", "")))
+    of = lambda t: F.when(F.col(t).contains("("), names(t)).otherwise(single(t))
+    one = one.withColumn("same", F.xxhash64(of("newick")))
+    g = one.groupBy("family").agg(F.sum("w").alias("observations"), F.count(F.lit(1)).alias("n_trees"), F.min_by("newick", F.struct("k", "newick")).alias("constructor"), F.min("same").alias("_low"), F.max("same").alias("_high"))
+    leaves = F.when(F.col("_low") == F.col("_high"), of("constructor")).otherwise(F.raise_error(F.concat(F.lit("different leaves in the trees of family "), F.col("family"))))
+    g = g.withColumn("leaves", leaves)
+    leaves = F.col("leaves")
     return g.select("family", F.size(leaves).alias("n_leaves"), leaves.alias("leaves"), "observations", "n_trees", "constructor")
 
 
@@ -103,7 +107,7 @@ def topologies(trees: DataFrame) -> DataFrame:
     """Trees with the same clades count as one topology: family, topology, n_trees, newick of the first."""
     import hashlib
 
-    @F.udf("string")
+    @F.udf("string", useArrow=True)
     def topology(text: str) -> str:
         root = newick.parse(text)
         index = {x: k for k, x in enumerate(sorted(root.leaf_names()))}
@@ -136,7 +140,7 @@ def keep_leaves(trees: DataFrame, keep: list[str], separator: str = "_", least:
     """Trees without the leaves of species that are not listed; families left with fewer leaves than least go."""
     wanted = set(keep)
 
-    @F.udf("struct<newick:string,n:int>")
+    @F.udf("struct<newick:string,n:int>", useArrow=True)
     def cut(text: str):
         left = newick.prune(newick.parse(text), lambda x: x.split(separator)[0] in wanted)
         return (newick.write(left), len(left.leaves())) if left is not None else (None, 0)
@@ -150,7 +154,7 @@ def keep_groups(trees: DataFrame, groups: DataFrame, separator: str = "_") -> Da
     """One cut copy of each tree for each group (group, species): its other leaves are dropped."""
     lists = groups.groupBy("group").agg(F.array_sort(F.collect_set("species")).alias("species"))
 
-    @F.udf("string")
+    @F.udf("string", useArrow=True)
     def cut(text: str, species: list[str]):
         left = newick.prune(newick.parse(text), lambda x: x.split(separator)[0] in set(species))
         return newick.write(left) if left is not None else None

@@ -11,22 +11,23 @@ from pyspark.sql import functions as F
 from cladeflow.functions import newick
 from cladeflow.operators import ccp
 
-NODES = "family string, tree_no long, node int, parent int, name string, label string, length double, is_leaf boolean, depth double, level int, tags map<string,string>"
+NODES = "family string, tree_no long, node int, parent int, name string, label string, length double, is_leaf boolean, depth double, level int, path array<int>, tags map<string,string>"
 
 
 def _node_rows(text: str) -> list[tuple]:
     root = newick.parse(text)
     order = {id(n): k for k, n in enumerate(root.preorder())}
-    far, level, rows = {id(root): 0.0}, {id(root): 0}, []
+    far, level, path, rows = {id(root): 0.0}, {id(root): 0}, {}, []
     for n in root.preorder():
+        path[id(n)] = [order[id(n)], *(path[id(n.parent)] if n.parent is not None else [])]
         for c in n.children:
             far[id(c)], level[id(c)] = far[id(n)] + (c.length or 0.0), level[id(n)] + 1
-        rows.append((order[id(n)], order[id(n.parent)] if n.parent is not None else None, n.name if n.is_leaf else None, n.label or None, n.length, n.is_leaf, far[id(n)], level[id(n)], n.tags))
+        rows.append((order[id(n)], order[id(n.parent)] if n.parent is not None else None, n.name if n.is_leaf else None, n.label or None, n.length, n.is_leaf, far[id(n)], level[id(n)], path[id(n)], n.tags))
     return rows
 
 
 def nodes(trees: DataFrame) -> DataFrame:
-    """Every node of every tree (family, tree_no, newick), numbered from the root in the order written."""
+    """Every node of every tree (family, tree_no, newick), numbered from the root in the order written; path has the numbers from the node up to the root."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -46,12 +47,8 @@ def children(node_rows: DataFrame) -> DataFrame:
 
 
 def descendants(node_rows: DataFrame) -> DataFrame:
-    """(family, tree_no, above, below): each node with all nodes below it and itself, by a recursive query within trees."""
-    node_rows.select("family", "tree_no", "node", "parent").createOrReplaceTempView("_tree_nodes")
-    return node_rows.sparkSession.sql(
-        "WITH RECURSIVE d(family, tree_no, above, below) AS (SELECT family, tree_no, node, node FROM _tree_nodes UNION ALL "
-        "SELECT d.family, d.tree_no, n.parent, d.below FROM d JOIN _tree_nodes n ON n.family = d.family AND n.tree_no = d.tree_no AND n.node = d.above WHERE n.parent IS NOT NULL) SELECT * FROM d"
-    )
+    """(family, tree_no, above, below): each node with all nodes below it and itself, from the nodes' paths."""
+    return node_rows.select("family", "tree_no", F.explode("path").alias("above"), F.col("node").alias("below"))
 
 
 def last_common_ancestors(node_rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -68,7 +65,7 @@ def last_common_ancestors(node_rows: DataFrame, pairs: DataFrame) -> DataFrame:
 def edited(tree: Column, edit: Callable[[newick.Node], newick.Node | None]) -> Column:
     """A Newick column put through a function on trees; null where it returns none."""
 
-    @F.udf("string")
+    @F.udf("string", useArrow=True)
     def run(text: str):
         if text is None:
             return None
@@ -105,7 +102,7 @@ def grafted(tree: Column, moved: str, target: str) -> Column:
 def triplets(one: Column, two: Column) -> Column:
     """A struct of how many triplets of common leaves two trees resolve alike, and of how many."""
 
-    @F.udf("struct<same:long,total:long>")
+    @F.udf("struct<same:long,total:long>", useArrow=True)
     def run(a: str, b: str):
         return newick.triplets_shared(newick.parse(a), newick.parse(b))
 
@@ -115,7 +112,7 @@ def triplets(one: Column, two: Column) -> Column:
 def rooted_distance(one: Column, two: Column) -> Column:
     """Half the number of rooted clades that only one of two trees has."""
 
-    @F.udf("double")
+    @F.udf("double", useArrow=True)
     def run(a: str, b: str):
         return newick.robinson_foulds(newick.parse(a), newick.parse(b))
 
@@ -135,7 +132,7 @@ def register(spark: SparkSession) -> None:
     class NewickNodes:
         def eval(self, text: str):
             for row in _node_rows(text):
-                yield row[:-1]
+                yield row[:-2]
 
     @udtf(returnType="clade string, part_one string, part_two string")
     class NewickSplits:

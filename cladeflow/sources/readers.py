@@ -53,7 +53,7 @@ def trees_from_strings(spark: SparkSession, trees: list[str] | dict[str, list[st
 def nexus_trees(spark: SparkSession, path: str, burnin: int = 0, every: int = 1) -> DataFrame:
     """family, tree_no, newick of Nexus files, with leaf numbers translated to names."""
 
-    @F.udf("array<struct<tree_no:int,newick:string>>")
+    @F.udf("array<struct<tree_no:int,newick:string>>", useArrow=True)
     def trees(text: str):
         names, out, table = {}, [], False
         for line in text.splitlines():

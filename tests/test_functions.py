@@ -321,3 +321,22 @@ def test_simulated_histories_are_ultrametric():
         q = newick.parse(g.newick)
         assert len(q.leaves()) == g.n_genes
         assert len({round(newick.distance(q, x), 6) for x in q.leaves()}) == 1
+
+
+def test_labels_run_from_the_youngest_to_the_oldest():
+    """Read from its end, each event of a label is on the branch where the one before it left the gene."""
+    s = read_species_tree("(((a:1,b:1)ab:1,(c:1,d:1)cd:1)abcd:1,(e:1,f:1)ef:2)r;")
+    table = observe([("(((a_1,b_1),(c_1,e_1)),(f_1,d_1));", 1.0)])
+    rates = Rates(delta=0.1, tau=0.6, lambda_=0.8)
+    fit = likelihood(layout(table, rates), prepare(s, rates))
+    parent = {s.branch_name(e): s.branch_name(int(s.parent[e])) for e in range(s.n) if s.parent[e] >= 0}
+    longest = 0
+    for k in range(300):
+        text, _ = sample(fit, np.random.default_rng(k))
+        for n in newick.parse(text).preorder():
+            own = [x for x in (n.name[n.name.find(".") :] if n.is_leaf and "." in n.name else n.label).split(".") if x][::-1]
+            longest = max(longest, len(own))
+            for one, two in zip(own, own[1:]):
+                at = two.split("@")[1].split("->")[0] if "@" in two else two
+                assert at == one.split("->")[1] if "->" in one else parent[at] == one, (own, text)
+    assert longest >= 3

@@ -206,7 +206,7 @@ def test_constraints_and_ranking(spark):
     assert (s["older"], s["support"], s["distance"]) == ("ab", pytest.approx(0.3), 2.0)
     assert ranking.violated(["r", "cd", "ab"], ordering.weights_of(rows)) >= 3.0
     # A copy of the lineage that speciated at r moved from ab to cd, and speciated there.
-    deep = spark.createDataFrame([("f", "(((a_1,b_1).ab,(c_1,d_1).T@ab->cd.cd).r,(c_2,(d_2,a_2)));")], "family string, newick string")
+    deep = spark.createDataFrame([("f", "(((a_1,b_1).ab,(c_1,d_1).cd.T@ab->cd).r,(c_2,(d_2,a_2)));")], "family string, newick string")
     between = ordering.reconciliation_constraints(deep, b)
     assert {(r["older"], r["younger"]) for r in between.collect()} == {("r", "cd")}
 
