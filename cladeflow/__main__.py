@@ -1,7 +1,8 @@
 """python -m cladeflow PROGRAM key=value...: run one program on files and write its tables.
 
-Programs: observe trees= out= [burnin= every= until=]; count tables=; score tables= trees=;
-best tables=; fit species= tables= out= [samples=]; evaluate species= trees= out= [delta= tau=
+Programs: observe trees= out= [burnin= every= until=]; add tables= trees= out= [weight= burnin=
+every= until=]; prune tables= keep=a,b,c out=; count tables=; score tables= trees=; best tables=;
+resample reports= tables= out= [samples=]; constraints species= tables= out= [samples= least=]; fit species= tables= out= [samples=]; evaluate species= trees= out= [delta= tau=
 lambda= samples=]; mcmc species= tables= out= [steps=]; dated species= tables= out=; simulate
 seeds= out=; rank species= constraints=; pack times= out= [cpus= policy=]; leaves trees=.
 """
@@ -14,7 +15,8 @@ from pyspark.sql import SparkSession
 
 from cladeflow import api
 from cladeflow.functions.undated_model import Rates
-from cladeflow.sources import readers
+from cladeflow.operators import ccp, reconcile, splits
+from cladeflow.sources import readers, writers
 
 
 def main(args: list[str]) -> None:
@@ -35,6 +37,18 @@ def main(args: list[str]) -> None:
         api.best_trees(tables).show(truncate=False)
     elif program == "score":
         api.score(tables, trees).show(truncate=False)
+    elif program == "add":
+        more = readers.tree_samples(spark, o["trees"], burnin=number("burnin", 0), every=number("every", 1), until=number("until", -1), mode="add")
+        api.save(api.add(tables, more, number("weight", 1.0)), o["out"])
+    elif program == "prune":
+        facts, fams = ccp.prune(splits.facts_of(tables), tables.drop("facts"), o["keep"].split(","))
+        api.save(splits.nest(facts.select("family", "clade", "left", "right", "cnt", "bl"), fams), o["out"])
+    elif program == "resample":
+        api.resample(spark, o["reports"], tables, number("samples", 100)).write.parquet(o["out"])
+    elif program == "constraints":
+        n = number("samples", 100)
+        sampled = reconcile.samples(tables, species, api.fit_undated(tables, species), n)
+        writers.constraint_lines(api.constraints(sampled, spark, species, n, number("least", 0.05))).write.text(o["out"])
     elif program == "leaves":
         api.leaf_census(trees).show(truncate=False)
     elif program in ("fit", "evaluate"):

@@ -156,14 +156,13 @@ def grid(lower: float, upper: float, step: float, least: int) -> np.ndarray:
 
 
 def coalescent_lengths(tree: SpeciesTree) -> SpeciesTree:
-    """The tree re-dated: inner nodes, ranked by age, get the expected coalescent heights of their ranks, the root 1."""
+    """The tree re-dated by rank: from the youngest inner node on, each is 1 / lineages higher than the one before; the root has 1."""
     age = tree.ages()
     inner = sorted(range(tree.n_leaves, tree.n), key=lambda e: age[e])
     n = tree.n_leaves
     height, at = np.zeros(tree.n), 0.0
     for rank, e in enumerate(inner):
-        k = n - rank
-        at += 2.0 / (k * (k - 1))
+        at += 1.0 / (n - rank)
         height[e] = at
     height /= max(at, 1e-300)
     length = np.where(tree.parent >= 0, height[tree.parent] - height, tree.length)

@@ -53,8 +53,8 @@ def closure(branches: DataFrame) -> DataFrame:
                     raise ValueError(f"{below} is among its own ancestors")
         return pd.DataFrame(rows, columns=["above", "below"])
 
-    one = branches.select("name", F.col("parent").cast(kind).alias("parent"))
-    return one.groupBy(F.lit(0)).applyInPandas(walk, f"above {kind}, below {kind}")
+    one = branches.select("name", F.col("parent").cast(kind).alias("parent"), F.lit(0).alias("tree"))
+    return one.groupBy("tree").applyInPandas(walk, f"above {kind}, below {kind}")
 
 
 def transfers(reconciled: DataFrame, least_leaves: int = 5) -> DataFrame:

@@ -147,7 +147,7 @@ def fit(tables: DataFrame, species: str, start: Rates | None = None, fixed: tupl
         r, logl, n = _fit_one(of_row(row), tree, start, free, transfer_ratio)
         return [(row["family"], logl, r.delta, r.tau, r.lambda_, r.origin_root, n)]
 
-    return map_families(tables, run, FITS)
+    return map_families(balanced(tables), run, FITS)
 
 
 SAMPLES = "family string, sample_no int, newick string, events array<struct<kind:string,branch:int,other:int>>"
@@ -219,12 +219,12 @@ def mcmc(tables: DataFrame, species: str, start: Rates | None = None, steps: int
                 out.append((row["family"], it, now, p, *x, ok))
         return out
 
-    return map_families(tables, run, CHAIN)
+    return map_families(balanced(tables), run, CHAIN)
 
 
 def fit_global(tables: DataFrame, species: str, start: Rates | None = None, rounds: int = 40) -> tuple[Rates, float]:
     """Rates that all families share, by simplex on the sum of log likelihoods: one job a round for all its points."""
-    start = start or Rates()
+    start, tables = start or Rates(), balanced(tables).persist()  # every round reads them; lost parts are made anew
 
     def value(points: list[np.ndarray]) -> list[float]:
         rates = [start.of(delta=float(d), tau=float(t), lambda_=float(l)) for d, t, l in points]
@@ -232,12 +232,13 @@ def fit_global(tables: DataFrame, species: str, start: Rates | None = None, roun
         return [-got[k] for k in range(len(points))]
 
     x, v, _ = minimise(value, np.array([start.delta, start.tau, start.lambda_]), np.full(3, RATE_LOW), np.full(3, RATE_HIGH), rounds)
+    tables.unpersist()
     return start.of(delta=float(x[0]), tau=float(x[1]), lambda_=float(x[2])), -v
 
 
 def fit_branchwise(tables: DataFrame, species: str, start: Rates | None = None, rounds: int = 3, kinds: tuple[str, ...] = ("delta", "tau_to", "tau_from", "lambda", "O")) -> tuple[Rates, float]:
     """Multipliers by branch for all families: each in turn is tried up and down, one job per kind and round."""
-    rates = start or Rates()
+    rates, tables = start or Rates(), balanced(tables).persist()
     n = read_species_tree(species).n
     best = -np.inf
     for step in [4.0 / 2**k for k in range(rounds)]:
@@ -252,6 +253,7 @@ def fit_branchwise(tables: DataFrame, species: str, start: Rates | None = None,
             top = max(got, key=lambda k: (got[k], -k))
             if got[top] > best:
                 best, rates = got[top], points[top]
+    tables.unpersist()
     return rates, best
 
 
@@ -259,12 +261,12 @@ def search_species_tree(tables: DataFrame, species: str, rates: Rates | None = N
     """Hill climbing over species trees.
 
     Regrafts are tried in the order of sampled transfers, the most frequent first, until one
-    raises the summed log likelihood; then interchanges around each inner branch. Trees seen
-    before are not computed again.
+    raises the summed log likelihood; then interchanges around each inner branch. When none
+    does, a final round tries four times as many regrafts. Trees seen before are not computed again.
     """
     from cladeflow.functions import newick
 
-    rates = rates or Rates()
+    rates, tables = rates or Rates(), balanced(tables).persist()
     seen: dict[str, float] = {}
 
     def value(text: str) -> float:
@@ -277,7 +279,7 @@ def search_species_tree(tables: DataFrame, species: str, rates: Rates | None = N
         return newick.parse(read_species_tree(text).numbered())
 
     best = value(species)
-    improved = True
+    improved, last = True, False
     while improved:
         improved = False
         tree = read_species_tree(species)
@@ -290,6 +292,9 @@ def search_species_tree(tables: DataFrame, species: str, rates: Rates | None = N
             if (v := value(text)) > best + 1e-6:
                 species, best, improved = text, v, True
                 break
+        if not improved and not last:
+            last, improved, tries = True, True, 4 * tries  # a final round with more regrafts
+    tables.unpersist()
     return species, best
 
 

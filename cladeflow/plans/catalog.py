@@ -13,32 +13,20 @@ from pyspark.sql import functions as F
 
 from cladeflow.operators import ccp, dated, event_tables, ordering, reconcile, scheduling, simulate, species, splits
 from cladeflow.plans.ladder import LADDER_SQL, ladder_trees, mask, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its oracle if there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from cladeflow.plans.registry import ORACLES, QUERIES, query
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["split_counts"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from cladeflow.plans import tree_queries  # noqa: F401, registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
 
 

@@ -44,3 +44,22 @@ def test_em_keeps_rates_sensible(spark):
     trees = readers.trees_from_strings(spark, {f"f{k}": SAMPLE[:1] for k in range(3)})
     rates, last = api.em_rates(splits.tables(trees), SPECIES, rounds=2, n_samples=5)
     assert 0 < rates.delta < 1 and 0 < rates.tau < 10 and last.count() == 3
+
+
+def test_command_line(spark, tmp_path):
+    from cladeflow.__main__ import main
+
+    (tmp_path / "f.trees").write_text("\n".join(SAMPLE))
+    (tmp_path / "s.tree").write_text(SPECIES + "\n")
+    at = lambda x: str(tmp_path / x)
+    main(["observe", f"trees={at('f.trees')}", f"out={at('one')}"])
+    one = at("one") + "/family=f.trees"
+    main(["add", f"tables={one}", f"trees={at('f.trees')}", "weight=2", f"out={at('two')}"])
+    two = [splits.of_row(r.asDict(recursive=True)).observations for r in api.load(spark, at("two") + "/*").collect()]
+    assert sum(two) == 9.0
+    main(["prune", f"tables={one}", "keep=a,b,c", f"out={at('three')}"])
+    cut = api.load(spark, at("three") + "/*").first()
+    assert sorted(cut["leaves"]) == ["a_1", "b_1", "c_1"]
+    main(["constraints", f"species={at('s.tree')}", f"tables={one}", "samples=3", f"out={at('found')}"])
+    with pytest.raises(SystemExit):
+        main(["nothing"])
