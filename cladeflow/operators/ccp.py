@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.functions import newick
+from cladeflow.functions import newick, parsimony
 from cladeflow.functions.clade_math import log_trees_with_clade, log_trees_with_split, log_unrooted
 from cladeflow.functions.clade_table import pack_mask, unpack_mask
 from cladeflow.operators import splits
@@ -219,6 +219,23 @@ def _nested(leaves: list[str], clades: dict[int, float]) -> newick.Node:
     return root
 
 
+def parsimony_consensus(facts: DataFrame, fams: DataFrame) -> DataFrame:
+    """family, newick, changes: the tree on which the sampled clades, weighted by their counts, change least as characters."""
+    rows = splits.bips(facts).filter("cnt > 0").groupBy("family").agg(F.collect_list(F.struct("clade", "cnt")).alias("clades"))
+    met = fams.select("family", "leaves").join(rows, "family", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                own = {unpack_mask(c["clade"]): c["cnt"] for c in (row["clades"] if row["clades"] is not None else [])}
+                root, cost = parsimony.consensus(list(row["leaves"]), own)
+                out.append((row["family"], newick.write(root), cost))
+            yield pd.DataFrame(out, columns=["family", "newick", "changes"])
+
+    return met.mapInPandas(run, "family string, newick string, changes double")
+
+
 def robinson_foulds(trees: DataFrame) -> DataFrame:
     """family, one, two, distance for the consecutive trees of each family: half the clades that only one of both has."""
     rows = tree_splits(trees).select("family", "tree_no", "clade")

@@ -7,6 +7,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import DataFrame
 
+from cladeflow.functions import dated_model, finite_model
 from cladeflow.functions.dated_model import DatedRates, likelihood, prepare, trace
 from cladeflow.functions.simplex import minimise
 from cladeflow.functions.species_tree import read_species_tree
@@ -19,22 +20,34 @@ RATE_LOW, RATE_HIGH, SIGMA_LOW, SIGMA_HIGH = 1e-5, 1.0, 1e-6, 10.0
 EVENTS = "array<struct<kind:string,branch:int,time:double>>"
 
 
+def _model(rates: DatedRates):
+    """The module of a population of the rates' size."""
+    return finite_model if rates.population else dated_model
+
+
+def _limit_only(rates: DatedRates) -> None:
+    if rates.population:
+        raise ValueError("histories are traced in the limit of many species only: set population to 0")
+
+
 def loglik(tables: DataFrame, species: str, rates: DatedRates | None = None) -> DataFrame:
+    """family, logl at fixed rates; with a population, in the model of so many species."""
     rates = rates or DatedRates()
-    clock = prepare(read_species_tree(species), rates)
-    return map_families(tables, lambda row: [(row["family"], likelihood(layout(of_row(row), rates), clock).log_likelihood)], "family string, logl double")
+    model = _model(rates)
+    clock = model.prepare(read_species_tree(species), rates)
+    return map_families(tables, lambda row: [(row["family"], model.likelihood(layout(of_row(row), rates), clock).log_likelihood)], "family string, logl double")
 
 
 def fit(tables: DataFrame, species: str, start: DatedRates | None = None, fit_sigma: bool = False) -> DataFrame:
     """Maximum-likelihood rates of each family; fit_sigma frees the speciation rate of unsampled species."""
     start = start or DatedRates(delta=0.01, tau=0.01, lambda_=0.1)
-    tree = read_species_tree(species)
+    tree, model = read_species_tree(species), _model(start)
     free = ("delta", "tau", "lambda_", *(("sigma",) if fit_sigma else ()))
 
     def run(row):
         fam = layout(of_row(row), start)
         at = lambda x: replace(start, **dict(zip(free, map(float, x))))
-        value = lambda points: [-likelihood(fam, prepare(tree, at(x))).log_likelihood for x in points]
+        value = lambda points: [-model.likelihood(fam, model.prepare(tree, at(x))).log_likelihood for x in points]
         low = np.array([SIGMA_LOW if k == "sigma" else RATE_LOW for k in free])
         high = np.array([SIGMA_HIGH if k == "sigma" else RATE_HIGH for k in free])
         x, v, n = minimise(value, np.array([getattr(start, k) for k in free]), low, high, 60)
@@ -51,6 +64,7 @@ def _event_rows(events):
 def best_reconciliation(tables: DataFrame, species: str, rates: DatedRates | None = None) -> DataFrame:
     """The history of greatest probability of each family: log probability, reconciled tree and events."""
     rates = rates or DatedRates()
+    _limit_only(rates)
     clock = prepare(read_species_tree(species), rates)
 
     def run(row):
@@ -75,6 +89,7 @@ def _map(tables: DataFrame, f, schema: str, names: list[str]) -> DataFrame:
 def samples(tables: DataFrame, species: str, rates: DatedRates | None = None, n: int = 100, seed: int = 0) -> DataFrame:
     """n reconciliations of each family drawn by probability, positions weighted by time."""
     rates = rates or DatedRates()
+    _limit_only(rates)
     clock = prepare(read_species_tree(species), rates)
 
     def run(row):
@@ -91,12 +106,12 @@ def samples(tables: DataFrame, species: str, rates: DatedRates | None = None, n:
 def mcmc(tables: DataFrame, species: str, start: DatedRates | None = None, steps: int = 200, burnin: int = 50, thin: int = 10, seed: int = 0) -> DataFrame:
     """A Metropolis chain over the rates of each family: additive steps of three sizes, clamped to [1e-6, 10), flat prior."""
     start = start or DatedRates(delta=0.01, tau=0.01, lambda_=0.1)
-    tree = read_species_tree(species)
+    tree, model = read_species_tree(species), _model(start)
 
     def run(row):
         rng = _seeded(seed, row["family"])
         fam = layout(of_row(row), start)
-        logl = lambda x: likelihood(fam, prepare(tree, start.of(delta=x[0], tau=x[1], lambda_=x[2]))).log_likelihood
+        logl = lambda x: model.likelihood(fam, model.prepare(tree, start.of(delta=x[0], tau=x[1], lambda_=x[2]))).log_likelihood
         x, out = [start.delta, start.tau, start.lambda_], []
         now = logl(x)
         for it in range(steps):
@@ -112,3 +127,28 @@ def mcmc(tables: DataFrame, species: str, start: DatedRates | None = None, steps
         return out
 
     return map_families(tables, run, "family string, iteration int, logl double, delta double, tau double, lambda double, accepted boolean")
+
+
+def mcmc_samples(tables: DataFrame, chain: DataFrame, species: str, start: DatedRates | None = None, n: int = 10, seed: int = 0) -> DataFrame:
+    """n reconciliations at the rates of each accepted step of a chain: family, iteration, sample_no, newick, events."""
+    start = start or DatedRates()
+    _limit_only(start)
+    tree = read_species_tree(species)
+    names = ["family", "iteration", "sample_no", "newick", "events"]
+    # A family's table goes to each of its kept steps; the chain's thinning bounds their number.
+    met = chain.filter("accepted").select("family", "iteration", "delta", "tau", "lambda").join(tables.select("family", "leaves", "observations", "facts"), "family")
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                rates = start.of(delta=row["delta"], tau=row["tau"], lambda_=row["lambda"])
+                done = likelihood(layout(of_row(row), rates), prepare(tree, rates), keep=True)
+                out = []
+                for k in range(n):
+                    text, events = trace(done, _seeded(seed, row["family"], row["iteration"], k))
+                    out.append((row["family"], row["iteration"], k, text, _event_rows(events)))
+                yield pd.DataFrame(out, columns=names)
+
+    return met.mapInPandas(run, f"family string, iteration int, sample_no int, newick string, events {EVENTS}")

@@ -257,6 +257,32 @@ def fit_branchwise(tables: DataFrame, species: str, start: Rates | None = None,
     return rates, best
 
 
+#: Kinds of multipliers that a joint search moves for each branch.
+KINDS = ("delta", "tau_to", "tau_from", "lambda", "O")
+
+
+def fit_joint(tables: DataFrame, species: str, start: Rates | None = None, rounds: int = 200, kinds: tuple[str, ...] = KINDS) -> tuple[Rates, float]:
+    """Three shared rates and the multipliers of all branches moved together, by simplex on the sum of log likelihoods.
+
+    All values stay within [1e-10, 1000]. A round is one job for all its points, whatever the number of families.
+    """
+    start = start or Rates()
+    n, tables = read_species_tree(species).n, balanced(tables).persist()
+
+    def rates_at(x: np.ndarray) -> Rates:
+        own = {kind: {e: float(v) for e, v in enumerate(x[3 + k * n : 3 + (k + 1) * n])} for k, kind in enumerate(kinds)}
+        return start.of(delta=float(x[0]), tau=float(x[1]), lambda_=float(x[2]), multipliers={**start.multipliers, **own})
+
+    def value(points: list[np.ndarray]) -> list[float]:
+        got = {r["point"]: r["logl"] for r in loglik_grid(tables, species, [rates_at(x) for x in points]).groupBy("point").agg(F.sum("logl").alias("logl")).collect()}
+        return [-got[k] for k in range(len(points))]
+
+    first = [start.delta, start.tau, start.lambda_, *(start.multipliers.get(kind, {}).get(e, 1.0) for kind in kinds for e in range(n))]
+    x, v, _ = minimise(value, np.array(first), np.full(len(first), RATE_LOW), np.full(len(first), ORIGIN_HIGH), rounds)
+    tables.unpersist()
+    return rates_at(x), -v
+
+
 def search_species_tree(tables: DataFrame, species: str, rates: Rates | None = None, n_samples: int = 10, tries: int = 50, seed: int = 0) -> tuple[str, float]:
     """Hill climbing over species trees.
 

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from cladeflow import api
 from cladeflow.functions import clade_math, newick
+from cladeflow.functions.dated_model import DatedRates
 from cladeflow.functions.species_tree import coalescent_lengths, read_species_tree
 from cladeflow.functions.undated_model import Rates
-from cladeflow.operators import ccp, event_tables, ordering, reconcile, scheduling, species, splits, tree_tools
+from cladeflow.operators import ccp, dated, event_tables, ordering, reconcile, scheduling, species, splits, tree_tools
 from cladeflow.plans.catalog import CLASS_SQL, CONSTRAINT_SQL, EVENTS_SQL, ORDER, TREE, _constraints, _events, _ORDER_SQL, _split, _with
 from cladeflow.plans.forest import FOREST_SQL, forest_trees
 from cladeflow.plans.ladder import LADDER_SQL, ladder_trees, mask, table
@@ -566,6 +567,42 @@ def undated_fixed(spark, sf_dir):
     return got.withColumn("logl", F.round("logl", 8))
 
 
+#: Extinction and one-descendant probability of a birth-death process from a start value s, over a time t.
+_BD = """bd AS (SELECT 0.2 AS d, 0.3 AS l),
+g AS (SELECT CAST(range AS INT) AS i, (range % 10) * 0.1 AS t, d, l FROM range(20) CROSS JOIN bd),
+top AS (SELECT l * (1 - exp(l - d)) / (d - l * exp(l - d)) AS e1 FROM bd),
+p AS (SELECT g.*, e1, exp((l - d) * t) AS x, CASE WHEN i < 10 THEN 0.0 ELSE e1 * e1 END AS s FROM g CROSS JOIN top),
+f AS (SELECT i, d, l, e1, (l * (1 - s) - (l - d * s) * x) / (d * (1 - s) - (l - d * s) * x) AS e, pow(d - l, 2) * x / pow(d * (1 - s) - (l - d * s) * x, 2) AS one FROM p)"""
+
+
+@query(f"""WITH {_BD}, w AS (SELECT pow(d - l, 2) * exp(l - d) / pow(d - l * exp(l - d), 2) AS one1 FROM bd)
+SELECT 'a' AS family, round(ln(sum(CASE WHEN i < 10 THEN one ELSE one1 * e1 * one END) / 50), 6) AS logl FROM f CROSS JOIN w""")
+def finite_fixed(spark, sf_dir):
+    """One gene in a finite population without transfers: births and deaths alone, with a closed form. 20 grid points, 50 positions."""
+    tables = splits.tables(readers.trees_from_strings(spark, {"a": ["a_1;"]}))
+    got = dated.loglik(tables, "(a:1,b:1);", DatedRates(delta=0.2, tau=0.0, lambda_=0.3, sigma=0.0, step=0.1, stem=1.0, population=10.0))
+    return got.withColumn("logl", F.round("logl", 6))
+
+
+@query(f"""WITH {_BD}, k AS (SELECT i, e, e1, coalesce(sum(ln(1 + (2 * d * e - d - l) * 0.1)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lq FROM f)
+SELECT 'a' AS family, round(ln(sum(exp(lq) * CASE WHEN i < 10 THEN 1 ELSE e1 END)) - ln(sum((1 - e) * CASE WHEN i < 10 THEN 2 ELSE 1 END)), 6) AS logl FROM k""")
+def dated_fixed(spark, sf_dir):
+    """The same in the limit of many species, whose steps are of first order, given that the gene survives."""
+    tables = splits.tables(readers.trees_from_strings(spark, {"a": ["a_1;"]}))
+    got = dated.loglik(tables, "(a:1,b:1);", DatedRates(delta=0.2, tau=0.0, lambda_=0.3, sigma=0.0, step=0.1, stem=1.0))
+    return got.withColumn("logl", F.round("logl", 6))
+
+
+@query(_with(""", c AS (SELECT fam, CASE WHEN size = 2 THEN g ELSE 31 - g END AS g, cnt FROM bip WHERE size IN (2, 3)),
+u AS (SELECT fam, g, max(cnt) AS w FROM c GROUP BY ALL),
+best AS (SELECT a.fam, max(a.w + coalesce(b.w, 0)) AS kept FROM u a LEFT JOIN u b ON a.fam = b.fam AND a.g <> b.g AND (a.g & b.g) = 0 GROUP BY a.fam)
+SELECT fam, 2 * sum(w) - max(kept) AS changes FROM u JOIN best USING (fam) GROUP BY fam"""))
+def parsimony_consensus(spark, sf_dir):
+    """On five leaves a tree has two splits; a character changes once on a tree that has its split, else twice."""
+    _, facts, fams = _split(spark, sf_dir)
+    return ccp.parsimony_consensus(facts, fams).select(F.col("family").alias("fam"), "changes")
+
+
 @query("SELECT variant, CAST(logl AS DOUBLE) AS logl FROM (VALUES ('missing', -2.01631769), ('root', -1.54313800)) v(variant, logl)")
 def undated_variants(spark, sf_dir):
     """A tenth of a species' genes missing, and originations twice as likely at the root."""

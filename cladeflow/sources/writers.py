@@ -93,3 +93,33 @@ def event_lists(sampled: DataFrame, chain: DataFrame) -> tuple[DataFrame, DataFr
     """Rates, events and trees of a chain as three tables."""
     events = sampled.select("family", "sample_no", F.explode("events").alias("e")).groupBy("family", "sample_no").pivot("e.kind", ["D", "T", "L", "S", "O"]).count().na.fill(0)
     return chain.select("family", "iteration", "delta", "tau", "lambda", "logl"), events, sampled.select("family", "sample_no", "newick")
+
+
+def consensus_texts(sampled: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(family, text): the majority-rule tree and the one by parsimony of a family's reconciled trees, their event labels left out.
+
+    Families of one gene have no tree.
+    """
+    from cladeflow.operators import ccp, event_tables, splits
+
+    plain = event_tables.leaf_labels(sampled.filter(F.col("newick").contains("(")).select("family", F.col("sample_no").alias("tree_no"), "newick"))
+    facts, fams = splits.split_facts(plain), splits.families(plain)
+    both = ccp.consensus(facts, fams, threshold).join(ccp.parsimony_consensus(facts, fams).select("family", F.col("newick").alias("least")), "family")
+    return both.select("family", F.concat_ws("\n", "newick", "least").alias("text"))
+
+
+def dated_report(fits: DataFrame, best: DataFrame, means: DataFrame, tree: SpeciesTree) -> DataFrame:
+    """(family, text): species tree, likelihood, rates, the best reconciliation and per-branch means of the dated model.
+
+    fits are from ``dated.fit``, best from ``dated.best_reconciliation`` and means from ``event_tables.branch_means``.
+    """
+    names = F.array(*(F.lit(tree.branch_name(e)) for e in range(tree.n)))
+    kind = F.when(F.col("branch") < tree.n_leaves, "S_terminal_branch").otherwise("S_internal_branch")
+    num = lambda c: F.format_string("%.6g", F.col(c).cast("double"))
+    own = means.filter((F.col("branch") >= 0) & (F.col("branch") < tree.n))
+    line = F.concat_ws("\t", kind, F.element_at(names, F.col("branch") + 1), *(num(c) for c in ("duplications", "transfers", "losses", "copies")))
+    # The branches of the species tree bound the list.
+    lines = own.groupBy("family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("branch", line.alias("x")))), lambda r: r["x"]), "\n").alias("branches"))
+    met = fits.join(best.select("family", "newick"), "family").join(lines, "family", "left").na.fill("", ["branches"])
+    head = F.concat(F.lit(f"S:\t{tree.numbered()}\n\nInput from:\t"), F.col("family"), F.lit("\n>logl: "), num("logl"), F.lit("\nrate of\t Duplications\tTransfers\tLosses\nML \t"), F.concat_ws("\t", num("delta"), num("tau"), num("lambda")))
+    return met.select("family", F.concat(head, F.lit("\n\n1 reconciled G-s:\n\n"), F.col("newick"), F.lit("\n\n# of\t Duplications\tTransfers\tLosses\tcopies\n"), F.col("branches"), F.lit("\n")).alias("text"))

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cladeflow.functions import clade_math, newick, ranking, simulator
+from cladeflow.functions import clade_math, finite_model, newick, parsimony, ranking, simulator
 from cladeflow.functions.clade_table import CladeTable, observe, pack_mask, rooted_topologies, unpack_mask
 from cladeflow.functions.dated_model import DatedRates
 from cladeflow.functions.dated_model import likelihood as dated_likelihood
@@ -227,6 +227,103 @@ def test_large_family_does_not_underflow():
     assert math.isfinite(likelihood(layout(observe([(genes, 1.0)]), r), prepare(s, r)).log_likelihood)
 
 
+def test_finite_model_by_hand():
+    """One step of the recursion at a time for two genes, and births and deaths alone against their closed form."""
+    s, dt = read_species_tree("(a:1,b:1);"), 0.5
+    r = DatedRates(delta=0.1, tau=0.3, lambda_=0.2, sigma=2.0, step=dt, least_steps=2, stem=1.0, population=5.0)
+    clock = finite_model.prepare(s, r)
+    assert [p.time for p in clock.points] == pytest.approx([0, 0.5, 1.0, 1.5])
+    fam = layout(observe([("(a_1,b_1);", 1.0)]), Rates())
+    got = finite_model.likelihood(fam, clock).log_likelihood
+    # q[gene][place]: genes a, b and both; places a, b, the root branch and the others.
+    q = {g: dict.fromkeys("abro", 0.0) for g in ("A", "B", "AB")}
+    q["A"]["a"] = q["B"]["b"] = 1.0
+    total, places = 0.0, 0
+    column = {"a": 0, "b": 1, "r": 2, "o": 3}
+    for k, pt in enumerate(clock.points):
+        ex, stay = (lambda x: clock.extinct[k][column[x]]), (lambda x: clock.stay[k][column[x]])
+        alive = "ab" if k < 2 else "r"
+        if k == 2:
+            for g in q:
+                q[g]["r"] = q[g]["a"] * ex("b") + q[g]["b"] * ex("a")
+            q["AB"]["r"] += q["A"]["a"] * q["B"]["b"] + q["A"]["b"] * q["B"]["a"]
+        total += sum(q["AB"][x] for x in alive) + q["AB"]["o"]
+        places += len(alive) + 1
+        new = {g: dict.fromkeys("abro", 0.0) for g in q}
+        for g in q:
+            for x in alive:
+                new[g][x] = stay(x) * q[g][x] + r.sigma * dt * ex(x) * q[g]["o"]
+            new[g]["o"] = stay("o") * q[g]["o"] + sum(0.3 / 5 * dt * ex("o") * q[g][x] for x in alive)
+        for x in alive:
+            apart = q["A"][x] * q["B"]["o"] + q["A"]["o"] * q["B"][x]
+            new["AB"][x] += 2 * r.delta * dt * q["A"][x] * q["B"][x] + r.sigma * dt * apart
+            new["AB"]["o"] += 0.3 / 5 * dt * apart
+        new["AB"]["o"] += 2 * r.sigma * dt * q["A"]["o"] * q["B"]["o"]
+        q = new
+    assert got == pytest.approx(math.log(total / places), abs=1e-9)
+    d, l = 0.4, 0.1
+    alone = finite_model.prepare(s, DatedRates(delta=d, tau=0.0, lambda_=l, sigma=0.0, step=0.1, stem=1.0, population=10.0))
+    x = math.exp(l - d)
+    assert alone.extinct[10][0] == pytest.approx(l * (1 - x) / (d - l * x), abs=1e-9)
+    assert np.prod(alone.stay[:10, 0]) == pytest.approx((d - l) ** 2 * x / (d - l * x) ** 2, abs=1e-9)
+    # Extinction of unsampled species is the propagator's integral: the derivative by the start value.
+    assert np.all(clock.stay[0, [0, 1, 3]] < 1) and np.all(clock.extinct[1, [0, 1, 3]] > 0)
+    with pytest.raises(ValueError):
+        finite_model.prepare(s, DatedRates(population=2.0))
+
+
+def test_finite_population_holds_missing_genes():
+    s = read_species_tree(THREE)
+    r = DatedRates(delta=0.1, tau=0.2, lambda_=0.2, population=50.0)
+    fam = layout(observe([("((a_1,b_1),c_1);", 1.0)]), Rates())
+    seen, part = (finite_model.likelihood(fam, finite_model.prepare(s, r, m)).log_likelihood for m in (None, {"a": 0.5}))
+    assert math.isfinite(seen) and part != seen
+    clock = finite_model.prepare(s, r, {"a": 0.5})
+    assert clock.extinct[0][0] == 0.5 and clock.extinct[0][-1] == 1.0
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(4, 6), st.integers(0, 10**6))
+def test_parsimony_against_all_trees(n, seed):
+    """Changes by trying all states of inner nodes, and the search's tree against every topology."""
+    rng = np.random.default_rng(seed)
+    clades = {int(g): float(rng.integers(1, 9)) for g in rng.integers(1, 2**n - 1, 6)}
+    states, weights = parsimony.characters(clades, n)
+    tree, cost = parsimony.search(states, weights)
+
+    def by_states(t):
+        total = 0.0
+        for c, w in enumerate(weights):
+            least = n * n
+            for inner in product((1, 2), repeat=len(t) - n):
+                own = [*states[:, c].tolist(), *inner]
+                least = min(least, sum(own[a] != own[b] for a in range(len(t)) for b in t[a] if a < b))
+            total += w * least
+        return total
+
+    assert cost == pytest.approx(by_states(tree))
+    every = [[[n], [n], [n], *([] for _ in range(n - 3)), [0, 1, 2]]]
+    for leaf in range(3, n):
+        every = [parsimony._insert(t, leaf, a, b) for t in every for a, b in parsimony._edges(t, n)]
+    costs = [parsimony.changes(t, states, weights) for t in every]
+    assert len(every) == {4: 3, 5: 15, 6: 105}[n]
+    assert min(costs) - 1e-9 <= cost
+    # No exchange of the found tree is better, and where the characters fit one tree it is found.
+    assert all(parsimony.changes(t, states, weights) >= cost - 1e-9 for a, b in parsimony._edges(tree, n, inner=True) for t in parsimony._exchanges(tree, a, b))
+    if min(costs) == pytest.approx(weights.sum()):
+        assert cost == pytest.approx(min(costs))
+
+
+def test_parsimony_finds_the_only_tree():
+    text = "(((a,b),c),((d,e),(f,g)));"
+    leaves = list("abcdefg")
+    splits_, _ = newick.directed_splits(newick.parse(text), {x: k for k, x in enumerate(leaves)})
+    root, cost = parsimony.consensus(leaves, {s[0]: 1.0 for s in splits_})
+    index = {x: k for k, x in enumerate(leaves)}
+    assert {s[0] for s in newick.directed_splits(root, index)[0]} == {s[0] for s in splits_} and cost == 4.0
+    assert parsimony.consensus(["a"], {})[0].leaf_names() == ["a"] and sorted(parsimony.consensus(["a", "b"], {1: 1.0})[0].leaf_names()) == ["a", "b"]
+
+
 def test_dated_model_prefers_the_tree_that_agrees():
     s = read_species_tree("(((a:1,b:1):1,c:2):1,(d:1.5,e:1.5):1.5);")
     r = DatedRates(0.01, 0.05, 0.1)

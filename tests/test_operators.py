@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions import newick, ranking, simulator
 from cladeflow.functions.clade_table import observe
+from cladeflow.functions.dated_model import DatedRates
 from cladeflow.functions.species_tree import read_species_tree
 from cladeflow.functions.undated_model import Rates
 from cladeflow.operators import ccp, dated, event_tables, ordering, reconcile, scheduling, simulate, species, splits, tree_tools
@@ -211,6 +212,31 @@ def test_constraints_and_ranking(spark):
     assert {(r["older"], r["younger"]) for r in between.collect()} == {("r", "cd")}
 
 
+def test_joint_search_and_dated_reports(spark):
+    tables = splits.tables(readers.trees_from_strings(spark, {"f": ["((a_1,b_1),(c_1,d_1));"], "g": ["((a_1,c_1),b_1);"]}))
+    before = reconcile.loglik(tables, SPECIES).agg(F.sum("logl")).first()[0]
+    rates, value = reconcile.fit_joint(tables, SPECIES, rounds=6, kinds=("delta", "lambda"))
+    assert value >= before - 1e-9 and len(rates.multipliers["delta"]) == 7
+    assert value == pytest.approx(reconcile.loglik(tables, SPECIES, rates).agg(F.sum("logl")).first()[0], abs=1e-9)
+    finite = DatedRates(population=40.0)
+    assert dated.loglik(tables, SPECIES, finite).filter("logl < 0").count() == 2
+    with pytest.raises(ValueError):
+        dated.samples(tables, SPECIES, finite)
+    start = DatedRates(delta=0.1, tau=0.1, lambda_=0.2)
+    chain = dated.mcmc(tables, SPECIES, start, steps=20, burnin=5, thin=1)
+    drawn = dated.mcmc_samples(tables, chain, SPECIES, start, n=3)
+    assert drawn.count() == 3 * chain.filter("accepted").count() > 0
+    fits = chain.groupBy("family").agg(F.max("logl").alias("logl"), *(F.first(c).alias(c) for c in ("delta", "tau", "lambda")))
+    best = dated.best_reconciliation(tables, SPECIES, start)
+    ev = best.select("family", F.lit(0).alias("sample_no"), F.explode("events").alias("e")).select("family", "sample_no", "e.kind", "e.branch", F.lit(-1).alias("other"))
+    texts = {r["family"]: r["text"] for r in writers.dated_report(fits, best, event_tables.branch_means(ev, 1), read_species_tree(SPECIES)).collect()}
+    assert set(texts) == {"f", "g"} and all("1 reconciled G-s" in t and "S_terminal_branch" in t for t in texts.values())
+    sampled = reconcile.samples(tables, SPECIES, n=5)
+    for text in (r["text"] for r in writers.consensus_texts(sampled).collect()):
+        rule, least = text.split("\n")
+        assert sorted(newick.parse(rule).leaf_names()) == sorted(newick.parse(least).leaf_names())
+
+
 def test_schedules(spark):
     rng = np.random.default_rng(0)
     rows = [(float(t), 10, 5, int(s), f"f{k}") for k, (t, s) in enumerate(zip(rng.exponential(10, 200), rng.integers(1, 20, 200)))]
