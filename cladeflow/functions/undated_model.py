@@ -91,7 +91,7 @@ def prepare(tree: SpeciesTree, rates: Rates) -> Branches:
     no_transfer = rates.tau < NO_TRANSFER
     with np.errstate(divide="ignore", invalid="ignore"):
         norm = (weight.sum() - blocked @ weight) / pt
-    norm[~(norm > 0)] = np.inf
+    norm[~(norm > 0) | (blocked.min(axis=1) > 0)] = np.inf  # where all are barred the difference may be a rounding error
     missing = np.zeros(n, dtype=REAL)
     for name, x in rates.missing.items():
         if name in tree.names:

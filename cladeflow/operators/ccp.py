@@ -102,6 +102,35 @@ def clade_share(trees: DataFrame, facts: DataFrame) -> DataFrame:
     return met.groupBy("family", "tree_no").agg(F.avg(F.coalesce("_seen", F.lit(0.0))).alias("share"))
 
 
+RECOMPOSED = "family string, tree_no long, clade binary, log_p double"
+
+
+def recompose(trees: DataFrame, facts: DataFrame, fams: DataFrame) -> DataFrame:
+    """family, tree_no, clade, log_p: of every directed edge of every tree, the log of the product of the split probabilities within its clade.
+
+    The splits of all trees meet the table's in one join; then a tree's splits, two for each of
+    its edges, pass their products on from small clades to large ones, which runs up and down
+    the tree at once. Leaves have 0; a clade with a split that was never seen has -inf.
+    """
+    p = split_probabilities(facts, fams).select("family", "clade", "left", "right", "p_dip")
+    met = tree_splits(trees).join(p, ["family", "clade", "left", "right"], "left")
+    each = F.when(F.col("p_dip") > 0, F.log("p_dip")).otherwise(F.lit(float("-inf")))
+    rows = met.groupBy("family", "tree_no").agg(F.array_sort(F.collect_list(F.struct("size", "clade", "left", "right", each.alias("log_p")))).alias("splits"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for family, k, found in zip(pdf["family"], pdf["tree_no"], pdf["splits"]):
+                sums: dict[bytes, float] = {}
+                for s in found:
+                    parts = [bytes(s["left"]), bytes(s["right"])]
+                    sums[bytes(s["clade"])] = s["log_p"] + sum(sums.setdefault(x, 0.0) for x in parts)
+                out += [(family, k, clade, x) for clade, x in sums.items()]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RECOMPOSED.split(", ")])
+
+    return rows.mapInPandas(run, RECOMPOSED)
+
+
 def compare(one: DataFrame, two: DataFrame) -> DataFrame:
     """Scores of both samples' trees under both samples' tables: family, sample, tree_no, log_p_one, log_p_two."""
     tables_ = [(splits.split_facts(t), splits.families(t)) for t in (one, two)]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions import newick, ranking
+from cladeflow.operators.prefix import with_running
 
 
 def branch_table(spark: SparkSession, species: str) -> DataFrame:
@@ -147,16 +148,13 @@ def supported(constraints: DataFrame, n_samples: int, least: float = 0.05, branc
 
 
 def cut_light(constraints: DataFrame, share: float) -> DataFrame:
-    """Without the lightest constraints that together make up a share of all weight; weights first come by buckets, so no task sorts all.
+    """Without the lightest constraints that together make up a share of all weight.
 
-    A constraint goes if those lighter than it (ties by name) weigh less than the share.
+    A constraint goes if those lighter than it (ties by name) weigh less than the share; running
+    sums go over ranges, so no task sorts all.
     """
     total_ = constraints.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")).first()["w"]
-    by_weight = constraints.groupBy("weight").agg(F.sum("weight").alias("s"))
-    # One row per distinct weight: the running sum is over those, not over constraints.
-    run = by_weight.select("weight", (F.sum("s").over(Window.orderBy("weight").rowsBetween(Window.unboundedPreceding, -1))).alias("_lighter"))
-    tied = Window.partitionBy("weight").orderBy("older", "younger").rowsBetween(Window.unboundedPreceding, -1)
-    met = constraints.join(run, "weight").withColumn("_before", F.coalesce("_lighter", F.lit(0.0)) + F.coalesce(F.sum("weight").over(tied), F.lit(0.0)))
+    met = with_running(constraints, [F.col("weight"), F.col("older"), F.col("younger")], {"_before": "weight"})
     return met.filter(F.col("_before") >= share * total_).select(constraints.columns)
 
 

@@ -16,8 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.functions.quasi_newton import descend
 from cladeflow.functions.simplex import minimise
 from cladeflow.functions.species_tree import read_species_tree
+from cladeflow.functions.undated_gradient import KINDS, PARTS, family_gradient, rate_gradient
 from cladeflow.functions.undated_model import Rates, layout, likelihood, prepare, sample
 from cladeflow.operators.splits import of_row
 
@@ -257,14 +259,38 @@ def fit_branchwise(tables: DataFrame, species: str, start: Rates | None = None,
     return rates, best
 
 
-#: Kinds of multipliers that a joint search moves for each branch.
-KINDS = ("delta", "tau_to", "tau_from", "lambda", "O")
+def gradients(tables: DataFrame, species: str, points: list[Rates]) -> list[tuple[float, dict[str, np.ndarray]]]:
+    """At each point, the summed log likelihood of all families and its derivatives by rates and by the multipliers of each branch.
 
+    One job for all points: tasks add up the derivatives of their families by what the rates give
+    each branch, a few numbers for each, and only those sums travel; the driver goes on from there.
+    """
+    tree = read_species_tree(species)
+    ready = [prepare(tree, r) for r in points]
+    size = len(PARTS) * tree.n
 
-def fit_joint(tables: DataFrame, species: str, start: Rates | None = None, rounds: int = 200, kinds: tuple[str, ...] = KINDS) -> tuple[Rates, float]:
-    """Three shared rates and the multipliers of all branches moved together, by simplex on the sum of log likelihoods.
+    def run(batches):
+        logl, sums = np.zeros(len(ready)), np.zeros((len(ready), size))
+        for row in _rows(batches):
+            fam = layout(of_row(row), points[0])
+            for k, b in enumerate(ready):
+                value, parts = family_gradient(fam, b)
+                logl[k] += value
+                sums[k] += parts.astype(float).ravel()
+        every = np.concatenate([logl[:, None], sums], axis=1)
+        yield pd.DataFrame({"point": np.repeat(np.arange(len(ready)), size + 1), "at": np.tile(np.arange(size + 1), len(ready)), "value": every.ravel()})
 
-    All values stay within [1e-10, 1000]. A round is one job for all its points, whatever the number of families.
+    out = np.zeros((len(points), size + 1))
+    for r in _flat(tables).mapInPandas(run, "point int, at int, value double").groupBy("point", "at").agg(F.sum("value").alias("value")).collect():  # as many numbers as branches and points
+        out[r["point"], r["at"]] = r["value"]
+    return [(float(x[0]), rate_gradient(b, x[1:].reshape(len(PARTS), tree.n))) for x, b in zip(out, ready)]
+
+
+def fit_joint(tables: DataFrame, species: str, start: Rates | None = None, rounds: int = 100, kinds: tuple[str, ...] = KINDS) -> tuple[Rates, float]:
+    """Three shared rates and the multipliers of all branches moved together, by quasi-Newton steps on the sum of log likelihoods.
+
+    All values stay within [1e-10, 1000]. A round is one job that gives the values and the
+    gradients at all its step lengths, whatever the number of families and branches.
     """
     start = start or Rates()
     n, tables = read_species_tree(species).n, balanced(tables).persist()
@@ -273,53 +299,85 @@ def fit_joint(tables: DataFrame, species: str, start: Rates | None = None, round
         own = {kind: {e: float(v) for e, v in enumerate(x[3 + k * n : 3 + (k + 1) * n])} for k, kind in enumerate(kinds)}
         return start.of(delta=float(x[0]), tau=float(x[1]), lambda_=float(x[2]), multipliers={**start.multipliers, **own})
 
-    def value(points: list[np.ndarray]) -> list[float]:
-        got = {r["point"]: r["logl"] for r in loglik_grid(tables, species, [rates_at(x) for x in points]).groupBy("point").agg(F.sum("logl").alias("logl")).collect()}
-        return [-got[k] for k in range(len(points))]
+    def value(points: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        got = gradients(tables, species, [rates_at(x) for x in points])
+        return [(-v, -np.concatenate([g["rates"], *(g[kind] for kind in kinds)])) for v, g in got]
 
     first = [start.delta, start.tau, start.lambda_, *(start.multipliers.get(kind, {}).get(e, 1.0) for kind in kinds for e in range(n))]
-    x, v, _ = minimise(value, np.array(first), np.full(len(first), RATE_LOW), np.full(len(first), ORIGIN_HIGH), rounds)
+    x, v, _ = descend(value, np.array(first), np.full(len(first), RATE_LOW), np.full(len(first), ORIGIN_HIGH), rounds)
     tables.unpersist()
     return rates_at(x), -v
 
 
+def loglik_trees(tables: DataFrame, trees: list[str], rates: Rates) -> list[float]:
+    """The summed log likelihood of all families under each species tree, in one job.
+
+    A family is laid out once and taken through all trees; a task returns one sum a tree.
+    """
+    ready = [prepare(read_species_tree(t), rates) for t in trees]
+
+    def run(batches):
+        sums = np.zeros(len(ready))
+        for row in _rows(batches):
+            fam = layout(of_row(row), rates)
+            sums += [likelihood(fam, b).log_likelihood for b in ready]
+        yield pd.DataFrame({"tree": np.arange(len(ready)), "logl": sums})
+
+    got = {r["tree"]: r["logl"] for r in _flat(tables).mapInPandas(run, "tree int, logl double").groupBy("tree").agg(F.sum("logl").alias("logl")).collect()}  # a number for each tree of a round
+    return [got[k] for k in range(len(trees))]
+
+
 def search_species_tree(tables: DataFrame, species: str, rates: Rates | None = None, n_samples: int = 10, tries: int = 50, seed: int = 0) -> tuple[str, float]:
-    """Hill climbing over species trees.
+    """Hill climbing over species trees, one likelihood job a round.
 
-    Regrafts are tried in the order of sampled transfers, the most frequent first, until one
-    raises the summed log likelihood; then interchanges around each inner branch. When none
-    does, a final round tries four times as many regrafts. Trees seen before are not computed again.
+    A round takes the regrafts along the most frequent sampled transfers, at most so many tries,
+    and the interchanges around every inner branch, scores all of them together and moves to
+    the best. When none is better, a last round takes every regraft there is; it goes on from
+    the best of those, if there is one. Trees seen before are not computed again.
     """
     from cladeflow.functions import newick
 
     rates, tables = rates or Rates(), balanced(tables).persist()
-    seen: dict[str, float] = {}
+    seen: set[str] = set()
 
-    def value(text: str) -> float:
-        key = newick.write(newick.parse(text), lengths=False, label=lambda n: n.name if n.is_leaf else "")
-        if key not in seen:
-            seen[key] = loglik(tables, text, rates).agg(F.sum("logl")).first()[0]
-        return seen[key]
+    def key(text: str) -> str:
+        """The tree without lengths, the children of a node in the order of their text."""
+        done: dict[int, str] = {}
+        root = newick.parse(text)
+        for node in reversed(list(root.preorder())):
+            done[id(node)] = node.name if node.is_leaf else "(" + ",".join(sorted(done[id(c)] for c in node.children)) + ")"
+        return done[id(root)]
 
     def labelled(text: str) -> newick.Node:
         return newick.parse(read_species_tree(text).numbered())
 
-    best = value(species)
-    improved, last = True, False
-    while improved:
-        improved = False
+    best = loglik_trees(tables, [species], rates)[0]
+    seen.add(key(species))
+    wide = False
+    while True:
         tree = read_species_tree(species)
-        moves = events(samples(tables, species, rates, n_samples, seed)).filter("kind = 'T'").groupBy("branch", "other").count().orderBy(F.desc("count"), "branch", "other").limit(tries).collect()
-        options = [newick.graft(labelled(species), tree.branch_name(m["other"]), tree.branch_name(m["branch"])) for m in moves]
+        pairs = [(a, b) for a in range(tree.n) for b in range(tree.n) if a != b] if wide else []
+        if not wide:
+            moves = events(samples(tables, species, rates, n_samples, seed)).filter("kind = 'T'").groupBy("branch", "other").count().orderBy(F.desc("count"), "branch", "other").limit(tries).collect()
+            pairs = [(m["other"], m["branch"]) for m in moves]
+        options = [newick.graft(labelled(species), tree.branch_name(a), tree.branch_name(b)) for a, b in pairs]
         for e in range(tree.n_leaves, tree.n):
             options += newick.interchanges(labelled(species), tree.branch_name(e))
+        fresh: dict[str, str] = {}
         for option in options:
             text = newick.write(option)
-            if (v := value(text)) > best + 1e-6:
-                species, best, improved = text, v, True
-                break
-        if not improved and not last:
-            last, improved, tries = True, True, 4 * tries  # a final round with more regrafts
+            if key(text) not in seen:
+                fresh.setdefault(key(text), text)
+        seen |= fresh.keys()
+        texts = list(fresh.values())
+        got = loglik_trees(tables, texts, rates) if texts else []
+        top = max(range(len(got)), key=lambda k: (got[k], -k), default=None)
+        if top is not None and got[top] > best + 1e-6:
+            species, best, wide = texts[top], got[top], False
+        elif wide:
+            break
+        else:
+            wide = True
     tables.unpersist()
     return species, best
 

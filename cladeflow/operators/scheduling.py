@@ -7,9 +7,14 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeflow.operators.prefix import with_running
+from cladeflow.operators.stored import stored
+
 
 def near_universal_bound(times: DataFrame, share: float = 0.8) -> float:
     """The time below which a share of the near-universal families stay: those with over 80 % of the most species."""
@@ -54,7 +59,7 @@ def keep_aggressive(times: DataFrame, keep_share: float = 0.8, step: float = 0.0
     return species_time_cut(times, low)
 
 
-def pack_list(items: list[tuple[str, float]], machines: int) -> list[tuple[str, int, float]]:
+def pack_list(items: list[tuple[str, float]], machines: int, rounds: int = 1000) -> list[tuple[str, int, float]]:
     """Longest first, each to the machine with the least so far; then moves and swaps between the fullest and the emptiest."""
     heap = [(0.0, k) for k in range(machines)]
     bins: list[list[tuple[float, str]]] = [[] for _ in range(machines)]
@@ -62,47 +67,68 @@ def pack_list(items: list[tuple[str, float]], machines: int) -> list[tuple[str,
         load, k = heapq.heappop(heap)
         bins[k].append((time, name))
         heapq.heappush(heap, (load + time, k))
-    for _ in range(1000):
+    for _ in range(rounds):
         loads = [sum(t for t, _ in b) for b in bins]
         hi, lo = max(range(machines), key=loads.__getitem__), min(range(machines), key=loads.__getitem__)
         gap = loads[hi] - loads[lo]
-        best = (gap, None, None)
-        for x in bins[hi]:
-            for y in [(0.0, None), *bins[lo]]:
-                new = abs(gap - 2 * (x[0] - y[0]))
-                if new < best[0] - 1e-9:
-                    best = (new, x, y)
-        if best[1] is None:
+        out, back = np.array([t for t, _ in bins[hi]]), np.array([0.0, *(t for t, _ in bins[lo])])
+        if not len(out):
+            break
+        new = np.abs(gap - 2 * (out[:, None] - back[None, :]))
+        i, j = np.unravel_index(int(np.argmin(new)), new.shape)
+        if new[i, j] >= gap - 1e-9:
             break
-        bins[hi].remove(best[1])
-        bins[lo].append(best[1])
-        if best[2][1] is not None:
-            bins[lo].remove(best[2])
-            bins[hi].append(best[2])
+        moved = bins[hi].pop(i)
+        if j:
+            bins[hi].append(bins[lo].pop(j - 1))
+        bins[lo].append(moved)
     return [(name, k, time) for k, b in enumerate(bins) for time, name in sorted(b)]
 
 
-def pack(times: DataFrame, machines: int = 64, policy: str = "conservative") -> DataFrame:
-    """file, cpu, time: where each kept family goes.
+#: The longest families, so many for each machine, are placed one by one; the rest is poured.
+HEAD = 64
 
-    Families are first dealt to groups of machines by hash of file, each small enough for one
-    task, and packed longest first within a group; a run of a few thousand families is one group.
-    """
-    kept = {"conservative": lambda: keep_conservative(times, machines)[0], "aggressive": lambda: keep_aggressive(times), "all": lambda: times}[policy]()
-    n = kept.count()
-    groups = max(1, min(machines, n // 20_000))
-    per = [machines // groups + (k < machines % groups) for k in range(groups)]
-    first = [sum(per[:k]) for k in range(groups)]
 
-    def run(pdf):
-        import pandas as pd
+def deal(times: DataFrame, machines: int, head: int = HEAD, rounds: int = 1000) -> DataFrame:
+    """file, cpu, time: families (file, time) dealt to machines, evenly for any number of them.
+
+    The longest ones, head for each machine, are placed longest first and balanced by swaps:
+    their number is bounded. All others, in the order of their times, are poured into what the
+    machines have left below the common level: a running sum over ranges tells each family how
+    much comes before it, and so where it goes. No machine is off the level by more than one
+    poured family, which takes at most 1 / head of a machine's share. A null time counts as 0.
+    """
+    rows = times.select("file", F.coalesce(F.col("time").cast("double"), F.lit(0.0)).alias("time"))
+    order = [F.desc("time"), F.asc_nulls_first("file")]
+    ranked = stored(with_running(rows, order, {"_before": "time"}, "_rank"), "ranked")
+    n_head = head * machines
+    first = [(r["file"], r["time"]) for r in ranked.filter(F.col("_rank") <= n_head).collect()]  # head for each machine
+    placed = pack_list(first, machines, rounds)
+    loads_ = np.zeros(machines)
+    for _, k, t in placed:
+        loads_[k] += t
+    rest, start = ranked.filter(F.col("_rank") > n_head).agg(F.coalesce(F.sum("time"), F.lit(0.0)), F.coalesce(F.min("_before"), F.lit(0.0))).first()
+    # The level at which the room below it is what there is to pour.
+    order_ = np.sort(loads_)
+    room = np.arange(1, machines + 1) * order_ - np.cumsum(order_)
+    k = int(np.searchsorted(room, rest, side="right"))
+    level = (rest + order_[:k].sum()) / max(k, 1)
+    bounds = np.cumsum(np.maximum(level - loads_, 0.0))
+    open_ = np.flatnonzero(loads_ < level) if rest > 0 else np.array([0])
+    edges = bounds[open_][:-1]
+
+    @F.pandas_udf("int")
+    def machine(middle: pd.Series) -> pd.Series:
+        return pd.Series(open_[np.searchsorted(edges, middle.to_numpy(), side="right")].astype("int32"))
+
+    poured = ranked.filter(F.col("_rank") > n_head).select("file", machine(F.col("_before") - F.lit(float(start)) + F.col("time") / 2).alias("cpu"), "time")
+    return times.sparkSession.createDataFrame(placed, "file string, cpu int, time double").select(F.col("file").cast(times.schema["file"].dataType).alias("file"), "cpu", "time").unionByName(poured)
 
-        k = int(pdf["_group"].iloc[0])
-        rows = pack_list(list(zip(pdf["file"], pdf["time"])), per[k])
-        return pd.DataFrame([(name, cpu + first[k], time) for name, cpu, time in rows], columns=["file", "cpu", "time"])
 
-    dealt = kept.select("file", "time", F.pmod(F.xxhash64("file"), F.lit(groups)).alias("_group"))
-    return dealt.groupBy("_group").applyInPandas(run, "file string, cpu int, time double")
+def pack(times: DataFrame, machines: int = 64, policy: str = "conservative") -> DataFrame:
+    """file, cpu, time: where each family goes that the policy (conservative, aggressive or all) keeps."""
+    kept = {"conservative": lambda: keep_conservative(times, machines)[0], "aggressive": lambda: keep_aggressive(times), "all": lambda: times}[policy]()
+    return deal(kept, machines)
 
 
 def loads(packed: DataFrame) -> DataFrame:

@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from cladeflow.operators import ccp, dated, event_tables, ordering, reconcile, scheduling, simulate, species, splits
 from cladeflow.plans.ladder import LADDER_SQL, ladder_trees, mask, table
 from cladeflow.plans.registry import ORACLES, QUERIES, query
+from cladeflow.plans.undated_sql import loglik_sql
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["split_counts"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from cladeflow.plans import tree_queries  # noqa: F401, registers its own
+    from cladeflow.plans import model_queries, tree_queries  # noqa: F401, register their own
 
     return dict(QUERIES)
 
@@ -404,7 +406,7 @@ def _species(spark, sf_dir) -> str:
     return text + ";"
 
 
-@query()
+@query(loglik_sql())
 def undated_loglik(spark, sf_dir):
     return reconcile.loglik(_tables(spark, sf_dir), _species(spark, sf_dir)).withColumn("logl", F.round("logl", 6))
 

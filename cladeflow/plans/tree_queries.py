@@ -6,9 +6,6 @@ shared folder that spark.checkpoint.dir names.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +15,7 @@ from cladeflow.functions.dated_model import DatedRates
 from cladeflow.functions.species_tree import coalescent_lengths, read_species_tree
 from cladeflow.functions.undated_model import Rates
 from cladeflow.operators import ccp, dated, event_tables, ordering, reconcile, scheduling, species, splits, tree_tools
+from cladeflow.operators.stored import shared_path
 from cladeflow.plans.catalog import CLASS_SQL, CONSTRAINT_SQL, EVENTS_SQL, ORDER, TREE, _constraints, _events, _ORDER_SQL, _split, _with
 from cladeflow.plans.forest import FOREST_SQL, forest_trees
 from cladeflow.plans.ladder import LADDER_SQL, ladder_trees, mask, table
@@ -25,19 +23,9 @@ from cladeflow.plans.registry import query
 from cladeflow.sources import readers, writers
 
 
-def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="cladeflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def _file(spark, lines: DataFrame) -> str:
     """Write a column of text as one file, in the order given; the files of these queries are small."""
-    path = _folder(spark)
+    path = shared_path(spark, "files")
     lines.coalesce(1).write.text(path)
     return path
 
@@ -261,7 +249,7 @@ def single_gene_reader(spark, sf_dir):
 def posterior_round_trip(spark, sf_dir):
     """Clade tables written in the tagged text form and read again."""
     trees = ladder_trees(spark, sf_dir)
-    path = _folder(spark)
+    path = shared_path(spark, "files")
     texts = writers.posterior_texts(splits.tables(trees))
     texts.select(F.col("text").alias("value")).write.option("lineSep", "\x00").text(path)
     whole = spark.read.text(path, lineSep="\x00").select(F.regexp_extract("value", r"n(\d\d)", 1).alias("k"), F.col("value").alias("text"))
@@ -309,7 +297,7 @@ def fraction_missing(spark, sf_dir):
 def constraint_reader(spark, sf_dir):
     """Constraint lines written, read and added up."""
     lines = writers.constraint_lines(_constraints(spark, sf_dir).withColumn("family", F.lit("f")))
-    path = _folder(spark)
+    path = shared_path(spark, "files")
     lines.write.text(path)
     return readers.constraints(spark, path)
 
@@ -317,7 +305,7 @@ def constraint_reader(spark, sf_dir):
 @query("SELECT s_name AS file, s_acctbal + 1000 AS time, CAST(s_suppkey AS BIGINT) AS clades, CAST(s_nationkey AS BIGINT) AS genes, CAST(s_nationkey + 1 AS BIGINT) AS species FROM supplier")
 def runtime_reader(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    path = _folder(spark)
+    path = shared_path(spark, "files")
     s.select(F.concat_ws("\t", (F.col("s_acctbal") + 1000).cast("string"), "s_suppkey", "s_nationkey", F.col("s_nationkey") + 1, "s_name").alias("value")).write.text(path)
     return readers.runtimes(spark, path).select("file", "time", "clades", "genes", "species")
 
@@ -326,7 +314,7 @@ def runtime_reader(spark, sf_dir):
 def packing_list(spark, sf_dir):
     """Packing lines written and read."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("file"), F.pmod("s_suppkey", F.lit(7)).cast("int").alias("cpu"), (F.col("s_acctbal") + 1000).alias("time"))
-    path = _folder(spark)
+    path = shared_path(spark, "files")
     writers.packing_lines(s).write.text(path)
     return readers.distributed_list(spark, path)
 
@@ -356,7 +344,7 @@ def report_reader(spark, sf_dir):
     sampled = spark.createDataFrame([("f", k, "((a_1,b_1).3,c_1).4;", [("S", 4, -1), ("S", 3, -1)]) for k in range(2)], reconcile.SAMPLES)
     ev = reconcile.events(sampled)
     text = writers.report(fits, event_tables.totals(ev, 2), event_tables.branch_means(ev, 2), sampled, tree)
-    path = _folder(spark)
+    path = shared_path(spark, "files")
     text.coalesce(1).select(F.col("text").alias("value")).write.text(path)
     got = readers.reconciliation_files(spark, path)
     return got.select(F.lit("rec").alias("kind"), "species_tree", "delta", "tau", "lambda", F.size("reconciled").cast("int").alias("trees"))

@@ -1,7 +1,8 @@
 """Readers: each returns a DataFrame, with line numbers where order matters.
 
-Lines are numbered within their file by reading files whole and exploding them, so a reader
-never depends on how Spark cuts files into partitions.
+Lines are numbered where Spark reads them: each split of a file counts its own, and the counts
+of the splits before it are added. A file of any size is read in as many tasks as Spark cuts it
+into, and no task or row holds all of it; the numbers don't depend on the cut.
 """
 
 from __future__ import annotations
@@ -12,10 +13,20 @@ from pyspark.sql import functions as F
 from cladeflow.functions import newick
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line_no from 0, line) of text files."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
-    return files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+def numbered_lines(spark: SparkSession, path: str | list[str], keep: Column | None = None) -> DataFrame:
+    """(path, file, split, line_no from 0, line) of text files; with keep, a condition on line, only those lines are there and are numbered.
+
+    split is the byte at which the part of the file begins that a line was read with.
+    """
+    m = F.col("_metadata")
+    lines = spark.read.text(path).select(m["file_path"].alias("path"), m["file_name"].alias("file"), m["file_block_start"].alias("split"), F.col("value").alias("line"))
+    # Ids rise by one from line to line within a task, and a task reads the splits that it has one after another.
+    lines = (lines if keep is None else lines.filter(keep)).withColumn("_id", F.monotonically_increasing_id())
+    parts = lines.groupBy("path", "split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))  # one row per split
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("path", "split", "_first", "_before")
+    met = lines.join(parts, ["path", "split"])
+    return met.select("path", "file", "split", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "line")
 
 
 def chosen(tree_no: Column, burnin: int, every: int, mode: str = "observe") -> Column:
@@ -32,17 +43,21 @@ def tree_samples(spark: SparkSession, path: str | list[str], family: Column | No
     """family, file, tree_no, newick of tree lists, a tree a line.
 
     A line with a parenthesis is a tree; one without, but with a semicolon, is a family of one
-    gene. Burn-in and thinning go by tree within each file; until keeps so many of each family.
-    The family is the file's name unless another expression over file is given.
+    gene. Burn-in and thinning go by tree within each file; until keeps so many of each family,
+    in the order of its files' names. The family is the file's name unless another expression
+    over file and path is given.
     """
-    lines = numbered_lines(spark, path)
     many, one = F.col("line").contains("("), ~F.col("line").contains("(") & F.col("line").contains(";")
-    rows = lines.filter(many | one).withColumn("family", family if family is not None else F.col("file")).withColumn("newick", F.trim("line"))
-    w = Window.partitionBy("file").orderBy("line_no")
-    rows = rows.withColumn("tree_no", F.row_number().over(w)).filter(chosen(F.col("tree_no"), burnin, every, mode) | one)
+    rows = numbered_lines(spark, path, many | one).withColumn("tree_no", F.col("line_no") + 1)
+    rows = rows.filter(chosen(F.col("tree_no"), burnin, every, mode) | one).withColumn("family", family if family is not None else F.col("file")).withColumn("newick", F.trim("line"))
     if until >= 0:
-        rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("family").orderBy("file", "line_no"))).filter(F.col("_k") <= until)
-    return rows.select("family", "file", "tree_no", "newick")
+        # A tree's place in its family: the trees of its own split before it, and those of earlier splits and files.
+        parts = rows.groupBy("family", "file", "path", "split").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy("family").orderBy("file", "path", "split").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < until).drop("_n")
+        here = Window.partitionBy("family", "path", "split").orderBy("tree_no")
+        rows = rows.join(parts, ["family", "file", "path", "split"]).withColumn("_k", F.col("_before") + F.row_number().over(here)).filter(F.col("_k") <= until)
+    return rows.select("family", "file", F.col("tree_no").cast("long").alias("tree_no"), "newick")
 
 
 def trees_from_strings(spark: SparkSession, trees: list[str] | dict[str, list[str]]) -> DataFrame:
