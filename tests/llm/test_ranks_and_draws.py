@@ -239,3 +239,19 @@ def test_sql_agrees(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = con.sql(queries.oracle_sql()[name])
     assert run(queries.queries()[name](spark, sf), found.columns) == key(found.fetchall())
+
+
+def test_many_findings_are_masked_in_one_pass():
+    import time
+
+    from cladeflow.llm import secrets
+
+    scanner = secrets.Scanner(None, None)
+    text = b"key = 0123456789abcdef0123456789abcdef\n" * 200_000
+    spans = [(39 * k + 6, 39 * k + 38, 1.0 if k % 2 else 0.0) for k in range(200_000)]
+    began = time.perf_counter()
+    got = scanner.redact(text, spans)
+    assert time.perf_counter() - began < 2
+    one = b"key = 0123456789abcdef0123456789abcdef\n"
+    assert got == (one + b"key = " + secrets.MASK.encode() + b"\n") * 100_000
+    assert scanner.redact(text, []) == text
