@@ -73,17 +73,17 @@ pack = scheduling.pack
 
 
 def score(tables: DataFrame, trees: DataFrame) -> DataFrame:
-    """family, tree_no, log_p of trees under the tables of their families."""
-    import pandas as pd
-
-    met = trees.select("family", F.col("tree_no").cast("long").alias("tree_no"), "newick").join(tables.select("family", "leaves", "observations", "facts"), "family")
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(r["family"], r["tree_no"], splits.of_row(r).score(r["newick"])) for r in pdf.to_dict("records")]
-            yield pd.DataFrame(rows, columns=["family", "tree_no", "log_p"])
-
-    return met.mapInPandas(run, "family string, tree_no long, log_p double")
+    """family, tree_no, log_p of trees under the tables of their families; -inf for trees on other leaves.
+
+    Splits of trees meet those of the tables; no family's table travels with a tree.
+    """
+    met = trees.select("family", F.col("tree_no").cast("long").alias("tree_no"), "newick").join(tables.select("family", "leaves"), "family")
+    same = splits.leaf_names("newick") == F.array_sort("leaves")
+    few = F.size("leaves") < 4
+    known = met.filter(same & ~few)
+    scored = ccp.score_trees(known, splits.facts_of(tables), tables).select("family", "tree_no", F.col("log_p").alias("_log_p"))
+    log_p = F.when(~same, F.lit(float("-inf"))).when(few, 0.0).otherwise(F.col("_log_p"))
+    return met.join(scored, ["family", "tree_no"], "left").select("family", "tree_no", log_p.alias("log_p"))
 
 
 def evaluate(spark: SparkSession, species: str, gene_trees: DataFrame, rates: Rates | None = None, n_samples: int = 100) -> dict[str, DataFrame]:

@@ -237,12 +237,14 @@ def likelihood(family: Family, b: Branches) -> Fit:
     return Fit(family, b, q, total, origin_log.astype(float))
 
 
-def sample(fit: Fit, rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
+def sample(fit: Fit, rng: np.random.Generator, trail: list[tuple[int, int, str, int, int]] | None = None) -> tuple[str, list[tuple[str, int, int]]]:
     """One reconciled tree and its events (kind, branch, other branch or -1), drawn from the terms of the likelihood.
 
     Kinds: O origination, S speciation, C copy at a leaf, D duplication, T transfer (other:
     recipient), L loss. A label lists what befell a gene on its way from the node above, the
-    youngest first: .e for a speciation of e, .D@e, .T@e->f.
+    youngest first: .e for a speciation of e, .D@e, .T@e->f. A list given as trail gets a row
+    (clade, place from 0, kind, branch, other) for each event, along the lineage that ends in the
+    clade's split or leaf, the oldest first; the origination is the first of the root's.
     """
     b, fam, q = fit.branches, fit.family, fit.q
     tree, table = b.tree, fam.table
@@ -270,7 +272,8 @@ def sample(fit: Fit, rng: np.random.Generator) -> tuple[str, list[tuple[str, int
             _, slot, x, y, label = item
             text[slot] = f"({text.pop(x)},{text.pop(y)}){label}"
             continue
-        i, e, label, slot, _ = item
+        i, e, label, slot, top = item
+        past = len(events) - (1 if top else 0)
         size_one = i < table.n or (table.n == 1 and i == root)
         steps = 0
         while True:
@@ -309,8 +312,15 @@ def sample(fit: Fit, rng: np.random.Generator) -> tuple[str, list[tuple[str, int
                 e = to
                 continue
             break
+        clade = fam.clades[i] if i < root else table.full
+
+        def note(clade=clade, past=past):
+            if trail is not None:
+                trail.extend((clade, k, *event) for k, event in enumerate(events[past:]))
+
         if kind == "leaf":
             events.append(("C", e, -1))
+            note()
             text[slot] = got[2] + label
             continue
         x, at_x, y, at_y = got[2:]
@@ -324,6 +334,7 @@ def sample(fit: Fit, rng: np.random.Generator) -> tuple[str, list[tuple[str, int
             at_y = recipient(q[y], e)
             label = f".T@{tree.branch_name(e)}->{tree.branch_name(at_y)}" + label
             events.append(("T", e, at_y))
+        note()
         one, two = serial + 1, serial + 2
         serial += 2
         stack += [("join", slot, one, two, label), (x, at_x, "", one, False), (y, at_y, "", two, False)]

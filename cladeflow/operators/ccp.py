@@ -12,6 +12,7 @@ from cladeflow.functions import newick, parsimony
 from cladeflow.functions.clade_math import log_trees_with_clade, log_trees_with_split, log_unrooted
 from cladeflow.functions.clade_table import pack_mask, unpack_mask
 from cladeflow.operators import splits
+from cladeflow.operators.stored import stored
 from cladeflow.operators.reconcile import _seeded, map_families
 from cladeflow.operators.splits import of_row
 
@@ -132,13 +133,30 @@ def recompose(trees: DataFrame, facts: DataFrame, fams: DataFrame) -> DataFrame:
 
 
 def compare(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Scores of both samples' trees under both samples' tables: family, sample, tree_no, log_p_one, log_p_two."""
-    tables_ = [(splits.split_facts(t), splits.families(t)) for t in (one, two)]
-    out = []
-    for name, trees in (("one", one), ("two", two)):
-        a, b = (score_trees(trees, *t).withColumnRenamed("log_p", f"log_p_{k}") for k, t in zip(("one", "two"), tables_))
-        out.append(a.join(b, ["family", "tree_no"]).withColumn("sample", F.lit(name)))
-    return out[0].unionByName(out[1])
+    """Scores of both samples' trees under both samples' tables: family, sample, tree_no, log_p_one, log_p_two.
+
+    Every tree is cut once; both tables are counted from the stored splits, and one join by
+    split serves both scores.
+    """
+    label = lambda t, k: t.select(F.col("family").cast("string").alias("family"), (F.col("tree_no").cast("long") * 2 + k).alias("tree_no"), "newick", (F.col("weight").cast("double") if "weight" in t.columns else F.lit(1.0)).alias("weight"))
+    both = label(one, 0).unionByName(label(two, 1))
+    rows = tree_splits(both)
+    if "weight" in [*one.columns, *two.columns]:
+        rows = rows.join(both.select("family", "tree_no", "weight"), ["family", "tree_no"])
+    else:
+        rows = rows.withColumn("weight", F.lit(1.0))
+    rows = stored(rows.withColumn("_of", F.pmod("tree_no", F.lit(2))), "compared")
+    split = ["family", "clade", "left", "right"]
+    d = rows.groupBy("_of", *split, "size", "n_leaves").agg(F.sum("weight").alias("cnt"))
+    b = d.groupBy("_of", "family", "clade").agg(F.sum("cnt").alias("clade_cnt"))
+    # Each tree has every clade that lacks one leaf.
+    n = d.filter(F.col("size") == F.col("n_leaves") - 1).groupBy("_of", "family").agg((F.sum("cnt") / F.first("n_leaves")).alias("observations"))
+    count = F.when(F.col("size") == F.col("n_leaves") - 1, F.col("observations")).otherwise(F.col("clade_cnt"))
+    p = d.join(b, ["_of", "family", "clade"]).join(n, ["_of", "family"]).withColumn("p", F.when(F.col("n_leaves") < 4, 1.0).otherwise(F.col("cnt") / count))
+    p = p.groupBy(*split).agg(*(F.max(F.when(F.col("_of") == k, F.col("p"))).alias(f"p_{name}") for k, name in enumerate(("one", "two"))))
+    each = lambda c: F.when(F.col(c) > 0, F.log(c)).otherwise(F.lit(float("-inf")))
+    got = rows.filter("first").join(p, split, "left").groupBy("family", "tree_no", "_of").agg(*(F.sum(each(f"p_{k}")).alias(f"log_p_{k}") for k in ("one", "two")))
+    return got.select("family", F.floor(F.col("tree_no") / 2).alias("tree_no"), "log_p_one", "log_p_two", F.when(F.col("_of") == 0, "one").otherwise("two").alias("sample"))
 
 
 def count_trees(tables: DataFrame) -> DataFrame:

@@ -85,3 +85,14 @@ def trails(events: DataFrame) -> DataFrame:
     """The events of each sample as one text, in order of branch and kind."""
     word = F.concat_ws("", F.col("kind"), F.lit("@"), F.col("branch"), F.when(F.col("other") >= 0, F.concat(F.lit("->"), F.col("other"))))
     return events.groupBy("family", "sample_no").agg(F.array_join(F.array_sort(F.collect_list(word)), " ").alias("trail"))
+
+
+def clade_trails(events: DataFrame) -> DataFrame:
+    """family, sample_no, clade, trail: the events of each gene clade of each sample, the oldest first.
+
+    events are rows with clade and seq, as ``reconcile.trail_events`` gives them; a trail is
+    gathered for one lineage, and is as long as that has events.
+    """
+    word = F.concat_ws("", F.col("kind"), F.lit("@"), F.col("branch"), F.when(F.col("other") >= 0, F.concat(F.lit("->"), F.col("other"))))
+    rows = events.groupBy("family", "sample_no", "clade").agg(F.array_sort(F.collect_list(F.struct("seq", word.alias("word")))).alias("found"))
+    return rows.select("family", "sample_no", "clade", F.array_join(F.transform("found", lambda x: x["word"]), " ").alias("trail"))

@@ -263,6 +263,27 @@ def random_orders(spark: SparkSession, species: str, constraints: DataFrame, n:
     return spark.range(n).mapInPandas(run, "draw long, value double, similarity double")
 
 
+def draw_orders(spark: SparkSession, species: str, n: int, seed: int = 0) -> DataFrame:
+    """draw, place, name: n orders of the inner nodes, each equally likely among all that the tree allows; a draw depends on the seed and its number alone."""
+    r = ranking.Ranking.of(species)
+
+    def run(batches):
+        for pdf in batches:
+            for k in pdf["id"].tolist():
+                order = ranking.random_order(r, np.random.default_rng([seed, k]))
+                yield pd.DataFrame({"draw": k, "place": np.arange(len(order), dtype=np.int32), "name": order})
+
+    return spark.range(n).mapInPandas(run, "draw long, place int, name string")
+
+
+def order_values(constraints: DataFrame, orders: DataFrame) -> DataFrame:
+    """draw, value: the weight that each of many orders (draw, place, name) breaks; constraints on other names count for none."""
+    met = orders.withColumnsRenamed({"name": "older", "place": "_a"}).join(total(constraints), "older")
+    met = met.join(orders.withColumnsRenamed({"name": "younger", "place": "_b"}), ["draw", "younger"])
+    broken = met.groupBy("draw").agg(F.sum(F.when(F.col("_a") > F.col("_b"), F.col("weight")).otherwise(0.0)).alias("value"))
+    return orders.select("draw").distinct().join(broken, "draw", "left").select("draw", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def p_value(random: DataFrame, value: float) -> DataFrame:
     """One row: the share of random orders that break no more weight."""
     return random.agg(F.avg(F.when(F.col("value") <= value, 1.0).otherwise(0.0)).alias("p_value"))

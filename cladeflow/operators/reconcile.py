@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.functions.clade_table import pack_mask
 from cladeflow.functions.quasi_newton import descend
 from cladeflow.functions.simplex import minimise
 from cladeflow.functions.species_tree import read_species_tree
@@ -183,45 +184,117 @@ def events(sampled: DataFrame) -> DataFrame:
     return sampled.select("family", "sample_no", F.explode("events").alias("e")).select("family", "sample_no", "e.*")
 
 
+TRAIL = "family string, sample_no int, clade binary, seq int, kind string, branch int, other int"
+
+
+def trail_events(tables: DataFrame, species: str, rates: Rates | None = None, n: int = 100, seed: int = 0) -> DataFrame:
+    """The events of ``samples`` with the gene clade they befell and their place along its lineage, the oldest first."""
+    rates = rates or Rates()
+    b = prepare(read_species_tree(species), rates)
+
+    def run(row):
+        done, out = likelihood(layout(of_row(row), rates), b), []
+        size = done.family.table.n
+        for k in range(n):
+            trail: list = []
+            sample(done, _seeded(seed, row["family"], k), trail)
+            out += [(row["family"], k, pack_mask(g, size), *rest) for g, *rest in trail]
+        return out
+
+    return map_families(tables, run, TRAIL)
+
+
 CHAIN = "family string, iteration int, logl double, log_prior double, origination double, delta double, tau double, lambda double, accepted boolean"
 
 
+def _chain(tables: DataFrame, species: str, start: Rates, first: int, steps: int, burnin: int, thin: int, seed: int, means: tuple[float, float, float, float], state: DataFrame | None) -> DataFrame:
+    """Steps first to first + steps - 1 of every family's chain: the rows to keep, and the last one as where to go on (kept tells them apart)."""
+    tree = read_species_tree(species)
+    goes_on = state is not None
+    rows = _flat(tables).join(state.select("family", "origination", "delta", "tau", "lambda"), "family") if goes_on else _flat(tables)
+
+    def run(batches):
+        for row in _rows(batches):
+            fam = layout(of_row(row), start)
+
+            def logl(x):
+                r = start.of(origin_root=x[0], delta=x[1], tau=x[2], lambda_=x[3])
+                return likelihood(fam, prepare(tree, r)).log_likelihood  # noqa: B023
+
+            prior = lambda x: float(sum(-np.log(m) - v / m for v, m in zip(x, means)))
+            x = [row[c] for c in ("origination", "delta", "tau", "lambda")] if goes_on else [start.origin_root, start.delta, start.tau, start.lambda_]
+            now, p, out = logl(x), prior(x), []
+            for it in range(first, first + steps):
+                rng = _seeded(seed, row["family"], it)  # a step's draws depend on its number, so a chain can go on from any
+                k, s = int(rng.integers(4)), float(rng.choice([0.1, 1.0, 10.0]))
+                step = s * (rng.random() - 0.5)
+                y = list(x)
+                y[k] = min(max(x[k] * np.exp(step), 1e-5), ORIGIN_HIGH if k == 0 else 10.0)
+                ok = False
+                if sum(y[1:]) <= 10:
+                    new, q = logl(y), prior(y)
+                    ok = bool(np.log(rng.random()) < new + q - now - p + step)
+                    if ok:
+                        x, now, p = y, new, q
+                kept = it >= burnin and (it - burnin) % thin == 0
+                if kept or it == first + steps - 1:
+                    out.append((row["family"], it, now, p, *x, ok, kept))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in f"{CHAIN}, kept boolean".split(", ")])
+
+    return balanced(rows).mapInPandas(run, f"{CHAIN}, kept boolean")
+
+
 def mcmc(tables: DataFrame, species: str, start: Rates | None = None, steps: int = 1000, burnin: int = 100, thin: int = 10, seed: int = 0, means: tuple[float, float, float, float] = (1.0, 0.01, 0.01, 0.1)) -> DataFrame:
     """A Markov chain over origination weight and rates of each family, with exponential priors of the given means.
 
     A step scales one parameter by exp(s (u - 0.5)), s one of 0.1, 1 and 10; proposals with
     delta + tau + lambda above 10 are rejected. Tables are always those of the current rates.
     """
+    return _chain(tables, species, start or Rates(), 0, steps, burnin, thin, seed, means, None).filter("kept").drop("kept")
+
+
+def mcmc_blocks(tables: DataFrame, species: str, path: str, start: Rates | None = None, steps: int = 1000, every: int = 100, burnin: int = 100, thin: int = 10, seed: int = 0, means: tuple[float, float, float, float] = (1.0, 0.01, 0.01, 0.1)) -> DataFrame:
+    """``mcmc`` in blocks of so many steps, each stored under path with the state that the next goes on from.
+
+    A call goes on after the blocks that are there, whole ones of the same every, so a stopped
+    run loses one block at most, and its trace is that of a run at once.
+    """
+    spark, start, at = tables.sparkSession, start or Rates(), 0
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    schema = f"{CHAIN}, kept boolean"
+    while at < steps:
+        n = min(every, steps - at)
+        block = f"{path}/from={at}-{at + n}"
+        if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{block}/_SUCCESS")):
+            state = spark.read.schema(schema).parquet(f"{path}/from={at - every}-{at}").filter(F.col("iteration") == at - 1) if at else None
+            _chain(tables, species, start, at, n, burnin, thin, seed, means, state).write.mode("overwrite").parquet(block)
+        at += n
+    return spark.read.schema(schema).parquet(*(f"{path}/from={k}-{min(k + every, steps)}" for k in range(0, steps, every))).filter("kept").drop("kept")
+
+
+def chain_samples(tables: DataFrame, chain: DataFrame, species: str, start: Rates | None = None, n: int = 1, seed: int = 0) -> DataFrame:
+    """n reconciled trees at each kept step of a chain: family, iteration, sample_no, newick, events.
+
+    sample_no is unique within a family, so transfers, counts and consensus trees of a chain are
+    read off as those of other samples are.
+    """
     start = start or Rates()
     tree = read_species_tree(species)
+    names = ["family", "iteration", "sample_no", "newick", "events"]
+    # A family's table goes to each of its kept steps; the chain's thinning bounds their number.
+    met = chain.select("family", "iteration", "origination", "delta", "tau", "lambda").join(_flat(tables), "family")
 
-    def run(row):
-        rng = _seeded(seed, row["family"])
-        fam = layout(of_row(row), start)
-
-        def logl(x):
-            r = start.of(origin_root=x[0], delta=x[1], tau=x[2], lambda_=x[3])
-            return likelihood(fam, prepare(tree, r)).log_likelihood
-
-        prior = lambda x: float(sum(-np.log(m) - v / m for v, m in zip(x, means)))
-        x = [start.origin_root, start.delta, start.tau, start.lambda_]
-        now, p, out = logl(x), prior(x), []
-        for it in range(steps):
-            k, s = int(rng.integers(4)), float(rng.choice([0.1, 1.0, 10.0]))
-            step = s * (rng.random() - 0.5)
-            y = list(x)
-            y[k] = min(max(x[k] * np.exp(step), 1e-5), ORIGIN_HIGH if k == 0 else 10.0)
-            ok = False
-            if sum(y[1:]) <= 10:
-                new, q = logl(y), prior(y)
-                ok = bool(np.log(rng.random()) < new + q - now - p + step)
-                if ok:
-                    x, now, p = y, new, q
-            if it >= burnin and (it - burnin) % thin == 0:
-                out.append((row["family"], it, now, p, *x, ok))
-        return out
+    def run(batches):
+        for row in _rows(batches):
+            r = start.of(origin_root=row["origination"], delta=row["delta"], tau=row["tau"], lambda_=row["lambda"])
+            done, out = likelihood(layout(of_row(row), r), prepare(tree, r)), []
+            for k in range(n):
+                text, found = sample(done, _seeded(seed, row["family"], row["iteration"], k))
+                out.append((row["family"], row["iteration"], row["iteration"] * n + k, text, [{"kind": a, "branch": b, "other": c} for a, b, c in found]))
+            yield pd.DataFrame(out, columns=names)
 
-    return map_families(balanced(tables), run, CHAIN)
+    return met.mapInPandas(run, "family string, iteration int, sample_no int, newick string, events array<struct<kind:string,branch:int,other:int>>")
 
 
 def fit_global(tables: DataFrame, species: str, start: Rates | None = None, rounds: int = 40) -> tuple[Rates, float]:

@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from cladeflow.functions import newick
 from cladeflow.functions.clade_table import CladeTable, pack_mask, unpack_mask
+from cladeflow.operators.batches import over_batches
 
 FACTS = "family string, n_leaves int, clade binary, other binary, size int, left binary, right binary, left_size int, right_size int, cnt double, bl double"
 FAMILY = "family string, n_leaves int, leaves array<string>, observations double, n_trees long"
@@ -70,17 +72,20 @@ def bips(facts: DataFrame) -> DataFrame:
     return g.withColumn("cnt", F.when(F.col("cnt") > 0, F.col("cnt")))
 
 
+def leaf_names(tree: str) -> Column:
+    """The sorted leaf names of a column of trees; a tree without parentheses is one leaf."""
+    names = F.array_sort(F.transform(F.regexp_extract_all(tree, F.lit(r"[(,]\s*([^\s(),:;\[\]]+)"), 1), lambda x: F.regexp_replace(x, "^'|'$", "")))
+    return F.when(F.col(tree).contains("("), names).otherwise(F.array(F.trim(F.regexp_replace(tree, "[:;].*", ""))))
+
+
 def families(trees: DataFrame) -> DataFrame:
     """One row per family: leaves, observations (sum of weights), number of trees and the first tree; trees with other leaves are an error."""
     weight = F.col("weight").cast("double") if "weight" in trees.columns else F.lit(1.0)
     number = F.col("tree_no") if "tree_no" in trees.columns else F.lit(0)
     one = trees.select(F.col("family").cast("string").alias("family"), "newick", weight.alias("w"), number.alias("k"))
-    names = lambda t: F.array_sort(F.transform(F.regexp_extract_all(t, F.lit(r"[(,]\s*([^\s(),:;\[\]]+)"), 1), lambda x: F.regexp_replace(x, "^'|'$", "")))
-    single = lambda t: F.array(F.trim(F.regexp_replace(t, "[:;].*", "")))
-    of = lambda t: F.when(F.col(t).contains("("), names(t)).otherwise(single(t))
-    one = one.withColumn("same", F.xxhash64(of("newick")))
+    one = one.withColumn("same", F.xxhash64(leaf_names("newick")))
     g = one.groupBy("family").agg(F.sum("w").alias("observations"), F.count(F.lit(1)).alias("n_trees"), F.min_by("newick", F.struct("k", "newick")).alias("constructor"), F.min("same").alias("_low"), F.max("same").alias("_high"))
-    leaves = F.when(F.col("_low") == F.col("_high"), of("constructor")).otherwise(F.raise_error(F.concat(F.lit("different leaves in the trees of family "), F.col("family"))))
+    leaves = F.when(F.col("_low") == F.col("_high"), leaf_names("constructor")).otherwise(F.raise_error(F.concat(F.lit("different leaves in the trees of family "), F.col("family"))))
     g = g.withColumn("leaves", leaves)
     leaves = F.col("leaves")
     return g.select("family", F.size(leaves).alias("n_leaves"), leaves.alias("leaves"), "observations", "n_trees", "constructor")
@@ -107,7 +112,6 @@ def topologies(trees: DataFrame) -> DataFrame:
     """Trees with the same clades count as one topology: family, topology, n_trees, newick of the first."""
     import hashlib
 
-    @F.udf("string", useArrow=True)
     def topology(text: str) -> str:
         root = newick.parse(text)
         index = {x: k for k, x in enumerate(sorted(root.leaf_names()))}
@@ -116,7 +120,7 @@ def topologies(trees: DataFrame) -> DataFrame:
         return hashlib.sha256(key.encode()).hexdigest()
 
     number = F.col("tree_no") if "tree_no" in trees.columns else F.lit(0)
-    rows = trees.select("family", topology("newick").alias("topology"), "newick", number.alias("k"))
+    rows = trees.select("family", over_batches(topology, StringType())("newick").alias("topology"), "newick", number.alias("k"))
     return rows.groupBy("family", "topology").agg(F.count(F.lit(1)).alias("n_trees"), F.min_by("newick", F.struct("k", "newick")).alias("newick"))
 
 
@@ -140,27 +144,43 @@ def keep_leaves(trees: DataFrame, keep: list[str], separator: str = "_", least:
     """Trees without the leaves of species that are not listed; families left with fewer leaves than least go."""
     wanted = set(keep)
 
-    @F.udf("struct<newick:string,n:int>", useArrow=True)
     def cut(text: str):
         left = newick.prune(newick.parse(text), lambda x: x.split(separator)[0] in wanted)
-        return (newick.write(left), len(left.leaves())) if left is not None else (None, 0)
+        return {"newick": newick.write(left), "n": len(left.leaves())} if left is not None else {"newick": None, "n": 0}
 
-    rows = trees.withColumn("_cut", cut("newick"))
+    rows = trees.withColumn("_cut", over_batches(cut, StructType().add("newick", StringType()).add("n", IntegerType()))("newick"))
     low = rows.groupBy("family").agg(F.min("_cut.n").alias("_least")).filter(F.col("_least") >= least).select("family")
     return rows.join(low, "family", "left_semi").withColumn("newick", F.col("_cut.newick")).drop("_cut")
 
 
+#: Rows of a list of groups at most: it is a list of taxa given by hand, and goes to every task.
+MOST_GROUP_ROWS = 1_000_000
+
+
 def keep_groups(trees: DataFrame, groups: DataFrame, separator: str = "_") -> DataFrame:
-    """One cut copy of each tree for each group (group, species): its other leaves are dropped."""
-    lists = groups.groupBy("group").agg(F.array_sort(F.collect_set("species")).alias("species"))
+    """One cut copy of each tree for each group (group, species): its other leaves are dropped.
 
-    @F.udf("string", useArrow=True)
-    def cut(text: str, species: list[str]):
-        left = newick.prune(newick.parse(text), lambda x: x.split(separator)[0] in set(species))
-        return newick.write(left) if left is not None else None
+    A tree is read once for all groups. Lists of over MOST_GROUP_ROWS rows are refused.
+    """
+    listed = groups.select("group", "species").distinct().limit(MOST_GROUP_ROWS + 1).collect()
+    if len(listed) > MOST_GROUP_ROWS:
+        raise ValueError(f"the groups have over {MOST_GROUP_ROWS} rows")
+    lists: dict = {}
+    for r in listed:
+        lists.setdefault(r["group"], set()).add(r["species"])
+    kind = groups.schema["group"].dataType
+
+    def cut(text: str):
+        root, out = newick.parse(text), []
+        for group, species in lists.items():
+            left = newick.prune(root, lambda x: x.split(separator)[0] in species)  # noqa: B023, called at once
+            if left is not None:
+                out.append({"group": group, "newick": newick.write(left)})
+        return out
 
-    met = trees.join(F.broadcast(lists))  # groups are a list of taxa, given by hand
-    return met.select("group", *trees.columns, "species").withColumn("newick", cut("newick", "species")).drop("species").filter("newick IS NOT NULL")
+    cuts = over_batches(cut, ArrayType(StructType().add("group", kind).add("newick", StringType())))
+    met = trees.withColumn("_cut", F.explode(cuts("newick")))
+    return met.select(F.col("_cut.group").alias("group"), *(F.col("_cut.newick").alias(c) if c == "newick" else F.col(c) for c in trees.columns))
 
 
 def table_of(pdf: pd.DataFrame, leaves: list[str], observations: float, alpha: float = 0.0, beta: float = 0.0) -> CladeTable:
@@ -192,10 +212,27 @@ def nest(facts: DataFrame, fams: DataFrame) -> DataFrame:
     return fams.join(rows, "family")
 
 
+def clade_size(clade: Column) -> Column:
+    """The number of leaves of a clade."""
+    return F.aggregate(F.sequence(F.lit(1), F.length(clade)), F.lit(0), lambda n, k: n + F.bit_count(_byte(clade, k)))
+
+
+def _byte(clade: Column, k: Column) -> Column:
+    return F.conv(F.hex(F.substring(clade, k, F.lit(1))), 16, 10).cast("int")
+
+
+def complement(clade: Column, n_leaves: Column) -> Column:
+    """The clade of all other leaves."""
+    whole = lambda k: F.when(k == 1, F.pow(F.lit(2.0), (n_leaves - 1) % 8 + 1).cast("int") - 1).otherwise(255)
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.length(clade)), lambda k: F.lpad(F.hex(whole(k) - _byte(clade, k)), 2, "0")), ""))
+
+
 def facts_of(tables_: DataFrame) -> DataFrame:
-    """The facts of nested tables again."""
-    one = tables_.select("family", "n_leaves", F.explode("facts").alias("f"))
-    return one.select("family", "n_leaves", "f.*")
+    """The facts of nested tables again, as ``split_facts`` gives them."""
+    one = tables_.select("family", "n_leaves", F.explode("facts").alias("f")).select("family", "n_leaves", "f.*")
+    size = lambda c: F.when(F.col(c).isNotNull(), clade_size(F.col(c))).otherwise(0)
+    other = complement(F.col("clade"), F.col("n_leaves"))
+    return one.select("family", "n_leaves", "clade", other.alias("other"), size("clade").alias("size"), "left", "right", size("left").alias("left_size"), size("right").alias("right_size"), "cnt", "bl")
 
 
 def of_row(row, alpha: float = 0.0, beta: float = 0.0) -> CladeTable:

@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 from cladeflow.functions import newick
 from cladeflow.operators import ccp
+from cladeflow.operators.batches import over_batches
 
 NODES = "family string, tree_no long, node int, parent int, name string, label string, length double, is_leaf boolean, depth double, level int, path array<int>, tags map<string,string>"
 
@@ -65,14 +67,13 @@ def last_common_ancestors(node_rows: DataFrame, pairs: DataFrame) -> DataFrame:
 def edited(tree: Column, edit: Callable[[newick.Node], newick.Node | None]) -> Column:
     """A Newick column put through a function on trees; null where it returns none."""
 
-    @F.udf("string", useArrow=True)
     def run(text: str):
         if text is None:
             return None
         got = edit(newick.parse(text))
         return newick.write(got) if got is not None else None
 
-    return run(tree)
+    return over_batches(run, StringType())(tree)
 
 
 def unrooted(tree: Column) -> Column:
@@ -102,21 +103,19 @@ def grafted(tree: Column, moved: str, target: str) -> Column:
 def triplets(one: Column, two: Column) -> Column:
     """A struct of how many triplets of common leaves two trees resolve alike, and of how many."""
 
-    @F.udf("struct<same:long,total:long>", useArrow=True)
     def run(a: str, b: str):
-        return newick.triplets_shared(newick.parse(a), newick.parse(b))
+        return dict(zip(("same", "total"), newick.triplets_shared(newick.parse(a), newick.parse(b))))
 
-    return run(one, two)
+    return over_batches(run, StructType().add("same", LongType()).add("total", LongType()))(one, two)
 
 
 def rooted_distance(one: Column, two: Column) -> Column:
     """Half the number of rooted clades that only one of two trees has."""
 
-    @F.udf("double", useArrow=True)
     def run(a: str, b: str):
-        return newick.robinson_foulds(newick.parse(a), newick.parse(b))
+        return float(newick.robinson_foulds(newick.parse(a), newick.parse(b)))
 
-    return run(one, two)
+    return over_batches(run, DoubleType())(one, two)
 
 
 def support(tree: DataFrame, samples: DataFrame) -> DataFrame:

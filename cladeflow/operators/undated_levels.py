@@ -183,7 +183,7 @@ def clade_values(facts: DataFrame, fams: DataFrame, species: str, rates: Rates |
     tree = read_species_tree(species)
     b = prepare(tree, rates)
     steps, path = Steps(b), shared_path(spark, "clade-values")
-    fams = stored(fams.select("family", "n_leaves", "leaves", "observations"), "families")
+    fams, facts = stored(fams.select("family", "n_leaves", "leaves", "observations"), "families"), stored(facts, "facts")
     every = stored(level_splits(facts, fams, rates).repartition("family", "clade"), "splits")
     # The branches are a species tree's: its leaves by name are a list of bounded size.
     parts = F.split("gene", "[" + "".join("\\" + c for c in rates.separators) + "]+")
@@ -215,9 +215,7 @@ def origination_loglik(facts: DataFrame, fams: DataFrame, species: str, rates: R
     """family, branch, branch_name, value, logl: of each family's root, the value on each branch (scaled), and the log likelihood of an origination there."""
     values, b = clade_values(facts, fams, species, rates)
     tree, origin = b.tree, [float(x) for x in b.origin]
-    # The root is the clade of all leaves: all its bits are set.
-    bits = F.aggregate(F.sequence(F.lit(1), F.length("clade")), F.lit(0), lambda n, k: n + F.bit_count(F.conv(F.hex(F.substring("clade", k, F.lit(1))), 16, 10).cast("int")))
-    roots = values.filter(bits == F.col("n_leaves"))
+    roots = values.filter(splits.clade_size(F.col("clade")) == F.col("n_leaves"))
     last = F.slice("values", b.rates.sweeps * tree.n - tree.n + 1, tree.n)
     one = roots.select("family", "scale", F.posexplode(last).alias("branch", "q"))
     weight = F.get(F.array(*map(F.lit, origin)), F.col("branch"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions.species_tree import read_species_tree
 from cladeflow.functions.undated_model import Rates
-from cladeflow.operators import ccp, reconcile, scheduling, splits, undated_levels
+from cladeflow.operators import ccp, event_tables, ordering, reconcile, scheduling, splits, undated_levels
 from cladeflow.operators.stored import shared_path
-from cladeflow.plans.catalog import _species, _tables, _with
+from cladeflow.plans.catalog import CONSTRAINT_SQL, EVENTS_SQL, TREE, _constraints, _species, _tables, _with
 from cladeflow.plans.forest import FOREST_SQL, forest_trees
 from cladeflow.plans.ladder import LADDER_SQL, ladder_trees, mask, table
 from cladeflow.plans.registry import query
@@ -144,3 +144,86 @@ def dealt_families(spark, sf_dir):
     """Customers dealt evenly to 8 machines: the 40 longest one by one, the others poured."""
     t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"), (F.abs("c_acctbal") + 1).alias("time"))
     return scheduling.deal(t, 8, head=5, rounds=0).withColumn("time", F.round("time", 2))
+
+
+# --- best and random trees -------------------------------------------------------------------------
+
+BEST_SQL = """, lf AS (SELECT DISTINCT CAST(fam AS VARCHAR) AS fam, CAST(pow(2, leaf - 1) AS BIGINT) AS g, 's' || lpad(CAST(nk AS VARCHAR), 2, '0') || '_g' AS name FROM r),
+q1 AS (SELECT fam, g, 1.0 AS q, name || ':1.0' AS t FROM lf),
+""" + ",\n".join(
+    f"""w{k} AS (SELECT c.fam, c.g, c.gp, c.p * x.q * y.q AS v, '(' || x.t || ',' || y.t || ')' AS t FROM ccp c JOIN ({" UNION ALL ".join(f"SELECT * FROM q{j}" for j in range(1, k))}) x ON x.fam = c.fam AND x.g = c.gp
+ JOIN ({" UNION ALL ".join(f"SELECT * FROM q{j}" for j in range(1, k))}) y ON y.fam = c.fam AND y.g = c.gpp WHERE bit_count(c.g) = {k}),
+q{k} AS (SELECT fam, g, max(v) AS q, arg_min(t, {{'v': round(-ln(v), 9), 'a': gp}}) || CAST(round(max(v) / sum(v), 6) AS VARCHAR) || ':1.0' AS t FROM w{k} GROUP BY fam, g)"""
+    for k in (2, 3, 4)
+) + """, qa AS (SELECT * FROM q1 UNION ALL SELECT * FROM q2 UNION ALL SELECT * FROM q3 UNION ALL SELECT * FROM q4),
+w5 AS (SELECT b.fam, b.g, x.q * y.q * CASE WHEN b.size = 4 THEN 1.0 ELSE b.cnt / observations END AS v, '(' || x.t || ',' || y.t || ')' AS t FROM bip b CROSS JOIN o JOIN qa x ON x.fam = b.fam AND x.g = b.g JOIN qa y ON y.fam = b.fam AND y.g = 31 - b.g)
+SELECT fam AS family, arg_min(t, {'v': round(-ln(v), 9), 'a': g}) || CAST(round(2 * max(v) / sum(v), 6) AS VARCHAR) || ':0.99;' AS newick, round(ln(max(v)), 8) AS log_p FROM w5 GROUP BY fam"""
+
+
+@query(f"WITH {LADDER_SQL} {BEST_SQL}")
+def best_tree_levels(spark, sf_dir):
+    """The best tree of each family as text, with unit lengths: those of ladders differ where unrooting joins two branches."""
+    from cladeflow.operators import tree_levels
+
+    facts, fams = _facts(spark, sf_dir)
+    counts = splits.bips(facts).select("family", "clade", F.col("cnt").alias("_cnt")).join(fams.select("family", "observations"), "family")
+    one = F.when(F.col("left").isNull(), F.coalesce("_cnt", "observations")).otherwise(0.0)
+    level = facts.join(counts, ["family", "clade"], "left").withColumn("bl", one).select(facts.columns)
+    return tree_levels.best_trees(level, fams).select("family", "newick", F.round("log_p", 8).alias("log_p"))
+
+
+@query(_with("SELECT fam, g, gp, gpp, round(p, 9) AS p, true AS within FROM ccp"))
+def sampled_splits(spark, sf_dir):
+    """Splits of drawn trees: the table's probability, and whether the drawn share is within five standard errors and one tree of it."""
+    from cladeflow.operators import tree_levels
+
+    facts, fams = _facts(spark, sf_dir)
+    drawn = tree_levels.random_splits(facts, fams, 400).filter(F.length("clade") > 0)
+    of = drawn.groupBy("family", "clade", F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).agg(F.count(F.lit(1)).alias("_n"))
+    all_ = drawn.groupBy("family", "clade").agg(F.count(F.lit(1)).alias("_all"))
+    p = ccp.split_probabilities(facts, fams).select("family", "clade", F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "p_dip")
+    met = p.join(of, ["family", "clade", "left", "right"], "left").join(all_, ["family", "clade"], "left")
+    n, q = F.coalesce("_all", F.lit(1)), F.col("p_dip")
+    gap = F.abs(F.coalesce("_n", F.lit(0)) / n - F.when(F.col("_all").isNotNull(), q).otherwise(0.0))
+    return met.select(F.col("family").alias("fam"), mask("clade").alias("g"), mask("left").alias("gp"), mask("right").alias("gpp"), F.round(q, 9).alias("p"), (gap <= 5 * F.sqrt(q * (1 - q) / n) + 1 / n).alias("within"))
+
+
+# --- events and orders ------------------------------------------------------------------------------
+
+
+@query(f"""WITH {EVENTS_SQL.replace('AS other FROM events', 'AS other, event_id, CAST(user_id % 3 AS INT) AS clade FROM events')}
+SELECT family, sample_no, clade, string_agg(kind || '@' || CAST(branch AS VARCHAR) || CASE WHEN other >= 0 THEN '->' || CAST(other AS VARCHAR) ELSE '' END, ' ' ORDER BY event_id) AS trail FROM e GROUP BY ALL""")
+def clade_trails(spark, sf_dir):
+    """Event trails by clade, users being clades and event numbers the order along a lineage."""
+    e = table(spark, sf_dir, "events")
+    kind = F.element_at(F.array(*map(F.lit, "DTLOCS")), (F.pmod(F.col("event_id"), F.lit(6)) + 1).cast("int"))
+    rows = e.select(
+        F.pmod("user_id", F.lit(10)).cast("string").alias("family"), F.pmod("event_id", F.lit(20)).cast("int").alias("sample_no"), F.pmod("user_id", F.lit(3)).cast("int").alias("clade"), F.col("event_id").alias("seq"),
+        kind.alias("kind"), F.pmod(F.length("event_type"), F.lit(7)).cast("int").alias("branch"), F.when(kind == "T", F.pmod("event_id", F.lit(5)).cast("int")).otherwise(-1).alias("other"),
+    )
+    return event_tables.clade_trails(rows)
+
+
+ORDERS_SQL = f"""WITH RECURSIVE {CONSTRAINT_SQL},
+ord(names) AS (SELECT ['a'] UNION ALL SELECT list_append(ord.names, br.name) FROM ord JOIN br ON NOT br.leaf AND list_contains(ord.names, br.parent) AND NOT list_contains(ord.names, br.name)),
+full_ AS (SELECT names FROM ord WHERE len(names) = 6),
+v AS (SELECT names, (SELECT sum(CASE WHEN list_position(names, older) > list_position(names, younger) THEN weight ELSE 0 END) FROM c WHERE list_contains(names, older) AND list_contains(names, younger)) AS value FROM full_)
+SELECT array_to_string(names, '') AS nodes, value, round((SELECT avg(CASE WHEN w.value <= v.value THEN 1.0 ELSE 0.0 END) FROM v w), 9) AS p_value, true AS share_within, true AS p_within FROM v"""
+
+
+@query(ORDERS_SQL)
+def drawn_orders(spark, sf_dir):
+    """Orders drawn at random: each that the tree allows, the weight it breaks, the share of all orders that break no more, and whether the draws' shares are within five standard errors."""
+    n = 2000
+    orders = ordering.draw_orders(spark, TREE, n)
+    values = ordering.order_values(_constraints(spark, sf_dir), orders)
+    text = orders.groupBy("draw").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), "").alias("nodes"))  # six places a draw
+    found = values.join(text, "draw").groupBy("nodes", "value").agg(F.count(F.lit(1)).alias("_n"))
+    every = found.groupBy("value").agg(F.count(F.lit(1)).alias("_orders"), F.sum("_n").alias("_draws"))
+    w = Window.orderBy("value")  # one row for each value that an order of six nodes can have
+    run = every.select("value", F.sum("_orders").over(w).alias("_orders"), F.sum("_draws").over(w).alias("_draws"))
+    all_ = found.agg(F.count(F.lit(1)).alias("_all"))
+    near = lambda x, p: F.abs(x / n - p) <= 5 * F.sqrt(p * (1 - p) / n) + 1 / n
+    met = found.join(run, "value").join(F.broadcast(all_))
+    p = F.col("_orders") / F.col("_all")
+    return met.select("nodes", "value", F.round(p, 9).alias("p_value"), near(F.col("_n"), 1 / F.col("_all")).alias("share_within"), near(F.col("_draws"), p).alias("p_within"))

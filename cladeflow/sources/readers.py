@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from cladeflow.functions import newick
+from cladeflow.operators.batches import over_batches
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str], keep: Column | None = None) -> DataFrame:
@@ -65,31 +67,40 @@ def trees_from_strings(spark: SparkSession, trees: list[str] | dict[str, list[st
     return spark.createDataFrame([(f, k + 1, t) for f, ts in by.items() for k, t in enumerate(ts)], "family string, tree_no int, newick string")
 
 
-def nexus_trees(spark: SparkSession, path: str, burnin: int = 0, every: int = 1) -> DataFrame:
-    """family, tree_no, newick of Nexus files, with leaf numbers translated to names."""
+def nexus_trees(spark: SparkSession, path: str | list[str], burnin: int = 0, every: int = 1) -> DataFrame:
+    """family, tree_no, newick of Nexus files, with leaf numbers translated to names.
 
-    @F.udf("array<struct<tree_no:int,newick:string>>", useArrow=True)
-    def trees(text: str):
-        names, out, table = {}, [], False
-        for line in text.splitlines():
-            low = line.strip().lower()
-            if low.startswith("translate"):
-                table, line = True, line.strip()[9:]
+    Tree lines are rows, whatever their number; the lines between them, which hold the
+    translation, are gathered by file.
+    """
+    low = F.lower(F.trim("line"))
+    is_tree = (low.startswith("tree ") | low.startswith("utree ")) & F.col("line").contains("(")
+    head = numbered_lines(spark, path, ~is_tree).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_head"))
+
+    def names(lines) -> list[tuple[str, str]]:
+        out, table = {}, False
+        for x in lines:
+            line = x["line"].strip()
+            if line.lower().startswith("translate"):
+                table, line = True, line[9:]
             if table:
-                for part in line.strip().rstrip(";").split(","):
+                for part in line.rstrip(";").split(","):
                     words = part.split()
                     if len(words) == 2:
-                        names[words[0]] = words[1]
-                table = not line.rstrip().endswith(";")
-            elif low.startswith(("tree ", "utree ")) and "(" in line:
-                root = newick.parse(line[line.index("(") :])
-                for leaf in root.leaves():
-                    leaf.name = names.get(leaf.name, leaf.name)
-                out.append((len(out) + 1, newick.write(root)))
-        return out
-
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("family"), F.explode(trees("value")).alias("t"))
-    return files.select("family", "t.*").filter(chosen(F.col("tree_no"), burnin, every))
+                        out[words[0]] = words[1]
+                table = not line.endswith(";")
+        return list(out.items())
+
+    def named(line: str, pairs) -> str:
+        of = dict(pairs or ())
+        root = newick.parse(line[line.index("(") :])
+        for leaf in root.leaves():
+            leaf.name = of.get(leaf.name, leaf.name)
+        return newick.write(root)
+
+    head = head.select("path", over_batches(names, MapType(StringType(), StringType()))("_head").alias("_names"))
+    rows = numbered_lines(spark, path, is_tree).withColumn("tree_no", (F.col("line_no") + 1).cast("int")).filter(chosen(F.col("tree_no"), burnin, every))
+    return rows.join(head, "path", "left").select(F.col("file").alias("family"), "tree_no", over_batches(named, StringType())("line", "_names").alias("newick"))
 
 
 def species_tree(spark: SparkSession, path: str, last: bool = False) -> str:
