@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from cladeflow.functions.dated_model import SUB_STEPS, DatedRates, Point, _gather, timeline
+from cladeflow.functions.dated_model import SUB_STEPS, DatedRates, Point, _gather, splits_of, timeline, walk
 from cladeflow.functions.species_tree import SpeciesTree
 from cladeflow.functions.undated_model import REAL, Family
 
@@ -32,6 +32,8 @@ class FiniteFit:
     family: Family
     clock: FiniteClock
     log_likelihood: float
+    #: Values at each grid point, after a speciation where there is one; only if kept.
+    history: list[np.ndarray]
 
 
 def prepare(tree: SpeciesTree, rates: DatedRates, missing: dict[str, float] | None = None) -> FiniteClock:
@@ -72,7 +74,7 @@ def prepare(tree: SpeciesTree, rates: DatedRates, missing: dict[str, float] | No
     return FiniteClock(tree, rates, points, extinct, stay)
 
 
-def likelihood(family: Family, clock: FiniteClock) -> FiniteFit:
+def likelihood(family: Family, clock: FiniteClock, keep: bool = False) -> FiniteFit:
     """The log likelihood, with the origination anywhere on the grid alike."""
     tree, r = clock.tree, clock.rates
     m, hid = len(family.clades) + 1, tree.n
@@ -86,13 +88,15 @@ def likelihood(family: Family, clock: FiniteClock) -> FiniteFit:
     for k, g in enumerate(family.clades[: family.table.n]):
         q[k, at_leaf[family.leaf_species[g.bit_length() - 1]]] = 1
     left, right, p = family.split_left, family.split_right, family.split_p[:, None]
-    total, places = REAL(0), 0
+    total, places, history = REAL(0), 0, []
     for k, pt in enumerate(clock.points):
         ex, stay, a = clock.extinct[k], clock.stay[k], pt.alive
         if pt.born >= 0:
             f, g = int(tree.left[pt.born]), int(tree.right[pt.born])
             both = (q[left][:, [f]] * q[right][:, [g]] + q[left][:, [g]] * q[right][:, [f]]) * p
             q[:, pt.born] = q[:, f] * ex[g] + q[:, g] * ex[f] + _gather(family, both, m, False)[:, 0]
+        if keep:
+            history.append(q.copy())
         total += q[-1, a].sum() + q[-1, hid]
         places += len(a) + 1
         x, y, moved = q[left], q[right], r.tau / r.population * pt.dt
@@ -103,4 +107,31 @@ def likelihood(family: Family, clock: FiniteClock) -> FiniteFit:
         new[:, hid] = _gather(family, hidden, m, False)[:, 0] + moved * ex[hid] * q[:, a].sum(axis=1) + stay[hid] * q[:, hid]
         new[:, a] = _gather(family, seen, m, False) + r.sigma * pt.dt * ex[a] * q[:, [hid]] + stay[a] * q[:, a]
         q = new
-    return FiniteFit(family, clock, float(np.log(total / places)) if total > 0 else -np.inf)
+    return FiniteFit(family, clock, float(np.log(total / places)) if total > 0 else -np.inf, history)
+
+
+def _steps(fit: FiniteFit, i: int, k: int, c: int) -> list[tuple]:
+    """What may have befallen clade i on column c within the step up from point k, the terms of the likelihood."""
+    clock, fam = fit.clock, fit.family
+    r, hid, pt, q = clock.rates, clock.tree.n, clock.points[k], fit.history[k]
+    ex, stay, dt = clock.extinct[k], clock.stay[k], pt.dt
+    moved = r.tau / r.population * dt
+    options: list[tuple] = [(stay[c] * q[i, c], "stay")]
+    if c == hid:
+        options += [(moved * ex[hid] * q[i, e], "arrive", e) for e in pt.alive.tolist()]
+        for x, y, p in splits_of(fam, i):
+            options.append((2 * r.sigma * dt * q[x, hid] * q[y, hid] * p, "Sb", x, hid, y, hid))
+            for e in pt.alive.tolist():
+                options += [(moved * q[x, hid] * q[y, e] * p, "Tt", x, hid, y, e), (moved * q[x, e] * q[y, hid] * p, "Tt", x, e, y, hid)]
+        return options
+    options.append((r.sigma * dt * ex[c] * q[i, hid], "leave"))
+    for x, y, p in splits_of(fam, i):
+        options += [(r.sigma * dt * q[x, hid] * q[y, c] * p, "Tf", x, hid, y, c), (r.sigma * dt * q[x, c] * q[y, hid] * p, "Tf", x, c, y, hid), (2 * r.delta * dt * q[x, c] * q[y, c] * p, "D", x, c, y, c)]
+    return options
+
+
+def trace(fit: FiniteFit, rng: np.random.Generator) -> tuple[str, list[tuple[str, int, float]]]:
+    """A reconciled tree and its events, as ``dated_model.trace`` gives them, drawn from kept tables by their shares of the likelihood."""
+    root, hid = len(fit.family.clades), fit.clock.tree.n
+    starts = [(fit.history[k][root, c], k, c) for k, pt in enumerate(fit.clock.points) for c in [*pt.alive.tolist(), hid]]
+    return walk(fit, rng, starts, _steps)

@@ -82,12 +82,69 @@ def search(states: np.ndarray, weights: np.ndarray) -> tuple[Tree, float]:
     n = len(states)
     if n < 3:
         return ([[1], [0]] if n == 2 else [[]] * n), 0.0
-    tree: Tree = [[] for _ in range(n)] + [[0, 1, 2]]
-    tree[0], tree[1], tree[2] = [n], [n], [n]
+    tree = _grown(list(range(n)))
     for leaf in range(3, n):
         options = [_insert(tree, leaf, a, b) for a, b in _edges(tree, n)]
         tree = options[int(np.argmin([changes(t, states, weights) for t in options]))]
-    best = changes(tree, states, weights)
+    return _exchanged(tree, states, weights)
+
+
+#: Families of up to so many leaves are searched exhaustively, by branch and bound.
+EXACT_LEAVES = 9
+#: Rounds of the ratchet for larger ones.
+RATCHET = 12
+
+
+def _grown(order: list[int]) -> Tree:
+    """The tree of the first three leaves of an order; other leaves have no place yet."""
+    n = len(order)
+    tree: Tree = [[] for _ in range(n)] + [list(order[:3])]
+    for x in order[:3]:
+        tree[x] = [n]
+    return tree
+
+
+def exact(states: np.ndarray, weights: np.ndarray) -> tuple[Tree, float]:
+    """The least tree of all, by branch and bound.
+
+    Leaves are added in an order that tells characters apart early. A partial tree costs at
+    least its own changes and one for each character whose leaves so far agree though not all
+    do; beyond the best cost found, it is not grown.
+    """
+    n = len(states)
+    if n < 4:
+        return search(states, weights)
+    tree, best = search(states, weights)
+    varied = np.bitwise_or.reduce(states, axis=0) == 3
+    order = [0]
+    while len(order) < n:
+        apart = [(-float((weights * (states[x] != states[order]).sum(axis=0)).sum()), x) for x in range(n) if x not in order]
+        order.append(min(apart)[1])
+    left = []  # of so many leaves placed, what the rest costs at least
+    for k in range(n + 1):
+        same = np.bitwise_or.reduce(states[order[:k]], axis=0) != 3 if k else varied
+        left.append(float(weights[varied & same].sum()))
+    stack = [(_grown(order), 3)]
+    while stack:
+        now, k = stack.pop()
+        if k == n:
+            continue
+        grown = []
+        for a, b in _edges(now, n):
+            new = _insert(now, order[k], a, b)
+            cost = changes(new, states, weights, order[0])
+            if cost + left[k + 1] < best - 1e-9:
+                if k + 1 == n:
+                    tree, best = new, cost
+                else:
+                    grown.append((cost, new))
+        stack += [(t, k + 1) for _, t in sorted(grown, key=lambda x: -x[0])]  # the cheapest is grown first
+    return tree, best
+
+
+def _exchanged(tree: Tree, states: np.ndarray, weights: np.ndarray) -> tuple[Tree, float]:
+    """Inner edges exchanged while that lowers the changes."""
+    n, best = len(states), changes(tree, states, weights)
     while True:
         options = [t for a, b in _edges(tree, n, inner=True) for t in _exchanges(tree, a, b)]
         costs = [changes(t, states, weights) for t in options]
@@ -97,6 +154,27 @@ def search(states: np.ndarray, weights: np.ndarray) -> tuple[Tree, float]:
         tree, best = options[k], costs[k]
 
 
+def ratchet(states: np.ndarray, weights: np.ndarray, rounds: int = RATCHET, seed: int = 0) -> tuple[Tree, float]:
+    """Search, then by turns: weigh some characters more, exchange edges, and exchange again under the true weights; the best tree met."""
+    tree, best = search(states, weights)
+    if len(states) < 5:
+        return tree, best
+    rng, now = np.random.default_rng(seed), tree
+    for _ in range(rounds):
+        heavy = np.where(rng.random(len(weights)) < 0.25, 3.0, 1.0)
+        now, _ = _exchanged(now, states, weights * heavy)
+        now, cost = _exchanged(now, states, weights)
+        if cost < best - 1e-9:
+            tree, best = now, cost
+    return tree, best
+
+
+def bound(leaves: list[str], clades: dict[int, float], cost: float) -> float:
+    """A number of changes that no tree is below: the cost of the tree found where the search was exhaustive, else one change for each character."""
+    n = len(leaves)
+    return cost if n <= EXACT_LEAVES else float(characters(clades, n)[1].sum())
+
+
 def consensus(leaves: list[str], clades: dict[int, float]) -> tuple[newick.Node, float]:
     """The tree, rooted beside the first leaf, and its weighted number of changes."""
     n = len(leaves)
@@ -105,7 +183,8 @@ def consensus(leaves: list[str], clades: dict[int, float]) -> tuple[newick.Node,
         for x in leaves if n == 2 else ():
             root.add(newick.Node(x))
         return root, 0.0
-    tree, cost = search(*characters(clades, n))
+    states, weights = characters(clades, n)
+    tree, cost = exact(states, weights) if n <= EXACT_LEAVES else ratchet(states, weights)
     root = newick.Node()
     root.add(newick.Node(leaves[0]))
     stack = [(tree[0][0], 0, root)]

@@ -267,7 +267,11 @@ def _nested(leaves: list[str], clades: dict[int, float]) -> newick.Node:
 
 
 def parsimony_consensus(facts: DataFrame, fams: DataFrame) -> DataFrame:
-    """family, newick, changes: the tree on which the sampled clades, weighted by their counts, change least as characters."""
+    """family, newick, changes, bound: the tree on which the sampled clades, weighted by their counts, change least as characters.
+
+    Small families are searched exhaustively, so their bound is the number of changes; larger
+    ones by a ratchet, with a bound that no tree is below.
+    """
     rows = splits.bips(facts).filter("cnt > 0").groupBy("family").agg(F.collect_list(F.struct("clade", "cnt")).alias("clades"))
     met = fams.select("family", "leaves").join(rows, "family", "left")
 
@@ -277,10 +281,10 @@ def parsimony_consensus(facts: DataFrame, fams: DataFrame) -> DataFrame:
             for row in pdf.to_dict("records"):
                 own = {unpack_mask(c["clade"]): c["cnt"] for c in (row["clades"] if row["clades"] is not None else [])}
                 root, cost = parsimony.consensus(list(row["leaves"]), own)
-                out.append((row["family"], newick.write(root), cost))
-            yield pd.DataFrame(out, columns=["family", "newick", "changes"])
+                out.append((row["family"], newick.write(root), cost, parsimony.bound(list(row["leaves"]), own, cost)))
+            yield pd.DataFrame(out, columns=["family", "newick", "changes", "bound"])
 
-    return met.mapInPandas(run, "family string, newick string, changes double")
+    return met.mapInPandas(run, "family string, newick string, changes double, bound double")
 
 
 def robinson_foulds(trees: DataFrame) -> DataFrame:

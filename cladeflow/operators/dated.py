@@ -27,7 +27,7 @@ def _model(rates: DatedRates):
 
 def _limit_only(rates: DatedRates) -> None:
     if rates.population:
-        raise ValueError("histories are traced in the limit of many species only: set population to 0")
+        raise ValueError("the best history is traced in the limit of many species only: set population to 0")
 
 
 def loglik(tables: DataFrame, species: str, rates: DatedRates | None = None) -> DataFrame:
@@ -89,14 +89,14 @@ def _map(tables: DataFrame, f, schema: str, names: list[str]) -> DataFrame:
 def samples(tables: DataFrame, species: str, rates: DatedRates | None = None, n: int = 100, seed: int = 0) -> DataFrame:
     """n reconciliations of each family drawn by probability, positions weighted by time."""
     rates = rates or DatedRates()
-    _limit_only(rates)
-    clock = prepare(read_species_tree(species), rates)
+    model = _model(rates)
+    clock = model.prepare(read_species_tree(species), rates)
 
     def run(row):
-        done = likelihood(layout(of_row(row), rates), clock, keep=True)
+        done = model.likelihood(layout(of_row(row), rates), clock, keep=True)
         out = []
         for k in range(n):
-            text, events = trace(done, _seeded(seed, row["family"], k))
+            text, events = model.trace(done, _seeded(seed, row["family"], k))
             out.append((row["family"], k, text, _event_rows(events)))
         return out
 
@@ -132,8 +132,7 @@ def mcmc(tables: DataFrame, species: str, start: DatedRates | None = None, steps
 def mcmc_samples(tables: DataFrame, chain: DataFrame, species: str, start: DatedRates | None = None, n: int = 10, seed: int = 0) -> DataFrame:
     """n reconciliations at the rates of each accepted step of a chain: family, iteration, sample_no, newick, events."""
     start = start or DatedRates()
-    _limit_only(start)
-    tree = read_species_tree(species)
+    tree, model = read_species_tree(species), _model(start)
     names = ["family", "iteration", "sample_no", "newick", "events"]
     # A family's table goes to each of its kept steps; the chain's thinning bounds their number.
     met = chain.filter("accepted").select("family", "iteration", "delta", "tau", "lambda").join(tables.select("family", "leaves", "observations", "facts"), "family")
@@ -144,10 +143,10 @@ def mcmc_samples(tables: DataFrame, chain: DataFrame, species: str, start: Dated
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 rates = start.of(delta=row["delta"], tau=row["tau"], lambda_=row["lambda"])
-                done = likelihood(layout(of_row(row), rates), prepare(tree, rates), keep=True)
+                done = model.likelihood(layout(of_row(row), rates), model.prepare(tree, rates), keep=True)
                 out = []
                 for k in range(n):
-                    text, events = trace(done, _seeded(seed, row["family"], row["iteration"], k))
+                    text, events = model.trace(done, _seeded(seed, row["family"], row["iteration"], k))
                     out.append((row["family"], row["iteration"], k, text, _event_rows(events)))
                 yield pd.DataFrame(out, columns=names)
 

@@ -221,7 +221,8 @@ def test_joint_search_and_dated_reports(spark):
     finite = DatedRates(population=40.0)
     assert dated.loglik(tables, SPECIES, finite).filter("logl < 0").count() == 2
     with pytest.raises(ValueError):
-        dated.samples(tables, SPECIES, finite)
+        dated.best_reconciliation(tables, SPECIES, finite)
+    assert dated.samples(tables, SPECIES, finite, n=2).count() == 4
     start = DatedRates(delta=0.1, tau=0.1, lambda_=0.2)
     chain = dated.mcmc(tables, SPECIES, start, steps=20, burnin=5, thin=1)
     drawn = dated.mcmc_samples(tables, chain, SPECIES, start, n=3)
