@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cladeflow.functions import simulator
 
@@ -14,8 +15,11 @@ SIMULATED = "seed long, species_tree string, random_tree string, family string,
 TRIES = 10_000
 
 
-def simulate(spark: SparkSession, n_seeds: int, population: int = 20, sampled: int = 6, delta: float = 0.1, tau: float = 0.1, lambda_: float = 0.2, omega: float = 0.0, least_trees: int = 1, seed: int = 0, start: float = 2.0) -> DataFrame:
-    """For each seed a species tree, a random tree on its leaves, and at least so many gene trees of surviving families."""
+def simulate(spark: SparkSession, n_seeds: int, population: int = 20, sampled: int = 6, delta: float = 0.1, tau: float = 0.1, lambda_: float = 0.2, omega: float = 0.0, least_trees: int = 1, seed: int = 0, start: float = 2.0, seeds: DataFrame | None = None) -> DataFrame:
+    """For each seed a species tree, a random tree on its leaves, and at least so many gene trees of surviving families.
+
+    Seeds are 0 to n_seeds - 1, or the column id of a table of seeds.
+    """
 
     def one(k: int) -> list[tuple]:
         rng = np.random.default_rng([seed, k])
@@ -36,4 +40,5 @@ def simulate(spark: SparkSession, n_seeds: int, population: int = 20, sampled: i
             for k in pdf["id"].tolist():
                 yield pd.DataFrame(one(k), columns=[c.split()[0] for c in SIMULATED.split(", ")])
 
-    return spark.range(0, n_seeds, 1, min(n_seeds, spark.sparkContext.defaultParallelism * 4)).mapInPandas(run, SIMULATED)
+    given = seeds.select(F.col("id").cast("long").alias("id")) if seeds is not None else spark.range(0, n_seeds, 1, min(n_seeds, spark.sparkContext.defaultParallelism * 4))
+    return given.mapInPandas(run, SIMULATED)

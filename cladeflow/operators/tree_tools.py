@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 from cladeflow.functions import newick
+from cladeflow.functions.species_tree import coalescent_lengths, read_species_tree
 from cladeflow.operators import ccp
 from cladeflow.operators.batches import over_batches
 
@@ -53,6 +54,31 @@ def descendants(node_rows: DataFrame) -> DataFrame:
     return node_rows.select("family", "tree_no", F.explode("path").alias("above"), F.col("node").alias("below"))
 
 
+def taxa(node_rows: DataFrame) -> DataFrame:
+    """family, tree_no, node, leaves, label, height: the leaves below each node, by name, a label of the first and the last, and the way down to the deepest."""
+    leaf = node_rows.filter("is_leaf").select("family", "tree_no", F.explode("path").alias("node"), "name", F.col("depth").alias("_deep"))
+    g = leaf.groupBy("family", "tree_no", "node").agg(F.array_sort(F.collect_list("name")).alias("leaves"), F.max("_deep").alias("_deep"))  # as long as a tree has leaves
+    first, last = F.col("leaves")[0], F.element_at("leaves", -1)
+    label = F.when(first == last, first).otherwise(F.concat_ws("-", first, last)).alias("label")
+    own = node_rows.select("family", "tree_no", "node", "parent", "is_leaf", "depth")
+    return g.join(own, ["family", "tree_no", "node"]).select("family", "tree_no", "node", "parent", "is_leaf", "leaves", label, (F.col("_deep") - F.col("depth")).alias("height"))
+
+
+def ranks(taxa_rows: DataFrame) -> DataFrame:
+    """family, tree_no, node, rank: the inner nodes of each tree by height, the lowest 1; equal heights by label."""
+    w = Window.partitionBy("family", "tree_no").orderBy("height", "label", F.size("leaves"))
+    return taxa_rows.filter("NOT is_leaf").select("family", "tree_no", "node", F.row_number().over(w).alias("rank"))
+
+
+def dated_pairs(taxa_rows: DataFrame) -> DataFrame:
+    """family, tree_no, node, other: each node with those that end before it begins: they are higher than its parent."""
+    keys = ["family", "tree_no"]
+    up = taxa_rows.select(*keys, F.col("node").alias("parent"), F.col("height").alias("_start"))
+    own = taxa_rows.select(*keys, "node", "parent").join(up, [*keys, "parent"])
+    other = taxa_rows.select(*keys, F.col("node").alias("other"), F.col("height").alias("_end"))
+    return own.join(other, keys).filter("_start < _end").select(*keys, "node", "other")  # pairs within one tree
+
+
 def last_common_ancestors(node_rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (family, tree_no, a, b) with their last common ancestor and the distance between them."""
     d = descendants(node_rows)
@@ -109,6 +135,20 @@ def triplets(one: Column, two: Column) -> Column:
     return over_batches(run, StructType().add("same", LongType()).add("total", LongType()))(one, two)
 
 
+def regrafted(tree: Column, moved: Column, target: Column) -> Column:
+    """Trees with one named node moved beside another."""
+
+    def run(text: str, a: str, b: str):
+        return newick.write(newick.graft(newick.parse(text), a, b))
+
+    return over_batches(run, StringType())(tree, moved, target)
+
+
+def coalescent(tree: Column) -> Column:
+    """Trees re-dated by the ranks of their nodes: expected coalescent times, the root at 1."""
+    return over_batches(lambda text: coalescent_lengths(read_species_tree(text)).numbered(), StringType())(tree)
+
+
 def rooted_distance(one: Column, two: Column) -> Column:
     """Half the number of rooted clades that only one of two trees has."""
 

@@ -22,7 +22,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from cladeflow.plans import model_queries, tree_queries  # noqa: F401, register their own
+    from cladeflow.plans import model_queries, table_queries, tree_queries  # noqa: F401, register their own
 
     return dict(QUERIES)
 
@@ -439,7 +439,8 @@ def ml_reconciliation(spark, sf_dir):
 
 @query()
 def simulate_trees(spark, sf_dir):
-    return simulate.simulate(spark, 20)
+    """A simulation for each supplier."""
+    return simulate.simulate(spark, 0, seeds=table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
 @query()

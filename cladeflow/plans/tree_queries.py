@@ -189,20 +189,6 @@ def tree_score_priors(spark, sf_dir):
     return got.select(F.col("family").alias("fam"), "tree_no", F.round("log_p", 8).alias("log_p"))
 
 
-@query("""WITH k AS (SELECT unnest(range(0, 61)) AS k), f AS (SELECT k, CASE WHEN k < 3 THEN 0.0 ELSE (SELECT sum(ln(2 * i - 3)) FROM range(3, 61) r(i) WHERE i <= k) END AS f FROM k)
-SELECT CAST(n.k AS INT) AS n, CAST(s.k AS INT) AS size, round(CASE WHEN s.k = 1 OR n.k - s.k = 1 THEN (SELECT f FROM f WHERE f.k = greatest(2, n.k - 1)) ELSE (SELECT f FROM f WHERE f.k = greatest(2, s.k)) + (SELECT f FROM f WHERE f.k = greatest(2, n.k - s.k)) END, 8) AS log_trees
-FROM k n JOIN k s ON s.k >= 1 AND s.k < n.k WHERE n.k BETWEEN 4 AND 40""")
-def clade_numbers(spark, sf_dir):
-    """log of the unrooted trees of n leaves that have a clade of each size."""
-    rows = spark.range(4, 41).select(F.col("id").cast("int").alias("n")).select("n", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("size"))
-    return rows.select("n", "size", F.round(clade_math.log_trees_with_clade(F.col("n"), F.col("size")), 8).alias("log_trees"))
-
-
-@query("SELECT CAST(n AS INT) AS n, CAST((SELECT product(2 * i - 3) FROM range(2, 13) r(i) WHERE i <= n) AS BIGINT) AS rooted, CAST(CASE WHEN n < 3 THEN 1 ELSE (SELECT product(2 * i - 5) FROM range(3, 13) r(i) WHERE i <= n) END AS BIGINT) AS unrooted, CAST(pow(2, n - 1) - 1 AS BIGINT) AS bipartitions FROM range(2, 13) x(n)")
-def tree_numbers(spark, sf_dir):
-    return spark.createDataFrame([(n, clade_math.rooted_trees(n), clade_math.unrooted_trees(n), clade_math.bipartitions(n)) for n in range(2, 13)], "n int, rooted long, unrooted long, bipartitions long")
-
-
 @query(f"WITH {PLACE_SQL} SELECT fam, tree_no, string_agg(name, ' ' ORDER BY name) AS leaves FROM p WHERE nk % 2 = 0 AND fam IN (SELECT CAST(n_regionkey AS VARCHAR) FROM nation WHERE n_nationkey % 2 = 0 GROUP BY 1 HAVING count(*) >= 3) GROUP BY ALL")
 def keep_leaves(spark, sf_dir):
     """Leaves of even nations; families with fewer than three of them go."""
@@ -239,12 +225,6 @@ def add_filter(spark, sf_dir):
     return trees.filter(readers.chosen(F.col("k"), 10, 3, "add")).select(F.col("family").alias("fam"), "tree_no")
 
 
-@query("SELECT 'one' AS family, CAST(1 AS INT) AS n_leaves, 'gene_7' AS leaves")
-def single_gene_reader(spark, sf_dir):
-    t = readers.tree_samples(spark, _line_file(spark, "gene_7;"), family=F.lit("one"), burnin=100)
-    return splits.families(t).select("family", "n_leaves", F.array_join("leaves", " ").alias("leaves"))
-
-
 @query(_with("SELECT fam, g, gp, gpp, cnt FROM dip"))
 def posterior_round_trip(spark, sf_dir):
     """Clade tables written in the tagged text form and read again."""
@@ -272,19 +252,6 @@ def posterior_round_trip(spark, sf_dir):
     return got.join(F.broadcast(first), "leaf").select("fam", "g", "gp", "gpp", "cnt")  # five regions
 
 
-@query("SELECT CAST(k AS INT) AS tree_no, name, CAST(CASE name WHEN 'cat' THEN 1 ELSE 2 END AS DOUBLE) AS depth FROM (VALUES (2), (4)) a(k), (VALUES ('ant'), ('bee'), ('cat')) b(name)")
-def nexus_reader(spark, sf_dir):
-    lines = ["#NEXUS", "begin trees;", " translate 1 ant, 2 bee,", " 3 cat;", *(f" tree gen{k} = [&U] ((1:1,2:1):1,3:1);" for k in range(5)), "end;"]
-    t = readers.nexus_trees(spark, _line_file(spark, *lines), burnin=1, every=2)
-    return tree_tools.nodes(t).filter("is_leaf").select(F.col("tree_no").cast("int").alias("tree_no"), "name", "depth")
-
-
-@query("SELECT 'first' AS which, '((a:1,b:1):1,c:2);' AS tree UNION ALL SELECT 'last', '(a:1,(b:1,c:1):1);'")
-def species_tree_reader(spark, sf_dir):
-    path = _line_file(spark, "# species", "((a:1,b:1):1,c:2);", "(a:1,(b:1,c:1):1);", "end")
-    return spark.createDataFrame([("first", readers.species_tree(spark, path)), ("last", readers.species_tree(spark, path, last=True))], "which string, tree string")
-
-
 @query("SELECT 's' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS name, CAST(CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey / 100.0 ELSE 0.0 END AS DOUBLE) AS fraction FROM nation")
 def fraction_missing(spark, sf_dir):
     """Fractions of missing genes read from a file and given to a species tree's leaves, none being zero."""
@@ -319,37 +286,12 @@ def packing_list(spark, sf_dir):
     return readers.distributed_list(spark, path)
 
 
-@query("SELECT CAST(s_suppkey % 7 AS INT) AS cpu, round(sum(s_acctbal + 1000), 4) AS load, count(*) AS families FROM supplier GROUP BY ALL")
-def packing_loads(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("file"), F.pmod("s_suppkey", F.lit(7)).cast("int").alias("cpu"), (F.col("s_acctbal") + 1000).alias("time"))
-    return scheduling.loads(s).withColumn("load", F.round("load", 4))
-
-
 @query("SELECT quantile_disc(s_acctbal + 1000, 0.8) AS bound FROM supplier WHERE s_nationkey > 0.8 * (SELECT max(s_nationkey) FROM supplier)")
 def near_universal_bound(spark, sf_dir):
     t = table(spark, sf_dir, "supplier").select((F.col("s_acctbal") + 1000).alias("time"), F.col("s_nationkey").alias("species"))
     return spark.createDataFrame([(scheduling.near_universal_bound(t),)], "bound double")
 
 
-@query("SELECT * FROM (VALUES ('delta', '0.1'), ('out', 'a:b'), ('tau', '0.2')) v(key, value)")
-def option_reader(spark, sf_dir):
-    return spark.createDataFrame(sorted(readers.key_values(["delta=0.1", "tau:0.2", "out=a:b", "plain"]).items()), "key string, value string")
-
-
-@query("SELECT 'rec' AS kind, '((a:1,b:1)3:1,c:2)4;' AS species_tree, CAST(0.1 AS DOUBLE) AS delta, CAST(0.2 AS DOUBLE) AS tau, CAST(0.3 AS DOUBLE) AS \"lambda\", CAST(2 AS INT) AS trees")
-def report_reader(spark, sf_dir):
-    """A report written and its species tree, rates and trees read again."""
-    tree = read_species_tree("((a:1,b:1):1,c:2);")
-    fits = spark.createDataFrame([("f", -1.5, 0.1, 0.2, 0.3)], "family string, logl double, delta double, tau double, lambda double")
-    sampled = spark.createDataFrame([("f", k, "((a_1,b_1).3,c_1).4;", [("S", 4, -1), ("S", 3, -1)]) for k in range(2)], reconcile.SAMPLES)
-    ev = reconcile.events(sampled)
-    text = writers.report(fits, event_tables.totals(ev, 2), event_tables.branch_means(ev, 2), sampled, tree)
-    path = shared_path(spark, "files")
-    text.coalesce(1).select(F.col("text").alias("value")).write.text(path)
-    got = readers.reconciliation_files(spark, path)
-    return got.select(F.lit("rec").alias("kind"), "species_tree", "delta", "tau", "lambda", F.size("reconciled").cast("int").alias("trees"))
-
-
 # --- species tables ------------------------------------------------------------------------
 
 #: The labelled tree of the constraint queries: name, parent, branch length.
@@ -363,33 +305,6 @@ def _label():
     return F.when(F.col("is_leaf"), F.col("name")).otherwise(F.col("label"))
 
 
-@query(f"WITH {SPECIES_SQL} SELECT sp.name, sp.parent, sp.name LIKE 'l_' AS is_leaf, height FROM sp JOIN ht USING (name)")
-def species_branches(spark, sf_dir):
-    b = species.branches(spark, read_species_tree(TREE))
-    up = b.select(F.col("branch").alias("parent"), _label().alias("up"))
-    return b.join(F.broadcast(up), "parent", "left").select(_label().alias("name"), F.col("up").alias("parent"), "is_leaf", F.round("height", 9).alias("height"))  # one tree's branches
-
-
-@query(f"WITH {SPECIES_SQL} SELECT name, array_to_string(leaves, ' ') AS leaves, CASE WHEN len(leaves) = 1 THEN leaves[1] ELSE leaves[1] || '-' || leaves[-1] END AS label FROM lf")
-def branch_taxa(spark, sf_dir):
-    tree = read_species_tree(TREE)
-    name = species.branches(spark, tree).select("branch", _label().alias("name"))
-    return species.taxa(spark, tree).join(F.broadcast(name), "branch").select("name", F.array_join("leaves", " ").alias("leaves"), "label")  # one tree's branches
-
-
-@query(f"WITH {SPECIES_SQL} SELECT x.name, o.name AS other FROM sp x JOIN ht h ON h.name = x.parent JOIN ht o ON h.height < o.height")
-def dated_ancestors(spark, sf_dir):
-    b = species.branches(spark, read_species_tree(TREE))
-    name = lambda k, to: F.broadcast(b.select(F.col("branch").alias(k), _label().alias(to)))  # noqa: E731, one tree's branches
-    return species.dated_ancestors(b).join(name("branch", "name"), "branch").join(name("other", "_o"), "other").select("name", F.col("_o").alias("other"))
-
-
-@query(f"WITH {SPECIES_SQL}, t AS (SELECT name, row_number() OVER (ORDER BY height) AS rank FROM ht WHERE height > 0) SELECT 1 AS one, CAST(count(*) AS BIGINT) AS ranked, CAST(sum(rank) AS BIGINT) AS sum_rank FROM t")
-def branch_ranks(spark, sf_dir):
-    b = species.branches(spark, read_species_tree(TREE)).filter("NOT is_leaf")
-    return b.agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias("ranked"), F.sum("rank").alias("sum_rank"))
-
-
 @query("""WITH c AS (SELECT s_suppkey AS branch, 0.1 * (1 + s_nationkey % 3) AS d, 0.2 * (1 + s_nationkey % 2) AS t, 0.3 AS l FROM supplier)
 SELECT branch, round(1 / (1 + d + t + l), 9) AS p_s, round(d / (1 + d + t + l), 9) AS p_d, round(t / (1 + d + t + l), 9) AS p_t, round(l / (1 + d + t + l), 9) AS p_l FROM c""")
 def event_probabilities(spark, sf_dir):
@@ -409,16 +324,6 @@ def genes_to_species(spark, sf_dir):
     return mapped.groupBy("species").agg(F.count(F.lit(1)).alias("genes")).join(lost, "species", "left").select("species", "genes", F.coalesce("unknown", F.lit(False)).alias("unknown"))
 
 
-@query("SELECT k, round((SELECT sum(1.0 / (8 - i)) FROM range(8) r(i) WHERE i < k) / (SELECT sum(1.0 / (8 - i)) FROM range(7) r(i)), 9) AS height FROM range(1, 8) x(k)")
-def canonical_heights(spark, sf_dir):
-    """Heights of the nodes of a ladder of eight species, re-dated by rank."""
-    text = "s0"
-    for k in range(1, 8):
-        text = f"({text}:1,s{k}:{k})"
-    h = coalescent_lengths(read_species_tree(text + ";")).heights()
-    return spark.createDataFrame(list(enumerate(map(float, sorted(h)[8:]), 1)), "k long, height double").withColumn("height", F.round("height", 9))
-
-
 # --- constraints from labelled trees -------------------------------------------------------
 
 
@@ -467,12 +372,6 @@ def partial_order(spark, sf_dir):
     return ordering.partial_order(ordering.total(_constraints(spark, sf_dir)), ordering.order_table(spark, list(ORDER)))
 
 
-@query("SELECT round(avg(CASE WHEN s_acctbal <= 4000 THEN 1.0 ELSE 0.0 END), 9) AS p_value FROM supplier")
-def order_p_value(spark, sf_dir):
-    random = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("value"))
-    return ordering.p_value(random, 4000.0).select(F.round("p_value", 9).alias("p_value"))
-
-
 # --- trees that grow with the tables --------------------------------------------------------
 
 
@@ -548,39 +447,6 @@ def plain_labels(spark, sf_dir):
 # --- models at fixed values: log likelihoods worked out from the formulas in a separate script ---
 
 
-@query("SELECT family, CAST(logl AS DOUBLE) AS logl FROM (VALUES ('a', -1.54004585), ('ab', -1.75707077), ('abc', -2.04373949), ('c', -1.53932683)) v(family, logl)")
-def undated_fixed(spark, sf_dir):
-    trees = readers.trees_from_strings(spark, {"a": ["a_1;"], "c": ["c_2;"], "ab": ["(a_3,b_4);"], "abc": ["((a_3,b_3),c_3);"]})
-    got = reconcile.loglik(splits.tables(trees), "((a:1,b:1),c:2);", Rates(delta=0.01, tau=0.01, lambda_=0.1))
-    return got.withColumn("logl", F.round("logl", 8))
-
-
-#: Extinction and one-descendant probability of a birth-death process from a start value s, over a time t.
-_BD = """bd AS (SELECT 0.2 AS d, 0.3 AS l),
-g AS (SELECT CAST(range AS INT) AS i, (range % 10) * 0.1 AS t, d, l FROM range(20) CROSS JOIN bd),
-top AS (SELECT l * (1 - exp(l - d)) / (d - l * exp(l - d)) AS e1 FROM bd),
-p AS (SELECT g.*, e1, exp((l - d) * t) AS x, CASE WHEN i < 10 THEN 0.0 ELSE e1 * e1 END AS s FROM g CROSS JOIN top),
-f AS (SELECT i, d, l, e1, (l * (1 - s) - (l - d * s) * x) / (d * (1 - s) - (l - d * s) * x) AS e, pow(d - l, 2) * x / pow(d * (1 - s) - (l - d * s) * x, 2) AS one FROM p)"""
-
-
-@query(f"""WITH {_BD}, w AS (SELECT pow(d - l, 2) * exp(l - d) / pow(d - l * exp(l - d), 2) AS one1 FROM bd)
-SELECT 'a' AS family, round(ln(sum(CASE WHEN i < 10 THEN one ELSE one1 * e1 * one END) / 50), 6) AS logl FROM f CROSS JOIN w""")
-def finite_fixed(spark, sf_dir):
-    """One gene in a finite population without transfers: births and deaths alone, with a closed form. 20 grid points, 50 positions."""
-    tables = splits.tables(readers.trees_from_strings(spark, {"a": ["a_1;"]}))
-    got = dated.loglik(tables, "(a:1,b:1);", DatedRates(delta=0.2, tau=0.0, lambda_=0.3, sigma=0.0, step=0.1, stem=1.0, population=10.0))
-    return got.withColumn("logl", F.round("logl", 6))
-
-
-@query(f"""WITH {_BD}, k AS (SELECT i, e, e1, coalesce(sum(ln(1 + (2 * d * e - d - l) * 0.1)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lq FROM f)
-SELECT 'a' AS family, round(ln(sum(exp(lq) * CASE WHEN i < 10 THEN 1 ELSE e1 END)) - ln(sum((1 - e) * CASE WHEN i < 10 THEN 2 ELSE 1 END)), 6) AS logl FROM k""")
-def dated_fixed(spark, sf_dir):
-    """The same in the limit of many species, whose steps are of first order, given that the gene survives."""
-    tables = splits.tables(readers.trees_from_strings(spark, {"a": ["a_1;"]}))
-    got = dated.loglik(tables, "(a:1,b:1);", DatedRates(delta=0.2, tau=0.0, lambda_=0.3, sigma=0.0, step=0.1, stem=1.0))
-    return got.withColumn("logl", F.round("logl", 6))
-
-
 @query(_with(""", c AS (SELECT fam, CASE WHEN size = 2 THEN g ELSE 31 - g END AS g, cnt FROM bip WHERE size IN (2, 3)),
 u AS (SELECT fam, g, max(cnt) AS w FROM c GROUP BY ALL),
 best AS (SELECT a.fam, max(a.w + coalesce(b.w, 0)) AS kept FROM u a LEFT JOIN u b ON a.fam = b.fam AND a.g <> b.g AND (a.g & b.g) = 0 GROUP BY a.fam)
@@ -591,32 +457,6 @@ def parsimony_consensus(spark, sf_dir):
     return ccp.parsimony_consensus(facts, fams).select(F.col("family").alias("fam"), "changes")
 
 
-@query("SELECT variant, CAST(logl AS DOUBLE) AS logl FROM (VALUES ('missing', -2.01631769), ('root', -1.54313800)) v(variant, logl)")
-def undated_variants(spark, sf_dir):
-    """A tenth of a species' genes missing, and originations twice as likely at the root."""
-    tables = splits.tables(readers.trees_from_strings(spark, {"abc": ["((a_3,b_3),c_3);"]}))
-    out = None
-    for name, rates in (("missing", Rates(missing={"a": 0.1})), ("root", Rates(origin_root=2))):
-        one = reconcile.loglik(tables, "((a:1,b:1),c:2);", rates).select(F.lit(name).alias("variant"), F.round("logl", 8).alias("logl"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("SELECT branch, CAST(extinction AS DOUBLE) AS extinction FROM (VALUES (0, 0.08942853), (1, 0.08942853), (2, 0.08943044), (3, 0.09658672), (4, 0.09716145)) v(branch, extinction)")
-def extinction_probabilities(spark, sf_dir):
-    tables = splits.tables(readers.trees_from_strings(spark, {"abc": ["((a_3,b_3),c_3);"]}))
-    return reconcile.branch_terms(tables, "((a:1,b:1),c:2);").select("branch", F.round("extinction", 8).alias("extinction"))
-
-
-@query("SELECT CAST(k AS BIGINT) AS moved, CAST(CASE k WHEN 0 THEN 0 ELSE 1 END AS DOUBLE) AS distance FROM (VALUES (0), (1)) v(k)")
-def regraft_distance(spark, sf_dir):
-    """A regraft onto the sister is no change; one across the root of four leaves changes one clade of each tree."""
-    t = "((a:1,b:1)x:1,(c:1,d:1)y:1)z;"
-    rows = [(0, t, newick.write(newick.graft(newick.parse(t), "a", "b"))), (1, "(((a:1,b:1)x:1,c:1)y:1,d:1)z;", newick.write(newick.graft(newick.parse("(((a:1,b:1)x:1,c:1)y:1,d:1)z;"), "c", "a")))]
-    df = spark.createDataFrame(rows, "moved long, one string, two string")
-    return df.select("moved", tree_tools.rooted_distance(F.col("one"), F.col("two")).alias("distance"))
-
-
 @query(_with("SELECT fam, g, gp, gpp, cnt FROM dip"))
 def added_tables(spark, sf_dir):
     """A table of the even trees with the odd ones added through the program's function."""

@@ -34,8 +34,8 @@ def _climb(own: str, step: str) -> str:
     return f"list_reduce(range({LEAVES + 1}, {N + 1}), lambda acc, b: list_append(acc, {own}[b] + {step}), {own}[1:{LEAVES}])"
 
 
-def extinction_ctes(delta: float = 0.01, tau: float = 0.01, lambda_: float = 0.1, any_recipient: bool = False) -> str:
-    """Tables k (rates and the tree's shape), nl (name of each leaf, names below each branch) and x (extinction)."""
+def extinction_ctes(delta: float = 0.01, tau: float = 0.01, lambda_: float = 0.1, any_recipient: bool = False, missing: str = "0.0") -> str:
+    """missing: the fraction of genes missing of leaf i. Tables k (rates and the tree's shape), nl (name of each leaf, names below each branch) and x (extinction)."""
     left, right, above = _shape()
     anc = "[" + ", ".join("CAST([] AS INTEGER[])" if any_recipient else str(a) for a in above) + "]"
     total = f"(1 + {delta!r}::DOUBLE + {tau!r}::DOUBLE + {lambda_!r}::DOUBLE)"
@@ -51,11 +51,11 @@ x0 AS (SELECT k.* EXCLUDE (own), {_climb("own", "ps * acc[lf[b - 25]] * acc[rg[b
 x{s} AS (SELECT * EXCLUDE (own, fix), fix, {up} AS e FROM (SELECT * EXCLUDE (e), {each("pl + pd * e[i] * e[i]" + meets.format(fix="fix"))} AS own FROM
  (SELECT *, list_sum(e) AS mean, {each("coalesce(list_sum(list_transform(anc[i], lambda a: e[a])), 0)")} AS fix FROM (SELECT * {"EXCLUDE (mean, fix)" if s > 1 else ""} FROM x{s - 1}))))"""
     out += f""",
-x AS (SELECT *, list_sum(e) AS mean_e FROM (SELECT * EXCLUDE (own), {up} AS e FROM (SELECT * EXCLUDE (e), list_concat(e[1:{LEAVES}], {each("pl + pd * e[i] * e[i]" + meets.format(fix="fix"))}[{LEAVES + 1}:]) AS own FROM (SELECT * EXCLUDE (mean), list_sum(e) AS mean FROM x3))))"""
+x AS (SELECT *, list_sum(e) AS mean_e FROM (SELECT * EXCLUDE (own), {up} AS e FROM (SELECT * EXCLUDE (e), list_concat(list_transform(range(1, {LEAVES + 1}), lambda i: (1 - {missing}) * e[i] + {missing}), {each("pl + pd * e[i] * e[i]" + meets.format(fix="fix"))}[{LEAVES + 1}:]) AS own FROM (SELECT * EXCLUDE (mean), list_sum(e) AS mean FROM x3))))"""
     return out
 
 
-def undated_ctes(delta: float = 0.01, tau: float = 0.01, lambda_: float = 0.1, any_recipient: bool = False) -> str:
+def undated_ctes(delta: float = 0.01, tau: float = 0.01, lambda_: float = 0.1, any_recipient: bool = False, missing: str = "0.0") -> str:
     """All tables up to root (fam, q4): the values of each family's root on each branch after four sweeps."""
     moves = tau >= 1e-10
     each = lambda body: f"list_transform(range(1, {N + 1}), lambda i: {body})"
@@ -72,7 +72,7 @@ def undated_ctes(delta: float = 0.01, tau: float = 0.01, lambda_: float = 0.1, a
             rows = f"SELECT * EXCLUDE (v), {up} AS q{s} FROM (SELECT *, {each(lost)} AS v FROM ({rows}))"
         return f"{to} AS (SELECT fam, g, q1, q2, q3, q4 FROM ({rows}))"
 
-    out = f"""{LADDER_SQL}, {extinction_ctes(delta, tau, lambda_, any_recipient)},
+    out = f"""{LADDER_SQL}, {extinction_ctes(delta, tau, lambda_, any_recipient, missing)},
 l1 AS (SELECT DISTINCT fam, CAST(pow(2, c) AS BIGINT) AS g, {", ".join(f"{each('CASE WHEN i = CAST(fam AS INT) * 5 + c + 1 THEN ps ELSE 0 END')} AS b{s}" for s in (1, 2, 3, 4))} FROM s, k, (SELECT unnest(range(5)) AS c)),
 {settle("l1", "v1")}"""
     pairs = "SELECT DISTINCT fam, CAST(31 AS BIGINT) AS g, least(g, 31 - g) AS gp, greatest(g, 31 - g) AS gpp, CASE WHEN size IN (1, 4) THEN 1.0 ELSE cnt / observations END AS p FROM bip CROSS JOIN o"
@@ -87,5 +87,7 @@ l{size} AS (SELECT fam, g, {sums} FROM (SELECT fam, g, {", ".join(f"list(m{s}) A
     return out + ",\nroot AS (SELECT fam, q4 FROM v5)"
 
 
-def loglik_sql(**rates) -> str:
-    return f"WITH {undated_ctes(**rates)} SELECT fam AS family, round(ln(list_sum(q4)) - ln(list_sum(list_transform(e, lambda z: 1 - z))), 6) AS logl FROM root, x"
+def loglik_sql(origin_root: float = 1.0, **rates) -> str:
+    top = f"list_sum(q4) + {origin_root - 1!r} * q4[{N}]"
+    norm = f"ln({N - 1 + origin_root!r}::DOUBLE) - ln({N}::DOUBLE)"
+    return f"WITH {undated_ctes(**rates)} SELECT fam AS family, round(ln({top}) - ln(list_sum(list_transform(e, lambda z: 1 - z))) - ({norm}), 6) AS logl FROM root, x"

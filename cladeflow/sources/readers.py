@@ -122,6 +122,12 @@ def key_values(tokens: list[str]) -> dict[str, str]:
     return {k: v for k, v in (re.split("[=:]", t, maxsplit=1) for t in tokens if re.search("[=:]", t))}
 
 
+def options(lines: DataFrame, column: str = "value") -> DataFrame:
+    """lines with key and value of tokens written as key=value or key:value; others are left out."""
+    parts = F.split(column, "[=:]", 2)
+    return lines.filter(F.col(column).rlike("[=:]")).withColumns({"key": parts[0], "value": parts[1]})
+
+
 def reconciliation_files(spark: SparkSession, path: str) -> DataFrame:
     """family, species_tree, delta, tau, lambda and the array of reconciled trees of report files."""
     t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("family"), F.col("value").alias("v"))
