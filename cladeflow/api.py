@@ -11,6 +11,7 @@ from cladeflow.functions.dated_model import DatedRates
 from cladeflow.functions.species_tree import read_species_tree
 from cladeflow.functions.undated_model import Rates
 from cladeflow.operators import ccp, dated, event_tables, ordering, reconcile, scheduling, simulate, splits
+from cladeflow.operators.stored import stored
 from cladeflow.sources import posterior_text, readers, writers
 
 
@@ -91,13 +92,13 @@ def evaluate(spark: SparkSession, species: str, gene_trees: DataFrame, rates: Ra
     return reconcile_all(splits.tables(gene_trees), species, rates or Rates(), n_samples)
 
 
-def reconcile_all(tables: DataFrame, species: str, rates: Rates | DataFrame, n_samples: int = 100, seed: int = 0) -> dict[str, DataFrame]:
-    """Samples at given rates, or at each family's fitted ones, with what is read off them."""
-    sampled = reconcile.samples(tables, species, rates, n_samples, seed)
+def reconcile_all(tables: DataFrame, species: str, rates: Rates | DataFrame, n_samples: int = 100, seed: int = 0, options: Rates | None = None) -> dict[str, DataFrame]:
+    """Samples at given rates, or at each family's fitted ones, with what is read off them; options are those of the model that was fitted."""
+    sampled = reconcile.samples(tables, species, rates, n_samples, seed, options)
     ev = reconcile.events(sampled)
     fits = rates if isinstance(rates, DataFrame) else reconcile.loglik(tables, species, rates).select("family", "logl", *(F.lit(x).alias(n) for n, x in (("delta", rates.delta), ("tau", rates.tau), ("lambda", rates.lambda_))))
     means, totals, seen = event_tables.branch_means(ev, n_samples), event_tables.totals(ev, n_samples), event_tables.presence(ev, n_samples)
-    terms = reconcile.branch_terms(tables, species, rates)
+    terms = reconcile.branch_terms(tables, species, rates, options)
     tree = read_species_tree(species)
     return {
         "fits": fits, "samples": sampled, "events": ev, "branches": means, "totals": totals, "presence": seen, "terms": terms,
@@ -105,6 +106,21 @@ def reconcile_all(tables: DataFrame, species: str, rates: Rates | DataFrame, n_s
     }
 
 
+def chain_report(tables: DataFrame, chain: DataFrame, species: str, start: Rates | None = None, n_samples: int = 1, seed: int = 0) -> dict[str, DataFrame]:
+    """What is read off a chain: its trace, reconciled trees at each kept step, their events, per-branch means, totals, transfers and consensus trees.
+
+    All families have the same number of kept steps, so means are over that many trees.
+    """
+    sampled = stored(reconcile.chain_samples(tables, chain, species, start, n_samples, seed), "chain-samples")
+    steps = chain.groupBy("family").count().agg(F.max("count")).first()[0] or 0
+    n = max(steps * n_samples, 1)
+    ev, tree = reconcile.events(sampled), read_species_tree(species)
+    return {
+        "trace": chain, "samples": sampled, "events": ev, "branches": event_tables.branch_means(ev, n), "totals": event_tables.totals(ev, n), "presence": event_tables.presence(ev, n),
+        "transfers": writers.transfer_list(event_tables.transfer_matrix(ev, n), tree), "consensus": writers.consensus_texts(sampled),
+    }
+
+
 def resample(spark: SparkSession, reports: str, tables: DataFrame, n_samples: int = 100) -> DataFrame:
     """Samples at the rates stored in report files, matched to tables by family."""
     rates = readers.reconciliation_files(spark, reports).select("family", "species_tree", "delta", "tau", "lambda", F.lit(1.0).alias("origin_root"))

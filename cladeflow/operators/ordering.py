@@ -284,6 +284,21 @@ def order_values(constraints: DataFrame, orders: DataFrame) -> DataFrame:
     return orders.select("draw").distinct().join(broken, "draw", "left").select("draw", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def similarities(species: str, orders: DataFrame, given: DataFrame) -> DataFrame:
+    """draw, inversions, similarity of many orders (draw, place, name) to a given one (place, name): 1 for the same order, 0 for one as far off as the tree allows.
+
+    Pairs of nodes are met within each draw: a species tree bounds their number.
+    """
+    r = ranking.Ranking.of(species)
+    most = ranking.inversions(*ranking.extremes(r))
+    at = orders.select("draw", "name", "place").join(F.broadcast(given.select("name", F.col("place").alias("_given"))), "name")  # the nodes of one tree
+    rows = at.groupBy("draw").agg(F.array_sort(F.collect_list(F.struct("place", "_given"))).alias("_xs"))
+    later = lambda x, i: F.size(F.filter(F.slice("_xs", i + 2, F.size("_xs")), lambda y: y["_given"] < x["_given"]))
+    count = F.aggregate(F.transform("_xs", later), F.lit(0), lambda a, b: a + b)
+    same = F.lit(1.0) if not most else (most - F.col("inversions")) / most
+    return rows.select("draw", count.alias("inversions")).withColumn("similarity", same)
+
+
 def p_value(random: DataFrame, value: float) -> DataFrame:
     """One row: the share of random orders that break no more weight."""
     return random.agg(F.avg(F.when(F.col("value") <= value, 1.0).otherwise(0.0)).alias("p_value"))

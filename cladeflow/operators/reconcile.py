@@ -84,11 +84,11 @@ def loglik_grid(tables: DataFrame, species: str, points: list[Rates]) -> DataFra
     return map_families(tables, run, "family string, point int, logl double")
 
 
-def branch_terms(tables: DataFrame, species: str, rates: Rates | DataFrame | None = None) -> DataFrame:
+def branch_terms(tables: DataFrame, species: str, rates: Rates | DataFrame | None = None, options: Rates | None = None) -> DataFrame:
     """family, branch, extinction, origin_logl: the probability that a gene on a branch dies out, and the log likelihood of an origination there."""
     tree = read_species_tree(species)
     own = isinstance(rates, DataFrame)
-    base = Rates() if own or rates is None else rates
+    base = (options or Rates()) if own or rates is None else rates
 
     def run(batches):
         for row in _rows(batches):
@@ -156,12 +156,12 @@ def fit(tables: DataFrame, species: str, start: Rates | None = None, fixed: tupl
 SAMPLES = "family string, sample_no int, newick string, events array<struct<kind:string,branch:int,other:int>>"
 
 
-def samples(tables: DataFrame, species: str, rates: Rates | DataFrame | None = None, n: int = 100, seed: int = 0) -> DataFrame:
-    """n reconciled trees of each family with their events; rates may be a table of fits by family."""
+def samples(tables: DataFrame, species: str, rates: Rates | DataFrame | None = None, n: int = 100, seed: int = 0, options: Rates | None = None) -> DataFrame:
+    """n reconciled trees of each family with their events; rates may be a table of fits by family, made with the given options of the model."""
     tree = read_species_tree(species)
     names = [c.split()[0] for c in ("family string", "sample_no int", "newick string", "events x")]
     own = isinstance(rates, DataFrame)
-    base = Rates() if own or rates is None else rates
+    base = (options or Rates()) if own or rates is None else rates
 
     def run(batches):
         for row in _rows(batches):

@@ -227,3 +227,16 @@ def drawn_orders(spark, sf_dir):
     met = found.join(run, "value").join(F.broadcast(all_))
     p = F.col("_orders") / F.col("_all")
     return met.select("nodes", "value", F.round(p, 9).alias("p_value"), near(F.col("_n"), 1 / F.col("_all")).alias("share_within"), near(F.col("_draws"), p).alias("p_within"))
+
+
+@query(ORDERS_SQL[: ORDERS_SQL.index("v AS (")].rstrip().rstrip(",") + """, g AS (SELECT ['a', 'd', 'b', 'e', 'f', 'c'] AS given),
+most AS (SELECT count(*) AS n FROM br x JOIN br y ON x.name < y.name AND NOT x.leaf AND NOT y.leaf WHERE NOT EXISTS (SELECT 1 FROM cl WHERE (above = x.name AND below = y.name) OR (above = y.name AND below = x.name))),
+i AS (SELECT names, (SELECT count(*) FROM range(1, 7) a(i) JOIN range(1, 7) b(j) ON i < j WHERE list_position(given, names[i]) > list_position(given, names[j])) AS inversions FROM full_, g)
+SELECT array_to_string(names, '') AS nodes, CAST(inversions AS BIGINT) AS inversions, round((n - inversions) / n, 9) AS similarity FROM i, most""")
+def order_similarity(spark, sf_dir):
+    """How like the given order each drawn one is, by the inversions that the tree allows; a draw for each hundred orders and a thousand more."""
+    n = 1000 + table(spark, sf_dir, "orders").count() // 100
+    orders = ordering.draw_orders(spark, TREE, n, seed=2)
+    text = orders.groupBy("draw").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), "").alias("nodes"))  # six places a draw
+    s = ordering.similarities(TREE, orders, ordering.order_table(spark, list("adbefc"))).join(text, "draw")
+    return s.select("nodes", F.col("inversions").cast("long").alias("inversions"), F.round("similarity", 9).alias("similarity")).distinct()

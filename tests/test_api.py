@@ -63,3 +63,47 @@ def test_command_line(spark, tmp_path):
     main(["constraints", f"species={at('s.tree')}", f"tables={one}", "samples=3", f"out={at('found')}"])
     with pytest.raises(SystemExit):
         main(["nothing"])
+
+
+def test_command_line_of_models(spark, tmp_path):
+    from cladeflow.__main__ import main, model_rates
+
+    (tmp_path / "f.trees").write_text("\n".join(SAMPLE))
+    (tmp_path / "s.tree").write_text(SPECIES + "\n")
+    (tmp_path / "missing").write_text("a:0.2\nb:0.1\n")
+    (tmp_path / "keep").write_text("a\n\nc\nd\n")
+    (tmp_path / "keep.tree").write_text("(a,(b,c));\n")
+    at = lambda x: str(tmp_path / x)
+    main(["observe", f"trees={at('f.trees')}", f"out={at('one')}"])
+    one, s = f"tables={at('one')}/family=f.trees", f"species={at('s.tree')}"
+    for name, leaves in (("keep", ["a_1", "c_1", "d_1"]), ("keep.tree", ["a_1", "b_1", "c_1"])):
+        main(["prune", one, f"keep_file={at(name)}", f"out={at('cut-' + name)}"])
+        assert sorted(api.load(spark, at("cut-" + name) + "/*").first()["leaves"]) == leaves
+    model = ["delta=0.05", "tau=0.2", f"fraction_missing={at('missing')}", "O_R=2", "reldate=1", "beta=0.5", "rate_multiplier=delta,0,3;O,6,2"]
+    o = readers.key_values(model)
+    r = model_rates(spark, o)
+    assert (r.delta, r.tau, r.lambda_, r.origin_root, r.by_date, r.seq_beta, r.missing, r.multipliers) == (0.05, 0.2, 0.1, 2.0, True, 0.5, {"a": 0.2, "b": 0.1}, {"delta": {0: 3.0}, "O": {6: 2.0}})
+    with pytest.raises(SystemExit):
+        model_rates(spark, {"rate_multiplier": "rho,0,3"})
+    main(["fit", s, one, "samples=3", "seed=5", "fixed=tau,lambda", *model, f"out={at('fit')}"])
+    fits = spark.read.parquet(at("fit") + "/fits").first()
+    assert fits["tau"] == 0.2 and fits["lambda"] == 0.1 and fits["delta"] != 0.05
+    assert spark.read.parquet(at("fit") + "/samples").count() == 3
+    # The terms of the report belong to the model with its options.
+    from cladeflow.functions.species_tree import read_species_tree
+    from cladeflow.functions.undated_model import prepare
+
+    b = prepare(read_species_tree(SPECIES), r.of(delta=fits["delta"]))
+    assert {t["branch"]: t["extinction"] for t in spark.read.parquet(at("fit") + "/terms").collect()} == pytest.approx({e: float(x) for e, x in enumerate(b.extinct)})
+    main(["fit", s, one, "samples=1", "DT=2", "MLOR=1", f"out={at('ratio')}"])
+    got = spark.read.parquet(at("ratio") + "/fits").first()
+    assert got["tau"] == pytest.approx(2 * got["delta"])
+    main(["mcmc", s, one, "steps=20", "burnin=4", "sampling_rate=4", "every=8", "samples=2", f"out={at('chain')}"])
+    assert spark.read.parquet(at("chain") + "/trace").count() == 4 and spark.read.parquet(at("chain") + "/samples").count() == 8
+    assert spark.read.parquet(at("chain") + "/totals").first()["originations"] == pytest.approx(1.0)
+    assert "a_1" in spark.read.parquet(at("chain") + "/consensus").first()["text"]
+    for what, more in (("fit", []), ("best", []), ("samples", ["samples=2", "population=20"]), ("mcmc", ["steps=8", "burnin=2", "thin=2"])):
+        main(["dated", s, one, f"what={what}", *more, f"out={at('dated-' + what)}"])
+    assert [spark.read.parquet(at("dated-" + w)).count() for w in ("fit", "best", "samples", "mcmc")] == [1, 1, 2, 3]
+    with pytest.raises(SystemExit):
+        main(["dated", s, one, "what=dance", f"out={at('x')}"])

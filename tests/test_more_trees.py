@@ -161,6 +161,11 @@ def test_drawn_orders_are_uniform(spark):
     weights = {k: w for k, w in ordering.weights_of(cons).items() if "x" not in k}
     for r in ordering.order_values(cons, frame).collect():
         assert r["value"] == pytest.approx(ranking.violated(by[r["draw"]], weights))
+    r = ranking.Ranking.of(species)
+    given = r.by_depth()
+    at = spark.createDataFrame(list(enumerate(given)), "place int, name string")
+    for x in ordering.similarities(species, frame, at).collect():
+        assert x["inversions"] == ranking.inversions(by[x["draw"]], given) and x["similarity"] == pytest.approx(ranking.similarity(r, by[x["draw"]], given))
     assert {r["value"] for r in ordering.order_values(cons.limit(0), frame).collect()} == {0.0}
 
 
