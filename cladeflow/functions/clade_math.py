@@ -77,3 +77,16 @@ def log_trees_with_split(n_leaves: Column, left: Column, right: Column, max_leav
 
 def log_unrooted(n_leaves: Column, max_leaves: int = 400) -> Column:
     return _log_rooted(F.greatest(n_leaves - 1, F.lit(2)), max_leaves)
+
+
+def _log_factorial(n: Column, most: int) -> Column:
+    sums = [0.0]
+    for k in range(1, most + 1):
+        sums.append(sums[-1] + log(k))
+    return F.element_at(F.array(*map(F.lit, sums)), n.cast("int") + 1)
+
+
+def log_multinomial(*parts: Column, most: int = 400) -> Column:
+    """log of the ways to deal a set of up to most members to parts of these sizes: two make a binomial coefficient, three a trinomial."""
+    total = sum(parts[1:], parts[0])
+    return _log_factorial(total, most) - sum((_log_factorial(p, most) for p in parts[1:]), _log_factorial(parts[0], most))

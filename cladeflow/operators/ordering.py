@@ -12,8 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cladeflow.functions import newick, ranking
+from cladeflow.operators.batches import over_batches
 from cladeflow.operators.prefix import with_running
 
 
@@ -299,6 +301,13 @@ def similarities(species: str, orders: DataFrame, given: DataFrame) -> DataFrame
     return rows.select("draw", count.alias("inversions")).withColumn("similarity", same)
 
 
+def ranked_trees(species: str, orders: DataFrame) -> DataFrame:
+    """draw, newick: the species tree with the differences of places as branch lengths, for each of many orders (draw, place, name)."""
+    r = ranking.Ranking.of(species)
+    rows = orders.groupBy("draw").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("names"))  # the nodes of one tree
+    return rows.select("draw", over_batches(lambda names: ranking.ranked_tree(r, list(names)), StringType())("names").alias("newick"))
+
+
 def p_value(random: DataFrame, value: float) -> DataFrame:
     """One row: the share of random orders that break no more weight."""
     return random.agg(F.avg(F.when(F.col("value") <= value, 1.0).otherwise(0.0)).alias("p_value"))

@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from cladeflow.functions import newick
+from cladeflow.functions.clade_table import rooted_topologies
 from cladeflow.functions.species_tree import coalescent_lengths, read_species_tree
 from cladeflow.operators import ccp
 from cladeflow.operators.batches import over_batches
@@ -79,6 +80,27 @@ def dated_pairs(taxa_rows: DataFrame) -> DataFrame:
     return own.join(other, keys).filter("_start < _end").select(*keys, "node", "other")  # pairs within one tree
 
 
+def time_slices(taxa_rows: DataFrame, step: float, least: int) -> DataFrame:
+    """family, tree_no, rank, t_i, time, dt of every sub-slice: from each inner node up to the next, in equal steps of at most step, least at least; the slice of rank 0 begins at the leaves.
+
+    Ages are heights, as shares of the root's.
+    """
+    own = Window.partitionBy("family", "tree_no")
+    inner = taxa_rows.filter("NOT is_leaf").select("family", "tree_no", F.col("height").alias("_h"), F.max("height").over(own).alias("_top"))
+    ages = inner.select("family", "tree_no", (F.col("_h") / F.col("_top")).alias("upper")).withColumn("rank", F.row_number().over(own.orderBy("upper")) - 1)
+    ages = ages.withColumn("lower", F.coalesce(F.lag("upper").over(own.orderBy("upper", "rank")), F.lit(0.0))).withColumn("_n", F.greatest(F.ceil(F.round((F.col("upper") - F.col("lower")) / step, 9)), F.lit(least)).cast("int"))
+    rows = ages.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("t_i"))
+    dt = (F.col("upper") - F.col("lower")) / F.col("_n")
+    return rows.select("family", "tree_no", "rank", "t_i", (F.col("lower") + F.col("t_i") * dt).alias("time"), dt.alias("dt"))
+
+
+def without_subtrees(node_rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Nodes of trees without those at or below the nodes (family, tree_no, node) that go."""
+    keys = ["family", "tree_no"]
+    hit = node_rows.select(*keys, "node", F.explode("path").alias("_above")).join(gone.select(*keys, F.col("node").alias("_above")), [*keys, "_above"], "left_semi")
+    return node_rows.join(hit.select(*keys, "node"), [*keys, "node"], "left_anti")
+
+
 def last_common_ancestors(node_rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (family, tree_no, a, b) with their last common ancestor and the distance between them."""
     d = descendants(node_rows)
@@ -144,6 +166,20 @@ def regrafted(tree: Column, moved: Column, target: Column) -> Column:
     return over_batches(run, StringType())(tree, moved, target)
 
 
+def interchanged(tree: Column, node: Column) -> Column:
+    """The nearest-neighbour interchanges of trees around a named node, as an array of trees."""
+
+    def run(text: str, name: str):
+        return [newick.write(t) for t in newick.interchanges(newick.parse(text), name)]
+
+    return over_batches(run, ArrayType(StringType()))(tree, node)
+
+
+def every_topology(names: Column) -> Column:
+    """All rooted binary topologies on arrays of up to eight names, as arrays of trees."""
+    return over_batches(lambda x: list(rooted_topologies(list(x))), ArrayType(StringType()))(names)
+
+
 def coalescent(tree: Column) -> Column:
     """Trees re-dated by the ranks of their nodes: expected coalescent times, the root at 1."""
     return over_batches(lambda text: coalescent_lengths(read_species_tree(text)).numbered(), StringType())(tree)

@@ -289,3 +289,108 @@ def order_p_value(spark, sf_dir):
     drawn = ordering.p_value(values, given).withColumnRenamed("p_value", "_drawn")
     error = 5 * F.sqrt(F.col("p") * (1 - F.col("p")) / n) + 1 / n
     return p.join(F.broadcast(drawn)).select(F.round("p", 9).alias("p_value"), (F.abs(F.col("_drawn") - F.col("p")) <= error).alias("within"))
+
+
+# --- more of trees and models ------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS family, 'x' || CAST(k AS VARCHAR) AS name, CASE k WHEN 1 THEN CAST(c_nationkey AS VARCHAR) ELSE 'q' END AS species, CASE k WHEN 2 THEN 'Y' ELSE NULL END AS duplicated FROM customer, (VALUES (1), (2), (3)) v(k)")
+def nhx_reader(spark, sf_dir):
+    """Tags of leaves in extended trees, a tree for each customer."""
+    text = F.concat(F.lit("((x1:1[&&NHX:S="), F.col("c_nationkey").cast("string"), F.lit("],x2:2[&&NHX:S=q:D=Y]):1,x3:1[&&NHX:S=q:B=0.5]);"))
+    trees = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("family"), F.lit(1).alias("tree_no"), text.alias("newick"))
+    return tree_tools.nodes(trees).filter("is_leaf").select("family", "name", F.try_element_at("tags", F.lit("S")).alias("species"), F.try_element_at("tags", F.lit("D")).alias("duplicated"))
+
+
+@query("""WITH lf AS (SELECT k, coalesce((SELECT sum(ln(i)) FROM range(1, 200) r(i) WHERE i <= k), 0) AS f FROM range(0, 200) x(k)),
+c AS (SELECT c_custkey AS k, c_custkey % 40 AS a, c_nationkey AS b, c_custkey % 7 AS d FROM customer)
+SELECT c.k, round(ab.f - fa.f - fb.f, 8) AS binomial, round(abd.f - fa.f - fb.f - fd.f, 8) AS trinomial FROM c JOIN lf fa ON fa.k = a JOIN lf fb ON fb.k = b JOIN lf fd ON fd.k = d JOIN lf ab ON ab.k = a + b JOIN lf abd ON abd.k = a + b + d""")
+def coefficients(spark, sf_dir):
+    """Logarithms of binomial and trinomial coefficients."""
+    a, b, d = F.col("c_custkey") % 40, F.col("c_nationkey"), F.col("c_custkey") % 7
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("k"), F.round(clade_math.log_multinomial(a, b), 8).alias("binomial"), F.round(clade_math.log_multinomial(a, b, d), 8).alias("trinomial"))
+
+
+@query("SELECT s_suppkey AS k, CAST(list_extract([1, 3, 15, 105], CAST(s_suppkey % 4 + 1 AS INT)) AS BIGINT) AS topologies, CAST(list_extract([1, 3, 15, 105], CAST(s_suppkey % 4 + 1 AS INT)) AS BIGINT) AS different FROM supplier")
+def all_topologies(spark, sf_dir):
+    """Every rooted topology of two to five leaves, told apart by their clades."""
+    names = F.transform(F.sequence(F.lit(1), (F.col("s_suppkey") % 4 + 2).cast("int")), lambda k: F.concat(F.lit("g"), k.cast("string")))
+    t = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("family"), F.posexplode(tree_tools.every_topology(names)).alias("tree_no", "newick"))
+    x = tree_tools.taxa(tree_tools.nodes(t)).groupBy("family", "tree_no").agg(F.array_join(F.array_sort(F.collect_list(F.array_join("leaves", " "))), ";").alias("clades"))
+    g = x.groupBy("family").agg(F.count(F.lit(1)).alias("topologies"), F.countDistinct("clades").alias("different"))
+    return g.select(F.col("family").cast("long").alias("k"), "topologies", "different")
+
+
+@query(f"WITH {PLACE_SQL}, t AS (SELECT DISTINCT fam, tree_no FROM p) SELECT fam, tree_no, CAST(r AS INT) AS rank, CAST(i AS INT) AS t_i, round(0.25 * r + i * 0.25 / 4, 9) AS time, round(0.25 / 4, 9) AS dt FROM t, range(4) a(r), range(4) b(i)")
+def time_slices(spark, sf_dir):
+    """Sub-slices of every tree: four slices between the nodes of a ladder, four steps each."""
+    s = tree_tools.time_slices(_taxa(spark, sf_dir), 0.07, 3)
+    return s.select(F.col("family").alias("fam"), "tree_no", "rank", "t_i", F.round("time", 9).alias("time"), F.round("dt", 9).alias("dt"))
+
+
+@query(f"WITH {PLACE_SQL} SELECT DISTINCT fam, tree_no, CAST(2 AS BIGINT) AS trees, CAST(2 AS DOUBLE) AS distance FROM p")
+def interchange_trees(spark, sf_dir):
+    """Interchanges around the innermost node of every ladder: two trees, one clade off each."""
+    t = ladder_trees(spark, sf_dir).withColumn("named", F.regexp_replace("newick", r"(\(n\d\d:1,n\d\d:1\))", "$1q"))
+    each = t.withColumn("other", F.explode(tree_tools.interchanged(F.col("named"), F.lit("q"))))
+    g = each.groupBy(F.col("family").alias("fam"), "tree_no").agg(F.count(F.lit(1)).alias("trees"), F.sum(tree_tools.rooted_distance(F.col("newick"), F.col("other"))).alias("distance"))
+    return g
+
+
+@query(f"WITH {PLACE_SQL} SELECT fam, tree_no, string_agg(name, ' ' ORDER BY name) AS leaves, CAST(2 * count(*) AS BIGINT) AS nodes FROM p WHERE pos > 3 GROUP BY ALL")
+def subtrees_removed(spark, sf_dir):
+    """Trees without their innermost three leaves and the nodes above these alone; the node that loses a child stays."""
+    n = tree_tools.nodes(ladder_trees(spark, sf_dir))
+    three = tree_tools.taxa(n).filter(F.size("leaves") == 3).select("family", "tree_no", "node")
+    left = tree_tools.without_subtrees(n, three)
+    g = left.groupBy(F.col("family").alias("fam"), "tree_no").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("leaves"), F.count(F.lit(1)).alias("nodes"))
+    return g.select("fam", "tree_no", "leaves", "nodes")
+
+
+@query(ORDERS_SQL[: ORDERS_SQL.index("v AS (")].rstrip().rstrip(",") + """ SELECT array_to_string(names, '') AS nodes, br.name, CAST(CASE WHEN br.leaf THEN 7 ELSE list_position(names, br.name) END - list_position(names, br.parent) AS DOUBLE) AS length FROM full_ JOIN br ON br.parent IS NOT NULL""")
+def ranked_trees(spark, sf_dir):
+    """The tree of constraints with places as ages, for every order drawn; more draws for more orders."""
+    n = 600 + table(spark, sf_dir, "orders").count() // 100
+    orders = ordering.draw_orders(spark, TREE, n, seed=3)
+    text = orders.groupBy("draw").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), "").alias("nodes"))  # six places a draw
+    t = ordering.ranked_trees(TREE, orders).join(text, "draw").dropDuplicates(["nodes"])
+    rows = tree_tools.nodes(t.select(F.col("nodes").alias("family"), F.lit(1).alias("tree_no"), "newick")).filter("parent IS NOT NULL")
+    return rows.select(F.col("family").alias("nodes"), F.when(F.col("is_leaf"), F.col("name")).otherwise(F.col("label")).alias("name"), "length")
+
+
+@query(f"SELECT round(sum(logl), 4) AS logl, count(*) AS families FROM ({loglik_sql()})")
+def summed_loglik(spark, sf_dir):
+    """The log likelihood of all families together, in one job."""
+    total = reconcile.loglik_trees(_tables(spark, sf_dir), [_species(spark, sf_dir)], Rates())[0]
+    return table(spark, sf_dir, "nation").agg(F.round(F.lit(total), 4).alias("logl"), F.countDistinct("n_regionkey").alias("families"))
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS family, CAST(20 AS BIGINT) AS originations, CAST(20 * count(*) AS BIGINT) AS copies FROM nation GROUP BY ALL")
+def dated_samples(spark, sf_dir):
+    """Sampled histories of the dated model: each originates once and ends in every gene of its family."""
+    s = dated.samples(_tables(spark, sf_dir), _species(spark, sf_dir), DatedRates(delta=0.1, tau=0.1, lambda_=0.3), n=20)
+    e = s.select("family", F.explode("events").alias("e"))
+    count = lambda k: F.sum(F.when(F.col("e.kind") == k, 1).otherwise(0))
+    return e.groupBy("family").agg(count("O").alias("originations"), count("C").alias("copies"))
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS family, CAST(5 AS BIGINT) AS steps, true AS finite FROM nation GROUP BY ALL")
+def dated_chain(spark, sf_dir):
+    """Chains over dated rates: so many kept steps for each family, rates within their bounds."""
+    c = dated.mcmc(_tables(spark, sf_dir), _species(spark, sf_dir), DatedRates(delta=0.05, tau=0.05, lambda_=0.2), steps=14, burnin=4, thin=2)
+    ok = F.col("logl").between(-1e6, 0) & (F.col("delta") >= 1e-6) & (F.col("delta") <= 10)
+    return c.groupBy("family").agg(F.count(F.lit(1)).alias("steps"), F.min(ok).alias("finite"))
+
+
+@query("SELECT s_suppkey AS k, 5 AS leaves, 'a b c d e' AS names FROM supplier")
+def random_start_trees(spark, sf_dir):
+    """A start tree for each supplier's seed; each has all species."""
+    from pyspark.sql.types import StringType
+
+    from cladeflow.operators.batches import over_batches
+
+    start = over_batches(lambda k: reconcile.random_species_tree(list("abcde"), k), StringType())
+    t = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("family"), F.lit(1).alias("tree_no"), start("s_suppkey").alias("newick"))
+    g = tree_tools.nodes(t).filter("is_leaf").groupBy("family").agg(F.count(F.lit(1)).cast("int").alias("leaves"), F.array_join(F.array_sort(F.collect_list("name")), " ").alias("names"))
+    return g.select(F.col("family").cast("long").alias("k"), "leaves", "names")
