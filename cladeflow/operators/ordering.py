@@ -8,6 +8,8 @@ or, for many chains, one seed per row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +19,7 @@ from pyspark.sql.types import StringType
 from cladeflow.functions import newick, ranking
 from cladeflow.operators.batches import over_batches
 from cladeflow.operators.prefix import with_running
+from cladeflow.operators.stored import stored
 
 
 def branch_table(spark: SparkSession, species: str) -> DataFrame:
@@ -37,27 +40,23 @@ def branch_table(spark: SparkSession, species: str) -> DataFrame:
 def closure(branches: DataFrame) -> DataFrame:
     """(above, below) for every node and each of its descendants, itself included, of a tree of any depth.
 
-    Where the branches carry their paths to the root these are exploded; otherwise one task
-    walks up from each node, as the branches are those of one tree.
+    Where the branches carry their paths to the root these are exploded. Otherwise each round
+    doubles the way that nodes see upwards, with a join of what they see and one of where they
+    stand: a tree of depth d takes about log2 d rounds, and no task holds the tree.
     """
     if "path" in branches.columns:
         return branches.select(F.explode("path").alias("above"), F.col("name").alias("below"))
-    kind = branches.schema["name"].dataType.simpleString()
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        up = {n: p for n, p in zip(pdf["name"].tolist(), pdf["parent"].tolist()) if p is not None and p == p}
-        rows = []
-        for below in pdf["name"].tolist():
-            at, steps = below, 0
-            while at is not None:
-                rows.append((at, below))
-                at, steps = up.get(at), steps + 1
-                if steps > len(pdf):
-                    raise ValueError(f"{below} is among its own ancestors")
-        return pd.DataFrame(rows, columns=["above", "below"])
-
-    one = branches.select("name", F.col("parent").cast(kind).alias("parent"), F.lit(0).alias("tree"))
-    return one.groupBy("tree").applyInPandas(walk, f"above {kind}, below {kind}")
+    kind = branches.schema["name"].dataType
+    one = stored(branches.select("name", F.col("parent").cast(kind).alias("to")), "branches")
+    seen, jump, rounds, n = [one.select(F.col("name").alias("above"), F.col("name").alias("below"))], one.filter("to IS NOT NULL"), 0, one.count()
+    while (first := jump.first()) is not None:
+        if 1 << rounds > n:
+            raise ValueError(f"{first['name']} is among its own ancestors")
+        reach = reduce(DataFrame.unionByName, seen)
+        seen.append(stored(jump.join(reach, F.col("to") == F.col("below")).select("above", F.col("name").alias("below")), "reach"))
+        jump = stored(jump.join(jump.select(F.col("name").alias("_via"), F.col("to").alias("_next")), F.col("to") == F.col("_via")).select("name", F.col("_next").alias("to")), "jump")
+        rounds += 1
+    return reduce(DataFrame.unionByName, seen)
 
 
 def transfers(reconciled: DataFrame, least_leaves: int = 5) -> DataFrame:
@@ -167,7 +166,7 @@ def classify(constraints: DataFrame, branches: DataFrame) -> DataFrame:
     ways = F.array(F.struct(F.col("above").alias("older"), F.col("below").alias("younger"), F.lit(True).alias("down"), F.lit(False).alias("up")), F.struct(F.col("below").alias("older"), F.col("above").alias("younger"), F.lit(False).alias("down"), F.lit(True).alias("up")))
     related = c.select(F.explode(ways).alias("w")).select("w.*").groupBy("older", "younger").agg(F.max("down").alias("_down"), F.max("up").alias("_up"))
     leaf = branches.filter("is_leaf")
-    met = constraints.join(F.broadcast(related), ["older", "younger"], "left")
+    met = constraints.join(related, ["older", "younger"], "left")  # up to branches squared rows, so no side is named to be sent to all
     met = met.join(F.broadcast(leaf.select(F.col("name").alias("younger"), F.lit(True).alias("_to_leaf"))), "younger", "left")
     met = met.join(F.broadcast(leaf.select(F.col("name").alias("older"), F.lit(True).alias("_from_leaf"))), "older", "left")
     kind = (

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladeflow.operators.prefix import with_running
 from cladeflow.operators import ccp, dated, event_tables, ordering, reconcile, scheduling, simulate, species, splits
 from cladeflow.plans.ladder import LADDER_SQL, ladder_trees, mask, table
 from cladeflow.plans.registry import ORACLES, QUERIES, query
@@ -356,8 +357,8 @@ def conflicting_constraints(spark, sf_dir):
 @query("WITH x AS (SELECT s_suppkey AS name, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS p, row_number() OVER (ORDER BY s_name DESC, s_suppkey) AS q FROM supplier) SELECT count(*) AS inversions FROM x a JOIN x b ON a.p < b.p AND a.q > b.q")
 def kendall(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), "s_acctbal", "s_name")
-    place = lambda *o: s.select("name", F.row_number().over(Window.orderBy(*o)).alias("place"))
-    return ordering.kendall(place("s_acctbal", "name"), place(F.desc("s_name"), "name"))
+    place = lambda *o: with_running(s, list(o), {}, "place").select("name", "place")
+    return ordering.kendall(place(F.col("s_acctbal"), F.col("name")), place(F.desc("s_name"), F.col("name")))
 
 
 @query(f"WITH {CONSTRAINT_SQL}, z AS (SELECT *, coalesce(sum(weight) OVER (ORDER BY weight, older, younger ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER () AS tot FROM c) SELECT older, younger, weight FROM z WHERE before >= 0.3 * tot")

@@ -204,3 +204,21 @@ def test_recompose_is_the_kernel(facts, spark):
     other = spark.createDataFrame([("five", 9, "((a_1,e_1),(c_1,(d_1,b_1)));")], "family string, tree_no int, newick string")
     assert any(r["log_p"] == float("-inf") for r in ccp.recompose(other, *facts).collect())
     assert newick.parse(SAMPLES["five"][0]).leaf_names()
+
+
+def test_closure_by_doubling(spark):
+    rng = np.random.default_rng(8)
+    n = 90
+    parent = [None, *(int(rng.integers(max(0, k - 3), k)) for k in range(1, n))]  # deep and narrow
+    rows = spark.createDataFrame(list(enumerate(parent)), "name int, parent int")
+    want = set()
+    for k in range(n):
+        at = k
+        while at is not None:
+            want.add((at, k))
+            at = parent[at]
+    got = [tuple(r) for r in ordering.closure(rows).select("above", "below").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert [tuple(r) for r in ordering.closure(spark.createDataFrame([("r", None)], "name string, parent string")).collect()] == [("r", "r")]
+    with pytest.raises(ValueError, match="own ancestors"):
+        ordering.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "name int, parent int"))
