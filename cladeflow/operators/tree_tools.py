@@ -57,12 +57,15 @@ def descendants(node_rows: DataFrame) -> DataFrame:
 
 def taxa(node_rows: DataFrame) -> DataFrame:
     """family, tree_no, node, leaves, label, height: the leaves below each node, by name, a label of the first and the last, and the way down to the deepest."""
-    leaf = node_rows.filter("is_leaf").select("family", "tree_no", F.explode("path").alias("node"), "name", F.col("depth").alias("_deep"))
-    g = leaf.groupBy("family", "tree_no", "node").agg(F.array_sort(F.collect_list("name")).alias("leaves"), F.max("_deep").alias("_deep"))  # as long as a tree has leaves
+    keys = ["family", "tree_no"]
+    rows = node_rows.select(*keys, F.explode("path").alias("_at"), "node", "parent", "name", "is_leaf", "depth")
+    own = lambda c: F.max(F.when(F.col("node") == F.col("_at"), F.col(c))).alias(c)
+    leaf = lambda c: F.when(F.col("is_leaf"), F.col(c))
+    # One pass: each node is met by itself, and by the leaves below it, as many as a tree has.
+    g = rows.groupBy(*keys, "_at").agg(F.array_sort(F.collect_list(leaf("name"))).alias("leaves"), F.max(leaf("depth")).alias("_deep"), own("parent"), own("is_leaf"), own("depth"))
     first, last = F.col("leaves")[0], F.element_at("leaves", -1)
     label = F.when(first == last, first).otherwise(F.concat_ws("-", first, last)).alias("label")
-    own = node_rows.select("family", "tree_no", "node", "parent", "is_leaf", "depth")
-    return g.join(own, ["family", "tree_no", "node"]).select("family", "tree_no", "node", "parent", "is_leaf", "leaves", label, (F.col("_deep") - F.col("depth")).alias("height"))
+    return g.select(*keys, F.col("_at").alias("node"), "parent", "is_leaf", "leaves", label, (F.col("_deep") - F.col("depth")).alias("height"))
 
 
 def ranks(taxa_rows: DataFrame) -> DataFrame:

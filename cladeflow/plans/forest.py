@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeflow.plans.ladder import table
+from cladeflow.plans.ladder import dealt, table
 
 LEAVES = 32
 
@@ -26,7 +26,7 @@ def forest_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     xs = F.transform(F.array_sort(grid), lambda s: F.concat(F.lit("x"), F.lpad(s["leaf"].cast("string"), 2, "0")))
     one = per.select("family", "tree_no", xs.alias("xs"))
     tail = F.aggregate(F.slice("xs", 2, LEAVES - 1), F.col("xs")[0], lambda t, x: F.concat(F.lit("("), t, F.lit(":1,"), x, F.lit(":1)")))
-    return one.select("family", "tree_no", F.concat(tail, F.lit(";")).alias("newick"))
+    return dealt(one.select("family", "tree_no", F.concat(tail, F.lit(";")).alias("newick")))
 
 
 #: Common tables of the SQL oracles: directed splits fs (fam, obs, g, gp, gpp) of every tree.

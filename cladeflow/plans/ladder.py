@@ -37,7 +37,12 @@ def ladder_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("n"), F.lpad(F.col("nk").cast("string"), 2, "0"))
     g = ladder_ranks(spark, sf_dir).groupBy("fam", "obs").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", name.alias("x")))), lambda s: s["x"]).alias("xs"))
     tail = F.aggregate(F.slice("xs", F.lit(2), F.size("xs")), F.col("xs")[0], lambda t, x: F.concat(F.lit("("), t, F.lit(":1,"), x, F.lit(":1)")))
-    return g.select(F.col("fam").cast("string").alias("family"), F.col("obs").cast("long").alias("tree_no"), F.concat(tail, F.lit(";")).alias("newick"))
+    return dealt(g.select(F.col("fam").cast("string").alias("family"), F.col("obs").cast("long").alias("tree_no"), F.concat(tail, F.lit(";")).alias("newick")))
+
+
+def dealt(trees: DataFrame) -> DataFrame:
+    """Trees dealt to all cores: they are few bytes but dear to parse, and would be merged into one task for their bytes."""
+    return trees.repartition(trees.sparkSession.sparkContext.defaultParallelism)
 
 
 def mask(column: str):
