@@ -6,14 +6,18 @@ a word comes back to the blocks by a shuffle, so no worker or driver ever holds
 vocabulary; only what is known of the core is sent to all, so no word of that shuffle is in
 more than one of FREQUENT tokens.
 
-Clustering has two steps. The FREQUENT most frequent words are the core; exchange clustering
-moves them between classes, one at a time, to the class that gains most likelihood, over the
-counts of all adjacent units of the training texts. All other words fall for this step into
-SPELLINGS units by their last letters. Then each other training word, however rare, is placed
-by its own neighbours: Spark gathers how often each class of core words stands before and
-after it, and it goes to the class k with the greatest sum of log P(b before | k) and
-log P(c after | k), which is the exchange gain to first order. Only words without any core
-neighbour, and words not seen in training, have the class of their spelling. For a word w of
+Clustering starts from the FREQUENT most frequent words, the core: exchange clustering moves
+them between classes, one at a time, over the counts of all adjacent units of the training
+texts, all other words falling for this start into SPELLINGS units by their last letters. Every
+other training word starts in the class k with the greatest sum of log P(b before | k) and
+log P(c after | k) over its own neighbours of the core. Then all words of LEAST training tokens
+or more, core and others alike, are exchanged in sweeps: Spark gathers how often each class
+stands before and after each word, tasks find the class in which the likelihood is greatest for
+each word by the counts without it, and moves are made so that the likelihood rises in each
+sweep. The number of words that take part grows with the corpus up to MOST_WORDS; beyond, the
+least count doubles until they are no more. Words of fewer tokens keep the class they start
+in, and only words without any core neighbour, and words not seen in training, have the class
+of their spelling. For a word w of
 class c after class b,
 
     P(w | b) = P(c | b) P(w | c),
@@ -36,18 +40,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeflow.llm.common import bounded_batches, remainder, scratch_table, texts, worker_store
+from cladeflow.llm.common import bounded_batches, mix, remainder, scratch_table, texts, worker_store
 
 FREQUENT, SPELLINGS, CLASSES, SWEEPS, PRIOR = 2048, 256, 96, 6, 10.0
+#: Words of so many training tokens take part in the exchange, in so many sweeps at most. MOST_WORDS bounds what is sent to all, a byte a word.
+LEAST, MOST_WORDS, ROUNDS = 2, 1 << 24, 4
 #: Text bytes of a block, but for one longer text.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 24_000_000
 END = b" "  # no word holds a blank
 BLOCK = "block long, doc_ids binary, no_id binary, held binary, sizes binary, low binary, high binary, words array<binary>, counts binary"
 SLOTS = 2 * CLASSES  # classes before a word, then classes after it
 AROUND = np.dtype([("slot", "u1"), ("n", "<u4")])
+CELLS, SLICE, FAN = SLOTS + 1, 256, 64  # a word's cells, itself beside itself last; words a row of counts; rows summed at once
 WORD_ROWS = "block long, place int, word binary, n long"
-PLACED = "block long, place int, n long, mark int"
-MARKED = "doc_id long, held_out boolean, n_known long, logs double, classes binary, types binary"
+PLACED = "block long, place int, n long, mark int, id int"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -162,7 +168,7 @@ def _around(model: ClassModel):
 
 
 def _core_rows(model: ClassModel):
-    """block, place, n and mark of the core words of each block; their counts and classes are known to all, so their rows need not meet."""
+    """block, place, n, mark and number of the core words of each block; their counts and classes are known to all, so their rows need not meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +177,7 @@ def _core_rows(model: ClassModel):
                 at = np.flatnonzero(u >= 0)
                 u = u[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), block)), pa.array(at.astype(np.int32)), pa.array(model.core_n[u]), pa.array((2 * model.of[u]).astype(np.int32))], ["block", "place", "n", "mark"]
+                    [pa.array(np.full(len(at), block)), pa.array(at.astype(np.int32)), pa.array(model.core_n[u]), pa.array((2 * model.of[u]).astype(np.int32)), pa.array(u.astype(np.int32))], ["block", "place", "n", "mark", "id"]
                 )
 
     return run
@@ -204,8 +210,8 @@ def place(word: np.ndarray, slot: np.ndarray, n: np.ndarray, default: np.ndarray
     return out
 
 
-def _placed(model: ClassModel):
-    """block, place, n and mark of all rows of a word that is not of the core: its count, and twice its class, plus one in the first row of a training word."""
+def _placed(model: ClassModel, numbered: Numbered | None = None):
+    """block, place, n, mark and id of all rows of a word that is not of the core: its count, twice its class, plus one in the first row of a training word, and its number or -1."""
     log_beside = model.beside()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +227,16 @@ def _placed(model: ClassModel):
         owner = np.repeat(word.astype(np.int64), np.diff(bounds) // AROUND.itemsize)
         k = place(owner, entries["slot"].astype(np.int64), entries["n"], model.of[u], log_beside)
         mark = 2 * k[word]
-        mark[np.unique(word, return_index=True)[1]] += n > 0
-        out = pa.table({"block": rows["block"], "place": rows["place"], "n": pa.array(n[word]), "mark": pa.array(mark.astype(np.int32))})
+        # The first row is that of the least block, and numbers go by the words, so a task that runs again gives the same.
+        order = np.lexsort((rows["block"].to_numpy(), word))
+        mark[order[np.unique(word[order], return_index=True)[1]]] += n > 0
+        ids = np.full(len(words), -1, dtype=np.int32)
+        if numbered is not None:
+            often, part = sorted(np.flatnonzero(n >= numbered.least).tolist(), key=words.__getitem__), TaskContext.get().partitionId()
+            if len(often) != numbered.starts[part + 1] - numbered.starts[part]:
+                raise ValueError("the shuffle by word and the vocabulary disagree")
+            ids[often] = numbered.starts[part] + np.arange(len(often))
+        out = pa.table({"block": rows["block"], "place": rows["place"], "n": pa.array(n[word]), "mark": pa.array(mark.astype(np.int32)), "id": pa.array(ids[word])})
         yield from out.combine_chunks().to_batches(50_000)
 
     return run
@@ -379,89 +393,294 @@ def fit(blocks: DataFrame, vocabulary: DataFrame) -> ClassModel:
     return ClassModel(core, core_n, of, transitions(cc), emission, np.log10(total), beside_n)
 
 
-def _marked(block: pa.Table, counts: pa.Table) -> pa.Table:
-    """The texts of a block as classes, with the sum of log10 of their counts plus a half; types, the training words of each class first met here, the core aside, in the first row."""
+@dataclass
+class Numbered:
+    """Which words have numbers: those of the core first, then those counted least times or more, by partition of the shuffle by word; starts has a start for each partition and the end."""
+
+    least: int
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, vocabulary: DataFrame, model: ClassModel, parts: int) -> Numbered:
+        """The least count is LEAST, or the first doubling of it that leaves MOST_WORDS words or fewer."""
+        doubled = [LEAST << i for i in range(50)]
+        met = vocabulary.agg(*(F.count(F.when(F.col("n") >= x, 1)).alias(str(x)) for x in doubled)).first()
+        least = next(x for x in doubled if met[str(x)] <= MOST_WORDS)
+        core = vocabulary.sparkSession.createDataFrame([(w,) for w in model.core], "word binary")
+        rest = vocabulary.filter(F.col("n") >= least).join(F.broadcast(core), "word", "left_anti")
+        n = np.zeros(parts + 1, dtype=np.int64)
+        for r in rest.groupBy(F.expr(f"pmod(hash(word), {parts})").alias("part")).count().collect():  # one row for each partition
+            n[r["part"] + 1] = r["count"]
+        return cls(least, len(model.core) + np.cumsum(n))
+
+
+def _joined(block: pa.Table, words: pa.Table) -> pa.Table:
+    """A block with what is known of its words by place: numbers, classes; new are the numbers first met here, types the other training words first met here by class."""
     if not block.num_rows:
-        return _MARKED.empty_table()
+        return _JOINED.empty_table()
     row = block.to_pylist()[0]
-    n, mark = np.zeros(counts.num_rows, dtype=np.int64), np.zeros(counts.num_rows, dtype=np.int64)
-    at = counts["place"].to_numpy()
-    n[at], mark[at] = counts["n"].to_numpy(), counts["mark"].to_numpy()
+    at, ids_of = words["place"].to_numpy(), words["id"].to_numpy()
+    n, mark, ids = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64), np.full(len(at), -1, dtype=np.int32)
+    n[at], mark[at], ids[at] = words["n"].to_numpy(), words["mark"].to_numpy(), ids_of
     codes = _codes(row["low"], row["high"])
     sizes = np.frombuffer(row["sizes"], dtype="<i8")
     starts = np.cumsum(sizes) - sizes
-    classes = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.append(starts, len(codes)).astype("<i4").tobytes()), pa.py_buffer((mark >> 1).astype(np.uint8)[codes].tobytes())])
-    types = np.bincount((mark >> 1)[mark % 2 == 1], minlength=CLASSES).astype("<i8").tobytes()
-    return pa.table(
-        [
-            pa.array(np.frombuffer(row["doc_ids"], dtype="<i8"), mask=np.frombuffer(row["no_id"], dtype=bool)), pa.array(np.frombuffer(row["held"], dtype=bool)),
-            pa.array(np.add.reduceat((n > 0).astype(np.int64)[codes], starts)), pa.array(np.add.reduceat(np.log10(n + 0.5)[codes], starts)), classes, pa.array([types] + [None] * (len(sizes) - 1), pa.binary()),
-        ],
-        schema=_MARKED,
-    )
+    own, first = (mark >> 1).astype(np.uint8), mark % 2 == 1
+    new = first & (ids >= 0)
+    known = np.add.reduceat((n > 0).astype(np.int64)[codes], starts)
+    logs = np.add.reduceat(np.log10(n + 0.5)[codes], starts)
+    types = np.bincount(own[first & (ids < 0)], minlength=CLASSES)
+    put = {
+        **{k: row[k] for k in ("block", "doc_ids", "no_id", "held", "sizes", "low", "high")}, "known": known.astype("<i8").tobytes(), "logs": logs.astype("<f8").tobytes(),
+        "ids": ids.astype("<i4").tobytes(), "own": own.tobytes(), "new": ids[new].astype("<i4").tobytes(), "new_own": own[new].tobytes(), "types": types.astype("<i8").tobytes(),
+    }
+    return pa.table([pa.array([v], t.type) for v, t in zip(put.values(), _JOINED)], schema=_JOINED)
+
+
+_JOINED = pa.schema([("block", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "no_id", "held", "sizes", "low", "high", "known", "logs", "ids", "own", "new", "new_own", "types"))])
+JOINED = ", ".join(f"{f.name} {'long' if f.name == 'block' else 'binary'}" for f in _JOINED)
+TOKENS = ["block", "held", "sizes", "low", "high", "ids", "own"]
+
 
+@dataclass
+class _Tokens:
+    """The tokens of a block: places in its word list, and for each whether it is learned from; starts of its texts."""
 
-_MARKED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_known", pa.int64()), ("logs", pa.float64()), ("classes", pa.binary()), ("types", pa.binary())])
+    codes: np.ndarray
+    learn: np.ndarray
+    starts: np.ndarray
+    ids: np.ndarray
+    own: np.ndarray
 
+    @classmethod
+    def each(cls, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, _Tokens]]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {f: batch.column(k)[i].as_py() for k, f in enumerate(batch.schema.names)}
+                sizes = np.frombuffer(row["sizes"], dtype="<i8")
+                learn = ~np.repeat(np.frombuffer(row["held"], dtype=bool), sizes)
+                yield row, cls(_codes(row["low"], row["high"]), learn, np.cumsum(sizes) - sizes, np.frombuffer(row["ids"], dtype="<i4"), np.frombuffer(row["own"], dtype=np.uint8))
 
-def _steps(classes: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The classes of texts in a row, the class before each, and the bounds of the texts; a text follows an end."""
-    now, bounds = _bytes_of(classes)
-    now = now.astype(np.int64)
-    before = np.concatenate([[end], now[:-1]])
-    before[bounds[:-1]] = end
-    return now, before, bounds
+    def classes(self, of: np.ndarray) -> np.ndarray:
+        """Classes of the tokens where numbered words have those of a map."""
+        return np.where(self.ids >= 0, of[self.ids], self.own)[self.codes] if len(of) else self.own[self.codes]
 
+    def before(self, now: np.ndarray, end: int) -> np.ndarray:
+        """What stands before each token; a text follows an end."""
+        out = np.empty_like(now)
+        out[1:] = now[:-1]
+        out[self.starts] = end
+        return out
 
-def _class_counts(end: int):
-    """Counts of class pairs of training texts, in cells from 0, and of training words by class, in cells after those."""
+
+def _class_pairs(maps: list[np.ndarray], end: int):
+    """Counts of class pairs of the training tokens under each of several maps, in cells one map after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, types = np.zeros(CLASSES * CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
-        for batch in batches:
-            now, before, bounds = _steps(batch.column(1), end)
-            learn = np.repeat(~batch.column(0).to_numpy(zero_copy_only=False), np.diff(bounds))
-            pairs += np.bincount((before * CLASSES + now)[learn], minlength=CLASSES * CLASSES)
-            for t in batch.column(2).drop_null().to_pylist():
-                types += np.frombuffer(t, dtype="<i8")
-        n = np.concatenate([pairs, types])
+        n = np.zeros((len(maps), CLASSES * CLASSES), dtype=np.int64)
+        for _, t in _Tokens.each(batches):
+            for i, of in enumerate(maps):
+                k = t.classes(of).astype(np.int64)
+                n[i] += np.bincount((t.before(k, end) * CLASSES + k)[t.learn], minlength=CLASSES * CLASSES)
+        n = n.ravel()
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
 
     return run
 
 
+def count_pairs(joined: DataFrame, maps: list[np.ndarray], end: int) -> np.ndarray:
+    """N(b, c) of all training tokens under each map."""
+    n = np.zeros(len(maps) * CLASSES * CLASSES)
+    for r in joined.select(*TOKENS).mapInArrow(_class_pairs(maps, end), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # class pairs
+        n[r["cell"]] = r["n"]
+    return n.reshape(len(maps), CLASSES, CLASSES)
+
+
+def likelihood(cc: np.ndarray) -> float:
+    """The likelihood of training texts by class pairs, but for a constant."""
+    return float(_f(cc).sum() - 2 * _f(cc.sum(0)).sum())
+
+
+def _packed(at: np.ndarray, n: np.ndarray) -> bytes:
+    return b"".join([at.astype("<u2").tobytes(), (n & 255).astype(np.uint8).tobytes(), (n >> 8).astype("<u8").tobytes()])
+
+
+def _add(counts: np.ndarray, packed: bytes) -> None:
+    m = len(packed) // 11
+    at = np.frombuffer(packed, dtype="<u2", count=m)
+    counts[at] += np.frombuffer(packed, dtype=np.uint8, count=m, offset=2 * m) + (np.frombuffer(packed, dtype="<u8", count=m, offset=3 * m) << np.uint64(8)).astype(np.int64)
+
+
+def _word_counts(of: np.ndarray, end: int):
+    """For each SLICE numbers in a block, how often each class stands before and after each word, and the word itself; the end aside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, t in _Tokens.each(batches):
+            word, k = t.ids[t.codes].astype(np.int64), t.classes(of).astype(np.int64)
+            left_k, left = t.before(k, end), t.before(word, 0)
+            same = (left == word) & (word >= 0)
+            right_k, right_same = np.append(k[1:], end), np.append(same[1:], False)
+            free = t.learn & (word > 0)
+            l, r, s = free & ~same, free & ~right_same, free & same
+            keys, n = np.unique(np.concatenate([word[l] * CELLS + left_k[l], word[r] * CELLS + CLASSES + right_k[r], word[s] * CELLS + SLOTS]), return_counts=True)
+            slices = keys // (SLICE * CELLS)
+            at = np.append(np.flatnonzero(np.diff(slices, prepend=-1)), len(keys))
+            rows = [(int(slices[a]), row["block"], _packed(keys[a:b] - slices[a] * SLICE * CELLS, n[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["slice", "block", "counts"])
+
+    return run
+
+
+def _summed(group: pa.Table) -> np.ndarray:
+    counts = np.zeros(SLICE * CELLS, dtype=np.int64)
+    for packed in group["counts"]:
+        _add(counts, packed.as_py())
+    return counts
+
+
+def _partial(group: pa.Table) -> pa.Table:
+    counts = _summed(group)
+    at = np.flatnonzero(counts)
+    return pa.table([group["slice"][:1], group["salt"][:1], pa.array([_packed(at, counts[at])], pa.binary())], names=["slice", "salt", "counts"])
+
+
+def gains(counts: np.ndarray, of: np.ndarray, cc: np.ndarray) -> np.ndarray:
+    """What each word (a row: its neighbours by class before and after, and itself) gains in each class, by what the likelihood would be without it.
+
+    Taking a word out of class g changes row and column g of N(b, c) alone, so only cells
+    beside a word's own neighbours are summed.
+    """
+    left, right, own = counts[:, :CLASSES].astype(float), counts[:, CLASSES:SLOTS].astype(float), counts[:, SLOTS].astype(float)
+    total, words = left.sum(1) + own, np.arange(len(of))
+    out = np.zeros(left.shape)
+    for beside, other, table in ((right, left, cc.T), (left, right, cc)):  # table[j, k]: pairs of neighbour class j and class k
+        w, j = np.nonzero(beside)
+        n, at = beside[w, j], np.arange(len(w))
+        base = table[j] - np.where(j == of[w], 1.0, 0.0)[:, None] * other[w]
+        base[at, of[w]] = table[j, of[w]] - n
+        part = _f(base + n[:, None]) - _f(base)
+        part[at, j] = 0.0
+        owners, starts = np.unique(w, return_index=True)
+        if len(owners):
+            out[owners] += np.add.reduceat(part, starts, axis=0)
+    both = left + right + own[:, None]
+    corner, size = np.tile(np.diagonal(cc), (len(of), 1)), np.tile(cc.sum(0), (len(of), 1))
+    corner[words, of] -= both[words, of]
+    size[words, of] -= total
+    return out + _f(corner + both) - _f(corner) - 2 * (_f(size + total[:, None]) - _f(size))
+
+
+def _moves(of: np.ndarray, cc: np.ndarray, end: int):
+    """The words of a slice that gain in another class, and that class."""
+
+    def run(group: pa.Table) -> pa.Table:
+        first = group["slice"][0].as_py() * SLICE
+        own = of[first : first + SLICE].astype(np.int64)
+        counts = _summed(group).reshape(SLICE, CELLS)
+        to = own.copy()
+        for a in range(0, len(own), 64):
+            part = slice(a, min(len(own), a + 64))
+            got = gains(counts[part], own[part], cc)
+            got[:, end] = -np.inf
+            best, at = got.argmax(1), np.arange(len(got))
+            better = (got[at, best] > got[at, np.minimum(own[part], CLASSES - 1)] + 1e-9) & (counts[part].sum(1) > 0) & (own[part] != end)
+            to[part] = np.where(better, best, own[part])
+        moved = np.flatnonzero(to != own)
+        return pa.table([pa.array([(first + moved).astype("<i4").tobytes()], pa.binary()), pa.array([to[moved].astype(np.uint8).tobytes()], pa.binary())], names=["ids", "to"])
+
+    return run
+
+
+def sweep(joined: DataFrame, of: np.ndarray, cc: np.ndarray, end: int, n_blocks: int) -> np.ndarray:
+    """The best class of each numbered word, all others staying where they are.
+
+    Counts of a slice come together FAN at a time, so that no task holds more, however many blocks there are.
+    """
+    levels = 0
+    while FAN ** (levels + 1) < n_blocks:
+        levels += 1
+    rows = joined.select(*TOKENS).mapInArrow(_word_counts(of, end), "slice int, block long, counts binary")
+    rows = rows.select("slice", F.expr(f"pmod(xxhash64(block), {FAN**levels})").alias("salt"), "counts")
+    for level in range(levels):
+        if level:
+            rows = rows.withColumn("salt", F.floor(F.col("salt") / FAN))
+        rows = rows.groupBy("slice", "salt").applyInArrow(_partial, "slice int, salt long, counts binary")
+    to = of.copy()
+    for r in rows.groupBy("slice").applyInArrow(_moves(of, cc, end), "ids binary, to binary").collect():  # five bytes for each of MOST_WORDS words at most
+        to[np.frombuffer(r["ids"], dtype="<i4")] = np.frombuffer(r["to"], dtype=np.uint8)
+    return to
+
+
+def refine(joined: DataFrame, model: ClassModel, words: int, n_blocks: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Exchange over all numbered words: their classes, N(b, c), and the likelihood at first and after each sweep.
+
+    The moves of a sweep are found for all words at once, each exact if it were the only one.
+    All of them, or a half, a quarter or an eighth of them by number, are made: what gives the
+    greatest likelihood. It rises in each sweep; the exchange ends when it can't or after ROUNDS.
+    """
+    end, core = int(model.of[model.core[END]]), len(model.core)
+    of = np.zeros(words, dtype=np.uint8)
+    of[:core] = model.of[:core]
+    for r in joined.select("new", "new_own").collect():  # each number once
+        of[np.frombuffer(r["new"], dtype="<i4")] = np.frombuffer(r["new_own"], dtype=np.uint8)
+    cc = count_pairs(joined, [of], end)[0]
+    values = [likelihood(cc)]
+    share = mix(np.arange(words, dtype=np.uint64)) >> np.uint64(61)
+    for _ in range(ROUNDS):
+        to = sweep(joined, of, cc, end, n_blocks)
+        if (to == of).all():
+            break
+        maps = [np.where(share < k, to, of) for k in (8, 4, 2, 1)]
+        counted = count_pairs(joined, maps, end)
+        reached = [likelihood(x) for x in counted]
+        best = int(np.argmax(reached))
+        if reached[best] <= values[-1]:
+            break
+        of, cc = maps[best], counted[best]
+        values.append(reached[best])
+    return of, cc, values
+
+
 @dataclass
 class Scorer:
-    """The whole model: transition, log10 P(c | b); total, log10 of what the word counts of each class are divided by; tokens and types of training."""
+    """The whole model: classes of numbered words; transition, log10 P(c | b); total, log10 of what the word counts of each class are divided by; tokens and types of training."""
 
     end: int
+    of: np.ndarray
     transition: np.ndarray
     total: np.ndarray
     tokens: int
     types: int
 
     @classmethod
-    def fit(cls, marked: DataFrame, model: ClassModel) -> Scorer:
-        end = int(model.of[model.core[END]])
-        n = np.zeros(CLASSES * (CLASSES + 1), dtype=np.int64)
-        for r in marked.select("held_out", "classes", "types").mapInArrow(_class_counts(end), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-            n[r["cell"]] = r["n"]
-        cc, types = n[: CLASSES * CLASSES].reshape(CLASSES, CLASSES).astype(float), n[CLASSES * CLASSES :]
-        types = types + np.bincount(model.of[: len(model.core)][model.core_n > 0], minlength=CLASSES)
-        spellings = np.bincount(model.of[len(model.core) :], minlength=CLASSES)
+    def fit(cls, joined: DataFrame, model: ClassModel, of: np.ndarray, cc: np.ndarray) -> Scorer:
+        end, core = int(model.of[model.core[END]]), len(model.core)
+        types = np.bincount(of[:core][model.core_n > 0], minlength=CLASSES) + np.bincount(of[core:], minlength=CLASSES)
+        rest = joined.select("types").mapInArrow(_type_sums, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        for r in rest.collect():  # classes
+            types[r["cell"]] += r["n"]
+        spellings = np.bincount(model.of[core:], minlength=CLASSES)
         total = np.log10(np.maximum(cc.sum(0) + 0.5 * (types + spellings), 0.5))
-        return cls(end, transitions(cc), total, int(cc.sum()), int(types.sum()))
+        return cls(end, of, transitions(cc), total, int(cc.sum()), int(types.sum()))
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_total = np.log10(self.tokens + 0.5 * (self.types + 1))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now, before, bounds = _steps(batch.column(4), self.end)
-            sizes, logs = np.diff(bounds), batch.column(3).to_numpy()
-            score = logs + np.add.reduceat(self.transition[before, now] - self.total[now], bounds[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), batch.column(2), pa.array(logs - sizes * base_total), pa.array(score)], [f.split()[0] for f in SCORES.split(", ")])
+        for row, t in _Tokens.each(batches):
+            now = t.classes(self.of).astype(np.int64)
+            sizes, logs = np.frombuffer(row["sizes"], dtype="<i8"), np.frombuffer(row["logs"], dtype="<f8")
+            score = logs + np.add.reduceat(self.transition[t.before(now, self.end), now] - self.total[now], t.starts)
+            ids = pa.array(np.frombuffer(row["doc_ids"], dtype="<i8"), mask=np.frombuffer(row["no_id"], dtype=bool))
+            columns = [ids, pa.array(np.frombuffer(row["held"], dtype=bool)), pa.array(sizes), pa.array(np.frombuffer(row["known"], dtype="<i8")), pa.array(logs - sizes * base_total), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCORES.split(", ")])
+
+
+def _type_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(CLASSES, dtype=np.int64)
+    for batch in batches:
+        for types in batch.column(0).to_pylist():
+            n += np.frombuffer(types, dtype="<i8")
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n)], ["cell", "n"])
 
 
 def cut(docs: DataFrame) -> DataFrame:
@@ -478,15 +697,23 @@ def class_lm(docs: DataFrame) -> DataFrame:
     the empty text in the split; with no training text all counts are zero; rows that repeat
     a doc_id are scored each; an empty table gives an empty result; other columns are ignored.
     """
+    joined, model, of, cc, _ = learn(docs)
+    scorer = Scorer.fit(joined, model, of, cc)
+    scored = joined.select("doc_ids", "no_id", "known", "logs", *TOKENS).mapInArrow(scorer.run, SCORES)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(scorer.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def learn(docs: DataFrame) -> tuple[DataFrame, ClassModel, np.ndarray, np.ndarray, list[float]]:
+    """The blocks with their words' numbers, stored; the model of the core; classes of numbered words, N(b, c), and the likelihood by sweep."""
     blocks = cut(docs)
     rows = blocks.select("block", "words", "counts").mapInArrow(_word_rows, WORD_ROWS)
-    model = fit(blocks, scratch_table(rows.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary"))
+    vocabulary = scratch_table(rows.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+    model = fit(blocks, vocabulary)
     n_blocks = max(1, blocks.count())  # tasks that grow with the corpus: about one block each
+    numbered = Numbered.of(vocabulary, model, n_blocks)
     whole = blocks.select("block", "doc_ids", "no_id", "held", "sizes", "low", "high").repartition(n_blocks, "block")
     near = blocks.select("block", "held", "sizes", "low", "high", "words", "counts").mapInArrow(_around(model), WORD_ROWS + ", around binary")
-    placed = near.repartition(n_blocks, "word").mapInArrow(_placed(model), PLACED)
+    placed = near.repartition(n_blocks, "word").mapInArrow(_placed(model, numbered), PLACED)
     every = placed.unionByName(blocks.select("block", "words").mapInArrow(_core_rows(model), PLACED)).repartition(n_blocks, "block")
-    marked = scratch_table(whole.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_marked, MARKED), "classes")
-    scorer = Scorer.fit(marked, model)
-    scored = marked.select("doc_id", "held_out", "n_known", "logs", "classes").mapInArrow(scorer.run, SCORES)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(scorer.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    joined = scratch_table(whole.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_joined, JOINED), "numbered-blocks")
+    return joined, model, *refine(joined, model, int(numbered.starts[-1]), n_blocks)

@@ -17,6 +17,7 @@ ROWS = corpus()
 def test_scores_by_brute_force(docs, monkeypatch, frequent):
     monkeypatch.setattr(class_lm, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(class_lm, "FREQUENT", frequent)
+    monkeypatch.setattr(class_lm, "ROUNDS", 0)  # the classes that the exchange starts from
     end = class_lm.END
     texts = [(d, zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1, [*(t or "").encode().lower().split(), end]) for d, t, *_ in ROWS]
     count = Counter(w for _, held, words in texts if not held for w in words)
