@@ -46,14 +46,14 @@ FREQUENT, SPELLINGS, CLASSES, SWEEPS, PRIOR = 2048, 256, 96, 6, 10.0
 #: Words of so many training tokens take part in the exchange, in so many sweeps at most. MOST_WORDS bounds what is sent to all, a byte a word.
 LEAST, MOST_WORDS, ROUNDS = 2, 1 << 24, 4
 #: Text bytes of a block, but for one longer text.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 END = b" "  # no word holds a blank
 BLOCK = "block long, doc_ids binary, no_id binary, held binary, sizes binary, low binary, high binary, words array<binary>, counts binary"
 SLOTS = 2 * CLASSES  # classes before a word, then classes after it
 AROUND = np.dtype([("slot", "u1"), ("n", "<u4")])
 CELLS, SLICE, FAN = SLOTS + 1, 256, 64  # a word's cells, itself beside itself last; words a row of counts; rows summed at once
 WORD_ROWS = "block long, place int, word binary, n long"
-PLACED = "block long, place int, n long, mark int, id int"
+PACKED = "block long, size int, packed binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -210,7 +210,7 @@ def place(word: np.ndarray, slot: np.ndarray, n: np.ndarray, default: np.ndarray
     return out
 
 
-def _placed(model: ClassModel, numbered: Numbered | None = None):
+def _placed(model: ClassModel, numbered: Numbered | None = None, part: int = 0):
     """block, place, n, mark and id of all rows of a word that is not of the core: its count, twice its class, plus one in the first row of a training word, and its number or -1."""
     log_beside = model.beside()
 
@@ -232,7 +232,7 @@ def _placed(model: ClassModel, numbered: Numbered | None = None):
         mark[order[np.unique(word[order], return_index=True)[1]]] += n > 0
         ids = np.full(len(words), -1, dtype=np.int32)
         if numbered is not None:
-            often, part = sorted(np.flatnonzero(n >= numbered.least).tolist(), key=words.__getitem__), TaskContext.get().partitionId()
+            often = sorted(np.flatnonzero(n >= numbered.least).tolist(), key=words.__getitem__)
             if len(often) != numbered.starts[part + 1] - numbered.starts[part]:
                 raise ValueError("the shuffle by word and the vocabulary disagree")
             ids[often] = numbered.starts[part] + np.arange(len(often))
@@ -242,6 +242,110 @@ def _placed(model: ClassModel, numbered: Numbered | None = None):
     return run
 
 
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """First the low bytes of all numbers, then the next ones: the high ones, mostly zero, compress to nothing."""
+    x = np.ascontiguousarray(x.astype(kind))
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel().astype(np.int64)
+
+
+def _squeeze(*fields: bytes) -> tuple[int, bytes]:
+    plain = b"".join([np.array([len(f) for f in fields], dtype="<u8").tobytes(), *fields])
+    return len(plain), pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def _fields(size: int, packed: bytes, n: int) -> list[bytes]:
+    plain = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True)
+    ends = 8 * n + np.cumsum(np.frombuffer(plain, dtype="<u8", count=n)).astype(np.int64)
+    return [plain[a:b] for a, b in zip([8 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _steps(place: np.ndarray) -> bytes:
+    return _planes(np.diff(place, prepend=0), "<u4")
+
+
+def _squeezed_known(place: np.ndarray, n: np.ndarray, mark: np.ndarray, ids: np.ndarray) -> tuple[int, bytes]:
+    return _squeeze(_steps(place), _planes(n, "<u8"), _planes(mark, "<u2"), _planes(ids + 1, "<u4"))
+
+
+def _known(size: int, packed: bytes) -> tuple[np.ndarray, ...]:
+    """place, n, mark and number of words of a block."""
+    place, n, mark, ids = _fields(size, packed, 4)
+    return np.cumsum(_numbers(place, "<u4")), _numbers(n, "<u8"), _numbers(mark, "<u2"), _numbers(ids, "<u4") - 1
+
+
+def _parted(model: ClassModel, parts: int):
+    """The rows of ``_around``, those of a block whose words fall into one part as one packed row."""
+    around = _around(model)
+
+    def rows(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(batches)
+        words = t["word"].to_pylist()
+        part = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % parts
+        place, n = t["place"].to_numpy(), t["n"].to_numpy()
+        data, bounds = _bytes_of(t["around"].combine_chunks())
+        entries, bounds = data.view(AROUND), bounds // AROUND.itemsize
+        order = np.argsort(part, kind="stable")
+        at = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+        out = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            mine = order[a:b]
+            sizes = bounds[mine + 1] - bounds[mine]
+            own = entries[np.repeat(bounds[mine] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+            fields = _steps(place[mine]), b" ".join([words[i] for i in mine.tolist()]), _planes(n[mine], "<u4"), _planes(sizes, "<u2"), own["slot"].tobytes(), _planes(own["n"], "<u4")
+            out.append((int(part[mine[0]]), batches[0].column(0)[0].as_py(), *_squeeze(*fields)))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["part", "block", "size", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in around(batches):
+            if held and held[0].column(0)[0] != batch.column(0)[0]:
+                yield rows(held)
+                held = []
+            if batch.num_rows:
+                held.append(batch)
+        if held:
+            yield rows(held)
+
+    return run
+
+
+def _placed_part(model: ClassModel, numbered: Numbered):
+    """``_placed`` over the packed rows of a part: a packed row a block."""
+
+    def run(group: pa.Table) -> pa.Table:
+        tables = []
+        for block, size, packed in zip(*(group[f].to_pylist() for f in ("block", "size", "packed"))):
+            place, words, n, sizes, slots, counts = _fields(size, packed, 6)
+            place, sizes = np.cumsum(_numbers(place, "<u4")), _numbers(sizes, "<u2")
+            entries = np.empty(len(slots), dtype=AROUND)
+            entries["slot"], entries["n"] = np.frombuffer(slots, dtype=np.uint8), _numbers(counts, "<u4")
+            ends = np.append(0, np.cumsum(sizes) * AROUND.itemsize).astype("<i4")
+            around = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(entries.tobytes())])
+            tables.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(place), block)), pa.array(place), pa.array(words.split(b" "), pa.binary()), pa.array(_numbers(n, "<u4")), around], ["block", "place", "word", "n", "around"]))
+        got = pa.Table.from_batches(_placed(model, numbered, group["part"][0].as_py())(iter(tables)))
+        place, n, mark, ids = (got[f].to_numpy() for f in ("place", "n", "mark", "id"))
+        ends = np.cumsum([t.num_rows for t in tables]).tolist()
+        rows = [_squeezed_known(place[a:b], n[a:b], mark[a:b], ids[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+        return pa.table([group["block"].combine_chunks(), pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "size", "packed"])
+
+    return run
+
+
+def _core_packed(model: ClassModel):
+    """The rows of ``_core_rows``, packed: one row a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _core_rows(model)(batches):
+            size, packed = _squeezed_known(*(batch.column(i).to_numpy() for i in range(1, 5)))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[:1], pa.array([size], pa.int32()), pa.array([packed], pa.binary())], ["block", "size", "packed"])
+
+    return run
+
+
 def _pairs(core: dict[bytes, int]):
     """Counts of adjacent units in the training texts; a text follows an end."""
     n_units = len(core) + SPELLINGS
@@ -395,7 +499,7 @@ def fit(blocks: DataFrame, vocabulary: DataFrame) -> ClassModel:
 
 @dataclass
 class Numbered:
-    """Which words have numbers: those of the core first, then those counted least times or more, by partition of the shuffle by word; starts has a start for each partition and the end."""
+    """Which words have numbers: those of the core first, then those counted least times or more, by part of the shuffle by word; starts has a start for each part and the end."""
 
     least: int
     starts: np.ndarray
@@ -409,7 +513,7 @@ class Numbered:
         core = vocabulary.sparkSession.createDataFrame([(w,) for w in model.core], "word binary")
         rest = vocabulary.filter(F.col("n") >= least).join(F.broadcast(core), "word", "left_anti")
         n = np.zeros(parts + 1, dtype=np.int64)
-        for r in rest.groupBy(F.expr(f"pmod(hash(word), {parts})").alias("part")).count().collect():  # one row for each partition
+        for r in rest.groupBy((F.crc32("word") % parts).alias("part")).count().collect():  # one row for each part
             n[r["part"] + 1] = r["count"]
         return cls(least, len(model.core) + np.cumsum(n))
 
@@ -419,9 +523,9 @@ def _joined(block: pa.Table, words: pa.Table) -> pa.Table:
     if not block.num_rows:
         return _JOINED.empty_table()
     row = block.to_pylist()[0]
-    at, ids_of = words["place"].to_numpy(), words["id"].to_numpy()
+    at, n_of, mark_of, ids_of = (np.concatenate(x) for x in zip(*(_known(size.as_py(), packed.as_py()) for size, packed in zip(words["size"], words["packed"]))))
     n, mark, ids = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64), np.full(len(at), -1, dtype=np.int32)
-    n[at], mark[at], ids[at] = words["n"].to_numpy(), words["mark"].to_numpy(), ids_of
+    n[at], mark[at], ids[at] = n_of, mark_of, ids_of
     codes = _codes(row["low"], row["high"])
     sizes = np.frombuffer(row["sizes"], dtype="<i8")
     starts = np.cumsum(sizes) - sizes
@@ -517,13 +621,15 @@ def _word_counts(of: np.ndarray, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, t in _Tokens.each(batches):
-            word, k = t.ids[t.codes].astype(np.int64), t.classes(of).astype(np.int64)
+            word, k = t.ids[t.codes], t.classes(of)
             left_k, left = t.before(k, end), t.before(word, 0)
             same = (left == word) & (word >= 0)
-            right_k, right_same = np.append(k[1:], end), np.append(same[1:], False)
+            right_k, right_same = np.append(k[1:], k[:1]), np.append(same[1:], False)
             free = t.learn & (word > 0)
             l, r, s = free & ~same, free & ~right_same, free & same
-            keys, n = np.unique(np.concatenate([word[l] * CELLS + left_k[l], word[r] * CELLS + CLASSES + right_k[r], word[s] * CELLS + SLOTS]), return_counts=True)
+            first = word.astype(np.uint32) * np.uint32(CELLS)  # the cells of MOST_WORDS words have numbers of 32 bits
+            keys, n = np.unique(np.concatenate([first[l] + left_k[l], first[r] + np.uint32(CLASSES) + right_k[r], first[s] + np.uint32(SLOTS)]), return_counts=True)
+            keys = keys.astype(np.int64)
             slices = keys // (SLICE * CELLS)
             at = np.append(np.flatnonzero(np.diff(slices, prepend=-1)), len(keys))
             rows = [(int(slices[a]), row["block"], _packed(keys[a:b] - slices[a] * SLICE * CELLS, n[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -712,8 +818,8 @@ def learn(docs: DataFrame) -> tuple[DataFrame, ClassModel, np.ndarray, np.ndarra
     n_blocks = max(1, blocks.count())  # tasks that grow with the corpus: about one block each
     numbered = Numbered.of(vocabulary, model, n_blocks)
     whole = blocks.select("block", "doc_ids", "no_id", "held", "sizes", "low", "high").repartition(n_blocks, "block")
-    near = blocks.select("block", "held", "sizes", "low", "high", "words", "counts").mapInArrow(_around(model), WORD_ROWS + ", around binary")
-    placed = near.repartition(n_blocks, "word").mapInArrow(_placed(model, numbered), PLACED)
-    every = placed.unionByName(blocks.select("block", "words").mapInArrow(_core_rows(model), PLACED)).repartition(n_blocks, "block")
+    near = blocks.select("block", "held", "sizes", "low", "high", "words", "counts").mapInArrow(_parted(model, n_blocks), "part int, " + PACKED)
+    placed = near.repartition(n_blocks, "part").groupBy("part").applyInArrow(_placed_part(model, numbered), PACKED)
+    every = placed.unionByName(blocks.select("block", "words").mapInArrow(_core_packed(model), PACKED)).repartition(n_blocks, "block")
     joined = scratch_table(whole.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_joined, JOINED), "numbered-blocks")
     return joined, model, *refine(joined, model, int(numbered.starts[-1]), n_blocks)
