@@ -51,7 +51,7 @@ END = b" "  # no word holds a blank
 BLOCK = "block long, doc_ids binary, no_id binary, held binary, sizes binary, low binary, high binary, words array<binary>, counts binary"
 SLOTS = 2 * CLASSES  # classes before a word, then classes after it
 AROUND = np.dtype([("slot", "u1"), ("n", "<u4")])
-CELLS, SLICE, FAN = SLOTS + 1, 256, 64  # a word's cells, itself beside itself last; words a row of counts; rows summed at once
+CELLS, SLICE, FAN, SMALL = SLOTS + 1, 256, 64, 16  # a word's cells, itself beside itself last; words a row of counts; rows summed at once; counts with a table of differences
 WORD_ROWS = "block long, place int, word binary, n long"
 PACKED = "block long, size int, packed binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -651,25 +651,45 @@ def _partial(group: pa.Table) -> pa.Table:
     return pa.table([group["slice"][:1], group["salt"][:1], pa.array([_packed(at, counts[at])], pa.binary())], names=["slice", "salt", "counts"])
 
 
-def gains(counts: np.ndarray, of: np.ndarray, cc: np.ndarray) -> np.ndarray:
+def differences(cc: np.ndarray) -> list[np.ndarray]:
+    """For the neighbours after and before a word: f(N + m) - f(N) by m from 1 to SMALL, neighbour class and class, zero where both are one."""
+    out = []
+    for table in (cc.T, cc):
+        d = np.stack([_f(table + m) - _f(table) for m in range(1, SMALL + 1)])
+        d[:, np.arange(len(cc)), np.arange(len(cc))] = 0.0
+        out.append(d)
+    return out
+
+
+def gains(counts: np.ndarray, of: np.ndarray, cc: np.ndarray, small: list[np.ndarray]) -> np.ndarray:
     """What each word (a row: its neighbours by class before and after, and itself) gains in each class, by what the likelihood would be without it.
 
-    Taking a word out of class g changes row and column g of N(b, c) alone, so only cells
-    beside a word's own neighbours are summed.
+    Taking a word out of class g changes row and column g of N(b, c) alone: what a neighbour
+    class other than g brings to a class other than g is the same for all words and comes from
+    small, the result of ``differences``, where it stands there SMALL times or less.
     """
     left, right, own = counts[:, :CLASSES].astype(float), counts[:, CLASSES:SLOTS].astype(float), counts[:, SLOTS].astype(float)
     total, words = left.sum(1) + own, np.arange(len(of))
     out = np.zeros(left.shape)
-    for beside, other, table in ((right, left, cc.T), (left, right, cc)):  # table[j, k]: pairs of neighbour class j and class k
-        w, j = np.nonzero(beside)
-        n, at = beside[w, j], np.arange(len(w))
-        base = table[j] - np.where(j == of[w], 1.0, 0.0)[:, None] * other[w]
-        base[at, of[w]] = table[j, of[w]] - n
-        part = _f(base + n[:, None]) - _f(base)
-        part[at, j] = 0.0
-        owners, starts = np.unique(w, return_index=True)
-        if len(owners):
-            out[owners] += np.add.reduceat(part, starts, axis=0)
+    for beside, other, table, d in ((right, left, cc.T, small[0]), (left, right, cc, small[1])):  # table[j, k]: pairs of neighbour class j and class k
+        rest = beside.copy()
+        rest[words, of] = 0.0
+        part = np.zeros(left.shape)
+        for m in range(1, SMALL + 1):
+            met = rest == m
+            if met.any():
+                part += met @ d[m - 1]
+        w, j = np.nonzero(rest > SMALL)
+        if len(w):
+            more = _f(table[j] + rest[w, j][:, None]) - _f(table[j])
+            more[np.arange(len(w)), j] = 0.0
+            owners, starts = np.unique(w, return_index=True)
+            part[owners] += np.add.reduceat(more, starts, axis=0)
+        without = table[of] - other  # neighbours of the word's own class
+        part += _f(without + beside[words, of][:, None]) - _f(without)
+        stay = table.T[of]  # the word's own class
+        part[words, of] = (_f(stay) - _f(stay - rest)).sum(1)
+        out += part
     both = left + right + own[:, None]
     corner, size = np.tile(np.diagonal(cc), (len(of), 1)), np.tile(cc.sum(0), (len(of), 1))
     corner[words, of] -= both[words, of]
@@ -679,6 +699,7 @@ def gains(counts: np.ndarray, of: np.ndarray, cc: np.ndarray) -> np.ndarray:
 
 def _moves(of: np.ndarray, cc: np.ndarray, end: int):
     """The words of a slice that gain in another class, and that class."""
+    small = differences(cc)
 
     def run(group: pa.Table) -> pa.Table:
         first = group["slice"][0].as_py() * SLICE
@@ -687,7 +708,7 @@ def _moves(of: np.ndarray, cc: np.ndarray, end: int):
         to = own.copy()
         for a in range(0, len(own), 64):
             part = slice(a, min(len(own), a + 64))
-            got = gains(counts[part], own[part], cc)
+            got = gains(counts[part], own[part], cc, small)
             got[:, end] = -np.inf
             best, at = got.argmax(1), np.arange(len(got))
             better = (got[at, best] > got[at, np.minimum(own[part], CLASSES - 1)] + 1e-9) & (counts[part].sum(1) > 0) & (own[part] != end)

@@ -24,7 +24,9 @@ def _pairs(texts, of):
     return cc
 
 
-def test_gains_are_differences_of_likelihood():
+@pytest.mark.parametrize("small", [1, 3, 16])
+def test_gains_are_differences_of_likelihood(monkeypatch, small):
+    monkeypatch.setattr(class_lm, "SMALL", small)
     rng = np.random.default_rng(1)
     names = [END, *(f"w{i}".encode() for i in range(12))]
     texts = [[names[i] for i in rng.integers(1, 13, 30)] + [END] for _ in range(8)]
@@ -39,7 +41,7 @@ def test_gains_are_differences_of_likelihood():
                 counts[at[w], of[b]] += 1
                 counts[at[b], class_lm.CLASSES + of[w]] += 1
     cc = _pairs(texts, of)
-    got = class_lm.gains(counts[1:], np.array([of[w] for w in names[1:]]), cc)
+    got = class_lm.gains(counts[1:], np.array([of[w] for w in names[1:]]), cc, class_lm.differences(cc))
     for i, w in enumerate(names[1:]):
         for k in range(8):
             change = class_lm.likelihood(_pairs(texts, of | {w: k})) - class_lm.likelihood(cc)
