@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
@@ -17,6 +18,9 @@ from cladeflow.operators.batches import over_batches
 
 NODES = "family string, tree_no long, node int, parent int, name string, label string, length double, is_leaf boolean, depth double, level int, path array<int>, tags map<string,string>"
 
+#: Node rows, or names in lists of leaves, that a task holds before it hands them on; one tree's are held at once.
+HELD_ROWS, HELD_NAMES = 20_000, 200_000
+
 
 def _node_rows(text: str) -> list[tuple]:
     root = newick.parse(text)
@@ -33,12 +37,20 @@ def _node_rows(text: str) -> list[tuple]:
 def nodes(trees: DataFrame) -> DataFrame:
     """Every node of every tree (family, tree_no, newick), numbered from the root in the order written; path has the numbers from the node up to the root."""
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
+        out["parent"] = out["parent"].astype("Int32")
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(f, k, *r) for f, k, t in zip(pdf["family"], pdf["tree_no"], pdf["newick"]) for r in _node_rows(t)]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
-            out["parent"] = out["parent"].astype("Int32")
-            yield out
+            rows: list[tuple] = []
+            for f, k, t in zip(pdf["family"], pdf["tree_no"], pdf["newick"]):
+                rows += [(f, k, *r) for r in _node_rows(t)]
+                if len(rows) >= HELD_ROWS:
+                    yield frame(rows)
+                    rows = []
+            yield frame(rows)
 
     return trees.select(F.col("family").cast("string").alias("family"), F.col("tree_no").cast("long").alias("tree_no"), "newick").mapInPandas(run, NODES)
 
@@ -68,10 +80,68 @@ def taxa(node_rows: DataFrame) -> DataFrame:
     return g.select(*keys, F.col("_at").alias("node"), "parent", "is_leaf", "leaves", label, (F.col("_deep") - F.col("depth")).alias("height"))
 
 
+TAXA = "family string, tree_no long, node int, parent int, is_leaf boolean, leaves array<string>, label string, height double"
+_TAXA_ARROW = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.float64()]
+
+
+def _taxa_rows(text: str) -> list[tuple]:
+    root = newick.parse(text)
+    every = list(root.preorder())
+    number = {id(n): k for k, n in enumerate(every)}
+    far = [0.0] * len(every)
+    for k, n in enumerate(every[1:], 1):
+        far[k] = far[number[id(n.parent)]] + (n.length or 0.0)
+    below: list[list[str]] = [[n.name] if n.is_leaf else [] for n in every]
+    deep = [far[k] if n.is_leaf else float("-inf") for k, n in enumerate(every)]
+    rows = []
+    for k in range(len(every) - 1, -1, -1):  # nodes below have higher numbers
+        n, names = every[k], below[k]
+        names.sort()
+        up = None
+        if n.parent is not None:
+            up = number[id(n.parent)]
+            below[up] += names
+            deep[up] = max(deep[up], deep[k])
+        rows.append((k, up, n.is_leaf, names, names[0] if names[0] == names[-1] else f"{names[0]}-{names[-1]}", deep[k] - far[k]))
+    return rows
+
+
+def tree_taxa(trees: DataFrame) -> DataFrame:
+    """The taxa of trees (family, tree_no, newick), as ``taxa`` gives them of their nodes, without a shuffle.
+
+    A tree lies in one row, so its nodes need not meet again; ``taxa`` is for node tables that were edited.
+    """
+    names = [c.split()[0] for c in TAXA.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_TAXA_ARROW)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            rows: list[tuple] = []
+            held = 0
+            for f, k, t in zip(*(c.to_pylist() for c in given.columns)):
+                for r in _taxa_rows(t):
+                    rows.append((f, k, *r))
+                    held += len(r[3])
+                if held >= HELD_NAMES:
+                    yield batch(rows)
+                    rows, held = [], 0
+            yield batch(rows)
+
+    return trees.select(F.col("family").cast("string").alias("family"), F.col("tree_no").cast("long").alias("tree_no"), "newick").mapInArrow(run, TAXA)
+
+
 def ranks(taxa_rows: DataFrame) -> DataFrame:
     """family, tree_no, node, rank: the inner nodes of each tree by height, the lowest 1; equal heights by label."""
-    w = Window.partitionBy("family", "tree_no").orderBy("height", "label", F.size("leaves"))
-    return taxa_rows.filter("NOT is_leaf").select("family", "tree_no", "node", F.row_number().over(w).alias("rank"))
+    return ranked(taxa_rows).drop("height")
+
+
+def ranked(taxa_rows: DataFrame) -> DataFrame:
+    """``ranks`` with the height of each node; lists of leaves stay behind."""
+    w = Window.partitionBy("family", "tree_no").orderBy("height", "label", "_n")
+    inner = taxa_rows.filter("NOT is_leaf").select("family", "tree_no", "node", "height", "label", F.size("leaves").alias("_n"))
+    return inner.select("family", "tree_no", "node", F.row_number().over(w).alias("rank"), "height")
 
 
 def dated_pairs(taxa_rows: DataFrame) -> DataFrame:

@@ -62,3 +62,22 @@ def test_node_tables_of_odd_trees(spark):
     name = {(r["family"], r["tree_no"], r["node"]): r["label"] for r in t.collect()}
     pairs = {(name[r["family"], r["tree_no"], r["node"]], name[r["family"], r["tree_no"], r["other"]]) for r in tree_tools.dated_pairs(t).collect()}
     assert pairs == {("a", "a-c"), ("b", "a-c"), ("r", "q-t"), ("s", "r-t"), ("t", "r-t"), ("s", "q-t"), ("t", "q-t"), ("s-t", "q-t")}
+
+
+def test_taxa_of_trees_need_no_shuffle(spark):
+    """The taxa of trees are those of their node tables, also with equal heights, lengths left out and forks of three."""
+    texts = ["((b:2,a:1)x:1,c:5);", "one;", "(q:1,(r:1,(t:3,s:1):1):2);", "(c,b,a);", "(((a:1,b:1):1,c:2):1,(d:1,e:1):2,f);"]
+    trees = spark.createDataFrame([("f", k, t) for k, t in enumerate(texts)], "family string, tree_no int, newick string")
+    one = tree_tools.tree_taxa(trees)
+    rows = lambda t: sorted(map(str, t.select("family", "tree_no", "node", "parent", "is_leaf", "leaves", "label", "height").collect()))
+    assert rows(one) == rows(tree_tools.taxa(tree_tools.nodes(trees)))
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    assert {(r["tree_no"], r["rank"], r["height"]) for r in tree_tools.ranked(one).collect() if r["tree_no"] == 2} == {(2, 1, 3.0), (2, 2, 4.0), (2, 3, 6.0)}
+
+
+def test_node_rows_are_handed_on_in_pieces(spark, monkeypatch):
+    """A batch's nodes do not all lie in a worker's memory at once."""
+    monkeypatch.setattr(tree_tools, "HELD_ROWS", 4)
+    monkeypatch.setattr(tree_tools, "HELD_NAMES", 4)
+    trees = spark.createDataFrame([("f", k, "((b:2,a:1)x:1,c:5);") for k in range(7)], "family string, tree_no int, newick string")
+    assert tree_tools.nodes(trees).count() == 35 and tree_tools.tree_taxa(trees).count() == 35
