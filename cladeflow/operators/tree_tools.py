@@ -248,6 +248,11 @@ def interchanged(tree: Column, node: Column) -> Column:
     return over_batches(run, ArrayType(StringType()))(tree, node)
 
 
+def rooted_clades(tree: Column) -> Column:
+    """The clades of rooted trees, leaves too, as one text each: trees with the same are one topology."""
+    return over_batches(lambda text: ";".join(sorted(" ".join(r[3]) for r in _taxa_rows(text))), StringType())(tree)
+
+
 def every_topology(names: Column) -> Column:
     """All rooted binary topologies on arrays of up to eight names, as arrays of trees."""
     return over_batches(lambda x: list(rooted_topologies(list(x))), ArrayType(StringType()))(names)

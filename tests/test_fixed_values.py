@@ -81,3 +81,9 @@ def test_node_rows_are_handed_on_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(tree_tools, "HELD_NAMES", 4)
     trees = spark.createDataFrame([("f", k, "((b:2,a:1)x:1,c:5);") for k in range(7)], "family string, tree_no int, newick string")
     assert tree_tools.nodes(trees).count() == 35 and tree_tools.tree_taxa(trees).count() == 35
+
+
+def test_topologies_by_their_clades(spark):
+    t = spark.createDataFrame([("((a,b),c);",), ("(c,(b,a));",), ("((a,c),b);",)], "newick string")
+    a, b, c = [r[0] for r in t.select(tree_tools.rooted_clades("newick")).collect()]
+    assert a == b == "a;a b;a b c;b;c" and c != a
