@@ -11,6 +11,9 @@ from cladeflow.functions import simulator
 
 SIMULATED = "seed long, species_tree string, random_tree string, family string, gene_tree string, n_genes int, duplications int, transfers int, losses int"
 
+#: Rows that a task holds before it hands them on; one seed's are held at once.
+HELD_ROWS = 1000
+
 #: Runs along one species history before giving up.
 TRIES = 10_000
 
@@ -35,10 +38,19 @@ def simulate(spark: SparkSession, n_seeds: int, population: int = 20, sampled: i
                 return out
         raise ValueError(f"{TRIES} runs along the history of seed {k} gave {len(out)} gene trees of {least_trees}")
 
+    names = [c.split()[0] for c in SIMULATED.split(", ")]
+
     def run(batches):
         for pdf in batches:
+            rows: list[tuple] = []
             for k in pdf["id"].tolist():
-                yield pd.DataFrame(one(k), columns=[c.split()[0] for c in SIMULATED.split(", ")])
-
-    given = seeds.select(F.col("id").cast("long").alias("id")) if seeds is not None else spark.range(0, n_seeds, 1, min(n_seeds, spark.sparkContext.defaultParallelism * 4))
+                rows += one(k)
+                if len(rows) >= HELD_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    # Seeds are few bytes but dear, and a table of them would be read as one task for its bytes.
+    tasks = spark.sparkContext.defaultParallelism * 4
+    given = seeds.select(F.col("id").cast("long").alias("id")).repartition(tasks) if seeds is not None else spark.range(0, n_seeds, 1, min(n_seeds, tasks))
     return given.mapInPandas(run, SIMULATED)

@@ -437,3 +437,13 @@ def test_labels_run_from_the_youngest_to_the_oldest():
                 at = two.split("@")[1].split("->")[0] if "@" in two else two
                 assert at == one.split("->")[1] if "->" in one else parent[at] == one, (own, text)
     assert longest >= 3
+
+
+def test_small_draws_are_those_of_the_generator():
+    a, b = np.random.default_rng(5), np.random.default_rng(5)
+    draw = simulator.small_draws(b)
+    for k in range(3000):
+        n = (1, 2, 3, 20, 2**31 + 1, 3 * 2**30)[k % 6]
+        assert int(a.integers(n)) == draw(n)
+        if k % 4 == 0:
+            assert a.standard_exponential() == b.standard_exponential() and a.random() == b.random()

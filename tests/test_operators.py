@@ -305,3 +305,11 @@ def test_stream_of_trees(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert spark.table("facts").agg(F.sum("cnt")).first()[0] == want.agg(F.sum("cnt")).first()[0]
+
+
+def test_a_table_of_seeds_is_dealt_to_all_cores(spark):
+    seeds = spark.range(0, 12, 1, 1)
+    got = simulate.simulate(spark, 0, seeds=seeds)
+    assert got.rdd.getNumPartitions() > 1
+    keys = ["seed", "species_tree", "random_tree", "family", "gene_tree"]
+    assert sorted(map(tuple, got.select(keys).collect())) == sorted(map(tuple, simulate.simulate(spark, 12).select(keys).collect()))
