@@ -12,7 +12,7 @@ from cladeflow.functions.dated_model import DatedRates, likelihood, prepare, tra
 from cladeflow.functions.simplex import minimise
 from cladeflow.functions.species_tree import read_species_tree
 from cladeflow.functions.undated_model import layout
-from cladeflow.operators.reconcile import _seeded, map_families
+from cladeflow.operators.reconcile import _seeded, map_families, once_for_like
 from cladeflow.operators.splits import of_row
 
 #: Bounds of fitted rates and of the unsampled species' speciation rate.
@@ -35,7 +35,8 @@ def loglik(tables: DataFrame, species: str, rates: DatedRates | None = None) ->
     rates = rates or DatedRates()
     model = _model(rates)
     clock = model.prepare(read_species_tree(species), rates)
-    return map_families(tables, lambda row: [(row["family"], model.likelihood(layout(of_row(row), rates), clock).log_likelihood)], "family string, logl double")
+    value = once_for_like(lambda row: model.likelihood(layout(of_row(row), rates), clock).log_likelihood, rates)
+    return map_families(tables, lambda row: [(row["family"], value(row))], "family string, logl double")
 
 
 def fit(tables: DataFrame, species: str, start: DatedRates | None = None, fit_sigma: bool = False) -> DataFrame:

@@ -21,12 +21,18 @@ from cladeflow.functions.quasi_newton import descend
 from cladeflow.functions.simplex import minimise
 from cladeflow.functions.species_tree import read_species_tree
 from cladeflow.functions.undated_gradient import KINDS, PARTS, family_gradient, rate_gradient
-from cladeflow.functions.undated_model import Rates, layout, likelihood, prepare, sample
+from cladeflow.functions.undated_model import Rates, layout, likelihood, prepare, sample, species_of
 from cladeflow.operators.splits import of_row
 
 #: Bounds of fitted rates.
 RATE_LOW, RATE_HIGH, ORIGIN_HIGH = 1e-10, 100.0, 1000.0
 
+#: Rows that a task holds before it hands them on; one family's are held at once.
+HELD_ROWS = 1000
+
+#: Facts of a family, at most, whose value is kept for like ones, and values kept in a task.
+LIKE_FACTS, LIKE_KEPT = 64, 10_000
+
 
 def balanced(tables: DataFrame, tasks: int | None = None) -> DataFrame:
     """Families dealt to tasks by hash, apart for each class of size.
@@ -58,10 +64,40 @@ def map_families(tables: DataFrame, f: Callable[[dict], list[tuple]], schema: st
     names = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(batches):
-        for row in _rows(batches):
-            yield pd.DataFrame(f(row), columns=names)
+        for pdf in batches:
+            rows: list[tuple] = []
+            for row in pdf.to_dict("records"):
+                rows += f(row)
+                if len(rows) >= HELD_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    # Tables are few bytes but dear, and would be merged into one task for their bytes.
+    return balanced(_flat(tables)).mapInPandas(run, schema)
+
+
+def once_for_like(value: Callable[[dict], float], rates) -> Callable[[dict], float]:
+    """A value of nested rows that depends on species and counts alone, worked out once in a task for families that share them.
+
+    Large families are seldom alike, and are worked out one by one.
+    """
+    kept: dict[tuple, float] = {}
+
+    def run(row: dict) -> float:
+        if len(row["facts"]) > LIKE_FACTS:
+            return value(row)
+        species = tuple(species_of(x, rates.separators, rates.species_field) for x in row["leaves"])
+        facts = sorted((f["clade"], f["left"] or b"", f["right"] or b"", f["cnt"] or 0.0) for f in row["facts"])
+        key = (row["observations"], species, tuple(facts))
+        if key not in kept:
+            if len(kept) >= LIKE_KEPT:
+                kept.clear()
+            kept[key] = value(row)
+        return kept[key]
 
-    return _flat(tables).mapInPandas(run, schema)
+    return run
 
 
 def loglik(tables: DataFrame, species: str, rates: Rates | None = None) -> DataFrame:
@@ -150,7 +186,7 @@ def fit(tables: DataFrame, species: str, start: Rates | None = None, fixed: tupl
         r, logl, n = _fit_one(of_row(row), tree, start, free, transfer_ratio)
         return [(row["family"], logl, r.delta, r.tau, r.lambda_, r.origin_root, n)]
 
-    return map_families(balanced(tables), run, FITS)
+    return map_families(tables, run, FITS)
 
 
 SAMPLES = "family string, sample_no int, newick string, events array<struct<kind:string,branch:int,other:int>>"

@@ -183,7 +183,7 @@ def keep_groups(trees: DataFrame, groups: DataFrame, separator: str = "_") -> Da
     return met.select(F.col("_cut.group").alias("group"), *(F.col("_cut.newick").alias(c) if c == "newick" else F.col(c) for c in trees.columns))
 
 
-def table_of(pdf: pd.DataFrame, leaves: list[str], observations: float, alpha: float = 0.0, beta: float = 0.0) -> CladeTable:
+def table_of(pdf: pd.DataFrame | dict[str, list], leaves: list[str], observations: float, alpha: float = 0.0, beta: float = 0.0) -> CladeTable:
     """The clade table of one family's facts."""
     bip: dict[int, float] = {}
     dip: dict[tuple[int, int, int], float] = {}
@@ -237,6 +237,5 @@ def facts_of(tables_: DataFrame) -> DataFrame:
 
 def of_row(row, alpha: float = 0.0, beta: float = 0.0) -> CladeTable:
     """The clade table of a nested row (a dict or pandas row)."""
-    pdf = pd.DataFrame([{k: f[k] for k in ("clade", "left", "right", "cnt", "bl")} for f in row["facts"]], columns=["clade", "left", "right", "cnt", "bl"])
-    pdf = pdf.astype({"left": object, "right": object})
-    return table_of(pdf.where(pdf.notna(), None), list(row["leaves"]), row["observations"], alpha, beta)
+    names = ("clade", "left", "right", "cnt", "bl")
+    return table_of({k: [f[k] for f in row["facts"]] for k in names}, list(row["leaves"]), row["observations"], alpha, beta)

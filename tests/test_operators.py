@@ -313,3 +313,24 @@ def test_a_table_of_seeds_is_dealt_to_all_cores(spark):
     assert got.rdd.getNumPartitions() > 1
     keys = ["seed", "species_tree", "random_tree", "family", "gene_tree"]
     assert sorted(map(tuple, got.select(keys).collect())) == sorted(map(tuple, simulate.simulate(spark, 12).select(keys).collect()))
+
+
+def test_like_families_are_worked_out_once_and_dealt(spark):
+    """Families with the same species and counts share a value; others, and large ones, have their own."""
+    seen = []
+
+    def value(row):
+        seen.append(row["family"])
+        return float(len(seen))
+
+    fact = lambda cnt, left=None: {"clade": b"\x03", "left": left, "right": left, "cnt": cnt, "bl": 1.0}
+    row = lambda family, leaves, facts, n=1.0: {"family": family, "leaves": leaves, "observations": n, "facts": facts}
+    run = reconcile.once_for_like(value, Rates())
+    rows = [row("f", ["a_1", "b_1"], [fact(1.0)]), row("g", ["a_2", "b_7"], [fact(1.0)]), row("h", ["b_1", "a_1"], [fact(1.0)]), row("i", ["a_1", "b_1"], [fact(2.0)])]
+    rows += [row("j", ["a_1", "b_1"], [fact(1.0)], 2.0), row("k", ["a_1", "b_1"], [fact(1.0, b"\x01")]), *(row(k, ["a_1", "b_1"], [fact(1.0)] * 65) for k in "lm")]
+    assert [run(r) for r in rows] == [1.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]
+    trees = spark.createDataFrame([(f"f{k}", 1, f"{'ab'[k % 2]}_{k};") for k in range(20)], "family string, tree_no int, newick string")
+    got = dated.loglik(splits.tables(trees), "(a:1,b:1);")
+    assert got.rdd.getNumPartitions() > 1
+    by = {r["family"]: r["logl"] for r in got.collect()}
+    assert len(by) == 20 and by["f0"] == by["f18"] and by["f1"] == by["f19"]
