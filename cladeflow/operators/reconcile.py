@@ -105,7 +105,8 @@ def loglik(tables: DataFrame, species: str, rates: Rates | None = None) -> DataF
     rates = rates or Rates()
     tree = read_species_tree(species)
     b = prepare(tree, rates)
-    return map_families(tables, lambda row: [(row["family"], likelihood(layout(of_row(row), rates), b).log_likelihood)], "family string, logl double")
+    value = once_for_like(lambda row: likelihood(layout(of_row(row), rates), b).log_likelihood, rates)
+    return map_families(tables, lambda row: [(row["family"], value(row))], "family string, logl double")
 
 
 def loglik_grid(tables: DataFrame, species: str, points: list[Rates]) -> DataFrame:
