@@ -22,6 +22,19 @@ FACTS = "family string, n_leaves int, clade binary, other binary, size int, left
 FAMILY = "family string, n_leaves int, leaves array<string>, observations double, n_trees long"
 
 
+#: Splits and clades that a task adds up before it hands them on; one tree's are held at once.
+HELD_SPLITS = 50_000
+
+
+def _fact_rows(sums: dict[tuple, list[float]], sizes: dict[str, tuple[int, dict[str, int]]]) -> pd.DataFrame:
+    rows = []
+    for (family, g, a, b), (cnt, bl) in sums.items():
+        n = sizes[family][0]
+        pair = (pack_mask(a, n), pack_mask(b, n), a.bit_count(), b.bit_count()) if a > 0 else (None, None, 0, 0)
+        rows.append((family, n, pack_mask(g, n), pack_mask(((1 << n) - 1) ^ g, n), g.bit_count(), *pair, cnt if a >= 0 else 0.0, bl))
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in FACTS.split(", ")])
+
+
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sums: dict[tuple, list[float]] = {}
@@ -41,12 +54,10 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for g, x in lengths.items():
                 at = sums.setdefault((family, g, -1, -1), [0.0, 0.0])
                 at[1] += x
-        rows = []
-        for (family, g, a, b), (cnt, bl) in sums.items():
-            n = sizes[family][0]
-            pair = (pack_mask(a, n), pack_mask(b, n), a.bit_count(), b.bit_count()) if a > 0 else (None, None, 0, 0)
-            rows.append((family, n, pack_mask(g, n), pack_mask(((1 << n) - 1) ^ g, n), g.bit_count(), *pair, cnt if a >= 0 else 0.0, bl))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FACTS.split(", ")])
+            if len(sums) >= HELD_SPLITS:
+                yield _fact_rows(sums, sizes)
+                sums = {}
+        yield _fact_rows(sums, sizes)
 
 
 def split_facts(trees: DataFrame) -> DataFrame:

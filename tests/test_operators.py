@@ -334,3 +334,22 @@ def test_like_families_are_worked_out_once_and_dealt(spark):
     assert got.rdd.getNumPartitions() > 1
     by = {r["family"]: r["logl"] for r in got.collect()}
     assert len(by) == 20 and by["f0"] == by["f18"] and by["f1"] == by["f19"]
+
+
+def test_splits_are_handed_on_in_pieces(spark, monkeypatch):
+    """A batch's splits do not all lie in a worker's memory at once, and counts are the same."""
+    import pandas as pd
+
+    batch = pd.DataFrame({"family": ["f"] * 6 + ["g"] * 2, "newick": ["((a:1,b:1):1,c:1,d:1);", "((a:1,c:1):1,b:1,d:1);"] * 4, "weight": [1.0] * 8})
+
+    def total(frames):
+        rows = pd.concat(frames)
+        return rows.fillna({"left": b"", "right": b""}).groupby(["family", "clade", "left", "right"])[["cnt", "bl"]].sum().to_dict()
+
+    whole = list(splits._facts(iter([batch])))
+    monkeypatch.setattr(splits, "HELD_SPLITS", 10)
+    pieces = list(splits._facts(iter([batch])))
+    assert len(whole) == 1 and len(pieces) > 4 and max(map(len, pieces)) < 40
+    assert total(pieces) == total(whole)
+    trees = spark.createDataFrame([("f", k, "((a:1,b:1):1,c:1,d:1);") for k in range(5)], "family string, tree_no long, newick string")
+    assert ccp.tree_splits(trees).count() == 5 * ccp.tree_splits(trees.filter("tree_no = 0")).count()
