@@ -51,6 +51,7 @@ TREE_SPLITS = "family string, tree_no long, n_leaves int, clade binary, left bin
 
 def tree_splits(trees: DataFrame) -> DataFrame:
     """The splits of every tree, one row each; first marks clades without the family's first leaf."""
+    names_ = [c.split()[0] for c in TREE_SPLITS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -61,7 +62,10 @@ def tree_splits(trees: DataFrame) -> DataFrame:
                 n = len(names)
                 found, _ = newick.directed_splits(root, {x: i for i, x in enumerate(names)}) if n > 2 else ([], {})
                 rows += [(family, k, n, pack_mask(g, n), pack_mask(a, n), pack_mask(b, n), g.bit_count(), a.bit_count(), b.bit_count(), not g & 1) for g, a, b in found]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TREE_SPLITS.split(", ")])
+                if len(rows) >= splits.HELD_SPLITS:
+                    yield pd.DataFrame(rows, columns=names_)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names_)
 
     return trees.select(F.col("family").cast("string").alias("family"), F.col("tree_no").cast("long").alias("tree_no"), "newick").mapInPandas(run, TREE_SPLITS)
 
