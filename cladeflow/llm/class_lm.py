@@ -51,7 +51,9 @@ END = b" "  # no word holds a blank
 BLOCK = "block long, doc_ids binary, no_id binary, held binary, sizes binary, low binary, high binary, words array<binary>, counts binary"
 SLOTS = 2 * CLASSES  # classes before a word, then classes after it
 AROUND = np.dtype([("slot", "u1"), ("n", "<u4")])
-CELLS, SLICE, FAN, SMALL = SLOTS + 1, 256, 64, 16  # a word's cells, itself beside itself last; words a row of counts; rows summed at once; counts with a table of differences
+CELLS, SLICE, FAN, SMALL = SLOTS + 1, 256, 64, 16  # a word's cells, itself beside itself last; words a row of counts, at least; rows summed at once; counts with a table of differences
+#: Rows of counts of a block, at most: their number then grows with the blocks alone. A row has up to MOST_WORDS / MOST_SLICES words.
+MOST_SLICES = 1024
 WORD_ROWS = "block long, place int, word binary, n long"
 PACKED = "block long, size int, packed binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -607,17 +609,24 @@ def likelihood(cc: np.ndarray) -> float:
 
 
 def _packed(at: np.ndarray, n: np.ndarray) -> bytes:
-    return b"".join([at.astype("<u2").tobytes(), (n & 255).astype(np.uint8).tobytes(), (n >> 8).astype("<u8").tobytes()])
+    at = at.astype(np.uint32)  # in order, so that the high halves shrink to little
+    return b"".join([(at & 65535).astype("<u2").tobytes(), (at >> 16).astype("<u2").tobytes(), (n & 255).astype(np.uint8).tobytes(), (n >> 8).astype("<u8").tobytes()])
 
 
 def _add(counts: np.ndarray, packed: bytes) -> None:
-    m = len(packed) // 11
-    at = np.frombuffer(packed, dtype="<u2", count=m)
-    counts[at] += np.frombuffer(packed, dtype=np.uint8, count=m, offset=2 * m) + (np.frombuffer(packed, dtype="<u8", count=m, offset=3 * m) << np.uint64(8)).astype(np.int64)
+    m = len(packed) // 13
+    at = np.frombuffer(packed, dtype="<u2", count=m) + (np.frombuffer(packed, dtype="<u2", count=m, offset=2 * m).astype(np.int64) << 16)
+    counts[at] += np.frombuffer(packed, dtype=np.uint8, count=m, offset=4 * m) + (np.frombuffer(packed, dtype="<u8", count=m, offset=5 * m) << np.uint64(8)).astype(np.int64)
+
+
+def n_slices(words: int) -> int:
+    """Into how many slices numbered words are dealt: word w to slice w modulo that, at place w // that."""
+    return max(1, min(MOST_SLICES, -(-words // SLICE)))
 
 
 def _word_counts(of: np.ndarray, end: int):
-    """For each SLICE numbers in a block, how often each class stands before and after each word, and the word itself; the end aside."""
+    """For each slice of a block, how often each class stands before and after each word, and the word itself; the end aside."""
+    dealt, width = n_slices(len(of)), -(-len(of) // n_slices(len(of)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, t in _Tokens.each(batches):
@@ -627,28 +636,31 @@ def _word_counts(of: np.ndarray, end: int):
             right_k, right_same = np.append(k[1:], k[:1]), np.append(same[1:], False)
             free = t.learn & (word > 0)
             l, r, s = free & ~same, free & ~right_same, free & same
-            first = word.astype(np.uint32) * np.uint32(CELLS)  # the cells of MOST_WORDS words have numbers of 32 bits
+            first = ((word % dealt) * width + word // dealt).astype(np.uint32) * np.uint32(CELLS)  # the cells of MOST_WORDS words have numbers of 32 bits
             keys, n = np.unique(np.concatenate([first[l] + left_k[l], first[r] + np.uint32(CLASSES) + right_k[r], first[s] + np.uint32(SLOTS)]), return_counts=True)
             keys = keys.astype(np.int64)
-            slices = keys // (SLICE * CELLS)
+            slices = keys // (width * CELLS)
             at = np.append(np.flatnonzero(np.diff(slices, prepend=-1)), len(keys))
-            rows = [(int(slices[a]), row["block"], _packed(keys[a:b] - slices[a] * SLICE * CELLS, n[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            rows = [(int(slices[a]), row["block"], _packed(keys[a:b] - slices[a] * width * CELLS, n[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["slice", "block", "counts"])
 
     return run
 
 
-def _summed(group: pa.Table) -> np.ndarray:
-    counts = np.zeros(SLICE * CELLS, dtype=np.int64)
+def _summed(group: pa.Table, width: int) -> np.ndarray:
+    counts = np.zeros(width * CELLS, dtype=np.int64)
     for packed in group["counts"]:
         _add(counts, packed.as_py())
     return counts
 
 
-def _partial(group: pa.Table) -> pa.Table:
-    counts = _summed(group)
-    at = np.flatnonzero(counts)
-    return pa.table([group["slice"][:1], group["salt"][:1], pa.array([_packed(at, counts[at])], pa.binary())], names=["slice", "salt", "counts"])
+def _partial(width: int):
+    def run(group: pa.Table) -> pa.Table:
+        counts = _summed(group, width)
+        at = np.flatnonzero(counts)
+        return pa.table([group["slice"][:1], group["salt"][:1], pa.array([_packed(at, counts[at])], pa.binary())], names=["slice", "salt", "counts"])
+
+    return run
 
 
 def differences(cc: np.ndarray) -> list[np.ndarray]:
@@ -699,12 +711,13 @@ def gains(counts: np.ndarray, of: np.ndarray, cc: np.ndarray, small: list[np.nda
 
 def _moves(of: np.ndarray, cc: np.ndarray, end: int):
     """The words of a slice that gain in another class, and that class."""
-    small = differences(cc)
+    small, dealt = differences(cc), n_slices(len(of))
+    width = -(-len(of) // dealt)
 
     def run(group: pa.Table) -> pa.Table:
-        first = group["slice"][0].as_py() * SLICE
-        own = of[first : first + SLICE].astype(np.int64)
-        counts = _summed(group).reshape(SLICE, CELLS)
+        first = group["slice"][0].as_py()
+        own = of[first::dealt].astype(np.int64)
+        counts = _summed(group, width).reshape(width, CELLS)
         to = own.copy()
         for a in range(0, len(own), 64):
             part = slice(a, min(len(own), a + 64))
@@ -714,7 +727,7 @@ def _moves(of: np.ndarray, cc: np.ndarray, end: int):
             better = (got[at, best] > got[at, np.minimum(own[part], CLASSES - 1)] + 1e-9) & (counts[part].sum(1) > 0) & (own[part] != end)
             to[part] = np.where(better, best, own[part])
         moved = np.flatnonzero(to != own)
-        return pa.table([pa.array([(first + moved).astype("<i4").tobytes()], pa.binary()), pa.array([to[moved].astype(np.uint8).tobytes()], pa.binary())], names=["ids", "to"])
+        return pa.table([pa.array([(first + moved * dealt).astype("<i4").tobytes()], pa.binary()), pa.array([to[moved].astype(np.uint8).tobytes()], pa.binary())], names=["ids", "to"])
 
     return run
 
@@ -724,15 +737,13 @@ def sweep(joined: DataFrame, of: np.ndarray, cc: np.ndarray, end: int, n_blocks:
 
     Counts of a slice come together FAN at a time, so that no task holds more, however many blocks there are.
     """
-    levels = 0
-    while FAN ** (levels + 1) < n_blocks:
-        levels += 1
+    width = -(-len(of) // n_slices(len(of)))
+    salts = -(-n_blocks // FAN)  # groups of FAN blocks in the mean; a row each of them is left
     rows = joined.select(*TOKENS).mapInArrow(_word_counts(of, end), "slice int, block long, counts binary")
-    rows = rows.select("slice", F.expr(f"pmod(xxhash64(block), {FAN**levels})").alias("salt"), "counts")
-    for level in range(levels):
-        if level:
-            rows = rows.withColumn("salt", F.floor(F.col("salt") / FAN))
-        rows = rows.groupBy("slice", "salt").applyInArrow(_partial, "slice int, salt long, counts binary")
+    rows = rows.select("slice", F.expr(f"pmod(xxhash64(block), {salts})").alias("salt"), "counts")
+    while salts > 1:
+        rows = rows.groupBy("slice", "salt").applyInArrow(_partial(width), "slice int, salt long, counts binary")
+        rows, salts = rows.withColumn("salt", F.floor(F.col("salt") / FAN)), -(-salts // FAN)
     to = of.copy()
     for r in rows.groupBy("slice").applyInArrow(_moves(of, cc, end), "ids binary, to binary").collect():  # five bytes for each of MOST_WORDS words at most
         to[np.frombuffer(r["ids"], dtype="<i4")] = np.frombuffer(r["to"], dtype=np.uint8)

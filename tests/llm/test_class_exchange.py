@@ -116,3 +116,18 @@ def test_least_count_doubles(docs, monkeypatch):
     assert values == sorted(values)
     least = next(2 << i for i in range(50) if sum(n >= 2 << i for n in count.values()) <= 20)
     assert {w for w, n in count.items() if n >= least} <= set(numbers) and len(numbers) <= 26
+
+
+def test_rows_of_counts_grow_with_blocks_alone(docs, monkeypatch):
+    """However many words there are, a block has at most MOST_SLICES rows of counts, and sweeps find the same classes."""
+    monkeypatch.setattr(class_lm, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(class_lm, "FREQUENT", 5)
+    monkeypatch.setattr(class_lm, "ROUNDS", 0)
+    joined, model, of, cc, _ = class_lm.learn(docs)
+    end, n_blocks = int(model.of[model.core[END]]), joined.count()
+    want = class_lm.sweep(joined, of, cc, end, n_blocks)
+    for name, value in (("SLICE", 2), ("MOST_SLICES", 3), ("FAN", 2)):
+        monkeypatch.setattr(class_lm, name, value)
+    rows = joined.select(*class_lm.TOKENS).mapInArrow(class_lm._word_counts(of, end), "slice int, block long, counts binary")
+    assert len(of) > 6 and rows.count() <= 3 * n_blocks
+    assert (class_lm.sweep(joined, of, cc, end, n_blocks) == want).all()
