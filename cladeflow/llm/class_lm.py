@@ -14,7 +14,8 @@ log P(c after | k) over its own neighbours of the core. Then all words of LEAST
 or more, core and others alike, are exchanged in sweeps: Spark gathers how often each class
 stands before and after each word, tasks find the class in which the likelihood is greatest for
 each word by the counts without it, and moves are made so that the likelihood rises in each
-sweep. The number of words that take part grows with the corpus up to MOST_WORDS; beyond, the
+sweep. What is gathered is how often which neighbours stand beside a word, once and by shuffle;
+each sweep adds them up by their classes of the moment where they lie. The number of words that take part grows with the corpus up to MOST_WORDS; beyond, the
 least count doubles until they are no more. Words of fewer tokens keep the class they start
 in, and only words without any core neighbour, and words not seen in training, have the class
 of their spelling. For a word w of
@@ -36,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +53,9 @@ END = b" "  # no word holds a blank
 BLOCK = "block long, doc_ids binary, no_id binary, held binary, sizes binary, low binary, high binary, words array<binary>, counts binary"
 SLOTS = 2 * CLASSES  # classes before a word, then classes after it
 AROUND = np.dtype([("slot", "u1"), ("n", "<u4")])
-CELLS, SLICE, FAN, SMALL = SLOTS + 1, 256, 64, 16  # a word's cells, itself beside itself last; words a row of counts, at least; rows summed at once; counts with a table of differences
+CELLS, SLICE, FAN, SMALL = SLOTS + 1, 256, 64, 16  # a word's cells, itself beside itself last; words a row of counts, at least; rows merged at once; counts with a table of differences
+#: Neighbours in a stored row, but for a word with more; bits of a neighbour; owners with more rows than that are summed one by one.
+ROW_NEAR, NEAR_BITS, LONG = 1 << 17, 26, 64
 #: Rows of counts of a block, at most: their number then grows with the blocks alone. A row has up to MOST_WORDS / MOST_SLICES words.
 MOST_SLICES = 1024
 WORD_ROWS = "block long, place int, word binary, n long"
@@ -61,34 +65,44 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 
 class _Block:
     def __init__(self):
-        self.index: dict[bytes, int] = {END: 0}
-        self.ids, self.held, self.sizes, self.codes, self.bytes = [], [], [], [], 0
+        self.ids, self.held, self.texts, self.bytes = [], [], [], 0
 
     def add(self, doc_id: int | None, held: bool, text: bytes) -> None:
-        words = text.lower().split()
-        words.append(END)
-        index = self.index
-        for w in set(words).difference(index):
-            index[w] = len(index)
-        self.codes.append(np.fromiter(map(index.__getitem__, words), dtype=np.uint32, count=len(words)))
         self.ids.append(doc_id)
         self.held.append(held)
-        self.sizes.append(len(words))
+        self.texts.append(text)
         self.bytes += len(text)
 
+    def coded(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct words, END first; the texts as numbers of words, an end closing each; the sizes of the texts."""
+        texts = pa.array(self.texts, pa.binary())
+        texts = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers())  # whatever the bytes: ASCII functions leave all others as they are
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words, bounds = split.values, split.offsets.to_numpy().astype(np.int64)
+        words = pa.Array.from_buffers(pa.binary(), len(words), words.buffers(), offset=words.offset)
+        real = pc.binary_length(words).to_numpy() > 0  # white space at either end leaves an empty word
+        bounds = np.append(0, np.cumsum(real))[bounds]
+        coded = (words if real.all() else words.filter(pa.array(real))).dictionary_encode()
+        sizes = np.diff(bounds) + 1
+        codes = np.zeros(int(sizes.sum()), dtype=np.uint32)
+        own = np.ones(len(codes), dtype=bool)
+        own[np.cumsum(sizes) - 1] = False
+        codes[own] = coded.indices.to_numpy() + 1
+        return pa.concat_arrays([pa.array([END], pa.binary()), coded.dictionary]), codes, sizes
+
     def row(self, block: int) -> dict:
-        codes, sizes, held = np.concatenate(self.codes), np.array(self.sizes, dtype="<i8"), np.array(self.held, dtype=bool)
-        uses = np.bincount(codes, minlength=len(self.index))
+        words, codes, sizes = self.coded()
+        held = np.array(self.held, dtype=bool)
+        uses = np.bincount(codes, minlength=len(words))
         order = np.argsort(-uses, kind="stable")  # frequent words get small numbers, which compress
         place = np.empty(len(order), dtype=np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
         codes = place[codes]
         counts = np.bincount(codes[~np.repeat(held, sizes)], minlength=len(order))
-        words = list(self.index)
         no_id = np.array([i is None for i in self.ids])
         return {
-            "block": block, "doc_ids": np.array([i or 0 for i in self.ids], dtype="<i8").tobytes(), "no_id": no_id.tobytes(), "held": held.tobytes(), "sizes": sizes.tobytes(),
-            "low": codes.astype("<u2").tobytes(), "high": (codes >> 16).astype("<u2").tobytes(), "words": [words[i] for i in order.tolist()], "counts": counts.astype("<i8").tobytes(),
+            "block": block, "doc_ids": np.array([i or 0 for i in self.ids], dtype="<i8").tobytes(), "no_id": no_id.tobytes(), "held": held.tobytes(), "sizes": sizes.astype("<i8").tobytes(),
+            "low": codes.astype("<u2").tobytes(), "high": (codes >> 16).astype("<u2").tobytes(), "words": words.take(pa.array(order)), "counts": counts.astype("<i8").tobytes(),
         }
 
 
@@ -96,7 +110,7 @@ _KINDS = [pa.int64(), *[pa.binary()] * 6, pa.list_(pa.binary()), pa.binary()]
 
 
 def _emit(row: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), _KINDS)], list(row))
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) if pa.types.is_list(t) else pa.array([v], t) for v, t in zip(row.values(), _KINDS)], list(row))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +136,25 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(to - at, block.as_py())), pa.array(np.arange(at, to, dtype=np.int32)), words[at:to], pa.array(counts[at:to])], ["block", "place", "word", "n"])
 
 
-def units(words: list[bytes], core: dict[bytes, int]) -> np.ndarray:
+#: The spelling of words of one letter, then of those that end in each two.
+_SPELLED = np.array([zlib.crc32(bytes([i])) % SPELLINGS for i in range(256)] + [zlib.crc32(bytes([i >> 8, i & 255])) % SPELLINGS for i in range(1 << 16)])
+
+
+def _number(words: pa.Array, core: dict[bytes, int]) -> np.ndarray:
+    """The numbers of words in the core, which has them in order; -1 for all others."""
+    return pc.index_in(words, value_set=pa.array(list(core), pa.binary())).fill_null(-1).to_numpy().astype(np.int64)
+
+
+def units(words: list[bytes] | pa.Array, core: dict[bytes, int]) -> np.ndarray:
     """The unit of each word: its own number, or that of its spelling."""
-    first = len(core)
-    return np.fromiter((core[w] if w in core else first + zlib.crc32(w[-2:]) % SPELLINGS for w in words), dtype=np.int64, count=len(words))
+    words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+    out = _number(words, core)
+    rest = np.flatnonzero(out < 0)
+    data, bounds = _bytes_of(words)
+    ends, sizes = bounds[1:][rest], np.diff(bounds)[rest]
+    last = data[ends - 1].astype(np.int64)
+    out[rest] = len(core) + _SPELLED[np.where(sizes > 1, 256 + (data[ends - 2].astype(np.int64) << 8) + last, last)]
+    return out
 
 
 def _codes(low: bytes, high: bytes) -> np.ndarray:
@@ -141,7 +170,7 @@ def _around(model: ClassModel):
             for i in range(batch.num_rows):
                 block, held, sizes, low, high, counts = (batch.column(k)[i].as_py() for k in (0, 1, 2, 3, 4, 6))
                 words = batch.column(5)[i].values
-                u = units(words.to_pylist(), model.core)
+                u = units(words, model.core)
                 k_of = np.where(u < first, model.of[u], -1)
                 codes = _codes(low, high)
                 k = k_of[codes]
@@ -175,7 +204,7 @@ def _core_rows(model: ClassModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-                u = np.fromiter((model.core.get(w, -1) for w in words.values.to_pylist()), dtype=np.int64, count=len(words.values))
+                u = _number(words.values, model.core)
                 at = np.flatnonzero(u >= 0)
                 u = u[at]
                 yield pa.RecordBatch.from_arrays(
@@ -193,7 +222,29 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
-def place(word: np.ndarray, slot: np.ndarray, n: np.ndarray, default: np.ndarray, log_beside: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+def row_sums(table: np.ndarray, index: np.ndarray, starts: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """For each owner the sum of the rows of a table at index[starts[i]:starts[i + 1]], weighted if weights are given.
+
+    The first rows of all owners are added at once, then the second ones, and so on.
+    """
+    sizes = np.diff(starts)
+    order = np.argsort(-sizes, kind="stable")
+    falling, first = sizes[order], starts[:-1][order]
+    out = np.zeros((len(sizes), table.shape[1]))
+    long = int(np.searchsorted(-falling, -LONG))
+    for i, (a, n) in enumerate(zip(first[:long].tolist(), falling[:long].tolist())):
+        rows = table[index[a : a + n]]
+        out[i] = rows.sum(0) if weights is None else weights[a : a + n] @ rows
+    falling, first, rest = falling[long:], first[long:], out[long:]
+    for i in range(int(falling[0]) if len(falling) else 0):
+        at = first[: np.searchsorted(-falling, -i)] + i
+        rest[: len(at)] += table[index[at]] if weights is None else table[index[at]] * weights[at, None]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def place(word: np.ndarray, slot: np.ndarray, n: np.ndarray, default: np.ndarray, log_beside: np.ndarray, step: int = 1 << 14) -> np.ndarray:
     """The class of each word from entries (word, slot, n), of any order; default where a word has none.
 
     log_beside has a row for each slot: the log probability of such a neighbour by the word's class.
@@ -207,7 +258,7 @@ def place(word: np.ndarray, slot: np.ndarray, n: np.ndarray, default: np.ndarray
     while a < len(owners):
         b = max(a + 1, int(np.searchsorted(starts, starts[a] + step, side="right")) - 1)
         part = slice(starts[a], starts[b])
-        out[owners[a:b]] = np.add.reduceat(log_beside[slot[part]] * n[part, None], starts[a:b] - starts[a], axis=0).argmax(1)
+        out[owners[a:b]] = row_sums(log_beside, slot[part], starts[a : b + 1] - starts[a], n[part]).argmax(1)
         a = b
     return out
 
@@ -225,7 +276,7 @@ def _placed(model: ClassModel, numbered: Numbered | None = None, part: int = 0):
         n = np.bincount(word, weights=rows["n"].to_numpy(), minlength=len(words)).astype(np.int64)
         data, bounds = _bytes_of(rows["around"].combine_chunks())
         entries = data.view(AROUND)
-        u = units(words, model.core)
+        u = units(coded.dictionary, model.core)
         owner = np.repeat(word.astype(np.int64), np.diff(bounds) // AROUND.itemsize)
         k = place(owner, entries["slot"].astype(np.int64), entries["n"], model.of[u], log_beside)
         mark = 2 * k[word]
@@ -354,8 +405,8 @@ def _pairs(core: dict[bytes, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for held, sizes, low, high, words in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                u = units(words, core)[_codes(low, high)]
+            for held, sizes, low, high, words in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                u = units(words.values, core)[_codes(low, high)]
                 learn = ~np.repeat(np.frombuffer(held, dtype=bool), np.frombuffer(sizes, dtype="<i8"))
                 before = np.concatenate([[core[END]], u[:-1]])
                 keys, n = np.unique((before * n_units + u)[learn], return_counts=True)
@@ -579,28 +630,26 @@ class _Tokens:
         return out
 
 
-def _class_pairs(maps: list[np.ndarray], end: int):
-    """Counts of class pairs of the training tokens under each of several maps, in cells one map after the other."""
+def _class_pairs(of: np.ndarray, end: int):
+    """Counts of class pairs of the training tokens under a map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((len(maps), CLASSES * CLASSES), dtype=np.int64)
+        n = np.zeros(CLASSES * CLASSES, dtype=np.int64)
         for _, t in _Tokens.each(batches):
-            for i, of in enumerate(maps):
-                k = t.classes(of).astype(np.int64)
-                n[i] += np.bincount((t.before(k, end) * CLASSES + k)[t.learn], minlength=CLASSES * CLASSES)
-        n = n.ravel()
+            k = t.classes(of).astype(np.int64)
+            n += np.bincount((t.before(k, end) * CLASSES + k)[t.learn], minlength=CLASSES * CLASSES)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
 
     return run
 
 
-def count_pairs(joined: DataFrame, maps: list[np.ndarray], end: int) -> np.ndarray:
-    """N(b, c) of all training tokens under each map."""
-    n = np.zeros(len(maps) * CLASSES * CLASSES)
-    for r in joined.select(*TOKENS).mapInArrow(_class_pairs(maps, end), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # class pairs
+def count_pairs(rows: DataFrame, count, n_maps: int) -> np.ndarray:
+    """N(b, c) under each map, as tasks count it."""
+    n = np.zeros(n_maps * CLASSES * CLASSES)
+    for r in rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # class pairs
         n[r["cell"]] = r["n"]
-    return n.reshape(len(maps), CLASSES, CLASSES)
+    return n.reshape(n_maps, CLASSES, CLASSES)
 
 
 def likelihood(cc: np.ndarray) -> float:
@@ -608,57 +657,117 @@ def likelihood(cc: np.ndarray) -> float:
     return float(_f(cc).sum() - 2 * _f(cc.sum(0)).sum())
 
 
-def _packed(at: np.ndarray, n: np.ndarray) -> bytes:
-    at = at.astype(np.uint32)  # in order, so that the high halves shrink to little
-    return b"".join([(at & 65535).astype("<u2").tobytes(), (at >> 16).astype("<u2").tobytes(), (n & 255).astype(np.uint8).tobytes(), (n >> 8).astype("<u8").tobytes()])
+def n_slices(words: int) -> int:
+    """Into how many slices numbered words are dealt: word w to slice w modulo that, at place w // that."""
+    return max(1, min(MOST_SLICES, -(-words // SLICE)))
 
 
-def _add(counts: np.ndarray, packed: bytes) -> None:
-    m = len(packed) // 13
-    at = np.frombuffer(packed, dtype="<u2", count=m) + (np.frombuffer(packed, dtype="<u2", count=m, offset=2 * m).astype(np.int64) << 16)
-    counts[at] += np.frombuffer(packed, dtype=np.uint8, count=m, offset=4 * m) + (np.frombuffer(packed, dtype="<u8", count=m, offset=5 * m) << np.uint64(8)).astype(np.int64)
+def _packed_near(place: np.ndarray, near: np.ndarray, n: np.ndarray) -> bytes:
+    """Neighbours of words in order: the places of the words, how many each has, and these with their counts."""
+    at = np.flatnonzero(np.diff(place, prepend=-1))
+    size, packed = _squeeze(_steps(place[at]), _planes(np.diff(at, append=len(place)), "<u4"), _planes(near, "<u4"), _planes(n, "<u8"))
+    return size.to_bytes(8, "little") + packed
 
 
-def n_slices(words: int) -> int:
-    """Into how many slices numbered words are dealt: word w to slice w modulo that, at place w // that."""
-    return max(1, min(MOST_SLICES, -(-words // SLICE)))
+def _near_of(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the words of a row, the starts of their neighbours and their end, the neighbours, their counts."""
+    place, sizes, near, n = _fields(int.from_bytes(packed[:8], "little"), packed[8:], 4)
+    return np.cumsum(_numbers(place, "<u4")), np.append(0, np.cumsum(_numbers(sizes, "<u4"))), _numbers(near, "<u4"), _numbers(n, "<u8")
 
 
 def _word_counts(of: np.ndarray, end: int):
-    """For each slice of a block, how often each class stands before and after each word, and the word itself; the end aside."""
+    """For each slice of a block, how often each neighbour stands before and after each word of the numbers of a map, the end aside.
+
+    A neighbour is its number plus CLASSES, or the class of a word that never moves: one
+    without number, or the end. It is doubled, with one added for those after the word.
+    A word beside itself stands before it alone.
+    """
     dealt, width = n_slices(len(of)), -(-len(of) // n_slices(len(of)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, t in _Tokens.each(batches):
-            word, k = t.ids[t.codes], t.classes(of)
-            left_k, left = t.before(k, end), t.before(word, 0)
-            same = (left == word) & (word >= 0)
-            right_k, right_same = np.append(k[1:], k[:1]), np.append(same[1:], False)
-            free = t.learn & (word > 0)
-            l, r, s = free & ~same, free & ~right_same, free & same
-            first = ((word % dealt) * width + word // dealt).astype(np.uint32) * np.uint32(CELLS)  # the cells of MOST_WORDS words have numbers of 32 bits
-            keys, n = np.unique(np.concatenate([first[l] + left_k[l], first[r] + np.uint32(CLASSES) + right_k[r], first[s] + np.uint32(SLOTS)]), return_counts=True)
-            keys = keys.astype(np.int64)
-            slices = keys // (width * CELLS)
+            code = np.where(t.ids > 0, t.ids.astype(np.int64) + CLASSES, t.own)[t.codes]
+            pairs, n = np.unique(((t.before(code, end) << 32) | code)[t.learn], return_counts=True)
+            left, right = pairs >> 32, pairs & 0xFFFFFFFF
+            l, r = right >= CLASSES, (left >= CLASSES) & (left != right)
+            word = np.concatenate([right[l], left[r]]) - CLASSES
+            keys, n = ((word % dealt) * width + word // dealt) << NEAR_BITS | np.concatenate([2 * left[l], 2 * right[r] + 1]), np.concatenate([n[l], n[r]])
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            word, near = keys >> NEAR_BITS, keys & ((1 << NEAR_BITS) - 1)
+            slices = word // width
             at = np.append(np.flatnonzero(np.diff(slices, prepend=-1)), len(keys))
-            rows = [(int(slices[a]), row["block"], _packed(keys[a:b] - slices[a] * width * CELLS, n[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            rows = [(int(slices[a]), row["block"], _packed_near(word[a:b] - slices[a] * width, near[a:b], n[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["slice", "block", "counts"])
 
     return run
 
 
-def _summed(group: pa.Table, width: int) -> np.ndarray:
-    counts = np.zeros(width * CELLS, dtype=np.int64)
-    for packed in group["counts"]:
-        _add(counts, packed.as_py())
-    return counts
+def _added(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Counts of equal keys added up, keys in order."""
+    keys, n = np.concatenate(keys), np.concatenate(n)
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.diff(keys, prepend=-1))
+    return [keys[at]], [np.add.reduceat(n, at)]
 
 
-def _partial(width: int):
-    def run(group: pa.Table) -> pa.Table:
-        counts = _summed(group, width)
-        at = np.flatnonzero(counts)
-        return pa.table([group["slice"][:1], group["salt"][:1], pa.array([_packed(at, counts[at])], pa.binary())], names=["slice", "salt", "counts"])
+def _merged(fan: int, row_near: int):
+    """The neighbours of a slice, rows of all blocks merged fan at a time; in rows of row_near neighbours, each word in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n, first = [], [], None
+        for batch in batches:
+            for slice_, packed in zip(batch.column(0), batch.column(1)):
+                place, starts, near, more = _near_of(packed.as_py())
+                first = slice_ if first is None else first
+                keys.append(np.repeat(place, np.diff(starts)) << NEAR_BITS | near)
+                n.append(more)
+                if len(keys) > fan:
+                    keys, n = _added(keys, n)
+        (keys,), (n,) = _added(keys, n)
+        word, near = keys >> NEAR_BITS, keys & ((1 << NEAR_BITS) - 1)
+        starts, a = np.append(np.flatnonzero(np.diff(word, prepend=-1)), len(word)), 0
+        while a < len(starts) - 1:
+            b = max(a + 1, int(np.searchsorted(starts, starts[a] + row_near, side="right")) - 1)
+            part = slice(starts[a], starts[b])
+            yield pa.RecordBatch.from_arrays([pa.array([first.as_py()], pa.int32()), pa.array([_packed_near(word[part], near[part], n[part])], pa.binary())], ["slice", "counts"])
+            a = b
+
+    return run
+
+
+def neighbours(joined: DataFrame, of: np.ndarray, end: int, n_blocks: int) -> DataFrame:
+    """How often which neighbours stand beside each numbered word in training texts, stored: classes change in the exchange, these do not, so they travel once."""
+    rows = joined.select(*TOKENS).mapInArrow(_word_counts(of, end), "slice int, block long, counts binary").select("slice", "counts")
+    return scratch_table(rows.repartition(n_blocks, "slice").groupBy("slice").applyInArrow(_merged(FAN, ROW_NEAR), "slice int, counts binary"), "neighbours")
+
+
+def _now(of: np.ndarray) -> np.ndarray:
+    """The classes of neighbours under a map."""
+    return np.concatenate([np.arange(CLASSES, dtype=np.uint8), of])
+
+
+def _near_pairs(maps: list[np.ndarray]):
+    """Counts of the class pairs that a numbered word is in under each of several maps, in cells one map after the other."""
+    dealt, classes = n_slices(len(maps[0])), [_now(of) for of in maps]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(classes), CLASSES * CLASSES))
+        for batch in batches:
+            for slice_, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                place, starts, near, n = _near_of(packed.as_py())
+                sizes, after = np.diff(starts), (near & 1).astype(bool)
+                word, code = np.repeat(slice_ + place * dealt + CLASSES, sizes), near >> 1
+                # A pair of two numbered words is counted where it stands before the second.
+                fixed = after & (code < CLASSES)
+                l, r = (word[~after], code[~after], n[~after]), (word[fixed], code[fixed], n[fixed])
+                for i, k in enumerate(classes):
+                    out[i] += np.bincount(k[l[1]].astype(np.int64) * CLASSES + k[l[0]], weights=l[2], minlength=CLASSES * CLASSES)
+                    out[i] += np.bincount(k[r[0]].astype(np.int64) * CLASSES + r[1], weights=r[2], minlength=CLASSES * CLASSES)
+        out = out.ravel()
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at].astype(np.int64))], ["cell", "n"])
 
     return run
 
@@ -678,7 +787,8 @@ def gains(counts: np.ndarray, of: np.ndarray, cc: np.ndarray, small: list[np.nda
 
     Taking a word out of class g changes row and column g of N(b, c) alone: what a neighbour
     class other than g brings to a class other than g is the same for all words and comes from
-    small, the result of ``differences``, where it stands there SMALL times or less.
+    small, the result of ``differences``, where it stands there SMALL times or less. Most words
+    have few neighbours, so only classes that stand beside a word are looked at.
     """
     left, right, own = counts[:, :CLASSES].astype(float), counts[:, CLASSES:SLOTS].astype(float), counts[:, SLOTS].astype(float)
     total, words = left.sum(1) + own, np.arange(len(of))
@@ -686,66 +796,64 @@ def gains(counts: np.ndarray, of: np.ndarray, cc: np.ndarray, small: list[np.nda
     for beside, other, table, d in ((right, left, cc.T, small[0]), (left, right, cc, small[1])):  # table[j, k]: pairs of neighbour class j and class k
         rest = beside.copy()
         rest[words, of] = 0.0
-        part = np.zeros(left.shape)
-        for m in range(1, SMALL + 1):
-            met = rest == m
-            if met.any():
-                part += met @ d[m - 1]
-        w, j = np.nonzero(rest > SMALL)
-        if len(w):
-            more = _f(table[j] + rest[w, j][:, None]) - _f(table[j])
-            more[np.arange(len(w)), j] = 0.0
-            owners, starts = np.unique(w, return_index=True)
-            part[owners] += np.add.reduceat(more, starts, axis=0)
-        without = table[of] - other  # neighbours of the word's own class
-        part += _f(without + beside[words, of][:, None]) - _f(without)
-        stay = table.T[of]  # the word's own class
-        part[words, of] = (_f(stay) - _f(stay - rest)).sum(1)
+        w, j = np.nonzero(rest)
+        n = rest[w, j]
+        few = n <= SMALL
+        at = (n[few].astype(np.int64) - 1) * CLASSES + j[few]
+        part = row_sums(d.reshape(-1, CLASSES), at, np.append(0, np.cumsum(np.bincount(w[few], minlength=len(of)))))
+        if not few.all():
+            much_w, much_j, much = w[~few], j[~few], n[~few, None]
+            more = _f(table[much_j] + much) - _f(table[much_j])
+            more[np.arange(len(much_j)), much_j] = 0.0
+            part += row_sums(more, np.arange(len(more)), np.append(0, np.cumsum(np.bincount(much_w, minlength=len(of)))))
+        with_own = np.flatnonzero(beside[words, of])
+        without = table[of[with_own]] - other[with_own]  # neighbours of the word's own class
+        part[with_own] += _f(without + beside[with_own, of[with_own]][:, None]) - _f(without)
+        stay = table[j, of[w]]  # the word's own class
+        part[words, of] = np.bincount(w, weights=_f(stay) - _f(stay - n), minlength=len(of))
         out += part
-    both = left + right + own[:, None]
-    corner, size = np.tile(np.diagonal(cc), (len(of), 1)), np.tile(cc.sum(0), (len(of), 1))
-    corner[words, of] -= both[words, of]
-    size[words, of] -= total
-    return out + _f(corner + both) - _f(corner) - 2 * (_f(size + total[:, None]) - _f(size))
+    both, diagonal, size = left + right + own[:, None], np.diagonal(cc), cc.sum(0)
+    w, k = np.nonzero(both)
+    met = both[w, k]
+    corner = diagonal[k] - np.where(of[w] == k, met, 0.0)
+    out[w, k] += _f(corner + met) - _f(corner)
+    totals, at = np.unique(total, return_inverse=True)
+    grown = (_f(size + totals[:, None]) - _f(size))[at]
+    grown[words, of] = _f(size[of]) - _f(size[of] - total)
+    return out - 2 * grown
 
 
 def _moves(of: np.ndarray, cc: np.ndarray, end: int):
     """The words of a slice that gain in another class, and that class."""
-    small, dealt = differences(cc), n_slices(len(of))
-    width = -(-len(of) // dealt)
+    small, dealt, classes = differences(cc), n_slices(len(of)), _now(of)
 
-    def run(group: pa.Table) -> pa.Table:
-        first = group["slice"][0].as_py()
-        own = of[first::dealt].astype(np.int64)
-        counts = _summed(group, width).reshape(width, CELLS)
-        to = own.copy()
-        for a in range(0, len(own), 64):
-            part = slice(a, min(len(own), a + 64))
-            got = gains(counts[part], own[part], cc, small)
-            got[:, end] = -np.inf
-            best, at = got.argmax(1), np.arange(len(got))
-            better = (got[at, best] > got[at, np.minimum(own[part], CLASSES - 1)] + 1e-9) & (counts[part].sum(1) > 0) & (own[part] != end)
-            to[part] = np.where(better, best, own[part])
-        moved = np.flatnonzero(to != own)
-        return pa.table([pa.array([(first + moved * dealt).astype("<i4").tobytes()], pa.binary()), pa.array([to[moved].astype(np.uint8).tobytes()], pa.binary())], names=["ids", "to"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slice_, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                place, starts, near, n = _near_of(packed.as_py())
+                word = slice_ + place * dealt
+                own = classes[word + CLASSES].astype(np.int64)
+                to = own.copy()
+                for a in range(0, len(word), 512):
+                    b = min(len(word), a + 512)
+                    at, code = np.repeat(np.arange(b - a), np.diff(starts[a : b + 1])), near[starts[a] : starts[b]]
+                    cell = np.where(code >> 1 == word[a:b][at] + CLASSES, SLOTS, classes[code >> 1] + CLASSES * (code & 1))
+                    counts = np.bincount(at * CELLS + cell, weights=n[starts[a] : starts[b]], minlength=(b - a) * CELLS).reshape(b - a, CELLS)
+                    got, rows = gains(counts, own[a:b], cc, small), np.arange(b - a)
+                    got[:, end] = -np.inf
+                    best = got.argmax(1)
+                    to[a:b] = np.where(got[rows, best] > got[rows, own[a:b]] + 1e-9, best, own[a:b])
+                moved = np.flatnonzero(to != own)
+                yield pa.RecordBatch.from_arrays([pa.array([word[moved].astype("<i4").tobytes()], pa.binary()), pa.array([to[moved].astype(np.uint8).tobytes()], pa.binary())], ["ids", "to"])
 
     return run
 
 
-def sweep(joined: DataFrame, of: np.ndarray, cc: np.ndarray, end: int, n_blocks: int) -> np.ndarray:
-    """The best class of each numbered word, all others staying where they are.
-
-    Counts of a slice come together FAN at a time, so that no task holds more, however many blocks there are.
-    """
-    width = -(-len(of) // n_slices(len(of)))
-    salts = -(-n_blocks // FAN)  # groups of FAN blocks in the mean; a row each of them is left
-    rows = joined.select(*TOKENS).mapInArrow(_word_counts(of, end), "slice int, block long, counts binary")
-    rows = rows.select("slice", F.expr(f"pmod(xxhash64(block), {salts})").alias("salt"), "counts")
-    while salts > 1:
-        rows = rows.groupBy("slice", "salt").applyInArrow(_partial(width), "slice int, salt long, counts binary")
-        rows, salts = rows.withColumn("salt", F.floor(F.col("salt") / FAN)), -(-salts // FAN)
+def sweep(joined: DataFrame, of: np.ndarray, cc: np.ndarray, end: int, n_blocks: int, near: DataFrame | None = None) -> np.ndarray:
+    """The best class of each numbered word, all others staying where they are; near is what ``neighbours`` gives, if it is there already."""
+    near = neighbours(joined, of, end, n_blocks) if near is None else near
     to = of.copy()
-    for r in rows.groupBy("slice").applyInArrow(_moves(of, cc, end), "ids binary, to binary").collect():  # five bytes for each of MOST_WORDS words at most
+    for r in near.mapInArrow(_moves(of, cc, end), "ids binary, to binary").collect():  # five bytes for each of MOST_WORDS words at most
         to[np.frombuffer(r["ids"], dtype="<i4")] = np.frombuffer(r["to"], dtype=np.uint8)
     return to
 
@@ -762,15 +870,19 @@ def refine(joined: DataFrame, model: ClassModel, words: int, n_blocks: int) -> t
     of[:core] = model.of[:core]
     for r in joined.select("new", "new_own").collect():  # each number once
         of[np.frombuffer(r["new"], dtype="<i4")] = np.frombuffer(r["new_own"], dtype=np.uint8)
-    cc = count_pairs(joined, [of], end)[0]
+    cc = count_pairs(joined.select(*TOKENS), _class_pairs(of, end), 1)[0]
     values = [likelihood(cc)]
+    if not ROUNDS:
+        return of, cc, values
+    near = neighbours(joined, of, end, n_blocks)
+    fixed = cc - count_pairs(near, _near_pairs([of]), 1)[0]  # pairs without a numbered word are the same under all maps
     share = mix(np.arange(words, dtype=np.uint64)) >> np.uint64(61)
     for _ in range(ROUNDS):
-        to = sweep(joined, of, cc, end, n_blocks)
+        to = sweep(joined, of, cc, end, n_blocks, near)
         if (to == of).all():
             break
         maps = [np.where(share < k, to, of) for k in (8, 4, 2, 1)]
-        counted = count_pairs(joined, maps, end)
+        counted = fixed + count_pairs(near, _near_pairs(maps), len(maps))
         reached = [likelihood(x) for x in counted]
         best = int(np.argmax(reached))
         if reached[best] <= values[-1]:
